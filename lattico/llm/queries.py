@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op10_byte_bpe
 from .quality import op3_quality_rules
 from .simhash import op6_simhash
+from .toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op6_simhash": op6_simhash,
+    "op7_toxicity": op7_toxicity,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
