@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import map_texts, replace_columns, table
 
 #: Pre-tokens whose ids a worker remembers; beyond that it forgets all of them. Results don't depend on it.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -132,7 +132,7 @@ def _is_text(token: bytes) -> bool:
     return True
 
 
-def _parts(texts: list[bytes], size: int = 4_000_000):
+def _parts(texts: list[bytes], size: int = 1_000_000):
     """texts in order, in runs of about size bytes."""
     part, n = [], 0
     for t in texts:
