@@ -10,12 +10,16 @@ from .bpe import op10_byte_bpe
 from .quality import op3_quality_rules
 from .simhash import op6_simhash
 from .toxicity import op7_toxicity
+from .warc import OP4_SQL, op4_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
+    "op4_warc": op4_warc,
     "op6_simhash": op6_simhash,
     "op7_toxicity": op7_toxicity,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_warc": OP4_SQL,
+}
