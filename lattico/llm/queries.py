@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op10_byte_bpe
+from .mixing import op1_mixing
 from .quality import op3_quality_rules
 from .simhash import op6_simhash
 from .toxicity import op7_toxicity
 from .warc import OP4_SQL, op4_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op3_quality_rules": op3_quality_rules,
     "op4_warc": op4_warc,
     "op6_simhash": op6_simhash,
