@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import op10_byte_bpe
 from .mixing import op1_mixing
 from .quality import op3_quality_rules
+from .sharding import OP8_SQL, op8_sharding
 from .simhash import op6_simhash
 from .toxicity import op7_toxicity
 from .warc import OP4_SQL, op4_warc
@@ -19,9 +20,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
     "op6_simhash": op6_simhash,
     "op7_toxicity": op7_toxicity,
+    "op8_sharding": op8_sharding,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
 SQL: dict[str, str] = {
     "op4_warc": OP4_SQL,
+    "op8_sharding": OP8_SQL,
 }
