@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op10_byte_bpe
+from .hilbert import op5_hilbert_neighbours
 from .mixing import op1_mixing
 from .quality import op3_quality_rules
 from .sharding import OP8_SQL, op8_sharding
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op3_quality_rules": op3_quality_rules,
     "op4_warc": op4_warc,
+    "op5_hilbert_neighbours": op5_hilbert_neighbours,
     "op6_simhash": op6_simhash,
     "op7_toxicity": op7_toxicity,
     "op8_sharding": op8_sharding,
