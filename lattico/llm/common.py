@@ -53,10 +53,13 @@ def map_texts(df: DataFrame, text: str, fn: Callable[[list[bytes]], dict[str, pa
     """keep's columns of df beside the columns that fn makes, batch by batch, of the texts as UTF-8 bytes (null: empty)."""
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*[f"`{k}`" for k in keep]).schema)
 
+    own = text in keep and dict(df.dtypes)[text] == "string"  # a text that is kept travels once
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [x or b"" for x in b.column("__text").cast(pa.binary()).to_pylist()]
+            texts = [x or b"" for x in b.column(text if own else "__text").cast(pa.binary()).to_pylist()]
             made = fn(texts)
             yield pa.RecordBatch.from_arrays([b.column(k) for k in keep] + list(made.values()), names=[*keep, *made])
 
-    return df.select(*[F.col(f"`{k}`") for k in keep], F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(run, f"{types}, {schema}" if keep else schema)
+    sent = [F.col(f"`{k}`") for k in keep] + ([] if own else [F.col(f"`{text}`").cast("string").alias("__text")])
+    return df.select(*sent).mapInArrow(run, f"{types}, {schema}" if keep else schema)

@@ -133,17 +133,11 @@ def _precision(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _groups(narrow: DataFrame) -> DataFrame:
-    """A row for each (lang, source) with the group whose estimate it uses: its own, its language's, or all."""
-    by = narrow.filter("usable").groupBy("lang", "source").count()
-    lang = by.groupBy("lang").agg(F.sum("count").alias("by_lang"))
-    null_safe = F.col("a.lang").eqNullSafe(F.col("b.lang"))
-    part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
-    return (
-        by.alias("a").join(lang.alias("b"), null_safe)
-        .select("a.lang", "a.source", "count", "by_lang")
-        .withColumn("grp", F.when(F.col("count") >= LEAST_ROWS, F.concat_ws("\u0000", F.lit("s"), part("lang"), part("source")))
-                    .when(F.col("by_lang") >= LEAST_ROWS, F.concat_ws("\u0000", F.lit("l"), part("lang"))).otherwise("all"))
-    )
+    """A row for each (gl, gs) with the group whose estimate it uses: its own, its language's, or all."""
+    by = narrow.groupBy("gl", "gs").count()
+    lang = by.groupBy("gl").agg(F.sum("count").alias("by_lang"))
+    own, wider = F.concat_ws("\u0000", F.lit("s"), "gl", "gs"), F.concat_ws("\u0000", F.lit("l"), "gl")
+    return by.join(lang, "gl").select("gl", "gs", F.when(F.col("count") >= LEAST_ROWS, own).when(F.col("by_lang") >= LEAST_ROWS, wider).otherwise("all").alias("grp"))
 
 
 def estimate(vectors: DataFrame, h: float = H, steps: int = STEPS) -> DataFrame:
@@ -186,31 +180,51 @@ def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "
     verdicts. An empty table gives an empty result. Columns of df with the names added here are replaced. The narrow table of
     statistics, not the texts, is written to the shared folder; df's texts are read once.
     """
-    added = (*_NAMES, "base_failed", "distance", "kept")
-    df = df.select(*[F.col(f"`{c}`") for c in replace_columns(df, added).columns])
-    keep = [c for c in df.columns if c != text]
+    df = replace_columns(df, _ADDED)
+    rows = cut(_with_base(df, text, [c for c in df.columns if c != text]), "statistics")
+    return _verdicts(rows, fit(rows, lang, source), lang, source, cutoff)
+
+
+def keep_documents(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", cutoff: float = CUTOFF) -> DataFrame:
+    """The rows of df, texts and all, that judge() keeps. Texts are read twice and their statistics counted twice, but not moved."""
+    names = df.columns
+    bare = replace_columns(df, _ADDED)
+    estimates = fit(cut(_with_base(bare, text, [lang, source]), "statistics"), lang, source)
+    clash = [c for c in names if c not in bare.columns]
+    kept = df.select(*[F.col(f"`{c}`") for c in bare.columns], *[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(clash)])
+    kept = _verdicts(_with_base(kept, text, kept.columns), estimates, lang, source, cutoff).filter("kept")
+    return kept.select(*[F.col(f"`{c}`" if c in bare.columns else f"__{clash.index(c)}").alias(c) for c in names])
+
+
+_ADDED = (*_NAMES, "base_failed", "distance", "kept")
+
+
+def _with_base(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     rows = with_statistics(df, text, keep)
-    rows = rows.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-    return _verdicts(cut(rows, "statistics"), lang, source, cutoff)
+    return rows.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
-def _verdicts(rows: DataFrame, lang: str, source: str, cutoff: float) -> DataFrame:
-    names = rows.columns
-    xs = _vector()
-    vectors = rows.withColumn("__lang", F.col(f"`{lang}`").cast("string")).withColumn("__source", F.col(f"`{source}`").cast("string"))
-    narrow = vectors.select(F.col("__lang").alias("lang"), F.col("__source").alias("source"), (~F.col("base_failed")).alias("usable"), *[x.alias(f"x{i}") for i, x in enumerate(xs)])
+def _key(c: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+
+
+def fit(rows: DataFrame, lang: str, source: str) -> DataFrame:
+    """(gl, gs, centre, precision) for each language and source, as text keys, from rows of statistics."""
+    xs = [x.alias(f"x{i}") for i, x in enumerate(_vector())]
+    narrow = rows.filter(~F.col("base_failed")).select(_key(f"`{lang}`").alias("gl"), _key(f"`{source}`").alias("gs"), *xs)
     groups = cut(_groups(narrow), "groups")
-    # a group's fallback population is every usable row of the language, or of the table, not only the small groups' rows
-    chain = F.array(F.lit("all"), F.concat_ws("\u0000", F.lit("l"), F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("-"))),
-                    F.concat_ws("\u0000", F.lit("s"), F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("-")), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("-"))))
-    wanted = groups.select("grp").distinct()
-    pooled = narrow.filter("usable").withColumn("grp", F.explode(chain)).join(wanted, "grp", "left_semi").select("grp", *[f"x{i}" for i in range(len(xs))])
-    found = cut(estimate(pooled), "estimates")
-    of_group = groups.join(found, "grp").select(F.col("lang").alias("__gl"), F.col("source").alias("__gs"), "centre", "precision")
-    joined = vectors.select("*", *[x.alias(f"x{i}") for i, x in enumerate(xs)]).join(
-        of_group, F.col("__lang").eqNullSafe(F.col("__gl")) & F.col("__source").eqNullSafe(F.col("__gs")), "left")
-    return joined.withColumn("distance", _distance()).select(
-        *[F.col(f"`{c}`") for c in names], "distance", F.when(F.col("base_failed"), False).otherwise(F.coalesce(F.col("distance") <= cutoff, F.lit(True))).alias("kept"))
+    # the population of a language, or of all, is every usable row of it, not only the small groups' rows
+    chain = F.array(F.lit("all"), F.concat_ws("\u0000", F.lit("l"), "gl"), F.concat_ws("\u0000", F.lit("s"), "gl", "gs"))
+    pooled = narrow.withColumn("grp", F.explode(chain)).join(groups.select("grp").distinct(), "grp", "left_semi").select("grp", *[f"x{i}" for i in range(len(xs))])
+    return cut(groups.join(estimate(pooled), "grp").select("gl", "gs", "centre", "precision"), "estimates")
+
+
+def _verdicts(rows: DataFrame, estimates: DataFrame, lang: str, source: str, cutoff: float) -> DataFrame:
+    """rows with distance and kept. A language and source without usable rows have no estimate, and only texts that fail the base rule."""
+    names = rows.columns
+    keyed = rows.select("*", _key(f"`{lang}`").alias("gl"), _key(f"`{source}`").alias("gs"), *[x.alias(f"x{i}") for i, x in enumerate(_vector())])
+    joined = keyed.join(estimates, ["gl", "gs"], "left").withColumn("distance", _distance())
+    return joined.select(*[F.col(f"`{c}`") for c in names], "distance", F.when(F.col("base_failed"), False).otherwise(F.coalesce(F.col("distance") <= cutoff, F.lit(True))).alias("kept"))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, map_texts, replace_columns, table
@@ -214,5 +214,21 @@ def near_duplicates(df: DataFrame, text: str = "text", id_: str = "doc_id", radi
     return rows.join(of_fp, "fp").select(F.col("id").alias(id_), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def keep_one(df: DataFrame, text: str = "text", id_: str = "doc_id", radius: int = RADIUS) -> DataFrame:
+    """df with one row of each component: that of the smallest id; of rows with equal ids, that of the smallest text.
+
+    Rows without an id are told apart by a hash of their text, and yield to rows with one.
+    """
+    beyond = F.lit(str(1 << 65)).cast("decimal(21,0)")
+    key = F.coalesce(F.col(f"`{id_}`").cast("decimal(21,0)"), (F.xxhash64(F.col(f"`{text}`")) + beyond).cast("decimal(21,0)"))
+    rows = df.withColumn("__key", key)
+    found = cut(near_duplicates(rows, text, "__key", radius).select("__key", "component_id"), "duplicates")
+    gone = found.filter(F.col("__key") != F.col("component_id")).select("__key").distinct()
+    repeated = found.groupBy("__key").count().filter("count > 1").select("__key")
+    left = rows.join(gone, "__key", "left_anti")
+    again = left.join(repeated, "__key", "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy("__key").orderBy(F.col(f"`{text}`")))).filter("__n = 1").drop("__n")
+    return left.join(repeated, "__key", "left_anti").unionByName(again).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
