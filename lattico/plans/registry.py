@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from types import FunctionType
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import queries
+from .oracle import SQL
+
 FLAGSHIP = "metrics_quality_noul"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    n: f for n, f in vars(queries).items() if isinstance(f, FunctionType) and f.__module__ == queries.__name__ and not n.startswith("_")
+}
 
-SQL: dict[str, str] = {}
+__all__ = ["FLAGSHIP", "QUERIES", "SQL"]
