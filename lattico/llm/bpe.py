@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import map_texts, replace_columns, table
 
 #: Pre-tokens whose ids a worker remembers; beyond that it forgets all of them. Results don't depend on it.
-REMEMBERED = 250_000
+REMEMBERED = 150_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

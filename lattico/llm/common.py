@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,17 +50,37 @@ def replace_columns(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+#: Rows that Spark hands to a Python worker at once, and bytes of text that a worker has in hand at once. Texts may be long, and
+#: the default of 10,000 rows would hold tens of MB several times over, in the executor and in its workers.
+ROWS_AT_ONCE, BYTES_AT_ONCE = 1000, 2 << 20
+
+
+def _slices(b: pa.RecordBatch, sizes: list[int]) -> Iterator[pa.RecordBatch]:
+    start = held = 0
+    for i, n in enumerate(sizes):
+        held += n
+        if held >= BYTES_AT_ONCE:
+            yield b.slice(start, i + 1 - start)
+            start, held = i + 1, 0
+    if start < len(sizes):
+        yield b.slice(start)
+
+
 def map_texts(df: DataFrame, text: str, fn: Callable[[list[bytes]], dict[str, pa.Array]], schema: str, keep: list[str]) -> DataFrame:
     """keep's columns of df beside the columns that fn makes, batch by batch, of the texts as UTF-8 bytes (null: empty)."""
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*[f"`{k}`" for k in keep]).schema)
-
     own = text in keep and dict(df.dtypes)[text] == "string"  # a text that is kept travels once
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= ROWS_AT_ONCE:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_AT_ONCE))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [x or b"" for x in b.column(text if own else "__text").cast(pa.binary()).to_pylist()]
-            made = fn(texts)
-            yield pa.RecordBatch.from_arrays([b.column(k) for k in keep] + list(made.values()), names=[*keep, *made])
+        for whole in batches:
+            lengths = pc.fill_null(pc.binary_length(whole.column(text if own else "__text")), 0).to_pylist()
+            for b in _slices(whole, lengths):
+                texts = [x or b"" for x in b.column(text if own else "__text").cast(pa.binary()).to_pylist()]
+                made = fn(texts)
+                yield pa.RecordBatch.from_arrays([b.column(k) for k in keep] + list(made.values()), names=[*keep, *made])
 
     sent = [F.col(f"`{k}`") for k in keep] + ([] if own else [F.col(f"`{text}`").cast("string").alias("__text")])
     return df.select(*sent).mapInArrow(run, f"{types}, {schema}" if keep else schema)

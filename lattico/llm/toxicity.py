@@ -36,7 +36,7 @@ REPORTS = "said says say told claims claimed quoted called sagte sagt behauptet
 NEGATION_REACH, TARGET_REACH = 3, 4
 NEGATED, REPORTED, TARGETED, THREAT = 0.6, 0.7, 1.2, 0.5
 #: Words that a worker remembers the class of.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 
 OTHER, INSULT, THREAT_WORD, TARGET, NEGATION, REPORT = "o", "i", "h", "t", "n", "r"
 CLASSES = (OTHER, INSULT, THREAT_WORD, TARGET, NEGATION, REPORT)
