@@ -1,17 +1,16 @@
-"""Temperatures by decision type: a geometric grid in one aggregate, then a golden-section search by type."""
+"""Temperatures by decision type: a geometric grid in one aggregate, then narrower grids by type."""
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dist
 
-#: The grid's first temperature, ratio and length, and the steps of the search.
-FIRST, RATIO, POINTS, STEPS = 0.05, 1.15, 46, 30
+#: The grid's first temperature, ratio and length.
+FIRST, RATIO, POINTS = 0.05, 1.15, 46
+#: Rounds of the search around the grid's best, and points that each looks at.
+ROUNDS, INNER = 6, 11
 
 
 def grid() -> list[float]:
@@ -29,28 +28,25 @@ def best_on_grid(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def fit(rows: DataFrame, by: str = "type") -> DataFrame:
-    """(by, temperature) with 4 places. Every step of the search is one aggregate over all rows of all types; only a bracket for
-    each type, two numbers, is on the driver."""
+    """(by, temperature) with 4 places: the grid's best, then ROUNDS narrower grids around the best so far.
+
+    The loss has one minimum, so the best point's neighbours hold it. Each round is one aggregate over all rows of all types;
+    only a bracket for each type, two numbers, is on the driver.
+    """
     rows = rows.select(by, "logits", "target")
-    start = {r[by]: r["t"] for r in best_on_grid(rows, [by]).collect()}
-    g = (math.sqrt(5) - 1) / 2
-    bracket = {k: (t / RATIO, t * RATIO) for k, t in start.items()}
-    known: dict = {k: {} for k in start}
-    for _ in range(STEPS):
-        asked = []
-        for k, (a, b) in bracket.items():
-            asked += [(k, x) for x in (b - g * (b - a), a + g * (b - a)) if x not in known[k]]
-        if asked:
-            spread = rows.join(F.broadcast(rows.sparkSession.createDataFrame(asked, rows.select(by).schema.add("t", "double"))), by)
-            at = spread.groupBy(by, "t").agg(F.avg(dist.soft_cross_entropy(F.col("logits"), F.col("target"), F.col("t"))).alias("nll"))
-            for r in at.collect():
-                known[r[by]][r["t"]] = r["nll"]
-        for k, (a, b) in bracket.items():
-            c, d = b - g * (b - a), a + g * (b - a)
-            fc, fd = (min(known[k].items(), key=lambda kv, x=x: abs(kv[0] - x))[1] for x in (c, d))
-            bracket[k] = (a, d) if fc < fd else (c, b)
-    out = pd.DataFrame([(k, round((a + b) / 2, 4)) for k, (a, b) in sorted(bracket.items())], columns=[by, "temperature"])
-    return rows.sparkSession.createDataFrame(out) if len(out) else rows.sparkSession.createDataFrame([], rows.select(by).schema.add("temperature", "double"))
+    bracket = {r[by]: (r["t"] / RATIO, r["t"] * RATIO) for r in best_on_grid(rows, [by]).collect()}
+    kind = rows.select(by).schema
+    for _ in range(ROUNDS if bracket else 0):
+        asked = [(k, a + (b - a) * i / (INNER + 1)) for k, (a, b) in bracket.items() for i in range(1, INNER + 1)]
+        points = rows.sparkSession.createDataFrame(asked, kind.add("t", "double"))
+        nll = dist.soft_cross_entropy(F.col("logits"), F.col("target"), F.col("t"))
+        kind = rows.select(by).schema
+        best = rows.join(F.broadcast(points), by).groupBy(by, "t").agg(F.avg(nll).alias("nll")).groupBy(by).agg(F.min_by("t", F.struct("nll", "t")).alias("t"))
+        for r in best.collect():
+            a, b = bracket[r[by]]
+            bracket[r[by]] = (r["t"] - (b - a) / (INNER + 1), r["t"] + (b - a) / (INNER + 1))
+    out = [(k, round((a + b) / 2, 4)) for k, (a, b) in sorted(bracket.items())]
+    return rows.sparkSession.createDataFrame(out, rows.select(by).schema.add("temperature", "double"))
 
 
 def scaled(logits: Column, type_: Column, temperatures: dict[str, float]) -> Column:

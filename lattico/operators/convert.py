@@ -269,7 +269,7 @@ def aspects(rows: DataFrame, source: str = "aspects") -> DataFrame:
     mine = F.transform(F.filter("__p", lambda p: p["category"] == F.col("__x")["category"]), lambda p: p["sentiment"])
     r = r.withColumn("__o", F.array_except(F.array(*map(F.lit, SENTIMENTS)), mine)).withColumn("__false", coin("truth", rid)).filter(~F.col("__false") | (F.size("__o") > 0))
     shown = F.when(F.col("__false"), keyed.pick(F.col("__o"), SEED, "other", rid)).otherwise(F.col("__x")["sentiment"])
-    said = F.concat(F.lit("The review is "), shown, F.lit(" about "), F.translate(F.col("__x")["category"], "#_", "/ "), F.lit("."))
+    said = F.concat(F.lit("The review is "), shown, F.lit(" about "), F.replace(F.replace(F.col("__x")["category"], F.lit("#"), F.lit(" / ")), F.lit("_"), F.lit(" ")), F.lit("."))
     return emit(r, source, noul(rid, F.col("text"), said, ~F.col("__false")))
 
 

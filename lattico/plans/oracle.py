@@ -191,7 +191,7 @@ SELECT l.run, first, last, spike, count(*) AS n, round(max(value), 6) AS top FRO
     "spike_enrichment": """WITH e AS (SELECT event_type AS run, event_id AS step, user_id % 10 AS source, sum((value > 400)::INT) OVER (PARTITION BY event_type ORDER BY event_id) AS sk, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events),
 l AS (SELECT run, step AS last, lag(step) OVER w AS first, sk > lag(sk) OVER w AS spike FROM e WHERE n % 3 = 0 WINDOW w AS (PARTITION BY run ORDER BY step)),
 j AS (SELECT source, spike FROM l JOIN e ON e.run = l.run AND e.step > first AND e.step <= last WHERE first IS NOT NULL), c AS (SELECT source, count(*) FILTER (spike) AS a, count(*) FILTER (NOT spike) AS b FROM j GROUP BY source),
-s AS (SELECT source, a / sum(a) OVER () AS spike_share, b / sum(b) OVER () AS normal_share FROM c) SELECT source, round(spike_share, 6) AS spike_share, round(normal_share, 6) AS normal_share, round(CASE WHEN normal_share = 0 THEN 'inf'::DOUBLE ELSE spike_share / normal_share END, 6) AS ratio FROM s WHERE spike_share >= 0.01""",
+s AS (SELECT source, coalesce(a / nullif(sum(a) OVER (), 0), 0) AS spike_share, coalesce(b / nullif(sum(b) OVER (), 0), 0) AS normal_share FROM c) SELECT source, round(spike_share, 6) AS spike_share, round(normal_share, 6) AS normal_share, round(CASE WHEN normal_share = 0 THEN 'inf'::DOUBLE ELSE spike_share / normal_share END, 6) AS ratio FROM s WHERE spike_share >= 0.01""",
     "running_best": """SELECT event_type, event_id, value FROM (SELECT *, max(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM events) WHERE b IS NULL OR value > b""",
     "result_merge": """WITH e AS (SELECT user_id AS run_id, CASE WHEN event_type = 'purchase' THEN 'ok' ELSE event_type END AS status, event_id AS seq FROM events)
 SELECT run_id, status, seq FROM e QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY (status <> 'ok')::INT, CASE WHEN status = 'ok' THEN seq ELSE -seq END) = 1""",
