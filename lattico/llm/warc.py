@@ -159,8 +159,12 @@ def _measured(block: bytes) -> dict:
     return {"read_bytes": len(payload), "read_digest": base64.b32encode(hashlib.sha1(payload).digest()).decode()}
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record (RECORD's columns) of the archives under path, in any order."""
+def read_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """A row for each record (RECORD's columns) of the archives under path, in any order.
+
+    Without payloads the blocks of responses and resources, whose lengths and digests are taken while reading, are null: what is
+    left is small enough to be written down once where several joins read it.
+    """
     types = {"concurrent_to": pa.list_(pa.string()), "headers": pa.map_(pa.string(), pa.string()), "block": pa.binary(), "read_bytes": pa.int64()}
     names = [x.split()[0] for x in RECORD.split(", ")]
     schema = pa.schema([(n, types.get(n, pa.string())) for n in names])
@@ -173,8 +177,10 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
             for data in b.column(0):
                 rows, n = [], 0
                 for r in parse(data.as_py()):
+                    if not payloads and r["read_bytes"] is not None:
+                        r["block"] = None
                     rows.append(r)
-                    n += len(r["block"]) + 500
+                    n += len(r["block"] or b"") + 500
                     if n >= BATCH_BYTES:
                         yield batch(rows)
                         rows, n = [], 0
@@ -230,7 +236,7 @@ def page_digests(captured: DataFrame) -> DataFrame:
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     write_archive(captures(table(spark, sf_dir, "pages")), path)
-    return page_digests(assemble(read_archive(spark, path)))
+    return page_digests(assemble(cut(read_archive(spark, path, payloads=False), "records")))
 
 
 OP4_SQL = """
