@@ -9,7 +9,6 @@ products are added up by group and bin, so that no group is ever gathered in one
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from operator import eq
 
@@ -37,7 +36,7 @@ PRIOR_WORDS = 25.0
 FEATURES = (
     ("log_word_length", 1.6, 0.10),
     ("symbols", 0.0, 0.07),
-    ("capitals", 0.15, 0.07),
+    ("capitals", 0.0, 0.07),
     ("marks", 0.20, 0.07),
     ("dup_lines", 0.0, 0.15),
     ("repeats", 0.0, 0.12),
@@ -51,17 +50,14 @@ REWEIGHT = 16.013
 CONSISTENCY = 0.75 / 0.5661
 
 _BINS, _PER_E = 600, 16
-_ACCENTED_CAPITALS = re.compile(rb"\xc3[\x80-\x96\x98-\x9e]")
-_CAPITALS = bytes(range(65, 91))
 _MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
-_NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_marks", "n_doubled")
+_NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capital_words", "n_marks", "n_doubled")
 
 
 def text_statistics(text: bytes) -> tuple[int, ...]:
     """The counts of _NAMES of one whole text in UTF-8."""
     words = text.split()
     n = len(words)
-    bare = len(text.translate(None, _CAPITALS))
     repeats = 0
     if n > WINDOW:
         windows = list(zip(*(words[i:] for i in range(WINDOW)), strict=False))
@@ -75,7 +71,7 @@ def text_statistics(text: bytes) -> tuple[int, ...]:
     lines = [x for x in text.split(b"\n") if x and not x.isspace()]
     return (
         n, len(b"".join(words).decode()), len(text) - len(text.translate(None, SYMBOLS.encode())), len(lines) - len(set(lines)), repeats,
-        len(lines), len(text) - bare + (0 if text.isascii() else len(_ACCENTED_CAPITALS.findall(text))), len(text) - len(text.translate(None, _MARKS)),
+        len(lines), sum([w.isupper() and len(w) > 1 for w in words]), len(text) - len(text.translate(None, _MARKS)),
         sum(map(eq, words, words[1:])),
     )
 
@@ -99,7 +95,7 @@ def _vector() -> list[Column]:
     return [
         (n * F.log(F.greatest(F.col("word_chars") / F.greatest(n, F.lit(1.0)), F.lit(0.5))) + k * usual["log_word_length"]) / (n + k),
         ratio("n_symbols", "symbols"),
-        ratio("n_capitals", "capitals"),
+        ratio("n_capital_words", "capitals"),
         ratio("n_marks", "marks"),
         F.sqrt(F.col("n_dup_lines") / (F.col("n_lines") + 8.0)),
         ratio("n_repeat_words", "repeats"),
