@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -20,8 +20,9 @@ def content_key() -> Column:
 
 
 def first_wins(rows: DataFrame, key: Column, order: list[Column]) -> DataFrame:
-    """The first row of each key. Only the key and order meet; with a hot key that is still one task's sort, of narrow rows."""
-    return rows.withColumn("__k", key).withColumn("__n", F.row_number().over(Window.partitionBy("__k").orderBy(*order))).filter("__n = 1").drop("__k", "__n")
+    """The first row of each key, as an aggregate: tasks keep one row a key before the shuffle, so a hot key costs no more than another."""
+    first = F.min_by(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), F.struct(*order))
+    return rows.groupBy(key.alias("__k")).agg(first.alias("__r")).select("__r.*")
 
 
 def without_leaks(train: DataFrame, held: DataFrame) -> DataFrame:
@@ -30,13 +31,14 @@ def without_leaks(train: DataFrame, held: DataFrame) -> DataFrame:
     return train.withColumn("__s", F.sha1("state")).join(states, "__s", "left_anti").drop("__s")
 
 
-def leak_counts(train: DataFrame, held: DataFrame, key: Column, order: list[Column]) -> DataFrame:
+def leak_counts(train: DataFrame, held: DataFrame, key: Column) -> DataFrame:
     """(outcome, n): each row is leaked, else a duplicate, else kept; leaks are tested first, so they don't shadow later copies."""
     states = held.filter("state <> ''").select(F.sha1("state").alias("__s")).distinct().withColumn("__hit", F.lit(True))
     marked = train.withColumns({"__s": F.sha1("state"), "__k": key}).join(states, "__s", "left")
-    leaked = F.coalesce("__hit", F.lit(False))
-    n = F.row_number().over(Window.partitionBy(leaked, "__k").orderBy(*order))
-    return marked.withColumn("outcome", F.when(leaked, "leaked").when(n > 1, "duplicate").otherwise("kept")).groupBy("outcome").agg(F.count("*").alias("n"))
+    by = marked.groupBy(F.coalesce("__hit", F.lit(False)).alias("leaked"), "__k").agg(F.count("*").alias("c"))
+    parts = F.when(F.col("leaked"), F.array(F.struct(F.lit("leaked").alias("outcome"), F.col("c").alias("n")))).otherwise(
+        F.array(F.struct(F.lit("kept").alias("outcome"), F.lit(1).cast("long").alias("n")), F.struct(F.lit("duplicate").alias("outcome"), (F.col("c") - 1).alias("n"))))
+    return by.select(F.explode(parts).alias("p")).groupBy("p.outcome").agg(F.sum("p.n").alias("n")).filter("n > 0")
 
 
 def anti(rows: DataFrame, seen: DataFrame, key: Column) -> DataFrame:

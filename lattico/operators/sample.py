@@ -77,8 +77,8 @@ def replay(chosen: DataFrame, pool: DataFrame, id_: str, share: float, seed: str
 def merge_results(runs: DataFrame, key: str = "run_id", status: str = "status", seq: str = "seq") -> DataFrame:
     """One row for each run: its first that is ok, else its last."""
     ok = F.col(status) == "ok"
-    order = Window.partitionBy(key).orderBy(F.when(ok, 0).otherwise(1), F.when(ok, F.col(seq)).otherwise(-F.col(seq)))
-    return runs.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
+    order = F.struct(F.when(ok, 0).otherwise(1), F.when(ok, F.col(seq)).otherwise(-F.col(seq)))
+    return runs.groupBy(key).agg(F.min_by(F.struct(*[F.col(c) for c in runs.columns]), order).alias("__r")).select("__r.*")
 
 
 def write_shards(rows: DataFrame, path: str, n: int, seq: str = "seq") -> None:

@@ -112,7 +112,7 @@ def largest_groups(spark: SparkSession, d: str) -> DataFrame:
 
 def leak_filter(spark: SparkSession, d: str) -> DataFrame:
     rows = _as_decisions(table(spark, d, "documents"))
-    return dedup.leak_counts(rows.filter("doc_id % 4 <> 0"), rows.filter("doc_id % 4 = 0"), dedup.question_key(), [F.col("doc_id")])
+    return dedup.leak_counts(rows.filter("doc_id % 4 <> 0"), rows.filter("doc_id % 4 = 0"), dedup.question_key())
 
 
 def leak_free(spark: SparkSession, d: str) -> DataFrame:
