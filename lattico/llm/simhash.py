@@ -13,6 +13,7 @@ left to find is links between different groups, and only the members outside a b
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 from math import comb
 
@@ -36,7 +37,7 @@ PARTITIONS = (2, 3, 4, 5)
 _CHUNK = 65_536
 
 
-def _shingles(words: list[bytes], width: int) -> list[bytes]:
+def shingles(words: list[bytes], width: int) -> list[bytes]:
     if len(words) <= width:
         return [b" ".join(words)] if words else []
     joined, ends, at = b" ".join(words), [], -1
@@ -51,7 +52,7 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
     """64 bits, each set if it is in over half the XXH64 values of the shingles, repeats included; no words: 0."""
     from xxhash import xxh64_intdigest
 
-    pieces = _shingles(text.lower().split(), width)
+    pieces = shingles(text.lower().split(), width)
     if not pieces:
         return 0
     counts = np.zeros(BITS, np.int64)
@@ -214,15 +215,16 @@ def near_duplicates(df: DataFrame, text: str = "text", id_: str = "doc_id", radi
     return rows.join(of_fp, "fp").select(F.col("id").alias(id_), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame, text: str = "text", id_: str = "doc_id", radius: int = RADIUS) -> DataFrame:
+def keep_one(df: DataFrame, text: str = "text", id_: str = "doc_id", near: Callable[[DataFrame, str, str], DataFrame] | None = None) -> DataFrame:
     """df with one row of each component: that of the smallest id; of rows with equal ids, that of the smallest text.
 
-    Rows without an id are told apart by a hash of their text, and yield to rows with one.
+    Rows without an id are told apart by a hash of their text, and yield to rows with one. near gives the components of rows
+    (near_duplicates, unless given).
     """
     beyond = F.lit(str(1 << 65)).cast("decimal(21,0)")
     key = F.coalesce(F.col(f"`{id_}`").cast("decimal(21,0)"), (F.xxhash64(F.col(f"`{text}`")) + beyond).cast("decimal(21,0)"))
     rows = df.withColumn("__key", key)
-    found = cut(near_duplicates(rows, text, "__key", radius).select("__key", "component_id"), "duplicates")
+    found = cut((near or near_duplicates)(rows, text, "__key").select("__key", "component_id"), "duplicates")
     gone = found.filter(F.col("__key") != F.col("component_id")).select("__key").distinct()
     repeated = found.groupBy("__key").count().filter("count > 1").select("__key")
     # merged at every size: what goes grows with the input, so it has no bound under which to broadcast it
