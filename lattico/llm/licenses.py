@@ -42,9 +42,6 @@ NAMES = {
 #: The phrases around a name.
 FRAMES = ("{}", "Licensed under {}", "Licensed under the {}", "Released under the {}", "This work is licensed under the {}", "Distributed under the terms of the {}", "SPDX-License-Identifier: {}")
 
-#: A line without any of these names no license: it holds at most a word like "mit" or "by" of one.
-_HINT = re.compile(r"licen[cs]|spdx|(?:released|distributed) under|\bcc[ -]?(?:by|0)|\bl?gpl\b|\bmpl\b|apache|creative commons|\bbsd\b")
-
 _TERM = re.compile(r"[a-z]+|\d+(?:\.\d+)*")
 
 
@@ -68,6 +65,8 @@ class Templates:
         # terms of names, one of which a line must hold to be near a template; frames alone say no license
         framing = {t for f in frames for t in terms(f.format(""))} | {"version", "license", "the", "general", "public", "new", "by"}
         self.telling = {t for ns in names.values() for n in ns for t in terms(n) if t not in framing and not t[0].isdigit()}
+        # skips a line only if it holds no telling term, so that best() would give it 0
+        self.filter = re.compile("|".join(sorted(self.telling)))
 
     def best(self, line: str) -> tuple[float, str | None]:
         """The best cosine and its license; ties go to the first identifier."""
@@ -85,9 +84,9 @@ class Templates:
     def scan(self, text: str) -> tuple[str | None, float, str | None, float]:
         """License, cosine, line (the first of the best), and the line's part of the text's words."""
         top: tuple[float, str | None, str | None] = (0.0, None, None)
-        if _HINT.search(text.lower()):
+        if self.filter.search(text.lower()):
             for line in text.split("\n"):
-                if _HINT.search(line.lower()):
+                if self.filter.search(line.lower()):
                     score, license_ = self.best(line)
                     if score > top[0] + 1e-12:
                         top = (score, license_, line.strip())

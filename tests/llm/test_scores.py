@@ -68,3 +68,9 @@ def test_equal_licence_files_go_by_path(spark):
     df = spark.createDataFrame([("d/NOTICE", "Licensed under CC BY 4.0"), ("d/LICENSE", "Released under the MIT License."), ("d/f", "x"), ("LICENSE", "MPL 2.0")], "path string, text string")
     by = {r["path"]: r["license"] for r in licenses.scan(df).filter(F.col("origin") == "inherited").collect()}
     assert by == {"d/f": "MIT"}
+
+
+def test_filter_loses_no_line():
+    t = licenses.Templates()
+    for line, want in (("GNU General Public, version 3", "GPL-3.0"), ("under the terms of the MIT", "MIT"), ("GNU General Public v3", "GPL-3.0"), ("Mozilla Public, v. 2.0", "MPL-2.0")):
+        assert t.best(line)[0] >= licenses.THRESHOLD and t.scan("first\n" + line)[0] == want
