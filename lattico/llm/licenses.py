@@ -42,6 +42,34 @@ NAMES = {
 #: The phrases around a name.
 FRAMES = ("{}", "Licensed under {}", "Licensed under the {}", "Released under the {}", "This work is licensed under the {}", "Distributed under the terms of the {}", "SPDX-License-Identifier: {}")
 
+#: Passages of licence files and headers that don't name their license. A file that holds one has that license.
+PASSAGES = {
+    "MIT": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+    ),
+    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",),
+    "BSD-2-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
+    ),
+}
+#: The clause that makes three of BSD's two.
+ENDORSE = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+#: Terms of passages that other texts hardly hold, one of which each passage has.
+RARE = ("hereby", "portions", "redistribution", "redistributions", "unencumbered", "binary", "endorse")
+#: Least cosine to a passage, and lines that a passage or name may be wrapped over.
+PASSAGE, LINES = 0.75, 12
+#: Terms one of which a window of a longer line must hold beside a telling one.
+NAMING = frozenset("license licensed licence spdx released distributed terms public gpl lgpl mpl apache bsd cc unlicense".split())
+#: Licenses that their version tells apart; terms after a name in which the version stands.
+VERSIONED = {"GPL-2.0": ("GPL", "2"), "GPL-3.0": ("GPL", "3"), "LGPL-3.0": ("LGPL", "3")}
+VERSION_WITHIN = 40
+
 _TERM = re.compile(r"[a-z]+|\d+(?:\.\d+)*")
 
 
@@ -81,20 +109,93 @@ class Templates:
         i = max(sums, key=lambda i: (round(sums[i], 12), -i))
         return sums[i] / norm, self.ids[i]
 
+    def window(self, line: list[str], after: list[str]) -> tuple[float, str | None]:
+        """The best cosine of a stretch of a line, for surrounding words dilute that of the whole; after: terms of it and the lines that follow.
+
+        A stretch without a version takes the one stated next: another license of its family, or none if that has no such license.
+        """
+        top: tuple[float, str | None, int] = (0.0, None, 0)
+        for i in range(len(line)):
+            for j in range(i + 2, min(len(line), i + LONGEST) + 1):
+                part = line[i:j]
+                if NAMING.intersection(part) and part[0] in self.idf and part[-1] in self.idf:
+                    score, license_ = self.best(" ".join(part))
+                    if score > top[0] + 1e-12:
+                        top = (score, license_, j)
+        score, license_, end = top
+        if license_ in VERSIONED and score >= THRESHOLD:
+            family = VERSIONED[license_][0]
+            near = after[max(0, end - 3) : end + VERSION_WITHIN]
+            stated = next((b.removesuffix(".0") for a, b in zip(near, near[1:], strict=False) if a in ("version", "v") and b[0].isdigit()), None)
+            if stated is not None:
+                license_ = next((k for k, v in VERSIONED.items() if v == (family, stated)), None)
+        return (score, license_) if license_ else (0.0, None)
+
     def scan(self, text: str) -> tuple[str | None, float, str | None, float]:
         """License, cosine, line (the first of the best), and the line's part of the text's words."""
         top: tuple[float, str | None, str | None] = (0.0, None, None)
         if self.filter.search(text.lower()):
-            for line in text.split("\n"):
+            lines = text.split("\n")
+            for at, line in enumerate(lines):
                 if self.filter.search(line.lower()):
-                    score, license_ = self.best(line)
+                    own = terms(line)
+                    naming = NAMING.intersection(own)
+                    if not naming:
+                        score, license_ = self.best(line)
+                    else:
+                        after = own + terms(" ".join(lines[at + 1 : at + LINES]))
+                        joined = own if len(own) > LONGEST else after[: len(own) + LONGEST // 2]
+                        score, license_ = max((self.window(x, after) for x in (own, joined)), key=lambda x: x[0]) if self.telling.intersection(own) else (0.0, None)
                     if score > top[0] + 1e-12:
                         top = (score, license_, line.strip())
+        if top[0] < THRESHOLD and _RARE.search(text.lower()):
+            top = max(top, _PASSAGES.find(text), key=lambda x: x[0])
         if top[0] < THRESHOLD:
             return None, top[0], None, 0.0
         return top[1], top[0], top[2], len(top[2].split()) / max(1, len(text.split()))
 
 
+class Passages:
+    """Unit TF-IDF vectors of passages, compared with the stretches of a text that may hold them, whatever its lines."""
+
+    def __init__(self):
+        found = [(k, terms(p)) for k, ps in PASSAGES.items() for p in ps] + [("", terms(ENDORSE))]
+        df = Counter(t for _, ts in found for t in set(ts))
+        self.idf = {t: math.log((1 + len(found)) / (1 + n)) + 1 for t, n in df.items()}
+        self.unknown = math.log(1 + len(found)) + 1
+        self.found = [(k, len(ts), self.unit(Counter(ts)), [(t, ts.index(t)) for t in RARE if t in ts]) for k, ts in found]
+
+    def unit(self, c: Counter) -> dict[str, float]:
+        v = {t: n * self.idf.get(t, self.unknown) for t, n in c.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    def find(self, text: str) -> tuple[float, str | None, str | None]:
+        """The best cosine of PASSAGE or more, its license and the stretch; a rare term's place in a passage says where that may begin."""
+        ts = list(_TERM.finditer(text.lower()))
+        where: dict[str, list[int]] = {}
+        for i, m in enumerate(ts):
+            if m[0] in RARE:
+                where.setdefault(m[0], []).append(i)
+        top: tuple[float, str | None, str | None] = (0.0, None, None)
+        endorses = False
+        for license_, n, v, rare in self.found:
+            for start in sorted({max(0, i - at + shift) for t, at in rare for i in where.get(t, ()) for shift in (-2, 0, 2)}):
+                part = ts[start : start + n]
+                score = sum(x * v.get(t, 0.0) for t, x in self.unit(Counter(m[0] for m in part)).items())
+                if score >= PASSAGE and not license_:
+                    endorses = True
+                elif score >= PASSAGE and score > top[0] + 1e-12:
+                    top = (score, license_, " ".join(text[part[0].start() : part[-1].end()].split()))
+        return (top[0], "BSD-3-Clause", top[2]) if endorses and top[1] == "BSD-2-Clause" else top
+
+
+_RARE = re.compile("|".join(RARE))
+_PASSAGES = Passages()
+#: Terms of the longest template.
+LONGEST = max(len(terms(f.format(n))) for f in FRAMES for ns in NAMES.values() for n in ns)
+
+
 def _directory(path: Column) -> Column:
     """The directory of a path, "" at the top; doubled, leading and dot steps don't count."""
     return F.array_join(F.slice(_steps(path), F.lit(1), F.greatest(F.size(_steps(path)) - 1, F.lit(0))), "/")

@@ -74,3 +74,18 @@ def test_filter_loses_no_line():
     t = licenses.Templates()
     for line, want in (("GNU General Public, version 3", "GPL-3.0"), ("under the terms of the MIT", "MIT"), ("GNU General Public v3", "GPL-3.0"), ("Mozilla Public, v. 2.0", "MPL-2.0")):
         assert t.best(line)[0] >= licenses.THRESHOLD and t.scan("first\n" + line)[0] == want
+
+
+def test_surrounded_wrapped_and_whole_licenses():
+    t = licenses.Templates()
+    isc, mit, bsd, unlicense = (licenses.PASSAGES[k] for k in ("ISC", "MIT", "BSD-2-Clause", "Unlicense"))
+    wrap = lambda x: "Copyright (c) 2019 Jane Doe\n\n" + "\n".join(" ".join(x.split()[i : i + 9]) for i in range(0, len(x.split()), 9))
+    for text, want in (
+        ("Copyright (c) 2019 Jane Doe. Licensed under the MIT License.", "MIT"), ("All text by Jane Doe, 2020, released under the MIT License, see the file LICENSE for details.", "MIT"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this", "MPL-2.0"),
+        ("it under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or", "GPL-3.0"),
+        ("it under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version 2 of the License, or", "GPL-2.0"),
+        ("GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991", "GPL-2.0"), ("GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007", "GPL-3.0"), (wrap(mit[0]), "MIT"), (wrap(isc[0]), "ISC"), (wrap(" ".join(bsd)), "BSD-2-Clause"),
+        (wrap(" ".join(bsd) + " " + licenses.ENDORSE), "BSD-3-Clause"), (wrap(" ".join(unlicense)), "Unlicense"), ("Er kam mit dem Zug und ging mit ihr.", None), ("the public was granted a copy of the terms by the general", None),
+    ):
+        assert t.scan("first\n" + text + "\nlast")[0] == want, (text, t.scan(text))
