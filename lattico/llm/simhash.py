@@ -223,7 +223,7 @@ def keep_one(df: DataFrame, text: str = "text", id_: str = "doc_id", near: Calla
     """
     beyond = F.lit(str(1 << 65)).cast("decimal(21,0)")
     key = F.coalesce(F.col(f"`{id_}`").cast("decimal(21,0)"), (F.xxhash64(F.col(f"`{text}`")) + beyond).cast("decimal(21,0)"))
-    rows = df.withColumn("__key", key)
+    rows = df.withColumn("__key", F.struct(key.alias("id"), F.xxhash64(f"`{text}`").alias("text")))  # an id may have several texts
     found = cut((near or near_duplicates)(rows, text, "__key").select("__key", "component_id"), "duplicates")
     gone = found.filter(F.col("__key") != F.col("component_id")).select("__key").distinct()
     repeated = found.groupBy("__key").count().filter("count > 1").select("__key")

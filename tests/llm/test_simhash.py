@@ -88,3 +88,9 @@ def test_documents(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, fp int")
     assert simhash.near_duplicates(empty).collect() == [] and simhash.keep_one(empty).collect() == []
+
+
+def test_one_id_with_two_texts(spark):
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = spark.createDataFrame([(1, a), (5, a), (5, b), (7, b)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in simhash.keep_one(rows).collect()) == [(1, a), (5, b)]
