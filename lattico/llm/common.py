@@ -20,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local master gets one of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="lattico-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -50,6 +52,32 @@ def replace_columns(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select([F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+class Sheltered:
+    """df with its columns renamed out of the way (df), so that an operator's own names can't clash with any of them.
+
+    of() is the inner name of a column (compared as Spark does, without case); back() restores the outer names.
+    """
+
+    PREFIX = "__user"
+
+    def __init__(self, df: DataFrame):
+        self.names = df.columns
+        self.inner = [f"{self.PREFIX}{i}" for i in range(len(self.names))]
+        self.df = df.toDF(*self.inner)
+
+    def of(self, name: str) -> str:
+        exact = [i for i, n in enumerate(self.names) if n == name] or [i for i, n in enumerate(self.names) if n.lower() == name.lower()]
+        if len(exact) != 1:
+            raise ValueError(f"{len(exact)} columns are named {name!r} among {self.names}")
+        return self.inner[exact[0]]
+
+    def back(self, df: DataFrame, *added: str) -> DataFrame:
+        """df's sheltered columns under their own names, and the added ones, which replace columns of these names."""
+        new = {a.lower() for a in added}
+        kept = [F.col(i).alias(n) for i, n in zip(self.inner, self.names, strict=True) if n.lower() not in new and i in df.columns]
+        return df.select(*kept, *added)
+
+
 #: Rows that Spark hands to a Python worker at once, and bytes of text that a worker has in hand at once. Texts may be long, and
 #: the default of 10,000 rows would hold tens of MB several times over, in the executor and in its workers.
 ROWS_AT_ONCE, BYTES_AT_ONCE = 1000, 2 << 20

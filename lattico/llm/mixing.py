@@ -6,7 +6,7 @@ the vector of quotas among the output shards: at each node the left half's share
 multivariate hypergeometric law (source by source, each by its conditional hypergeometric law), and the rest goes right. Each
 shard takes its number of blocks from the source's permuted sequence, a range that no other shard has, and orders their
 documents by a hash of its own. Only tables of sources and of blocks (sources x CELLS rows) are small; documents are read,
-joined with their block, and never sorted or gathered by source.
+joined with their block, and never sorted or gathered by source. What the mix takes is read off the shards' draws.
 """
 
 from __future__ import annotations
@@ -16,10 +16,12 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, n_words, replace_columns, table
+from .common import WORD, Sheltered, cut, n_words, table
 
 #: Blocks that each source's documents are dealt into.
 CELLS = 256
+#: Parts of the one block that a source's target ends in.
+SUBCELLS = 65_536
 #: Shards of the output unless given.
 SHARDS = 16
 #: Weights of the sources in order of their names, repeating, and how often a source may be repeated.
@@ -116,20 +118,55 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
     return node.select(F.col("lo").alias("shard"), F.explode("qs").alias("x")).select("shard", "x.skey", F.col("x.q").alias("n"))
 
 
-def draw(docs: DataFrame, text: str = "text", id_: str = "doc_id", source: str = "source", shards: int = SHARDS, whole: bool = False, seed: int = SEED) -> DataFrame:
-    """docs with size, source_size, target and draws: array of (pass, shard, words) of each time the mix takes the document.
+def place(instances: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
+    """instances (skey, cell, pass, ...) with the shard that draws each, by the tree.
+
+    A source's blocks are permuted, and each shard takes as many of them as split_quotas gives it: shard 0 the first ones, and so
+    on. A block that no shard's quota reaches isn't in the result.
+    """
+    quotas = instances.groupBy("skey").agg(F.count("*").alias("quota"))
+    by_shard = Window.partitionBy("skey").orderBy("shard")
+    ranges = split_quotas(quotas, shards, seed).withColumn("end", F.sum("n").over(by_shard)).withColumn("start", F.col("end") - F.col("n"))
+    permuted = Window.partitionBy("skey").orderBy(F.xxhash64(F.lit(seed + 2), "skey", "cell", "pass"), "cell", "pass")
+    placed = instances.withColumn("at", F.row_number().over(permuted) - 1)
+    return placed.join(ranges.select("skey", "shard", "start", "end"), "skey").filter("at >= start and at < end").drop("at", "start", "end")
+
+
+def _last_documents(rows: DataFrame, ends: DataFrame, text: str) -> DataFrame:
+    """(skey, cell, edge, shares): how far the block that a target ends in is taken, from ends (skey, cell, part: its words below the target).
 
-    words is the document's size, but for the last document that a source's target reaches into: that is taken up to the target's
-    word, or with whole=True entirely if at least half of it lies below. Null texts have size 0 and are drawn as any other. Null
-    sources are one source. Documents are dealt by a hash of id and text, so that reruns agree and equal rows share a block;
-    of equal rows that a target ends in, some are taken and some aren't. A document occurs once in a pass, so never over three
-    times. An empty table gives an empty result. Columns of docs with the names added here are replaced.
+    The block's documents lie in SUBCELLS parts by further bits of their hash: the parts below `edge` are taken whole, and shares
+    (h, share) says how many words of each document of that part. Only that part, at scale a 2 ** -24th of a source, is ordered
+    document by document; equal rows are one entry, and each gets the same share.
     """
-    docs = replace_columns(docs, ["size", "source_size", "target", "draws", "skey", "cell", "h"])
-    skey = F.coalesce(F.concat(F.lit("="), F.col(f"`{source}`").cast("string")), F.lit("~"))
-    h = F.xxhash64(F.lit(seed), F.col(f"`{id_}`"), F.col(f"`{text}`"))
-    rows = docs.withColumns({"size": n_words(F.col(f"`{text}`")), "skey": skey, "h": h, "cell": F.pmod(h, F.lit(CELLS)).cast("int")})
-    cells = cut(rows.groupBy("skey", "cell").agg(F.sum("size").alias("words"), F.count("*").alias("docs")), "cells")
+    near = rows.join(ends, ["skey", "cell"]).withColumn("size", n_words(F.col(text)))
+    mass = cut(near.groupBy("skey", "cell", "sub", "h", "size").agg(F.count("*").alias("c"), F.first("part").alias("part")), "ends")
+    subs = mass.groupBy("skey", "cell", "sub").agg(F.sum(F.col("size") * F.col("c")).alias("words"), F.first("part").alias("part"))
+    below = F.sum("words").over(Window.partitionBy("skey").orderBy("sub")) - F.col("words")
+    edges = subs.withColumn("below", below).filter("below < part and part <= below + words").select("skey", "cell", F.col("sub").alias("edge"), (F.col("part") - F.col("below")).alias("left"))
+    inner = mass.join(edges, ["skey", "cell"]).filter("sub = edge").withColumn("words", F.col("size") * F.col("c"))
+    ahead = F.sum("words").over(Window.partitionBy("skey").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")
+    share = F.floor(F.greatest(F.lit(0), F.least("words", F.col("left") - ahead)) / F.col("c")).cast("long")
+    return inner.withColumn("share", share).groupBy("skey", "cell", "edge").agg(F.collect_list(F.struct("h", "share")).alias("shares"))
+
+
+def draw(docs: DataFrame, text: str = "text", id_: str = "doc_id", source: str = "source", shards: int = SHARDS, whole: bool = False, seed: int = SEED) -> DataFrame:
+    """docs with size, source_size, target and draws: array of (pass, shard, position, words) of each time the mix takes the document.
+
+    position is its place in the shard's local order, a hash. words is the document's size, but for the last document that a
+    source's target reaches into: that is taken up to the target's word, or with whole=True entirely if at least half of it lies
+    below. Null texts have size 0 and are drawn as any other. Null sources are one source. Documents are dealt by a hash of id and
+    text, so that reruns agree and equal rows share a block; equal rows that a target ends in get equal shares of what is left. A
+    document occurs once in a pass, so never over three times. An empty table gives an empty result. Columns of docs with the
+    names added here are replaced; others may have any name. The sources themselves are a vector in one row, and are ordered in
+    one task: some 100,000 of them are no burden.
+    """
+    user = Sheltered(docs)
+    id_, text, source = (user.of(c) for c in (id_, text, source))
+    skey = F.coalesce(F.concat(F.lit("="), F.col(source).cast("string")), F.lit("~"))
+    h = F.xxhash64(F.lit(seed), F.col(id_), F.col(text))
+    rows = user.df.withColumns({"skey": skey, "h": h}).withColumns({"cell": F.pmod("h", F.lit(CELLS)).cast("int"), "sub": F.pmod(F.shiftright("h", 8), F.lit(SUBCELLS)).cast("int")})
+    cells = cut(rows.groupBy("skey", "cell").agg(F.sum(n_words(F.col(text))).alias("words"), F.count("*").alias("docs")), "cells")
     sizes = cells.groupBy("skey").agg(F.sum("words").alias("source_size"), F.count("*").alias("cells"))
     goals = cut(targets(sizes.withColumn("source", F.when(F.col("skey") != "~", F.substring("skey", 2, 1 << 30)))), "targets")
     goals = goals.withColumn("take", F.round("target").cast("long")).withColumn("full", F.when(F.col("source_size") > 0, F.floor(F.col("take") / F.col("source_size"))).otherwise(1).cast("int"))
@@ -137,48 +174,43 @@ def draw(docs: DataFrame, text: str = "text", id_: str = "doc_id", source: str =
     # the blocks of a source in permuted order; the last pass draws those that begin below the rest of the target
     order = Window.partitionBy("skey").orderBy(F.xxhash64(F.lit(seed + 1), "skey", "cell"), "cell")
     below = F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    laid = cells.join(goals.select("skey", "full", "rest"), "skey").withColumn("below", below)
-    drawn = laid.withColumn("part", F.col("rest") - F.col("below")).withColumn("passes", F.col("full") + (F.col("part") > 0).cast("int"))
+    laid = cells.join(goals.select("skey", "full", "rest"), "skey").withColumn("part", F.col("rest") - below)
+    drawn = laid.withColumn("passes", F.col("full") + (F.col("part") > 0).cast("int"))
     instances = drawn.filter("passes > 0").select("skey", "cell", "words", "full", "part", F.explode(F.sequence(F.lit(1), F.col("passes"))).alias("pass"))
-    instances = instances.withColumn("upto", F.when(F.col("pass") > F.col("full"), F.least("part", "words")).otherwise(F.col("words")))
-    quotas = instances.groupBy("skey").agg(F.count("*").alias("quota"))
-    by_shard = Window.partitionBy("skey").orderBy("shard")
-    ranges = split_quotas(quotas, shards, seed).withColumn("end", F.sum("n").over(by_shard)).withColumn("start", F.col("end") - F.col("n"))
-    placed = instances.withColumn("at", F.row_number().over(Window.partitionBy("skey").orderBy(F.xxhash64(F.lit(seed + 2), "skey", "cell", "pass"), "cell", "pass")) - 1)
-    placed = placed.join(ranges.select("skey", "shard", "start", "end"), "skey").filter("at >= start and at < end")
-    by_cell = placed.groupBy("skey", "cell").agg(
-        F.sort_array(F.collect_list(F.struct("pass", "shard", "upto"))).alias("drawn"), F.min(F.when(F.col("upto") < F.col("words"), F.col("upto"))).alias("cut"))
-    plan = cut(cells.select("skey", "cell").join(by_cell, ["skey", "cell"], "left").join(goals.select("skey", "source_size", "target"), "skey"), "plan")
-    found = rows.join(plan, ["skey", "cell"])
-    # only the block that a target ends in looks at its documents one by one
-    within = Window.partitionBy("skey", "cell").orderBy("h", "size")
-    ahead = F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ended = found.filter("cut is not null").withColumn("ahead", ahead)
-    share = F.greatest(F.lit(0), F.least(F.col("size"), F.col("cut") - F.col("ahead")))
+    instances = instances.select("skey", "cell", "pass", ((F.col("pass") > F.col("full")) & (F.col("part") < F.col("words"))).alias("partial"))
+    by_cell = place(instances, shards, seed).groupBy("skey", "cell").agg(F.sort_array(F.collect_list(F.struct("pass", "shard", "partial"))).alias("drawn"))
+    ends = _last_documents(rows, cut(drawn.filter("part > 0 and part < words").select("skey", "cell", "part"), "ends"), text)
+    plan = cells.select("skey", "cell").join(by_cell, ["skey", "cell"], "left").join(ends, ["skey", "cell"], "left").join(goals.select("skey", "source_size", "target"), "skey")
+    found = rows.join(cut(plan, "plan"), ["skey", "cell"]).withColumn("size", n_words(F.col(text)))
+    own = F.aggregate("shares", F.lit(0).cast("long"), lambda a, x: F.when(x["h"] == F.col("h"), x["share"]).otherwise(a))
+    share = F.when(F.col("sub") < F.col("edge"), F.col("size")).when(F.col("sub") == F.col("edge"), own).otherwise(F.lit(0).cast("long"))
     if whole:
-        share = F.when(2 * share >= F.col("size"), F.col("size")).otherwise(0)
-    ended = ended.withColumn("share", share).drop("ahead").withColumn("draws", F.expr(
-        "filter(transform(drawn, d -> struct(d.pass as pass, d.shard as shard, if(d.upto = cut, share, size) as words)), d -> d.words > 0)")).drop("share")
-    plain = found.filter("cut is null").withColumn("draws", F.expr("transform(coalesce(drawn, array()), d -> struct(d.pass as pass, d.shard as shard, size as words))"))
-    return plain.unionByName(ended).select(*[F.col(f"`{c}`") for c in docs.columns], "size", "source_size", "target", "draws")
+        share = F.when(2 * share >= F.col("size"), F.col("size")).otherwise(F.lit(0).cast("long"))
+    found = found.withColumn("share", F.when(F.col("edge").isNull(), F.col("size")).otherwise(share))
+    draws = F.expr(f"""transform(filter(coalesce(drawn, array()), d -> not d.partial or share > 0),
+        d -> struct(d.pass as pass, d.shard as shard, xxhash64({seed + 3}L, h, d.pass) as position, if(d.partial, share, size) as words))""")
+    return user.back(found.withColumn("draws", draws), "size", "source_size", "target", "draws")
 
 
 def mix(docs: DataFrame, text: str = "text", id_: str = "doc_id", source: str = "source", shards: int = SHARDS, whole: bool = True, seed: int = SEED) -> DataFrame:
     """The mixture: a row of docs for each draw, with shard and position, shuffled within each shard.
 
     Rows are dealt to tasks by shard and part of a shard, and ordered by position, a hash of document and pass. Where whole is
-    False, the text of a document that a target ends in is cut after its last word. Other cases as in draw.
+    False, the text of a document that a target ends in is cut after its last word. Columns of docs named shard or position are
+    replaced. Other cases as in draw.
     """
-    drawn = draw(docs, text, id_, source, shards, whole, seed)
-    kept = [c for c in drawn.columns if c not in ("size", "source_size", "target", "draws") and c.lower() not in ("shard", "position")]
-    rows = drawn.select(*[F.col(f"`{c}`") for c in kept], "size", F.explode("draws").alias("d"))
+    user = Sheltered(docs)
+    text, id_, source = (user.of(c) for c in (text, id_, source))
+    rows = draw(user.df, text, id_, source, shards, whole, seed).withColumn("d", F.explode("draws"))
     if not whole:
-        rows = rows.withColumn(text, F.when(F.col("d.words") < F.col("size"), F.array_join(F.slice(F.regexp_extract_all(F.col(f"`{text}`"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("d.words").cast("int")), " ")).otherwise(F.col(f"`{text}`")))
-    position = F.xxhash64(F.lit(seed + 3), F.col(f"`{id_}`"), F.col(f"`{text}`"), F.col("d.pass"))
-    rows = rows.select(*[F.col(f"`{c}`") for c in kept], F.col("d.shard").alias("shard"), position.alias("position"))
-    return rows.repartitionByRange("shard", "position").sortWithinPartitions("shard", "position")
+        first = F.slice(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)), F.lit(1), F.col("d.words").cast("int"))
+        rows = rows.withColumn(text, F.when(F.col("d.words") < F.col("size"), F.array_join(first, " ")).otherwise(F.col(text)))
+    rows = rows.select(*user.inner, "d.shard", "d.position").repartitionByRange("shard", "position").sortWithinPartitions("shard", "position")
+    return user.back(rows, "shard", "position")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix, document by document: taken is the sum of words, over the shards (by the tree) that drew the document, at positions of their own."""
     drawn = draw(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return drawn.select("doc_id", "size", "source_size", "target", F.expr("aggregate(draws, 0L, (a, d) -> a + d.words)").alias("taken"))
+    taken = F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"])
+    return drawn.select("doc_id", "size", "source_size", "target", taken.alias("taken"), F.col("draws")["shard"].alias("shards"), F.col("draws")["position"].alias("positions"), F.col("draws")["words"].alias("words"))

@@ -77,6 +77,41 @@ def test_mix_rows(spark):
     assert abs(words - total) <= 20
 
 
+def test_draws_come_from_the_tree(spark, monkeypatch):
+    """Block by block: each shard draws as many blocks of each source as the tree gives it, and no two shards the same; another tree gives other draws."""
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").select("doc_id", "text", "source")
+    seen = []
+    monkeypatch.setattr(mixing, "split_quotas", lambda q, n, seed, real=mixing.split_quotas: seen.append(real(q, n, seed).cache()) or seen[-1])
+    cell = F.pmod(F.xxhash64(F.lit(mixing.SEED), "doc_id", "text"), F.lit(mixing.CELLS))
+    blocks = mixing.draw(docs).select(F.concat(F.lit("="), "source").alias("skey"), cell.alias("cell"), F.explode("draws").alias("d")).select("skey", "cell", "d.pass", "d.shard").distinct()
+    got = {(r["skey"], r["shard"]): r["count"] for r in blocks.groupBy("skey", "shard").count().collect()}
+    want = {(r["skey"], r["shard"]): r["n"] for r in seen[0].collect()}
+    assert blocks.groupBy("skey", "cell", "pass").count().filter("count > 1").count() == 0
+    # the block that a target ends in is drawn, but the target may end before its first document of a shard
+    assert set(got) <= set(want) and all(0 <= n - got.get(k, 0) <= 1 for k, n in want.items()) and sum(want.values()) - sum(got.values()) <= docs.select("source").distinct().count()
+    taken = lambda: {r["doc_id"]: (sorted(r["shards"]), r["taken"]) for r in mixing.op1_mixing(spark, f"{DATA}/sf0.001").collect()}
+    by_tree = taken()
+    assert all(len(s) == 0 or t >= 0 for s, t in by_tree.values()) and len({x for s, _ in by_tree.values() for x in s}) == mixing.SHARDS
+    monkeypatch.setattr(mixing, "split_quotas", lambda q, n, seed: q.select(F.lit(0).alias("shard"), "skey", F.floor(F.col("quota") / 2).alias("n")))
+    halved = taken()
+    assert {x for s, _ in halved.values() for x in s} == {0} and sum(t for _, t in halved.values()) < 0.7 * sum(t for _, t in by_tree.values())
+
+
+def test_shards_are_shuffled(spark):
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
+    rows = [(r["shard"], r["position"], r["doc_id"]) for r in mixing.mix(docs).collect()]
+    assert rows == sorted(rows, key=lambda r: r[:2]) and [r[2] for r in rows] != sorted(r[2] for r in rows)
+
+
+def test_equal_rows_share_what_is_left(spark):
+    rows = [(1, "a b c d e f g h i j", "s")] * 40 + [(2, "x " * 1000, "t")]
+    got = mixing.draw(spark.createDataFrame(rows, "doc_id long, text string, source string"), whole=False).withColumn("taken", F.expr("aggregate(draws, 0L, (a, d) -> a + d.words)")).collect()
+    by = defaultdict(set)
+    for r in got:
+        by[r["source"]].add((r["taken"], r["target"]))
+    assert len(by["s"]) == 1 and all(abs(40 * t - target) <= 40 for t, target in by["s"])
+
+
 def test_odd_tables(spark):
     t = "doc_id long, text string, source string"
     assert mixing.draw(spark.createDataFrame([], t)).collect() == [] and mixing.mix(spark.createDataFrame([], t)).collect() == []
