@@ -1,15 +1,20 @@
 """Quality rules: minimum-covariance-determinant estimates per language and source, and rejection by Mahalanobis distance.
 
-Each text becomes a vector of smoothed, variance-stabilised statistics. Each (language, source) group gets a robust centre and
-covariance: starting from medians, concentration steps refit mean and covariance on the H nearest share of the group until the
-last step reweights by the chi-square cutoff. Groups too small for a covariance use their language's estimate, or that of all.
+Each text becomes a vector of variance-stabilised statistics: its ratios under a square root, less the median of its language and
+source, in units of what chance alone makes of as many words. Each language and source gets a robust centre and covariance: from
+several starts, concentration steps refit mean and covariance to the H nearest share of its rows until the determinant falls no
+further; the start of the least determinant wins, and is reweighted by the rows within a chi-square quantile. Texts beyond a
+higher quantile are rejected. Nothing in this is set by labels.
+
 One pass over the narrow statistics table makes a step for all groups: distances fall into logarithmic bins, and sums and cross
-products are added up by group and bin, so that no group is ever gathered in one task and nothing is sampled.
+products are added up by group, start and bin, so that no group is ever gathered in one task and nothing is sampled. The bin that
+H falls into counts in part, so that a step fits H of the rows whatever the bins.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from operator import eq
 
 import numpy as np
@@ -18,38 +23,42 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts, replace_columns, table
+from .common import Sheltered, cut, map_texts, table
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 #: Window of the repeated-words rule, in words.
 WINDOW = 5
-#: Share of a group that a concentration step fits.
-H = 0.75
-#: Concentration steps.
-STEPS = 4
-#: A group needs this many rows for an estimate of its own.
-LEAST_ROWS = 200
-#: Statistics are ratios smoothed by this many words at the usual ratio, so that a short text says little.
-PRIOR_WORDS = 25.0
-#: Name, usual value before smoothing, least standard deviation. A group whose texts all have the same value would otherwise reject any other.
+#: Share of a group that a concentration step fits, and steps at most (a group whose determinant stops falling stops before).
+H, STEPS = 0.75, 12
+#: Ratios are smoothed by this many words; no text counts as more than MOST_WORDS, for real rates differ between texts beyond chance.
+PRIOR_WORDS, MOST_WORDS = 25.0, 600.0
+#: Name, least variance, and standard deviation that chance gives the statistic under a square root for one word. Statistics of rare
+#: events have a least variance of one counted event, as a group whose texts have none would else reject any that has one.
 FEATURES = (
-    ("log_word_length", 1.6, 0.10),
-    ("symbols", 0.0, 0.07),
-    ("capitals", 0.0, 0.07),
-    ("marks", 0.20, 0.07),
-    ("dup_lines", 0.0, 0.15),
-    ("repeats", 0.0, 0.12),
-    ("doubled", 0.0, 0.07),
+    ("log_word_length", 0.02, 0.5),
+    ("symbols", 1.0, 0.5),
+    ("capitals", 1.0, 0.5),
+    ("marks", 0.05, 0.5),
+    ("dup_lines", 1.0, 0.5),
+    ("repeats", 1.0, 0.5 * 5**0.5),  # a repeated window is five words
+    ("doubled", 0.25, 0.5),
 )
-#: Squared distance beyond which a text is rejected. The 0.975 quantile of chi-square with seven degrees serves to reweight; real
-#: texts have longer tails than a normal law, and this cutoff leaves them in.
-CUTOFF = 22.0
-REWEIGHT = 16.013
-#: What the trimmed covariance is multiplied by so that it estimates the whole one: H over the chi-square(9) law at chi-square(7)'s H quantile.
+#: A group's estimate is shrunk to chance's (and its medians to its language's) with the weight of this many rows. There is no size
+#: at which groups change over to another estimate: one of a single row is nearly all prior, one of thousands nearly none.
+PRIOR_ROWS = 7.0
+#: Quantiles of the chi-square law of seven degrees of freedom: 0.9999 (texts beyond it are rejected) and 0.975 (rows that reweight).
+CUTOFF, REWEIGHT = 29.878, 16.013
+#: What the covariance of the H nearest share is multiplied by so that it estimates the whole one: H over the chi-square(9) law at chi-square(7)'s H quantile.
 CONSISTENCY = 0.75 / 0.5661
-
-_BINS, _PER_E = 600, 16
+#: Starts: chance's covariance, that of the rows' hyperbolic tangents, and that of their spatial signs.
+STARTS = 3
+
+P = len(FEATURES)
+_PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
+_X = [f"x{i}" for i in range(P)]
+#: Bins of squared distances (to an e-fold, and in all), and the width of the bins that medians are taken from.
+_PER_E, _BINS, _WIDTH = 16, 700, 0.002
 _MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 _NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capital_words", "n_marks", "n_doubled")
 
@@ -76,95 +85,146 @@ def text_statistics(text: bytes) -> tuple[int, ...]:
     )
 
 
-def with_statistics(df: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """keep's columns of df (all but those of these names, unless given) with the counts of _NAMES, as long."""
+def with_statistics(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """keep's columns of df with the counts of _NAMES, as long."""
 
     def fn(texts: list[bytes]) -> dict[str, pa.Array]:
         rows = [text_statistics(t) for t in texts]
         return {k: pa.array([r[i] for r in rows], pa.int64()) for i, k in enumerate(_NAMES)}
 
-    keep = replace_columns(df, _NAMES).columns if keep is None else keep
     return map_texts(df, text, fn, ", ".join(f"{k} long" for k in _NAMES), keep)
 
 
-def _vector() -> list[Column]:
-    """The statistics as Columns: smoothed ratios under a square root, which steadies the variance of a count."""
+def _raw() -> list[Column]:
+    """The statistics before centring: ratios under a square root, which steadies the variance of a count."""
     n, k = F.col("n_words").cast("double"), F.lit(PRIOR_WORDS)
-    usual = {name: x for name, x, _ in FEATURES}
-    ratio = lambda count, name: F.sqrt((F.col(count) + k * usual[name]) / (n + k))
+    ratio = lambda count: F.sqrt(F.col(count) / (n + k))
     return [
-        (n * F.log(F.greatest(F.col("word_chars") / F.greatest(n, F.lit(1.0)), F.lit(0.5))) + k * usual["log_word_length"]) / (n + k),
-        ratio("n_symbols", "symbols"),
-        ratio("n_capital_words", "capitals"),
-        ratio("n_marks", "marks"),
-        F.sqrt(F.col("n_dup_lines") / (F.col("n_lines") + 8.0)),
-        ratio("n_repeat_words", "repeats"),
-        ratio("n_doubled", "doubled"),
-    ]
+        F.log(F.greatest(F.col("word_chars") / F.greatest(n, F.lit(1.0)), F.lit(0.5))), ratio("n_symbols"), ratio("n_capital_words"), ratio("n_marks"),
+        F.sqrt(F.col("n_dup_lines") / (F.col("n_lines") + 8.0)), ratio("n_repeat_words"), ratio("n_doubled"),
+    ]
+
+
+def _vector() -> list[Column]:
+    """The statistics less the group's medians (array), in units of what chance makes of a text of this many words (lines, for repeated lines)."""
+    words, lines = F.col("n_words") + F.lit(PRIOR_WORDS), F.col("n_lines") + F.lit(8.0)
+    out = []
+    for i, (raw, (name, _, sd)) in enumerate(zip(_raw(), FEATURES, strict=True)):
+        n = lines if name == "dup_lines" else words
+        out.append((raw - F.col("medians")[i]) * F.sqrt(n * MOST_WORDS / (n + MOST_WORDS)) / F.lit(sd))
+    return out
 
 
 def _distance() -> Column:
-    """Squared Mahalanobis distance of x1.. from a group's centre (array) under its precision (array, row by row)."""
-    p = len(FEATURES)
-    d = [F.col(f"x{i}") - F.col("centre")[i] for i in range(p)]
+    """Squared Mahalanobis distance of x0.. from a centre (array) under a precision (array, row by row)."""
+    d = [F.col(x) - F.col("centre")[i] for i, x in enumerate(_X)]
     total = F.lit(0.0)
-    for i in range(p):
-        for j in range(i, p):
-            total = total + d[i] * d[j] * F.col("precision")[i * p + j] * (1.0 if i == j else 2.0)
+    for i, j in _PAIRS:
+        total = total + d[i] * d[j] * F.col("precision")[i * P + j] * (1.0 if i == j else 2.0)
     return total
 
 
-def _precision(rows: pd.DataFrame) -> pd.DataFrame:
-    """centre and precision of each group from its count, sums and cross products, with the least deviations as a ridge."""
-    p, out = len(FEATURES), []
-    floor = np.diag([x[2] ** 2 for x in FEATURES])
-    for r in rows.itertuples():
-        n, s = float(r.n), np.array(r.sums, float)
-        mean, cross = s / n, np.zeros((p, p))
-        cross[np.triu_indices(p)] = r.cross
-        cov = cross / n - np.triu(np.outer(mean, mean))
-        cov = (cov + np.triu(cov, 1).T) * r.scale
-        out.append((r.grp, mean.tolist(), np.linalg.inv(cov + floor).ravel().tolist()))
-    return pd.DataFrame(out, columns=["grp", "centre", "precision"])
+def fitted(n: float, sums: np.ndarray, cross: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
+    """Centre and covariance of rows with these sums and cross products (of _PAIRS), shrunk to chance's and with the least variances."""
+    mean, cov = sums / max(n, 1e-9), np.zeros((P, P))
+    cov[np.triu_indices(P)] = cross / max(n, 1e-9)
+    cov = (cov + np.triu(cov, 1).T - np.outer(mean, mean)) * scale
+    cov = (n * cov + PRIOR_ROWS * np.eye(P)) / (n + PRIOR_ROWS)
+    return mean * n / (n + PRIOR_ROWS), cov + np.diag(np.maximum(0.0, np.array([f[1] for f in FEATURES]) - np.diag(cov)))
+
+
+_KEYS = "gl string, gs string, start int"
+_ESTIMATE = f"{_KEYS}, centre array<double>, precision array<double>, logdet double"
+
+
+def _fit_all(scale: float, centred: bool = True):
+    """For mapInPandas: estimates of groups from n, sums and cross. Starts (not centred) only order the rows, around the medians."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for r in b.itertuples():
+                centre, cov = fitted(float(r.n), np.array(r.sums, float), np.array(r.cross, float), scale)
+                sign, logdet = np.linalg.slogdet(cov)
+                out.append((r.gl, r.gs, r.start, (centre if centred else 0 * centre).tolist(), np.linalg.inv(cov).ravel().tolist(), float(logdet) if centred else float("inf")))
+            yield pd.DataFrame(out, columns=["gl", "gs", "start", "centre", "precision", "logdet"])
 
-def _groups(narrow: DataFrame) -> DataFrame:
-    """A row for each (gl, gs) with the group whose estimate it uses: its own, its language's, or all."""
-    by = narrow.groupBy("gl", "gs").count()
-    lang = by.groupBy("gl").agg(F.sum("count").alias("by_lang"))
-    own, wider = F.concat_ws("\u0000", F.lit("s"), "gl", "gs"), F.concat_ws("\u0000", F.lit("l"), "gl")
-    return by.join(lang, "gl").select("gl", "gs", F.when(F.col("count") >= LEAST_ROWS, own).when(F.col("by_lang") >= LEAST_ROWS, wider).otherwise("all").alias("grp"))
+    return run
+
+
+def _sums(xs: list[Column]) -> list[Column]:
+    """Aggregates: count, sums and cross products of xs."""
+    return [F.count("*").cast("double").alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(xs)], *[F.sum(xs[i] * xs[j]).alias(f"c{i}_{j}") for i, j in _PAIRS]]
+
+
+def _arrays() -> list[Column]:
+    return [F.array(*[F.col(f"s{i}") for i in range(P)]).alias("sums"), F.array(*[F.col(f"c{i}_{j}") for i, j in _PAIRS]).alias("cross")]
+
+
+def starts(vectors: DataFrame) -> DataFrame:
+    """Estimates of all groups (gl, gs) of vectors to start from: none of them leans on far rows' size."""
+    xs = [F.col(x) for x in _X]
+    norm = F.sqrt(sum((x * x for x in xs), F.lit(1e-12)))
+    kinds = [[F.lit(0.0)] * P, [F.tanh(x) for x in xs], [x / norm * (P**0.5) for x in xs]]
+    found = None
+    for start, made in enumerate(kinds):
+        rows = vectors.select("gl", "gs", *[m.alias(x) for m, x in zip(made, _X, strict=True)]).groupBy("gl", "gs").agg(*_sums(xs)).select("gl", "gs", F.lit(start).alias("start"), "n", *_arrays())
+        found = rows if found is None else found.unionByName(rows)
+    return found.mapInPandas(_fit_all(1.0, centred=False), _ESTIMATE)
 
 
 def estimate(vectors: DataFrame, h: float = H, steps: int = STEPS) -> DataFrame:
-    """(grp, centre, precision) by minimum covariance determinant from rows (grp, x0..).
+    """(gl, gs, centre, precision) by minimum covariance determinant of each group of rows (gl, gs, x0..). An empty input gives no groups.
 
-    Rows that fall back on a language or on all are estimated from that same fallback population: groups pool their rows, so
-    each grp is one population. An empty input gives no groups.
+    Each start of each group takes concentration steps until its determinant no longer falls; the least determinant's estimate is
+    reweighted by the rows within REWEIGHT of it.
+    """
+    xs = [F.col(x) for x in _X]
+    now = cut(starts(vectors).withColumn("moving", F.lit(True)), "mcd")
+    for _ in range(steps):
+        near = vectors.join(now.filter("moving").select("gl", "gs", "start", "centre", "precision"), ["gl", "gs"]).select("gl", "gs", "start", *xs, _distance().alias("d"))
+        bin_ = F.least(F.lit(_BINS), F.greatest(F.lit(0), F.floor(_PER_E * (F.log(F.greatest(F.col("d"), F.lit(1e-12))) + 20)))).cast("int")
+        sums = near.groupBy("gl", "gs", "start", bin_.alias("bin")).agg(*_sums(xs))
+        whole = Window.partitionBy("gl", "gs", "start")
+        before = F.coalesce(F.sum("n").over(whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (h * F.col("all") - F.col("before")) / F.col("n")))
+        used = sums.withColumns({"before": before, "all": F.sum("n").over(whole)}).withColumn("part", part).filter("part > 0")
+        names = ["n", *[f"s{i}" for i in range(P)], *[f"c{i}_{j}" for i, j in _PAIRS]]
+        total = used.groupBy("gl", "gs", "start").agg(*[F.sum(F.col(x) * F.col("part")).alias(x) for x in names])
+        made = total.select("gl", "gs", "start", "n", *_arrays()).mapInPandas(_fit_all(CONSISTENCY), _ESTIMATE)
+        new, old = made.alias("new"), now.alias("old")
+        fell = F.coalesce(F.col("new.logdet") < F.col("old.logdet") - 1e-6, F.lit(False))
+        pick = [F.when(fell, F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")).alias(c) for c in ("centre", "precision", "logdet")]
+        now = cut(old.join(new, ["gl", "gs", "start"], "left").select("gl", "gs", "start", *pick, fell.alias("moving")), "mcd")
+        if not now.filter("moving").take(1):
+            break
+    least = now.groupBy("gl", "gs").agg(F.min_by(F.struct("centre", "precision"), F.struct("logdet", "start")).alias("e")).select("gl", "gs", "e.*")
+    near = vectors.join(least, ["gl", "gs"]).select("gl", "gs", *xs, _distance().alias("d")).filter(F.col("d") <= REWEIGHT)
+    again = near.groupBy("gl", "gs").agg(*_sums(xs)).select("gl", "gs", F.lit(0).alias("start"), "n", *_arrays()).mapInPandas(_fit_all(1.0), _ESTIMATE)
+    joined = least.alias("a").join(again.alias("b"), ["gl", "gs"], "left")
+    return joined.select("gl", "gs", F.coalesce("b.centre", "a.centre").alias("centre"), F.coalesce("b.precision", "a.precision").alias("precision"))
+
+
+def medians(narrow: DataFrame) -> DataFrame:
+    """(gl, gs, medians): of the statistics r0.. of each group, to a bin's width, shrunk to those of its language and those to all.
+
+    Counts by bin are added up, and the bin that half the rows lie up to is found among them: the same whatever the partitions.
     """
-    p = len(FEATURES)
-    xs = [F.col(f"x{i}") for i in range(p)]
-    first = vectors.groupBy("grp").agg(*[F.percentile_approx(x, 0.5, 2000).alias(f"m{i}") for i, x in enumerate(xs)])
-    floor = np.diag([1 / (3 * x[2]) ** 2 for x in FEATURES]).ravel().tolist()
-    now = first.select("grp", F.array(*[F.col(f"m{i}") for i in range(p)]).alias("centre"), F.array(*map(F.lit, floor)).alias("precision"))
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    for step in range(steps + 1):
-        last = step == steps
-        now = cut(now, "mcd")
-        binned = vectors.join(now, "grp").select("grp", *xs, _distance().alias("d"))
-        bin_ = F.when(F.col("d") > REWEIGHT, _BINS).otherwise(0) if last else F.least(F.lit(_BINS), F.greatest(F.lit(0), F.floor(_PER_E * (F.log(F.col("d") + 1e-12) + 20)))).cast("int")
-        sums = binned.groupBy("grp", bin_.alias("bin")).agg(
-            F.count("*").alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(xs)], *[F.sum(xs[i] * xs[j]).alias(f"c{i}_{j}") for i, j in pairs])
-        if last:
-            used = sums.filter(F.col("bin") == 0)
-        else:
-            whole = Window.partitionBy("grp")
-            before = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-            used = sums.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("all", F.sum("n").over(whole)).filter(F.col("before") < h * F.col("all"))
-        total = used.groupBy("grp").agg(
-            F.sum("n").alias("n"), F.array(*[F.sum(f"s{i}") for i in range(p)]).alias("sums"), F.array(*[F.sum(f"c{i}_{j}") for i, j in pairs]).alias("cross"))
-        now = total.withColumn("scale", F.lit(1.0 if last else CONSISTENCY)).mapInPandas(lambda it: map(_precision, it), "grp string, centre array<double>, precision array<double>")
-    return now
+    values = F.array(*[F.struct(F.lit(i).alias("i"), F.round(F.col(f"r{i}") / _WIDTH).cast("int").alias("bin")) for i in range(P)])
+    counts = cut(narrow.select("gl", "gs", F.explode(values).alias("v")).groupBy("gl", "gs", "v.i", "v.bin").agg(F.count("*").alias("n")), "bins")
+
+    def of(keys: list[str], name: str) -> DataFrame:
+        by = counts.groupBy(*keys, "i", "bin").agg(F.sum("n").alias("n"))
+        whole = Window.partitionBy(*keys, "i")
+        upto = F.sum("n").over(whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+        found = by.withColumns({"upto": upto, "all": F.sum("n").over(whole)}).filter(F.col("upto") * 2 >= F.col("all"))
+        return found.groupBy(*keys, "i").agg((F.min("bin") * _WIDTH).alias(name), F.first("all").alias(f"{name}_n"))
+
+    rows = of(["gl", "gs"], "own").join(of(["gl"], "lang"), ["gl", "i"]).join(of([], "every"), "i")
+    lang = (F.col("lang") * F.col("lang_n") + F.col("every") * PRIOR_ROWS) / (F.col("lang_n") + PRIOR_ROWS)
+    own = (F.col("own") * F.col("own_n") + lang * PRIOR_ROWS) / (F.col("own_n") + PRIOR_ROWS)
+    listed = rows.withColumn("m", own).groupBy("gl", "gs").agg(F.sort_array(F.collect_list(F.struct("i", "m"))).alias("l"))
+    return listed.select("gl", "gs", F.col("l")["m"].alias("medians"))
 
 
 def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", cutoff: float = CUTOFF) -> DataFrame:
@@ -173,23 +233,21 @@ def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "
     base_failed: under 10 words, or over a fifth of the words in repeated 5-word windows. Such texts take no part in the
     estimates. The others are kept if their squared distance is at most cutoff. Null and empty texts have no words and fail the
     base rule. Null lang and null source are groups of their own. Repeated rows count as often as they occur, and get equal
-    verdicts. An empty table gives an empty result. Columns of df with the names added here are replaced. The narrow table of
-    statistics, not the texts, is written to the shared folder; df's texts are read once.
+    verdicts. An empty table gives an empty result. Columns of df with the names added here are replaced; others may have any
+    name. The narrow table of statistics, not the texts, is written to the shared folder; df's texts are read once.
     """
-    df = replace_columns(df, _ADDED)
-    rows = cut(_with_base(df, text, [c for c in df.columns if c != text]), "statistics")
-    return _verdicts(rows, fit(rows, lang, source), lang, source, cutoff)
+    user = Sheltered(df)
+    text, lang, source = (user.of(c) for c in (text, lang, source))
+    rows = cut(_with_base(user.df, text, [c for c in user.inner if c != text]), "statistics")
+    return user.back(_verdicts(rows, fit(rows, lang, source), lang, source, cutoff), *_ADDED)
 
 
 def keep_documents(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", cutoff: float = CUTOFF) -> DataFrame:
     """The rows of df, texts and all, that judge() keeps. Texts are read twice and their statistics counted twice, but not moved."""
-    names = df.columns
-    bare = replace_columns(df, _ADDED)
-    estimates = fit(cut(_with_base(bare, text, [lang, source]), "statistics"), lang, source)
-    clash = [c for c in names if c not in bare.columns]
-    kept = df.select(*[F.col(f"`{c}`") for c in bare.columns], *[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(clash)])
-    kept = _verdicts(_with_base(kept, text, kept.columns), estimates, lang, source, cutoff).filter("kept")
-    return kept.select(*[F.col(f"`{c}`" if c in bare.columns else f"__{clash.index(c)}").alias(c) for c in names])
+    user = Sheltered(df)
+    text, lang, source = (user.of(c) for c in (text, lang, source))
+    estimates = fit(cut(_with_base(user.df, text, [lang, source]), "statistics"), lang, source)
+    return user.back(_verdicts(_with_base(user.df, text, user.inner), estimates, lang, source, cutoff).filter("kept"))
 
 
 _ADDED = (*_NAMES, "base_failed", "distance", "kept")
@@ -200,27 +258,23 @@ def _with_base(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return rows.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
-def _key(c: str) -> Column:
-    return F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
+def _group(lang: str, source: str) -> list[Column]:
+    return [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")).alias(k) for c, k in ((lang, "gl"), (source, "gs"))]
 
 
 def fit(rows: DataFrame, lang: str, source: str) -> DataFrame:
-    """(gl, gs, centre, precision) for each language and source, as text keys, from rows of statistics."""
-    xs = [x.alias(f"x{i}") for i, x in enumerate(_vector())]
-    narrow = rows.filter(~F.col("base_failed")).select(_key(f"`{lang}`").alias("gl"), _key(f"`{source}`").alias("gs"), *xs)
-    groups = cut(_groups(narrow), "groups")
-    # the population of a language, or of all, is every usable row of it, not only the small groups' rows
-    chain = F.array(F.lit("all"), F.concat_ws("\u0000", F.lit("l"), "gl"), F.concat_ws("\u0000", F.lit("s"), "gl", "gs"))
-    pooled = narrow.withColumn("grp", F.explode(chain)).join(groups.select("grp").distinct(), "grp", "left_semi").select("grp", *[f"x{i}" for i in range(len(xs))])
-    return cut(groups.join(estimate(pooled), "grp").select("gl", "gs", "centre", "precision"), "estimates")
+    """(gl, gs, medians, centre, precision) for each language and source, as text keys, from rows of statistics."""
+    usable = rows.filter(~F.col("base_failed")).select(*_group(lang, source), "n_words", "n_lines", *[r.alias(f"r{i}") for i, r in enumerate(_raw())], *_NAMES[1:5], *_NAMES[6:])
+    middle = cut(medians(usable), "medians")
+    vectors = cut(usable.join(middle, ["gl", "gs"]).select("gl", "gs", *[x.alias(n) for n, x in zip(_X, _vector(), strict=True)]), "vectors")
+    return cut(middle.join(estimate(vectors), ["gl", "gs"]), "estimates")
 
 
 def _verdicts(rows: DataFrame, estimates: DataFrame, lang: str, source: str, cutoff: float) -> DataFrame:
     """rows with distance and kept. A language and source without usable rows have no estimate, and only texts that fail the base rule."""
-    names = rows.columns
-    keyed = rows.select("*", _key(f"`{lang}`").alias("gl"), _key(f"`{source}`").alias("gs"), *[x.alias(f"x{i}") for i, x in enumerate(_vector())])
-    joined = keyed.join(estimates, ["gl", "gs"], "left").withColumn("distance", _distance())
-    return joined.select(*[F.col(f"`{c}`") for c in names], "distance", F.when(F.col("base_failed"), False).otherwise(F.coalesce(F.col("distance") <= cutoff, F.lit(True))).alias("kept"))
+    joined = rows.select("*", *_group(lang, source)).join(estimates, ["gl", "gs"], "left")
+    joined = joined.withColumns(dict(zip(_X, _vector(), strict=True))).withColumn("distance", _distance())
+    return joined.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(F.coalesce(F.col("distance") <= cutoff, F.lit(True))))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -52,12 +53,82 @@ def test_outliers(spark):
     assert all(r["kept"] == "clash" and r["n_words"] == 7 for r in kept.collect())
 
 
-def test_estimate_resists_a_third_of_outliers(spark):
-    rng, p = random.Random(2), len(quality.FEATURES)
-    rows = [("g", *[rng.gauss(0, 1) for _ in range(p)]) for _ in range(2000)] + [("g", *[rng.gauss(9, 0.5) for _ in range(p)]) for _ in range(600)]
-    df = spark.createDataFrame(rows, "grp string, " + ", ".join(f"x{i} double" for i in range(p)))
-    centre = quality.estimate(df).first()["centre"]
-    assert all(abs(c) < 0.2 for c in centre)
+def vectors(spark, rows):
+    return spark.createDataFrame([("g", "s", *map(float, r)) for r in rows], "gl string, gs string, " + ", ".join(f"x{i} double" for i in range(quality.P)))
+
+
+def slow_mcd(x, h=quality.H):
+    """Concentration steps on sorted distances from the same kinds of start, by numpy alone; least determinant, then reweighted."""
+    fit = lambda k, scale=1.0: quality.fitted(len(k), k.sum(0), np.array([(k[:, i] * k[:, j]).sum() for i, j in quality._PAIRS]), scale)
+    far = lambda c, s: np.einsum("ij,jk,ik->i", x - c, np.linalg.inv(s), x - c)
+    best = None
+    for made in (0 * x, np.tanh(x), x / np.sqrt((x * x).sum(1, keepdims=True) + 1e-12) * quality.P**0.5):
+        c, s, least = np.zeros(quality.P), fit(made)[1], np.inf
+        for _ in range(50):
+            c2, s2 = fit(x[np.argsort(far(c, s))[: int(round(h * len(x)))]], quality.CONSISTENCY)
+            det = np.linalg.slogdet(s2)[1]
+            if det >= least - 1e-6:
+                break
+            c, s, least = c2, s2, det
+        best = min(best or (np.inf, None, None), (least, c, s), key=lambda b: b[0])
+    return fit(x[far(*best[1:]) <= quality.REWEIGHT])
+
+
+def test_estimate_against_sorted_steps(spark):
+    """A fifth of the rows lie off, some of them only against the correlation of two statistics."""
+    rng = np.random.default_rng(2)
+    mix = np.eye(quality.P)
+    mix[0, 3] = mix[3, 0] = 0.95
+    x = rng.multivariate_normal(np.zeros(quality.P), 2 * mix, 2000)
+    off = rng.normal(9, 0.5, (300, quality.P))
+    against = np.zeros((150, quality.P))
+    against[:, 0], against[:, 3] = 2.0, -2.0
+    rows = np.vstack([x, off, against + rng.normal(0, 0.1, (150, quality.P))])
+    got = quality.estimate(vectors(spark, rows)).first()
+    centre, cov = slow_mcd(rows)
+    mine = np.linalg.inv(np.array(got["precision"]).reshape(quality.P, quality.P))
+    assert np.abs(np.array(got["centre"]) - centre).max() < 0.05 and np.abs(mine - cov).max() < 0.08
+    far = lambda v: (v - got["centre"]) @ np.array(got["precision"]).reshape(quality.P, quality.P) @ (v - got["centre"])
+    odd = np.zeros(quality.P)
+    odd[0], odd[3] = 2.5, -2.5
+    assert far(odd) > quality.CUTOFF  # each statistic is within 1.8 deviations: the covariance alone tells
+    assert (odd**2 / np.diag(mine)).sum() < quality.CUTOFF / 4
+    assert sum(far(r) <= quality.CUTOFF for r in x) >= 1990
+
+
+def test_covariance_decides(spark, monkeypatch):
+    """Texts that are odd in no single statistic, but in how two of them go together, are rejected; not with the estimate's covariance taken out."""
+    rng = random.Random(3)
+
+    def text(long, marked, n=300):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(rng.choice((6, 7, 8) if long else (3, 4, 5)))) for _ in range(n)]
+        return " ".join(w + ("," if rng.random() < (0.35 if marked else 0.08) else "") for w in words)
+
+    rows = [(i, text(i % 2, i % 2), "en", "s") for i in range(400)] + [(1000 + i, text(i % 2, 1 - i % 2), "en", "s") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    verdicts = lambda: {r["doc_id"]: r["kept"] for r in quality.judge(df).collect()}
+    with_it = verdicts()
+    assert not any(with_it[i] for i in range(1000, 1010)) and sum(with_it[i] for i in range(400)) >= 396
+    real = quality.estimate
+    diagonal = F.expr("transform(sequence(0, 48), i -> if(i % 8 = 0, precision[i], 0D))")
+    spread = lambda v: real(v).withColumn("precision", F.transform(diagonal, lambda x: x / 20))  # noqa: E731  each statistic's own spread
+    monkeypatch.setattr(quality, "estimate", spread)
+    assert any(verdicts()[i] for i in range(1000, 1010))
+
+
+def test_medians(spark):
+    rng = random.Random(4)
+    rows = [(lang, source, *[rng.random() for _ in range(quality.P)]) for lang, source, n in (("a", "x", 301), ("a", "y", 1), ("b", "x", 50)) for _ in range(n)]
+    df = spark.createDataFrame(rows, "gl string, gs string, " + ", ".join(f"r{i} double" for i in range(quality.P)))
+    got = {(r["gl"], r["gs"]): r["medians"] for r in quality.medians(df).collect()}
+    mid = lambda keep, i: np.median([r[2 + i] for r in rows if keep(r)])
+    for (gl, gs), found in got.items():
+        own, lang, n, nl = [r for r in rows if r[:2] == (gl, gs)], [r for r in rows if r[0] == gl], 0, 0
+        n, nl = len(own), len(lang)
+        for i in range(quality.P):
+            wide = (mid(lambda r: r[0] == gl, i) * nl + mid(lambda r: True, i) * 7) / (nl + 7)
+            assert abs(found[i] - (mid(lambda r: r[:2] == (gl, gs), i) * n + wide * 7) / (n + 7)) < 0.02
+    assert {r["medians"][0] for r in quality.medians(df.repartition(7)).collect()} == {m[0] for m in got.values()}
 
 
 def test_empty_table(spark):
