@@ -1,10 +1,13 @@
 """Toxicity by a weighted finite-state grammar of clauses.
 
-Tokens become classes: insults with learned weights, threats, targets, negations, reporting words, others. Four transducers run
-over a clause, each rewriting class symbols with marks for what holds around them: negation and reporting weaken what follows,
-a target near an insult and a threat aimed at one strengthen it. Their composition is one deterministic transducer whose output
-symbols carry the weights; a clause scores the best-weighted path it matches, and a text's score is a logistic function of its
-clauses. The insult lexicon (words and word beginnings) and the logistic function are learned from labelled rows.
+Tokens become classes: parts of insults with learned weights, threats, targets, negations, reporting words, others. Five transducers
+read a clause, each what the one before it wrote. The insult transducer recognises single insults and phrases of two words that
+insult only together; the others mark what holds around an insult or a threat: negation and reported speech before it, a target
+beside it, and a target that a threat is aimed at. Their composition is one deterministic transducer; a clause's weight is that of
+its best-weighted symbol, under factors for its marks, and a text's score is a logistic function of its clauses.
+
+All weights are learned from labelled rows: the insults by evidence from occurrences that no mark weakens, the marks' factors and a
+threat's weight together with the logistic function, by likelihood under a prior around their usual values.
 """
 
 from __future__ import annotations
@@ -19,27 +22,33 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts, replace_columns, table
+from .common import Sheltered, cut, map_texts, table
 
 #: Labelled rows to learn from: at most about this many, picked by a hash of the id.
 TRAIN_DOCS = 8_000
 #: Lengths of the word beginnings that may enter the lexicon beside whole words.
 BEGINNINGS = (3, 4, 5, 6, 7)
-#: Most lexicon entries, the share of a lexicon entry's documents that must be toxic, and least toxic documents.
-LEXICON, PRECISION, LEAST_TOXIC = 4_000, 0.9, 3
+#: The share of a lexicon entry's documents that must be toxic, and least toxic documents.
+PRECISION, LEAST_TOXIC = 0.9, 3
 #: Words of the fixed classes, in English, German, French and Spanish.
 THREATS = "kill hurt destroy beat stab shoot töten umbringen verletzen vernichten tuer frapper détruire matar herir destruir golpear"
 TARGETS = "you your yourself they them he she him her du dich dir euch sie ihr ihn tu toi vous votre ils elles tú te usted ustedes ellos ellas"
 NEGATIONS = "not no never without nicht kein keine nie ohne ne pas jamais sans nunca sin jamás"
 REPORTS = "said says say told claims claimed quoted called sagte sagt behauptet zitiert dit disait affirme cité dijo dice afirma citó"
-#: How far, in tokens, a negation and a target reach; what the marks multiply a weight by; what a threat weighs.
+#: How far, in tokens, a negation and a target reach.
 NEGATION_REACH, TARGET_REACH = 3, 4
-NEGATED, REPORTED, TARGETED, THREAT = 0.6, 0.7, 1.2, 0.5
+#: What a negated, reported or targeted symbol's weight is multiplied by, and what a threat weighs: usual values, from which rows move them.
+USUAL = {"-": 0.6, "'": 0.7, "+": 1.2, "threat": 0.5}
+#: Values that are tried for them, as powers of two of the usual one, and how strongly the prior holds them, in nats for a factor of two, squared.
+TRIED, HOLD = (-6, -3, -2, -1, -0.5, 0, 0.5, 1, 2), 0.5
 #: Words that a worker remembers the class of.
 REMEMBERED = 150_000
 
-OTHER, INSULT, THREAT_WORD, TARGET, NEGATION, REPORT = "o", "i", "h", "t", "n", "r"
+OTHER, INSULT, THREAT_WORD, TARGET, NEGATION, REPORT, OPENS, CLOSES, BOTH = "o", "i", "h", "t", "n", "r", "(", ")", "x"
+#: What the insult transducer reads (OPENS, CLOSES, BOTH: words that begin or end a phrase, or may do either), and what it writes.
+TOKENS = (OTHER, INSULT, THREAT_WORD, TARGET, NEGATION, REPORT, OPENS, CLOSES, BOTH)
 CLASSES = (OTHER, INSULT, THREAT_WORD, TARGET, NEGATION, REPORT)
+MARKS = "-'+"
 _EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 _CLAUSE = re.compile(r"[.!?;:\n]+")
 
@@ -80,10 +89,23 @@ def _reach(opens: str, marks: str, mark: str, reach: int, symbols: Iterable[str]
     return Transducer(0, symbols, step)
 
 
+def insults() -> Transducer:
+    """Insults of one word stay; a word that ends a phrase becomes an insult right after one that begins it, and any other phrase word nothing.
+
+    Whether the two words are a phrase that was learned is looked up where a weight is given; a pair that wasn't weighs nothing.
+    """
+
+    def step(open_: bool, s: str) -> tuple[bool, str]:
+        out = INSULT if s in (CLOSES, BOTH) and open_ else OTHER if s in (OPENS, CLOSES, BOTH) else s
+        return s in (OPENS, BOTH), out
+
+    return Transducer(False, TOKENS, step)
+
+
 def grammar() -> Transducer:
-    """negation . reported speech . target . threat over class symbols, composed; output symbols as in weight_of."""
-    whole = _reach(NEGATION, INSULT + THREAT_WORD, "-", NEGATION_REACH, CLASSES)
-    for opens, marks, mark, reach in ((REPORT, INSULT + THREAT_WORD, "'", 0), (TARGET, INSULT + THREAT_WORD, "+", TARGET_REACH)):
+    """insult . negation . reported speech . target . threat over token classes, composed; output symbols as in Scorer.weight_of."""
+    whole = insults()
+    for opens, marks, mark, reach in ((NEGATION, INSULT + THREAT_WORD, "-", NEGATION_REACH), (REPORT, INSULT + THREAT_WORD, "'", 0), (TARGET, INSULT + THREAT_WORD, "+", TARGET_REACH)):
         whole = whole.compose(_reach(opens, marks, mark, reach, whole.outputs))
 
     def aimed(state: str, s: str) -> tuple[str, str]:
@@ -97,71 +119,114 @@ def grammar() -> Transducer:
     return whole.compose(Transducer("", whole.outputs, aimed))
 
 
-def weight_of(symbol: str, weight: float) -> float:
-    """Weight of an output symbol; weight is the lexicon's for an insult."""
-    if symbol[0] not in (INSULT, THREAT_WORD):
-        return 0.0
-    x = weight if symbol[0] == INSULT else THREAT
-    return x * math.prod(f for mark, f in (("-", NEGATED), ("'", REPORTED), ("+", TARGETED)) if mark in symbol)
+#: All output symbols that may weigh something, in the order of a clause's profile.
+SYMBOLS = tuple(kind + "".join(m for k, m in enumerate(MARKS) if i >> k & 1) for kind in (INSULT, THREAT_WORD) for i in range(1 << len(MARKS)))
 
 
 class Scorer:
-    """Scores texts in one process. lexicon: weight by word ("=word") or word beginning ("begin-")."""
+    """Scores texts in one process. lexicon: weight by word ("=word"), word beginning ("begin-") or phrase ("=two words")."""
 
-    def __init__(self, lexicon: dict[str, float], bias: float = 0.0, slopes: tuple[float, float] = (1.0, 1.0)):
-        self.lexicon, self.bias, self.slopes = lexicon, bias, slopes
+    def __init__(self, lexicon: dict[str, float], bias: float = 0.0, slopes: tuple[float, float] = (1.0, 1.0), factors: dict[str, float] = USUAL):
+        self.lexicon, self.bias, self.slopes, self.factors = lexicon, bias, slopes, dict(factors)
         self._ready = None
 
     def __getstate__(self):
         return self.__dict__ | {"_ready": None}
 
     def _start(self):
-        fixed = {w: c for c, ws in ((THREAT_WORD, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in ws.split()}
-        lexicon = self.lexicon
+        fixed = _fixed_classes()
+        lexicon = {k: v for k, v in self.lexicon.items() if " " not in k}
+        phrases = {k[1:]: v for k, v in self.lexicon.items() if " " in k}
+        first, last = {k.split(" ")[0] for k in phrases}, {k.split(" ")[1] for k in phrases}
 
         class Known(dict):
-            def __missing__(self, token: str) -> tuple[str, float]:
+            """Class and weight of a token, and the word itself where it may be part of a phrase."""
+
+            def __missing__(self, token: str) -> tuple[str, float, str]:
                 if len(self) > REMEMBERED:
                     self.clear()
                 w = _EDGE.sub("", token)
                 weight = max([lexicon.get(f, 0.0) for f in features_of(w)], default=0.0)
-                self[token] = made = (INSULT, weight) if weight > 0 else (fixed.get(w, OTHER), 0.0)
+                part = BOTH if w in first and w in last else OPENS if w in first else CLOSES if w in last else ""
+                self[token] = made = (INSULT, weight, w) if weight > 0 else (fixed.get(w) or part or OTHER, 0.0, w)
                 return made
 
-        self._ready = Known(), grammar()
+        self._ready = Known(), grammar().arcs, grammar().start, phrases
         return self._ready
 
-    def clauses(self, text: str) -> list[tuple[str, float]]:
-        """The matched clauses of a text and their weights: those that hold an insult or an aimed threat."""
-        known, machine = self._ready or self._start()
+    def weight_of(self, symbol: str, weight: float) -> float:
+        """Weight of an output symbol; weight is the lexicon's for an insult."""
+        if symbol[0] not in (INSULT, THREAT_WORD):
+            return 0.0
+        x = weight if symbol[0] == INSULT else self.factors["threat"]
+        return x * math.prod(self.factors[mark] for mark in MARKS if mark in symbol)
+
+    def symbols(self, text: str) -> list[tuple[str, dict[str, float]]]:
+        """The clauses of a text that hold an insult or an aimed threat, each with the largest lexicon weight (1 for threats) of each output symbol."""
+        known, arcs, start, phrases = self._ready or self._start()
         text = text.lower()
-        if not any(known[w][0] in (INSULT, THREAT_WORD) for w in text.split()):
+        if not any(known[w][0] not in (OTHER, TARGET, NEGATION, REPORT) for w in text.split()):
             return []
         out = []
         for clause in _CLAUSE.split(text):
-            state, total, best = machine.start, 0.0, 0.0
-            for w in clause.split():
-                kind, weight = known[w]
-                best = max(best, weight)
-                state, symbol = machine.arcs[state, kind]
-                total = max(total, weight_of(symbol, weight if kind == INSULT else best))
-            if total > 0:
-                out.append((clause.strip(), total))
+            state, found, before = start, {}, ""
+            for token in clause.split():
+                kind, weight, w = known[token]
+                state, symbol = arcs[state, kind]
+                if symbol[0] == INSULT:
+                    weight = weight if kind == INSULT else phrases.get(f"{before} {w}", 0.0)
+                    if weight > found.get(symbol, 0.0):
+                        found[symbol] = weight
+                elif symbol[0] == THREAT_WORD:
+                    found[symbol] = 1.0
+                before = w
+            if found:
+                out.append((clause.strip(), found))
         return out
 
-    def features(self, text: str) -> tuple[float, float]:
-        found = [w for _, w in self.clauses(text)]
-        return (max(found), math.log1p(sum(found))) if found else (0.0, 0.0)
+    def clauses(self, text: str) -> list[tuple[str, float]]:
+        """The matched clauses of a text and their weights."""
+        made = ((c, max(self.weight_of(s, w) for s, w in found.items())) for c, found in self.symbols(text))
+        return [(c, w) for c, w in made if w > 0]
 
-    def score(self, text: str) -> float:
-        x = self.bias + sum(a * b for a, b in zip(self.slopes, self.features(text), strict=True))
+    def score_clauses(self, found: list[tuple[str, float]]) -> float:
+        weights = [w for _, w in found]
+        x = self.bias + (self.slopes[0] * max(weights) + self.slopes[1] * math.log1p(sum(weights)) if weights else 0.0)
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
+    def score(self, text: str) -> float:
+        return self.score_clauses(self.clauses(text))
+
+
+def _fixed_classes() -> dict[str, str]:
+    return {w: c for c, ws in ((THREAT_WORD, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in ws.split()}
+
 
 def features_of(word: str) -> list[str]:
     return [f"={word}", *(f"{word[:k]}-" for k in BEGINNINGS if len(word) > k)] if word else []
 
 
+def evidence(text: str, fixed: dict[str, str], machine: Transducer) -> set[str]:
+    """The features of a text's words and pairs of words, but for those that a negation or report marks wherever they occur.
+
+    The grammar says which: each word that isn't of a fixed class passes through it as an insult would.
+    """
+    out = set()
+    for clause in _CLAUSE.split(text.lower()):
+        words = [_EDGE.sub("", w) for w in clause.split()]
+        state, before = machine.start, ""
+        for w in words:
+            kind = fixed.get(w, INSULT)
+            state, symbol = machine.arcs[state, kind]
+            free = kind == INSULT and "-" not in symbol and "'" not in symbol
+            if free and w:
+                out.add(w)
+                if before:
+                    out.add(f"{before} {w}")
+            before = w if w and kind == INSULT else ""
+    return out
+
+
 def held_out(id_: Column) -> Column:
     """Every fifth id by CRC-32 of its decimal text; a null id counts as empty text."""
     return F.crc32(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")) % 5 == 0
@@ -212,44 +277,89 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Scorer:
 
     def count(batches):
         seen: tuple[Counter, Counter] = Counter(), Counter()
+        fixed, machine = _fixed_classes(), grammar()
         flush = lambda: pa.RecordBatch.from_arrays([pa.array([f for c in seen for f in c]), pa.array([v for v in seen[0].values()] + [0] * len(seen[1]), pa.int64()), pa.array([0] * len(seen[0]) + [v for v in seen[1].values()], pa.int64())], names=["f", "neg", "pos"])
         for b in batches:
             for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
-                words = {_EDGE.sub("", w) for w in set(text.lower().split())}
-                seen[y].update({f for w in words for f in features_of(w)})
+                found = evidence(text, fixed, machine)
+                seen[y].update({f for w in found for f in ([f"={w}"] if " " in w else features_of(w))})
                 if len(seen[0]) + len(seen[1]) > 1_000_000:
                     yield flush()
                     seen[0].clear(), seen[1].clear()
         yield flush()
 
     counts = rows.select("text", "y").mapInArrow(count, "f string, neg long, pos long").groupBy("f").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
-    counts = cut(counts, "features")
+    counts = cut(counts.filter(F.col("pos") + F.col("neg") >= LEAST_TOXIC), "features")
     # evidence in nats that a feature's documents are toxic beyond the common rate; chance alone reaches ln(features tried)
     p, q = n_pos / (n_pos + n_neg), n_neg / (n_pos + n_neg)
     total = F.col("pos") + F.col("neg")
     nats = F.col("pos") * F.log(F.col("pos") / (total * p)) + F.when(F.col("neg") > 0, F.col("neg") * F.log(F.col("neg") / (total * q))).otherwise(0.0)
-    tried = counts.filter(F.col("pos") + F.col("neg") >= LEAST_TOXIC).count()
-    picked = counts.filter((F.col("pos") >= LEAST_TOXIC) & (F.col("pos") >= PRECISION * total)).withColumn("nats", nats).filter(F.col("nats") >= math.log(max(tried, 2)))
-    entries = picked.orderBy(F.desc("nats"), "f").limit(LEXICON).collect()
-    # a beginning that stands for one word alone says no more than the word
-    alone = {r["f"][1:]: r["pos"] for r in entries if r["f"][0] == "="}
+    picked = counts.filter((F.col("pos") >= LEAST_TOXIC) & (F.col("pos") >= PRECISION * total)).withColumn("nats", nats).filter(F.col("nats") >= math.log(max(counts.count(), 2)))
+    entries = picked.orderBy(F.desc("nats"), "f").collect()  # features of three toxic training rows or more: their rows bound them
+    words = {r["f"][1:]: r["pos"] for r in entries if r["f"][0] == "=" and " " not in r["f"]}
     by_start: dict[str, int] = {}
-    for w, pos in alone.items():
+    for w, pos in words.items():
         for k in BEGINNINGS:
             by_start[w[:k]] = max(by_start.get(w[:k], 0), pos)
+    # a beginning that stands for one word alone says no more than the word
     entries = [r for r in entries if r["f"][0] == "=" or by_start.get(r["f"][:-1], 0) < 0.9 * r["pos"]]
+    starts = {r["f"][:-1] for r in entries if r["f"][0] != "="}
+    alone = lambda w: w in words or any(w[:k] in starts for k in BEGINNINGS if len(w) > k)
+    entries = [r for r in entries if " " not in r["f"] or not any(map(alone, r["f"][1:].split(" ")))]  # nor a phrase one of whose words insults by itself
     lexicon = {r["f"]: math.log((r["pos"] + 0.5) / (n_pos + 1)) - math.log((r["neg"] + 0.5) / (n_neg + 1)) for r in entries}
     scorer = Scorer({f: w for f, w in lexicon.items() if w > 0})
 
     def measure(texts: list[bytes]) -> dict[str, pa.Array]:
-        xs = [scorer.features(t.decode()) for t in texts]
-        return {"a": pa.array([x[0] for x in xs], pa.float64()), "b": pa.array([x[1] for x in xs], pa.float64())}
-
-    sample = map_texts(rows, "text", measure, "a double, b double", ["y"]).toPandas()  # at most about most rows of three numbers
-    scorer.bias, scorer.slopes = fit_logistic(sample[["a", "b"]].to_numpy(), sample["y"].to_numpy(float))
+        profiles = [Counter(tuple(found.get(s, 0.0) for s in SYMBOLS) for _, found in scorer.symbols(t.decode())) for t in texts]
+        each = pa.list_(pa.struct([("w", pa.list_(pa.float64())), ("n", pa.int64())]))
+        return {"profiles": pa.array([[{"w": list(w), "n": k} for w, k in c.items()] for c in profiles], each)}
+
+    # at most about most rows, of the different clause profiles of each
+    sample = map_texts(rows, "text", measure, "profiles array<struct<w:array<double>,n:bigint>>", ["y"]).collect()
+    y = np.array([r["y"] for r in sample], float)
+    flat = [(i, c["w"], c["n"]) for i, r in enumerate(sample) for c in r["profiles"]]
+    doc, times = np.array([f[0] for f in flat], int), np.array([f[2] for f in flat], float)
+    scorer.factors, scorer.bias, scorer.slopes = fit_grammar(doc, np.array([f[1] for f in flat], float).reshape(-1, len(SYMBOLS)), times, y)
     return scorer
 
 
+def clause_features(doc: np.ndarray, profiles: np.ndarray, times: np.ndarray, n: int, factors: dict[str, float]) -> np.ndarray:
+    """Largest clause weight and logarithm of their sum, for each of n documents, under factors."""
+    by = np.array([(factors["threat"] if s[0] == THREAT_WORD else 1.0) * math.prod(factors[m] for m in MARKS if m in s) for s in SYMBOLS])
+    out = np.zeros((n, 2))
+    if len(doc):
+        weight = (profiles * by).max(axis=1)
+        np.maximum.at(out[:, 0], doc, weight)
+        np.add.at(out[:, 1], doc, weight * times)
+    out[:, 1] = np.log1p(out[:, 1])
+    return out
+
+
+def fit_grammar(doc: np.ndarray, profiles: np.ndarray, times: np.ndarray, y: np.ndarray, rounds: int = 3) -> tuple[dict[str, float], float, tuple[float, float]]:
+    """The marks' factors and a threat's weight, with the logistic function's bias and slopes: one factor after another, by penalised likelihood."""
+    factors = dict(USUAL)
+
+    def cost(now: dict[str, float]) -> tuple[float, tuple]:
+        x = clause_features(doc, profiles, times, len(y), now)
+        bias, slopes = fit_logistic(x, y)
+        z = np.clip(bias + x @ np.array(slopes), -30, 30)
+        loss = float(np.sum(np.logaddexp(0, z) - y * z))
+        return loss + sum(HOLD * math.log2(now[k] / USUAL[k]) ** 2 for k in USUAL), (bias, slopes)
+
+    best, fit = cost(factors)
+    for _ in range(rounds):
+        before = best
+        for k in USUAL:
+            for power in TRIED:
+                tried = factors | {k: USUAL[k] * 2.0**power}
+                now, found = cost(tried)
+                if now < best - 1e-9:
+                    best, fit, factors = now, found, tried
+        if best == before:
+            break
+    return factors, *fit
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 60) -> tuple[float, tuple[float, float]]:
     """Bias and slopes by Newton's method with a small ridge on the slopes, which are kept from going below zero."""
     design, use = np.column_stack([np.ones(len(x)), x]), [0, 1, 2]
@@ -270,26 +380,25 @@ def score(df: DataFrame, scorer: Scorer, text: str = "text", keep: list[str] | N
     """keep's columns of df (all others, unless given) with score, predicted and clauses (array of struct clause, weight).
 
     Whole texts are scored; null and empty ones match no clause and get the base score. Repeated rows get equal scores. Columns
-    of df with the names added here are replaced. The scorer is broadcast: at most LEXICON entries.
+    of df with the names added here are replaced; others may have any name. The scorer is broadcast: its lexicon has at most the
+    features of the training rows that at least LEAST_TOXIC toxic ones hold.
     """
+    user = Sheltered(df if keep is None else df.select(*[F.col(f"`{k}`") for k in dict.fromkeys([*keep, text])]))
     shared = df.sparkSession.sparkContext.broadcast(scorer)
 
     def fn(texts: list[bytes]) -> dict[str, pa.Array]:
         s = shared.value
-        base, found, scores = s.score(""), [], []
-        for t in texts:
-            t = t.decode()
-            c = s.clauses(t)
-            found.append([{"clause": a, "weight": b} for a, b in c])
-            scores.append(s.score(t) if c else base)
+        found = [s.clauses(t.decode()) for t in texts]
+        scores = [s.score_clauses(c) for c in found]
         return {
             "score": pa.array(scores, pa.float64()),
             "predicted": pa.array([int(x >= 0.5) for x in scores], pa.int32()),
-            "clauses": pa.array(found, pa.list_(pa.struct([("clause", pa.string()), ("weight", pa.float64())]))),
+            "clauses": pa.array([[{"clause": a, "weight": b} for a, b in c] for c in found], pa.list_(pa.struct([("clause", pa.string()), ("weight", pa.float64())]))),
         }
 
-    keep = replace_columns(df, ["score", "predicted", "clauses"]).columns if keep is None else keep
-    return map_texts(df, text, fn, "score double, predicted int, clauses array<struct<clause:string,weight:double>>", keep)
+    inner = user.inner if keep is None else [user.of(k) for k in keep]
+    made = map_texts(user.df, user.of(text), fn, "score double, predicted int, clauses array<struct<clause:string,weight:double>>", inner)
+    return user.back(made, "score", "predicted", "clauses")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from lattico.llm import toxicity
 from tests.conftest import DATA
 
-SCORER = toxicity.Scorer({"=idiot": 4.0, "vequ-": 5.0}, -2.0, (1.0, 0.0))
+SCORER = toxicity.Scorer({"=idiot": 4.0, "vequ-": 5.0, "=waste space": 3.0}, -2.0, (1.0, 0.0))
+NEGATED, REPORTED, TARGETED, THREAT = (toxicity.USUAL[k] for k in ("-", "'", "+", "threat"))
 
 
 def weight(text):
@@ -17,34 +18,76 @@ def test_clauses():
     assert weight("What a fine day.") == 0 and weight("") == 0
     assert weight("Some idiot wrote it.") == 4.0
     assert weight("Un vequtré ici.") == 5.0 and weight("Un vequ ici.") == 0.0  # a beginning needs more to follow
-    assert weight("You idiot!") == 4.0 * toxicity.TARGETED
-    assert weight("He is not an idiot.") == 4.0 * toxicity.NEGATED * toxicity.TARGETED
-    assert weight("She said idiot") == 4.0 * toxicity.REPORTED * toxicity.TARGETED
+    assert weight("You idiot!") == 4.0 * TARGETED
+    assert weight("He is not an idiot.") == 4.0 * NEGATED * TARGETED
+    assert weight("She said idiot") == 4.0 * REPORTED * TARGETED
     assert weight("They said no such thing. Some idiot did.") == 4.0  # marks end with the clause
     assert weight("not one two three four idiot") == 4.0
     assert weight("IDIOT%%%") == 4.0
-    assert weight("I will kill you") == toxicity.THREAT and weight("They kill time") == 0.0
+    assert weight("A waste space!") == 3.0 and weight("Space, waste.") == 0.0 and weight("waste. space") == 0.0 and weight("waste of space") == 0.0
+    assert weight("Not a waste space") == 3.0 * NEGATED
+    assert weight("I will kill you") == THREAT and weight("They kill time") == 0.0
+
+
+def by_hand(line):
+    """Each machine in turn over a clause's token classes, by plain loops."""
+    out, before = [], ""
+    for s in line:  # insult
+        out.append("i" if s in ")x" and before in ("(", "x") else "o" if s in "()x" else s)
+        before = s
+    reach = lambda i, opens, far: any(out[j][0] == opens for j in range(max(0, i - far) if far else 0, i))
+    marks = [("-", "n", 3), ("'", "r", 0), ("+", "t", 4)]
+    made = [s + "".join(m for m, opens, far in marks if s in "ih" and reach(i, opens, far)) for i, s in enumerate(out)]
+    held, final = "", []
+    for s in made:  # threat
+        if s[0] == "h":
+            held, s = s, "o"
+        elif s[0] == "t" and held:
+            held, s = "", held
+        final.append(s)
+    return final
 
 
 def test_composition_is_the_transducers_in_turn():
     machine, rng = toxicity.grammar(), random.Random(0)
-    parts = [toxicity._reach(toxicity.NEGATION, "ih", "-", toxicity.NEGATION_REACH, toxicity.CLASSES)]
-    parts.append(toxicity._reach(toxicity.REPORT, "ih", "'", 0, parts[0].outputs))
-    parts.append(toxicity._reach(toxicity.TARGET, "ih", "+", toxicity.TARGET_REACH, parts[1].outputs + ["i-'", "h-'"]))
-    for _ in range(300):
-        line = [rng.choice("oitnr") for _ in range(rng.randint(1, 12))]
+    for _ in range(2000):
+        line = [rng.choice("oitnrh()x") for _ in range(rng.randint(1, 14))]
         state, one = machine.start, []
         for s in line:
             state, out = machine.arcs[state, s]
             one.append(out)
-        turn = line
-        for part in parts:
-            state, out = part.start, []
-            for s in turn:
-                state, o = part.arcs[state, s]
-                out.append(o)
-            turn = out
-        assert one == turn
+        assert one == by_hand(line), line
+
+
+def marked_rows(n=1200):
+    """Insults are toxic, but not where they are negated or reported; two words insult together alone; a threat at someone is toxic."""
+    rng = random.Random(7)
+    plain = ["".join(rng.choice("bcdfglmpt") + rng.choice("aeiou") for _ in range(3)) for _ in range(300)]
+    some = lambda k: " ".join(rng.choice(plain) for _ in range(k))
+    kinds = [
+        (1, lambda: f"you zogbert {some(2)}"), (0, lambda: f"you not zogbert {some(2)}"), (0, lambda: f"she said {some(2)} zogbert"), (1, lambda: f"{some(2)} plank head {some(1)}"),
+        (0, lambda: f"plank {some(3)}"), (0, lambda: f"head {some(3)}"), (1, lambda: f"hurt you {some(2)}"), (0, lambda: f"hurt {some(3)}"), (0, lambda: f"you {some(5)}"), (0, lambda: some(6)),
+    ]
+    rows = []
+    for i in range(n):
+        y, make = kinds[i % len(kinds)]
+        rows.append((i, f"{some(rng.randint(5, 12))}. {make()}. {some(rng.randint(5, 12))}.", y))
+    return rows
+
+
+def test_the_grammar_decides(spark):
+    """Held out, marked insults come out clean and phrases toxic; the same lexicon without marks, phrases or threats gets them wrong."""
+    rows = marked_rows()
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    scorer = toxicity.learn(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int"))
+    held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0]
+    wrong = lambda s: sum((s.score(t) >= 0.5) != y for _, t, y in held)
+    assert wrong(scorer) <= 0.02 * len(held), (wrong(scorer), scorer.factors, scorer.lexicon)
+    assert scorer.factors["-"] < toxicity.USUAL["-"] and scorer.factors["'"] < toxicity.USUAL["'"]
+    unmarked = toxicity.Scorer(scorer.lexicon, scorer.bias, scorer.slopes, dict.fromkeys("-'+", 1.0) | {"threat": scorer.factors["threat"]})
+    assert wrong(unmarked) >= 0.15 * len(held)
+    assert wrong(toxicity.Scorer({k: v for k, v in scorer.lexicon.items() if " " not in k}, scorer.bias, scorer.slopes, scorer.factors)) >= 0.05 * len(held)
+    assert wrong(toxicity.Scorer(scorer.lexicon, scorer.bias, scorer.slopes, scorer.factors | {"threat": 0.0})) >= 0.05 * len(held)
 
 
 def test_learning_and_held_out_accuracy(spark):
