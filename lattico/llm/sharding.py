@@ -8,13 +8,13 @@ too large go on with the next DEPTH bits of their own documents.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, replace_columns, table
+from .common import Sheltered, cut, table
 
 #: Bytes of text that a shard holds at most.
-LIMIT = 8 << 20
+LIMIT = 1 << 20
 #: Bits that one pass looks at, at most: cells are at most 2 ** DEPTH for each bucket that a pass splits.
 DEPTH = 16
 
@@ -43,47 +43,45 @@ def assign(docs: DataFrame, text: str = "text", id_: str = "doc_id", limit: int
     """docs with bytes (of the text in UTF-8) and shard (a prefix of bits; "" if all documents fit one shard).
 
     Every shard's bytes are at most limit, but for a single document above it, which gets a shard of its own. Null texts have no
-    bytes. Equal rows have equal digests, and are told apart by their number among their equals once the digest's bits are used
-    up. No group of documents is gathered: hot ids or texts only meet as sums. An empty table gives an empty result. Columns of
-    docs with the names added here are replaced.
+    bytes. Rows of equal id and text have equal digests; where they exceed a shard together, they are numbered, and the shard's
+    name is the digest's bits, a dot and the number of as many of them as fit. Which shards there are and how many of the equal rows
+    each holds is the same on every run. No group of documents is gathered: hot ids or texts only meet as sums. An empty table gives
+    an empty result. Columns of docs with the names added here are replaced; others may have any name.
     """
-    docs = replace_columns(docs, ["bytes", "shard", "hex", "bucket", "cell"])
-    t, i = F.col(f"`{text}`").cast("string"), F.col(f"`{id_}`").cast("string")
+    user = Sheltered(docs)
+    t, i = F.col(user.of(text)).cast("string"), F.col(user.of(id_)).cast("string")
     size = F.coalesce(F.octet_length(t), F.lit(0)).cast("long")
     digest = F.md5(F.concat_ws("\u0000", F.coalesce(F.concat(F.lit("="), i), F.lit("~")), F.coalesce(F.md5(t), F.lit("~"))))
-    rows = docs.withColumns({"bytes": size, "hex": digest})
-    narrow = rows.select("hex", "bytes")
-    total = narrow.agg(F.sum("bytes").alias("b"), F.count("*").alias("n")).first()
-    if not total["n"] or (total["b"] or 0) <= limit:
-        return rows.drop("hex").withColumn("shard", F.lit(""))
+    rows = user.df.withColumns({"bytes": size, "hex": digest})
+    narrow = cut(rows.groupBy("hex", "bytes").agg(F.count("*").alias("n")), "digests")  # texts are digested here and, by what they end up in, once more
+    total = narrow.agg(F.sum(F.col("bytes") * F.col("n")).alias("b")).first()["b"] or 0
+    if total <= limit:
+        return user.back(rows.withColumn("shard", F.lit("")), "bytes", "shard")
     # bits enough for the average bucket to be a 16th of the limit, so that nearly all splits are found in the first pass
-    wanted = max(4, min(DEPTH, -(-((total["b"] // limit + 1) * 16).bit_length() // 4) * 4))
+    wanted = max(4, min(DEPTH, -(-((total // limit + 1) * 16).bit_length() // 4) * 4))
     found, buckets, start = None, None, 0
     while start < 128:
-        cell = _prefix(F.col("hex"), start, wanted)
-        bucket = _long_prefix(F.col("hex"), start)
-        cells = narrow.select(bucket.alias("bucket"), cell.alias("cell"), "bytes")
+        cells = narrow.select(_long_prefix(F.col("hex"), start).alias("bucket"), _prefix(F.col("hex"), start, wanted).alias("cell"), (F.col("bytes") * F.col("n")).alias("bytes"), "hex")
         if buckets is not None:
             cells = cells.join(buckets, "bucket", "left_semi")
-        made = cut(directory(cells.groupBy("bucket", "cell").agg(F.sum("bytes").alias("bytes")), limit, wanted, True), "directory")
-        part = made.filter("shard is not null").select(F.concat("bucket", "cell").alias("prefix"), "shard")
+        sums = cells.groupBy("bucket", "cell").agg(F.sum("bytes").alias("bytes"), (F.min("hex") == F.max("hex")).alias("alone"))
+        # nothing is left to split a cell of a single digest on: equal rows, or one document
+        whole = cut(sums, "cells")
+        made = directory(whole, limit, wanted, True).join(whole.select("bucket", "cell", "alone"), ["bucket", "cell"])
+        prefix = F.concat("bucket", "cell")
+        made = cut(made.select(prefix.alias("prefix"), F.coalesce("shard", F.when(F.col("alone"), F.concat(F.lit("="), prefix))).alias("shard")), "directory")
+        part = made.filter("shard is not null")
         found = part if found is None else found.unionByName(part)
-        buckets = made.filter("shard is null").select(F.concat("bucket", "cell").alias("bucket"))
+        buckets = made.filter("shard is null").select(F.col("prefix").alias("bucket"))
         start += wanted
         if not buckets.take(1):
-            buckets = None
             break
-        single = narrow.withColumn("bucket", _long_prefix(F.col("hex"), start)).join(buckets, "bucket", "left_semi").groupBy("bucket").agg(F.count_distinct("hex").alias("kinds"))
-        alone = cut(single.filter("kinds = 1").select("bucket"), "alone")
-        if alone.take(1):  # nothing is left to split on: one digest's bucket, equal rows or one document
-            found = found.unionByName(alone.select(F.col("bucket").alias("prefix"), F.concat(F.lit("="), "bucket").alias("shard")))
-            buckets = cut(buckets.join(alone, "bucket", "left_anti"), "buckets")
-            if not buckets.take(1):
-                break
     lengths = [r[0] for r in found.select(F.length("prefix").alias("l")).distinct().collect()]  # one for each pass at most
     at = F.explode(F.array(*[_long_prefix(F.col("hex"), n) for n in sorted(lengths)])) if len(lengths) > 1 else _long_prefix(F.col("hex"), lengths[0])
     keyed = rows.withColumn("prefix", at).join(found, "prefix").drop("prefix")
-    return _split_equals(keyed, limit).drop("hex")
+    if not found.filter(F.startswith(F.col("shard"), F.lit("="))).take(1):
+        return user.back(keyed, "bytes", "shard")
+    return user.back(_split_equals(keyed, limit), "bytes", "shard")
 
 
 def _long_prefix(hex_: Column, n: int) -> Column:
@@ -95,19 +93,29 @@ def _long_prefix(hex_: Column, n: int) -> Column:
 
 
 def _split_equals(keyed: DataFrame, limit: int) -> DataFrame:
-    """Equal rows that exceed the limit together ("=" before the shard's bits) are dealt on by their number, limit // bytes to a shard."""
-    plain = keyed.filter(~F.startswith(F.col("shard"), F.lit("=")))
-    equal = keyed.filter(F.startswith(F.col("shard"), F.lit("=")))
-    # equal rows are numbered in parts that a task holds: by partition first, then by the parts' sums before
-    numbered = equal.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id() % (1 << 33))
+    """Rows of shards that can't be split further ("=" before the shard's bits), dealt on by their number, limit // bytes to a shard.
+
+    Equal rows are numbered in the parts that tasks hold, written down so that the parts stay what they are whoever is lost later, and
+    by the parts' counts before: numbers from 0 up without gaps, whatever the parts were, so the shards and their sizes don't depend
+    on them. A part's rows are what a task held; no task sees a group.
+    """
+    equal = keyed.filter(F.startswith(F.col("shard"), F.lit("="))).withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id())
+    equal = cut(equal, "equals")
+    sizes = equal.groupBy("shard", "part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = cut(sizes.select("shard", "part", before.alias("before")), "offsets")
+    numbered = equal.withColumn("number", F.row_number().over(Window.partitionBy("shard", "part").orderBy("place")) - 1).join(offsets, ["shard", "part"])
     per = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest("bytes", F.lit(1)))).cast("long")
-    dealt = numbered.withColumn("shard", F.concat_ws(".", F.substring("shard", 2, 1 << 20), F.lpad(F.hex("part"), 4, "0"), F.lpad(F.hex(F.floor(F.col("at") / per)), 4, "0"))).drop("part", "at")
-    return plain.unionByName(dealt)
+    piece = F.floor((F.col("number") + F.col("before")) / per).cast("long")
+    single = F.col("bytes") > limit  # one document that is too large by itself keeps its bits alone if it is the only one
+    name = F.when(single & (piece == 0), F.substring("shard", 2, 1 << 20)).otherwise(F.concat_ws(".", F.substring("shard", 2, 1 << 20), piece.cast("string")))
+    dealt = numbered.withColumn("shard", name).select(*keyed.columns)
+    return keyed.filter(~F.startswith(F.col("shard"), F.lit("="))).unionByName(dealt)
 
 
 def shard_table(assigned: DataFrame) -> DataFrame:
     """(shard, depth, documents, bytes) of assigned documents."""
-    return assigned.groupBy("shard").agg(F.length(F.first("shard")).alias("depth"), F.count("*").alias("documents"), F.sum("bytes").alias("bytes"))
+    return assigned.groupBy("shard").agg(F.length(F.substring_index(F.first("shard"), ".", 1)).alias("depth"), F.count("*").alias("documents"), F.sum("bytes").alias("bytes"))
 
 
 def write_shards(assigned: DataFrame, path: str) -> None:
@@ -116,7 +124,7 @@ def write_shards(assigned: DataFrame, path: str) -> None:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assign(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "bytes", "shard", F.length("shard").alias("depth"))
+    return assign(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "bytes", "shard", F.length(F.substring_index("shard", ".", 1)).alias("depth"))
 
 
 #: Splits are found as deep as 20 bits, which is beyond what any table of this query needs.

@@ -1,6 +1,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from lattico.llm import sharding
 from tests.conftest import DATA
@@ -37,6 +38,18 @@ def test_as_one_by_one(spark, limit):
         assert r["bytes"] == size and (r["shard"] == want[r["doc_id"]] or size > limit)
 
 
+def test_a_crowd_of_equal_rows(spark):
+    """70,000 equal rows over many partitions: full shards, no name for two of them, and the same however the rows lie."""
+    rows = spark.range(70_000).select(F.lit(5).alias("doc_id"), F.lit("x" * 10).alias("text"), F.col("id").alias("part"))
+    other = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("y" * 100).alias("text"), F.col("id").alias("part"))
+    both = rows.unionByName(other)
+    tables = [{r["shard"]: (r["documents"], r["bytes"]) for r in sharding.shard_table(sharding.assign(both.repartition(n), limit=1005)).collect()} for n in (1, 97, 400)]
+    assert tables[0] == tables[1] == tables[2] and sum(n for n, _ in tables[0].values()) == 70_500
+    assert all(b <= 1005 for _, b in tables[0].values())
+    crowd = sorted(n for s, (n, _) in tables[0].items() if "." in s)
+    assert crowd == [100] * 700
+
+
 def test_limits_hold(spark):
     rows = [(1, "abc" * 50)] * 40 + [(None, None)] * 5 + [(2, "x"), (3, "y" * 1000), (4, "")]
     got = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string"), limit=400)
