@@ -24,6 +24,8 @@ CRLF = "\r\n"
 FILE_BYTES = 24 << 20
 #: Bytes of records that the reader hands over at once.
 BATCH_BYTES = 8 << 20
+#: Parts that the rows of one digest are dealt into where they meet their newest.
+SALTS = 16
 #: Date of all records, so that reruns write the same archives.
 DATE = "2024-01-01T00:00:00Z"
 
@@ -52,45 +54,55 @@ def _record(kind: str | Column, id_: Column, uri: Column, content_type: str, hea
 
 
 def captures(pages: DataFrame, least: int = 0, id_: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
-    """A row for each distinct (id, url, payload) of pages with copies (how often it occurs), digest, bytes, kind and refers_to.
+    """A row for each row of pages: id, url, payload, hex (SHA-1), copy, kind, refers_to (an id) and refers_url.
 
     A null payload is empty. Of captures with equal payloads of at least `least` bytes, those with the largest id are responses
-    and the others revisit it; a null id is smaller than any. Equal rows are one capture with a count, so that record ids stay
-    unique; rows of one id with different payloads are captures of their own.
+    and the others revisit it; a null id is smaller than any. copy numbers rows that are equal in id, url and payload, from 1, so
+    that record ids are unique. Other columns aren't read. An empty table gives an empty result.
     """
     rows = pages.select(F.col(f"`{id_}`").cast("long").alias("id"), F.col(f"`{url}`").cast("string").alias("url"), F.coalesce(F.col(f"`{payload}`").cast("string"), F.lit("")).alias("payload"))
     rows = rows.withColumn("hex", F.sha1(F.col("payload").cast("binary")))
     n = max(1, -(-(rows.agg(F.sum(F.octet_length("payload"))).first()[0] or 0) // FILE_BYTES))
-    # only ids and digests meet their equals; payloads move once, dealt by id and digest, which no group shares
-    narrow = rows.select("id", "hex", F.octet_length("payload").alias("bytes")).filter(F.col("bytes") >= least).distinct()
-    newest = narrow.groupBy("hex").agg(F.max("id").alias("first"))
-    first = narrow.join(newest, "hex").select(F.coalesce(F.col("id"), F.lit(-1)).alias("k"), F.col("id").isNull().alias("kn"), F.col("hex").alias("kh"), "first")
+    # only ids and digests meet their equals, those of a hot digest in SALTS parts; payloads move once, dealt by id and digest, which no group shares
+    narrow = rows.filter(F.octet_length("payload") >= least).select("id", "url", "hex")
+    newest = narrow.groupBy("hex").agg(F.max(F.struct("id", "url")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("hex", "first.*")
+    newest = newest.select(F.col("hex").alias("kh"), F.col("id").alias("first"), F.col("url").alias("first_url"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = narrow.select("id", "hex").distinct().withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    first = salted.join(newest, (salted.hex == newest.kh) & (salted.salt == newest.salt)).select(F.coalesce(F.col("id"), F.lit(-1)).alias("k"), F.col("id").isNull().alias("kn"), "kh", "first", "first_url")
     whole = (
         rows.withColumns({"k": F.coalesce(F.col("id"), F.lit(-1)), "kn": F.col("id").isNull()}).repartition(n, "k", "kn", "hex")
         .groupBy("k", "kn", "hex", "id", "url").agg(F.count("*").alias("copies"), F.first("payload").alias("payload"))
     )
     found = whole.join(first.repartition(n, "k", "kn", "kh"), (whole.k == first.k) & (whole.kn == first.kn) & (whole.hex == first.kh), "left").drop(first.k).drop(first.kn)
+    one = found.filter("copies = 1").withColumn("copy", F.lit(1).cast("long"))
+    more = found.filter("copies > 1").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).repartition(n, "k", "copy")
     is_response = F.col("first").isNull() | F.col("id").eqNullSafe(F.col("first"))
-    return found.select("id", "url", "payload", "hex", "copies", F.when(is_response, "response").otherwise("revisit").alias("kind"), F.when(~is_response, F.col("first")).alias("refers_to"))
+    return one.unionByName(more).select(
+        "id", "url", "payload", "hex", "copy", F.when(is_response, "response").otherwise("revisit").alias("kind"),
+        F.when(~is_response, F.col("first")).alias("refers_to"), F.when(~is_response, F.col("first_url")).alias("refers_url"))
+
+
+def _capture_id(id_: Column, url: Column, hex_: Column, copy: Column) -> Column:
+    return _urn(F.lit("capture"), id_, url, hex_, copy)
 
 
 def write_archive(found: DataFrame, path: str, compression: str = "gzip") -> None:
     """Writes captures as WARC files under path: a request, a response or revisit, and a metadata record of each.
 
-    A revisit has no payload but its digest, and names the response it refers to; the metadata record holds the page's id, the
-    payload's full length and the number of equal rows.
+    A revisit has no payload but its digest, and names the response it refers to by that record's id; the metadata record holds the
+    page's id, the payload's full length and the page that a revisit refers to.
     """
     uri = F.regexp_replace(F.coalesce(F.col("url"), F.lit("urn:none")), r"[\x00-\x20]", "%20")
-    me = _urn(F.lit("capture"), F.col("id"), F.col("url"), F.col("hex"))
+    me = _capture_id(*map(F.col, ("id", "url", "hex", "copy")))
     digest = F.concat(F.lit("WARC-Payload-Digest: sha1:"), base32_of_hex(F.col("hex")))
     size = F.octet_length("payload").cast("string")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), size, F.lit(CRLF + CRLF))
-    target = F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(":"), F.col("hex"), F.lit(">"))
+    target = F.concat(F.lit("WARC-Refers-To: "), _capture_id(F.col("refers_to"), F.col("refers_url"), F.col("hex"), F.lit(1)))
     request = _record("request", _urn(F.lit("request"), me), uri, "application/http; msgtype=request", [F.concat(F.lit("WARC-Concurrent-To: "), me)],
                       F.concat(F.lit("GET "), uri, F.lit(f" HTTP/1.1{CRLF}{CRLF}")))
     response = _record(F.col("kind"), me, uri, "application/http; msgtype=response", [digest, F.when(F.col("kind") == "revisit", F.concat_ws(CRLF, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), target))],
                        F.concat(http, F.when(F.col("kind") == "response", F.col("payload")).otherwise("")))
-    fields = F.concat_ws(CRLF, F.concat(F.lit("page_id: "), F.col("id").cast("string")), F.concat(F.lit("payload_bytes: "), size), F.concat(F.lit("copies: "), F.col("copies").cast("string")))
+    fields = F.concat_ws(CRLF, F.concat(F.lit("page_id: "), F.col("id").cast("string")), F.concat(F.lit("payload_bytes: "), size), F.concat(F.lit("refers_to_page: "), F.col("refers_to").cast("string")))
     metadata = _record("metadata", _urn(F.lit("metadata"), me), uri, "application/warc-fields", [F.concat(F.lit("WARC-Concurrent-To: "), me)], fields)
     found.select(F.explode(F.array(request, response, metadata)).alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", compression).text(path)
 
@@ -227,10 +239,9 @@ def page_digests(captured: DataFrame) -> DataFrame:
     """
     rows = captured.withColumns({
         "page_id": _field("page_id"), "payload_bytes": F.coalesce("read_bytes", _field("payload_bytes")),
-        "payload_digest": F.coalesce("read_digest", "payload_digest"), "copies": _field("copies"),
+        "payload_digest": F.coalesce("read_digest", "payload_digest"), "refers_to": _field("refers_to_page"),
     })
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", F.regexp_extract("refers_to", r"^<urn:page:(-?\d+):", 1).try_cast("long").alias("refers_to"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import gzip
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from lattico.llm import warc
 
@@ -33,13 +34,25 @@ def test_round_trip(spark, tmp_path, compression):
     assert records.groupBy("warc_type").count().count() == 4 and records.select("record_id").distinct().count() == records.count()
     captured = warc.assemble(records)
     rows = captured.collect()
+    assert len(rows) == len(PAGES) and records.count() == 3 * len(PAGES)  # equal rows too are records of their own
     assert all(len(r["requests"]) == 1 and len(r["metadata"]) == 1 for r in rows)
+    responses = {r["record_id"]: r["payload_digest"] for r in rows if r["record_type"] == "response"}
+    assert all(responses[r["refers_to"]] == r["payload_digest"] for r in rows if r["record_type"] == "revisit")
     payloads = {bytes(r["response"]).split(b"\r\n\r\n", 1)[1] for r in rows if r["record_type"] == "response"}
     assert payloads == {(h or "").encode() for _, _, h in PAGES}
     assert all(r["read_digest"] == r["payload_digest"] for r in rows if r["record_type"] == "response")
     assert sorted((tuple(r) for r in warc.page_digests(captured).collect()), key=repr) == expected(PAGES)
 
 
+def test_a_crowd_of_equal_pages(spark, tmp_path):
+    df = spark.range(3000).select(F.lit(7).alias("page_id"), F.lit("u").alias("url"), F.lit("same").alias("html")).unionByName(spark.createDataFrame([(9, "v", "same"), (3, "w", None)], "page_id long, url string, html string"))
+    warc.write_archive(warc.captures(df.repartition(13)), str(tmp_path / "w"))
+    records = warc.read_archive(spark, str(tmp_path / "w"))
+    assert records.select("record_id").distinct().count() == records.count() == 3 * 3002
+    got = {tuple(r): n for *r, n in warc.page_digests(warc.assemble(records)).groupBy("page_id", "record_type", "refers_to").count().collect()}
+    assert got == {(7, "revisit", 9): 3000, (9, "response", None): 1, (3, "response", None): 1}
+
+
 def test_least_size(spark):
     got = {(r["id"], r["kind"]) for r in warc.captures(spark.createDataFrame([(1, "a", "xx"), (2, "a", "xx"), (3, "a", "yyyy"), (4, "a", "yyyy")], "page_id long, url string, html string"), least=3).collect()}
     assert got == {(1, "response"), (2, "response"), (3, "revisit"), (4, "response")}
