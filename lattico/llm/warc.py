@@ -58,7 +58,7 @@ def captures(pages: DataFrame, least: int = 0, id_: str = "page_id", url: str =
 
     A null payload is empty. Of captures with equal payloads of at least `least` bytes, those with the largest id are responses
     and the others revisit it; a null id is smaller than any. copy numbers rows that are equal in id, url and payload, from 1, so
-    that record ids are unique. Other columns aren't read. An empty table gives an empty result.
+    that record ids are unique; such rows meet in the task that writes them. Other columns aren't read. An empty table gives an empty result.
     """
     rows = pages.select(F.col(f"`{id_}`").cast("long").alias("id"), F.col(f"`{url}`").cast("string").alias("url"), F.coalesce(F.col(f"`{payload}`").cast("string"), F.lit("")).alias("payload"))
     rows = rows.withColumn("hex", F.sha1(F.col("payload").cast("binary")))
@@ -74,11 +74,9 @@ def captures(pages: DataFrame, least: int = 0, id_: str = "page_id", url: str =
         .groupBy("k", "kn", "hex", "id", "url").agg(F.count("*").alias("copies"), F.first("payload").alias("payload"))
     )
     found = whole.join(first.repartition(n, "k", "kn", "kh"), (whole.k == first.k) & (whole.kn == first.kn) & (whole.hex == first.kh), "left").drop(first.k).drop(first.kn)
-    one = found.filter("copies = 1").withColumn("copy", F.lit(1).cast("long"))
-    more = found.filter("copies > 1").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).repartition(n, "k", "copy")
     is_response = F.col("first").isNull() | F.col("id").eqNullSafe(F.col("first"))
-    return one.unionByName(more).select(
-        "id", "url", "payload", "hex", "copy", F.when(is_response, "response").otherwise("revisit").alias("kind"),
+    return found.select(
+        "id", "url", "payload", "hex", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"), F.when(is_response, "response").otherwise("revisit").alias("kind"),
         F.when(~is_response, F.col("first")).alias("refers_to"), F.when(~is_response, F.col("first_url")).alias("refers_url"))
 
 
