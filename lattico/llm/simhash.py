@@ -226,9 +226,11 @@ def keep_one(df: DataFrame, text: str = "text", id_: str = "doc_id", near: Calla
     rows = df.withColumn("__key", F.struct(key.alias("id"), F.xxhash64(f"`{text}`").alias("text")))  # an id may have several texts
     found = cut((near or near_duplicates)(rows, text, "__key").select("__key", "component_id"), "duplicates")
     gone = found.filter(F.col("__key") != F.col("component_id")).select("__key").distinct()
-    repeated = found.groupBy("__key").count().filter("count > 1").select("__key")
+    repeated = cut(found.groupBy("__key").count().filter("count > 1").select("__key"), "repeated")
     # merged at every size: what goes grows with the input, so it has no bound under which to broadcast it
     left = rows.join(gone.hint("merge"), "__key", "left_anti")
+    if not repeated.take(1):
+        return left.select(*[F.col(f"`{c}`") for c in df.columns])
     again = left.join(repeated, "__key", "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy("__key").orderBy(F.col(f"`{text}`")))).filter("__n = 1").drop("__n")
     return left.join(repeated, "__key", "left_anti").unionByName(again).select(*[F.col(f"`{c}`") for c in df.columns])
 
