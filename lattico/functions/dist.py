@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(x: Column, body: Callable[[Column], Column]) -> Column:
+    """body of x, with x worked out once however often body uses it: a lambda over one element is SQL's let."""
+    return F.element_at(F.transform(F.array(x), body), 1)
 
 
 def _sum(x: Column) -> Column:
@@ -22,9 +27,8 @@ def uniform(k: Column) -> Column:
 
 def normalize(p: Column) -> Column:
     """Negatives clipped, divided by the sum; uniform if nothing is left."""
-    clipped = F.transform(p, lambda x: F.greatest(x, F.lit(0.0)))
-    total = _sum(clipped)
-    return F.when(total > 0, F.transform(clipped, lambda x: x / total)).otherwise(uniform(F.size(p)))
+    shares = lambda c: bound(_sum(c), lambda total: F.when(total > 0, F.transform(c, lambda x: x / total)).otherwise(uniform(F.size(c))))
+    return bound(F.transform(p, lambda x: F.greatest(x, F.lit(0.0))), shares)
 
 
 def argmax(p: Column) -> Column:
@@ -47,29 +51,30 @@ def confidence(p: Column) -> Column:
 def interpolate(value: Column, k: Column) -> Column:
     """A value's mass on its two neighbouring levels of 0 .. k-1."""
     v = F.least(F.greatest(value, F.lit(0.0)), (k - 1).cast("double"))
-    return F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.greatest(F.lit(0.0), 1 - F.abs(i - v)))
+    return bound(v, lambda v: F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.greatest(F.lit(0.0), 1 - F.abs(i - v))))
 
 
 def votes(scores: Column, low: int, high: int) -> Column:
     """Share of votes on each level of low .. high."""
-    counts = F.transform(F.sequence(F.lit(low), F.lit(high)), lambda k: F.size(F.filter(scores, lambda x: x == k)).cast("double"))
-    return normalize(counts)
+    counts = lambda s: F.transform(F.sequence(F.lit(low), F.lit(high)), lambda k: F.size(F.filter(s, lambda x: x == k)).cast("double"))
+    return normalize(bound(scores, counts))
 
 
 def log_softmax(logits: Column, temperature: Column | float = 1.0) -> Column:
-    scaled = F.transform(logits, lambda x: x / temperature)
-    top = F.array_max(scaled)
-    total = F.log(F.aggregate(scaled, F.lit(0.0), lambda a, x: a + F.exp(x - top)))
-    return F.transform(scaled, lambda x: x - top - total)
+    return bound(F.transform(logits, lambda x: x / temperature), lambda z: bound(log_sum_exp_of(z), lambda total: F.transform(z, lambda x: x - total)))
 
 
 def softmax(logits: Column, temperature: Column | float = 1.0) -> Column:
     return F.transform(log_softmax(logits, temperature), F.exp)
 
 
+def log_sum_exp_of(x: Column) -> Column:
+    """For an x that is bound, or a column."""
+    return bound(F.array_max(x), lambda top: top + F.log(F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(v - top))))
+
+
 def log_sum_exp(x: Column) -> Column:
-    top = F.array_max(x)
-    return top + F.log(F.aggregate(x, F.lit(0.0), lambda a, v: a + F.exp(v - top)))
+    return bound(x, log_sum_exp_of)
 
 
 def brier(p: Column, t: Column) -> Column:
@@ -101,10 +106,13 @@ def smooth(t: Column, eps: float) -> Column:
 
 def ordinal_smooth(t: Column, eps: float) -> Column:
     """A one-hot target gives eps to its neighbours; a soft one stays."""
-    g, k = F.array_position(t, F.array_max(t)) - 1, F.size(t)
-    beside = F.when((g == 0) | (g == k - 1), F.lit(eps)).otherwise(F.lit(eps / 2))
-    moved = F.transform(t, lambda x, i: F.when(i == g, 1 - F.lit(eps)).when(F.abs(i - g) == 1, beside).otherwise(0.0))
-    return F.when((k < 2) | (F.array_max(t) < 1 - 1e-9) | F.lit(eps <= 0), t).otherwise(moved)
+
+    def moved(t: Column, g: Column) -> Column:
+        beside = F.when((g == 0) | (g == F.size(t) - 1), F.lit(eps)).otherwise(F.lit(eps / 2))
+        return F.transform(t, lambda x, i: F.when(i == g, 1 - F.lit(eps)).when(F.abs(i - g) == 1, beside).otherwise(0.0))
+
+    stays = lambda t: (F.size(t) < 2) | (F.array_max(t) < 1 - 1e-9) | F.lit(eps <= 0)
+    return bound(t, lambda t: F.when(stays(t), t).otherwise(bound(F.array_position(t, F.array_max(t)) - 1, lambda g: moved(t, g))))
 
 
 def unpermute(x: Column, perm: Column) -> Column:

@@ -7,16 +7,22 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 
+#: What stands for a null within a key, so that null and empty are told apart and a null never makes a key null.
+ABSENT = "\u0000\u0001"
+
+
+def _joined(*parts: Column) -> Column:
+    return F.sha1(F.concat_ws("\u0000", *[F.coalesce(p, F.lit(ABSENT)) for p in parts]))
 
 
 def question_key() -> Column:
     """State and instructions, whatever the options."""
-    return F.sha1(F.concat(F.col("state"), F.char(F.lit(0)), F.col("instructions")))
+    return _joined(F.col("state"), F.col("instructions"))
 
 
 def content_key() -> Column:
     """State, instructions and option names in order."""
-    return F.sha1(F.concat(F.col("state"), F.char(F.lit(0)), F.col("instructions"), F.char(F.lit(0)), F.array_join(F.col("options")["name"], "|")))
+    return _joined(F.col("state"), F.col("instructions"), F.array_join(F.col("options")["name"], "|", ABSENT))
 
 
 def first_wins(rows: DataFrame, key: Column, order: list[Column]) -> DataFrame:

@@ -1,32 +1,40 @@
 """Spike guards: a value is skipped if it isn't finite, above a limit, or far above the median of recent accepted ones.
 
 Skipped values don't enter the history, so the decision feeds back and no window function has it. A key's values are folded in
-order; what is kept between them is the last `window` accepted values, so state is bounded however long a key's history is.
+order; what is kept between them is the last `window` accepted values, so state is bounded however long a key's history is. Batch
+and stream share the fold: (recent values, next value) to (recent values, skip).
 """
 
 from __future__ import annotations
 
-import math
-from collections import deque
 from collections.abc import Iterable, Iterator
+from math import inf
 from statistics import median
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: How far above the median a value may lie, the limit of any value, accepted values that are remembered, and how many
+#: of them the median needs. A ratio or limit of 0 switches that test off.
+RATIO, LIMIT, WINDOW, LEAST = 10.0, 1000.0, 50, 20
 
-class SpikeGuard:
-    def __init__(self, ratio: float = 10.0, limit: float = 1000.0, window: int = 50, least: int = 20, history: Iterable[float] = ()):
-        self.ratio, self.limit, self.least, self.history = ratio, limit, least, deque(history, maxlen=window)
 
-    def skips(self, x: float) -> bool:
-        if not math.isfinite(x) or (self.limit and x > self.limit):
-            return True
-        if self.ratio and len(self.history) >= self.least and x > self.ratio * median(self.history):
-            return True
-        self.history.append(x)
-        return False
+def ceiling(recent: list[float], ratio: float, limit: float, least: int) -> float:
+    """The largest value that would be accepted next."""
+    by_median = ratio * median(recent) if ratio and len(recent) >= max(least, 1) else inf
+    return min(limit or inf, by_median)
+
+
+def fold(values: Iterable[float | None], recent: Iterable[float] = (), *, ratio: float = RATIO, limit: float = LIMIT, window: int = WINDOW, least: int = LEAST) -> tuple[list[bool], list[float]]:
+    """Whether each of the values is skipped, in order, and the accepted values to go on from. Null is no number and is skipped."""
+    skips, recent = [], list(recent)
+    for x in values:
+        accepted = x is not None and -inf < x < inf and x <= ceiling(recent, ratio, limit, least)
+        if accepted:
+            recent = [*recent, x][-window:]
+        skips.append(not accepted)
+    return skips, recent
 
 
 def guard(rows: DataFrame, key: str, order: str, value: str, **settings) -> DataFrame:
@@ -34,15 +42,16 @@ def guard(rows: DataFrame, key: str, order: str, value: str, **settings) -> Data
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", skip boolean"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, g = object(), SpikeGuard(**settings)
+        now, recent = object(), []
         for b in batches:
-            out = []
-            for k, x in zip(b[key], b[value], strict=True):
-                if k != now:
-                    now, g = k, SpikeGuard(**settings)
-                out.append(g.skips(float("nan") if x is None else float(x)))
-            b["skip"] = out
-            yield b
+            run_of = (b[key] != b[key].shift()).cumsum()
+            parts = []
+            for _, part in b.groupby(run_of, sort=False):
+                k = part[key].iloc[0]
+                skips, recent = fold(part[value].astype(float), recent if k == now else (), **settings)
+                now = k
+                parts.append(part.assign(skip=skips))
+            yield pd.concat(parts) if parts else b.assign(skip=pd.Series(dtype=bool))
 
     return rows.repartition(F.col(key)).sortWithinPartitions(key, order).mapInPandas(run, schema)
 

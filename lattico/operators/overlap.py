@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -18,22 +18,29 @@ def index(benchmarks: DataFrame, lenient: tuple[str, ...] = ()) -> DataFrame:
     return full.unionByName(frag).groupBy("kind", "x").agg(F.bool_or("strict").alias("strict"))
 
 
+def _digest(x: Column) -> Column:
+    """128 bits that stand for a text where texts meet: equal texts alone have equal digests, for any number of texts that fits a disk."""
+    return F.unhex(F.md5(x))
+
+
 def contamination(texts: DataFrame, found: DataFrame) -> DataFrame:
     """(id, n_frags, hits, full_hit, strict_hit, contaminated) of each id in texts (id, source, text); ids may have several texts.
 
     Contaminated: a whole text in the index, a strict fragment, or a fifth of the fragments. Sources that begin with gen_ never are.
-    Each id's distinct fragments meet the index as hashes of 64 bits would collide at scale, so as texts; counts are added up by id
-    after the join, which Spark broadcasts only while the index is small.
+    Texts become digests in the scan and don't move. Digests of distinct fragments are counted by id, and meet the index in an inner
+    join, so that what goes back to the ids is hits alone.
     """
-    full = texts.select("id", "source", F.lit("full").alias("kind"), T.normal(F.col("text")).alias("x"))
-    frag = texts.select("id", "source", F.lit("frag").alias("kind"), F.explode(T.fragments(F.col("text"), FRAGMENT_LEAST)).alias("x")).distinct()
-    joined = full.unionByName(frag).join(found, ["kind", "x"], "left")
-    hit = F.col("strict").isNotNull()
-    by = joined.groupBy("id").agg(
-        F.count_if(F.col("kind") == "frag").alias("n_frags"), F.count_if((F.col("kind") == "frag") & hit).alias("hits"), F.bool_or((F.col("kind") == "full") & hit).alias("full_hit"),
-        F.bool_or((F.col("kind") == "frag") & F.coalesce("strict", F.lit(False))).alias("strict_hit"), F.bool_or(F.startswith(F.col("source"), F.lit("gen_"))).alias("generated"))
+    made = texts.select("id", F.startswith(F.col("source"), F.lit("gen_")).alias("generated"), _digest(T.normal(F.col("text"))).alias("full"), F.transform(T.fragments(F.col("text"), FRAGMENT_LEAST), _digest).alias("frags"))
+    index_ = found.select("kind", _digest(F.col("x")).alias("x"), "strict")
+    asked = F.array_append(F.transform("frags", lambda x: F.struct(F.lit("frag").alias("kind"), x.alias("x"))), F.struct(F.lit("full").alias("kind"), F.col("full").alias("x")))
+    hits = made.select("id", F.explode(asked).alias("a")).select("id", "a.*").join(index_, ["kind", "x"]).distinct()
+    by_hit = hits.groupBy("id").agg(F.count_if(F.col("kind") == "frag").alias("hits"), F.bool_or(F.col("kind") == "full").alias("full_hit"), F.bool_or((F.col("kind") == "frag") & F.col("strict")).alias("strict_hit"))
+    by = made.groupBy("id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("frags")))).alias("n_frags"), F.bool_or("generated").alias("generated"))
+    by = by.join(by_hit.withColumnRenamed("id", "__hit"), F.col("id").eqNullSafe(F.col("__hit")), "left").drop("__hit")
+    by = by.withColumns({"n_frags": F.col("n_frags").cast("long"), "hits": F.coalesce("hits", F.lit(0)), "full_hit": F.coalesce("full_hit", F.lit(False)), "strict_hit": F.coalesce("strict_hit", F.lit(False))})
     enough = (F.col("n_frags") > 0) & (F.coalesce(F.try_divide(F.col("hits"), F.col("n_frags")), F.lit(0.0)) >= SHARE)
-    return by.withColumn("contaminated", ~F.coalesce("generated", F.lit(False)) & (F.col("full_hit") | F.col("strict_hit") | enough)).drop("generated")
+    contaminated = ~F.coalesce("generated", F.lit(False)) & (F.col("full_hit") | F.col("strict_hit") | enough)
+    return by.select("id", "n_frags", "hits", "full_hit", "strict_hit", contaminated.alias("contaminated"))
 
 
 def seen_by(rows: DataFrame, train: DataFrame, least: int = FRAGMENT_LEAST) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,21 +34,28 @@ def head_tail(rows: DataFrame, by: list[str], id_: str, size: int, seed: str) ->
     return ranked(rows, by, id_, seed).withColumn("part", F.when(place <= size, "val").when(place <= 2 * size, "test").otherwise("train")).drop("place")
 
 
+#: Rows that one task orders to find a cut, on average.
+CUT_ROWS = 50_000
+
+
 def first_of(rows: DataFrame, id_: str, seed: str, share: float | None = None, most: int | None = None) -> DataFrame:
     """rows with held: whether it is among the first floor(n * share), or the first `most`, in keyed order.
 
-    The cut-off digest is found from counts by the digest's first 12 bits and an exact rank within the one bucket that the cut
-    falls in, so that no task orders all rows.
+    The cut-off digest is found from counts by the digest's first digits, enough of them that a bucket has some CUT_ROWS rows, and
+    an exact rank within the one bucket that the cut falls in, so that no task orders all rows. Rows that share an id, or have none,
+    are rows of their own, and lie together in keyed order; where the cut falls among them, a hash of their columns decides.
     """
-    keys = rows.select(F.col(id_).alias("__id"), keyed.digest(seed, F.col(id_)).alias("__d")).withColumn("__b", F.substring("__d", 1, 3))
-    sizes = keys.groupBy("__b").agg(F.count("*").alias("n"))  # 4,096 rows at most
-    wanted = F.lit(most).cast("long") if share is None else F.floor(F.sum("n").over(Window.partitionBy()) * F.lit(share))
-    edges = sizes.withColumn("left", wanted - (F.sum("n").over(Window.orderBy("__b")) - F.col("n")))
-    marked = keys.join(edges, "__b")
-    split = marked.filter("left > 0 and left < n").withColumn("held", F.row_number().over(Window.partitionBy("__b").orderBy("__d", "__id")) <= F.col("left"))
-    rest = marked.filter("not (left > 0 and left < n)").withColumn("held", F.col("left") >= F.col("n"))
-    held = split.unionByName(rest).select("__id", "held")
-    return rows.join(held, rows[id_] == held["__id"]).drop("__id")
+    n = rows.count()
+    digits = max(2, min(8, math.ceil(math.log(max(n / CUT_ROWS, 1), 16)) + 1))
+    wanted = min(n, most) if share is None else math.floor(n * share)
+    plain = [F.col(f"`{f.name}`") for f in rows.schema if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    marked = rows.withColumn("__d", keyed.digest(seed, F.col(id_))).withColumn("__b", F.substring("__d", 1, digits))
+    sizes = marked.groupBy("__b").agg(F.count("*").alias("__n"))
+    edges = sizes.withColumn("__left", F.lit(wanted) - (F.sum("__n").over(Window.orderBy("__b")) - F.col("__n")))
+    joined = marked.join(edges, "__b")
+    split = joined.filter("__left > 0 and __left < __n").withColumn("held", F.row_number().over(Window.partitionBy("__b").orderBy("__d", F.xxhash64(*plain))) <= F.col("__left"))
+    rest = joined.filter("not (__left > 0 and __left < __n)").withColumn("held", F.col("__left") >= F.col("__n"))
+    return split.unionByName(rest).select(*[F.col(f"`{c}`") for c in rows.columns if c != "held"], "held")
 
 
 def holdout_rows(rows: DataFrame, id_: str, share: float, seed: str = "12345") -> DataFrame:
@@ -56,8 +65,8 @@ def holdout_rows(rows: DataFrame, id_: str, share: float, seed: str = "12345") -
 
 def holdout_groups(rows: DataFrame, group: str, share: float, seed: str) -> DataFrame:
     """rows with held: floor(groups * share) whole groups, the first in keyed order."""
-    picked = first_of(rows.select(group).distinct(), group, seed, share=share)
-    return rows.join(picked, group)
+    picked = first_of(rows.select(group).distinct(), group, seed, share=share).withColumnRenamed(group, "__g")
+    return rows.join(picked, F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
 
 
 def replicate(rows: DataFrame, when: Column, times: int, id_: str = "id") -> DataFrame:

@@ -406,8 +406,7 @@ def prompt_texts(spark: SparkSession, d: str) -> DataFrame:
 
 def json_leaves(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select(F.col("event_id").alias("id"), F.concat(F.lit('{"a":["x'), F.col("event_id").cast("string"), F.lit('",{"b":"'), F.col("event_type"), F.lit('"}],"p":'), F.col("props"), F.lit("}")).alias("doc"))
-    e.createOrReplaceTempView("lattico_json")
-    return spark.sql(text.leaves_sql("lattico_json"))
+    return e.select("id", F.explode(text.leaves("doc")).alias("leaf"))
 
 
 def clipped_texts(spark: SparkSession, d: str) -> DataFrame:

@@ -32,17 +32,22 @@ def noul_options(lang: str = "en") -> Column:
 
 
 def invalid_reason(tolerance: float = 1e-3) -> Column:
-    """The first rule that a decision breaks, in the order in which they are checked; null if it is valid."""
+    """The first rule that a decision breaks, in the order in which they are checked; null if it is valid.
+
+    A rule that can't be decided for a null (no type, options or target, an option without a name, a missing probability) counts as broken.
+    """
     names, k = F.col("options")["name"], F.size("options")
     total = F.aggregate("target", F.lit(0.0), lambda a, x: a + x)
+    fails = lambda broken: F.coalesce(broken, F.lit(True))
     return (
-        F.when(F.col("type").isNull() | ~F.col("type").isin(NOUL, CHOICE, SCORE), "type")
-        .when((F.col("type") == NOUL) & (F.array_sort(names) != F.array(F.lit("false"), F.lit("true"))), "noul options")
-        .when((F.col("type") == CHOICE) & ~k.between(2, MAX_CHOICES), "choice size")
-        .when((F.col("type") == SCORE) & ~k.between(MIN_LEVELS, MAX_LEVELS), "score size")
-        .when(F.size(F.array_distinct(names)) != k, "duplicate options")
-        .when(F.size("target") != k, "target size")
-        .when(F.exists("target", lambda p: p < 0) | (F.abs(total - 1) > tolerance), "target not a distribution")
+        F.when(fails(~F.col("type").isin(NOUL, CHOICE, SCORE)), "type")
+        .when((F.col("type") == NOUL) & fails(F.array_sort(names) != F.array(F.lit("false"), F.lit("true"))), "noul options")
+        .when((F.col("type") == CHOICE) & fails(~k.between(2, MAX_CHOICES)), "choice size")
+        .when((F.col("type") == SCORE) & fails(~k.between(MIN_LEVELS, MAX_LEVELS)), "score size")
+        .when(fails(F.exists(names, lambda n: n.isNull())), "option without a name")
+        .when(fails(F.size(F.array_distinct(names)) != k), "duplicate options")
+        .when(fails(F.size("target") != k), "target size")
+        .when(fails(F.exists("target", lambda p: p.isNull() | F.isnan(p) | (p < 0)) | (F.abs(total - 1) > tolerance)), "target not a distribution")
     )
 
 
@@ -53,7 +58,7 @@ def valid(decisions: DataFrame) -> DataFrame:
 def checked(decisions: DataFrame) -> DataFrame:
     """decisions as they are; an invalid one fails the job that reads it."""
     reason = invalid_reason()
-    fail = F.raise_error(F.concat(F.col("id"), F.lit(": "), reason)).cast("string")
+    fail = F.raise_error(F.concat(F.coalesce("id", F.lit("a decision without an id")), F.lit(": "), reason)).cast("string")
     return decisions.withColumn("id", F.when(reason.isNull(), F.col("id")).otherwise(fail))
 
 

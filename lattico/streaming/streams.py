@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import dist
-from ..operators.guard import SpikeGuard
+from ..operators.guard import fold
 from ..operators.requests import answer, request_error, to_decisions
 
 REQUEST = "grp string, state string, questions string, gold string, lang string"
@@ -38,16 +38,14 @@ def rejects(requests: DataFrame) -> DataFrame:
 
 def guarded(log: DataFrame, settings: dict | None = None) -> DataFrame:
     """(run, step, value, skip) of a log stream (run, step, value): each run's recent accepted values are its state."""
-    settings = settings or {}
 
-    def fold(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        guard = SpikeGuard(**settings, history=state.get[0] if state.exists else ())
+    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(pdfs)).sort_values("step", kind="stable")
-        rows["skip"] = [guard.skips(float(x)) for x in rows["value"]]
-        state.update((list(guard.history),))
-        yield rows[["run", "step", "value", "skip"]]
+        skips, recent = fold(rows["value"], state.get[0] if state.exists else (), **(settings or {}))
+        state.update((recent,))
+        yield rows[["run", "step", "value"]].assign(skip=skips)
 
-    return log.groupBy("run").applyInPandasWithState(fold, "run string, step long, value double, skip boolean", "history array<double>", "append", GroupStateTimeout.NoTimeout)
+    return log.groupBy("run").applyInPandasWithState(step, "run string, step long, value double, skip boolean", "history array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
 def event_counts(events: DataFrame, late: str = "10 minutes", size: str = "1 hour", slide: str | None = None) -> DataFrame:

@@ -42,16 +42,30 @@ def test_security_rules(spark):
 
 
 def test_spike_guard_vectors():
-    g = guard.SpikeGuard(ratio=10, limit=1000, window=50, least=5)
-    assert [g.skips(x) for x in (3, 4, 5, 4, 3, 41, 39, float("nan"), float("inf"))] == [False] * 5 + [True, False, True, True]
+    skips, recent = guard.fold((3, 4, 5, 4, 3, 41, 39, float("nan"), float("inf"), None, float("-inf")), least=5)
+    assert skips == [False] * 5 + [True, False, True, True, True, True] and recent == [3, 4, 5, 4, 3, 39]
+    assert guard.fold([5000.0, 1.0], limit=0)[0] == [False, False] and guard.fold([5000.0])[0] == [True]
 
 
-def test_guard_over_spark_equals_a_fold(spark):
+def by_definition(values, ratio, limit, window, least):
+    """Each value against all that were accepted before it, from the start every time."""
+    accepted, skips = [], []
+    for x in values:
+        last = sorted(accepted[-window:])
+        mid = (last[(len(last) - 1) // 2] + last[len(last) // 2]) / 2 if last else 0
+        odd = bool((limit and x > limit) or (ratio and len(last) >= least and x > ratio * mid))
+        skips.append(odd)
+        accepted += [] if odd else [x]
+    return skips
+
+
+def test_guard_over_spark(spark):
     rows = [(k, i, float((i * 37 + k * 11) % 90 + (500 if i % 29 == 0 else 0))) for k in range(5) for i in range(200)]
-    out = guard.guard(spark.createDataFrame(rows, "k int, i int, x double"), "k", "i", "x", ratio=3.0, limit=0, window=20, least=5).collect()
-    for k in range(5):
-        g = guard.SpikeGuard(ratio=3.0, limit=0, window=20, least=5)
-        assert [r["skip"] for r in sorted((r for r in out if r["k"] == k), key=lambda r: r["i"])] == [g.skips(x) for kk, _, x in rows if kk == k]
+    for settings in ({"ratio": 3.0, "limit": 0, "window": 20, "least": 5}, {"ratio": 0, "limit": 300.0, "window": 3, "least": 1}):
+        out = guard.guard(spark.createDataFrame(rows, "k int, i int, x double"), "k", "i", "x", **settings).collect()
+        for k in range(5):
+            got = [r["skip"] for r in sorted((r for r in out if r["k"] == k), key=lambda r: r["i"])]
+            assert got == by_definition([x for kk, _, x in rows if kk == k], **settings) and any(got)
 
 
 def test_bucket(one):
@@ -114,3 +128,13 @@ def test_checkpoints(spark):
     m = spark.createDataFrame([("r", 1, "a", 5), ("r", 2, "a", 5), ("r", 2, "b", 6)], "run string, step int, file string, bytes long")
     f = spark.createDataFrame([("r", 1, "a", 5), ("r", 2, "a", 5), ("r", 2, "b", 7)], "run string, step int, file string, bytes long")
     assert [r["step"] for r in plan.whole_checkpoints(m, f).collect()] == [1]
+
+
+def test_first_of_takes_rows_as_they_are(spark):
+    """Repeated ids stay as many rows as they are, and null ids don't vanish."""
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), (None, 4), (None, 5), ("c", 6)], "id string, x int")
+    for n in range(7):
+        got = sample.first_of(rows, "id", "s", most=n)
+        assert got.count() == 6 and got.filter("held").count() == n
+        assert sorted(r["x"] for r in got.filter("held").collect()) == sorted(r["x"] for r in sample.first_of(rows.repartition(5), "id", "s", most=n).filter("held").collect())
+    assert sample.holdout_rows(rows, "id", 0.5).filter("held").count() == 3

@@ -32,3 +32,20 @@ def test_missing_prediction_fails(spark):
     d = spark.createDataFrame([("a",), ("b",)], "id string")
     with pytest.raises(Exception, match="no prediction for b"):
         schema.with_predictions(d, spark.createDataFrame([("a", [1.0])], schema.PREDICTION)).collect()
+
+
+def test_nulls_are_invalid(spark):
+    kind = f"id string, type string, options array<{schema.OPTION}>, target array<double>"
+    ab = [("a", ""), ("b", "")]
+    rows = [("1", None, ab, [1.0, 0.0]), ("2", "choice", None, [1.0, 0.0]), ("3", "choice", ab, None), ("4", "choice", [("a", ""), (None, "")], [1.0, 0.0]), ("5", "choice", ab, [1.0, None]), ("6", "noul", None, None), ("7", "choice", ab, [float("nan"), 1.0]), (None, "choice", ab, [1.0, 0.0])]
+    got = [r["r"] for r in spark.createDataFrame(rows, kind).select("id", schema.invalid_reason().alias("r")).orderBy(F.col("id").asc_nulls_last()).collect()]
+    assert got == ["type", "choice size", "target size", "option without a name", "target not a distribution", "noul options", "target not a distribution", None]
+
+
+def test_null_keys_are_keys(spark):
+    from lattico.operators import dedup
+
+    rows = [(1, None, "q", ["a"]), (2, None, "r", ["a"]), (3, "", "q", ["a"]), (4, None, "q", ["a"]), (5, "s", None, ["a"]), (6, "s", "", ["a"]), (7, "s", None, [None]), (8, "s", None, [""])]
+    d = spark.createDataFrame([(i, s, q, [(n, "") for n in o]) for i, s, q, o in rows], f"i int, state string, instructions string, options array<{schema.OPTION}>")
+    kept = lambda key: sorted(r["i"] for r in dedup.first_wins(d, key, [F.col("i")]).collect())
+    assert kept(dedup.question_key()) == [1, 2, 3, 5, 6] and kept(dedup.content_key()) == [1, 2, 3, 5, 6, 7, 8]

@@ -58,5 +58,13 @@ def test_shuffled_is_a_permutation(spark):
 
 
 def test_leaves(spark):
-    spark.createDataFrame([(1, '{"a":["x",{"b":"y"}],"c":3}'), (2, "[]"), (3, None)], "id long, doc string").createOrReplaceTempView("docs_json")
-    assert sorted(r["leaf"] for r in spark.sql(text.leaves_sql("docs_json")).collect()) == ["x", "y"]
+    deep = '{"d":' * 60 + '["end", {"e": "more"}, 1, null, true]' + "}" * 60
+    docs = spark.createDataFrame([(1, '{"a":["x",{"b":"y"}],"c":3}'), (2, "[]"), (3, None), (4, "not json"), (5, deep), (6, '"[{alone"'), (7, '{"k":"","l":["z","z"]}')], "id long, doc string")
+    got = sorted((r["id"], r["leaf"]) for r in docs.select("id", F.explode(text.leaves("doc")).alias("leaf")).collect())
+    assert got == [(1, "x"), (1, "y"), (5, "end"), (5, "more"), (6, "[{alone"), (7, ""), (7, "z"), (7, "z")]
+
+
+def test_leaves_of_many_documents(spark):
+    """Two million values in all: more than a recursive query takes."""
+    docs = spark.range(400_000).select(F.format_string('{"a":["x%d",{"b":"y"}],"c":3}', "id").alias("doc"))
+    assert docs.select(F.explode(text.leaves("doc"))).count() == 800_000
