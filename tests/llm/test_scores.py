@@ -1,42 +1,6 @@
-import numpy as np
 from pyspark.sql import functions as F
 
-from lattico.llm import crossentropy, licenses
-
-
-def test_models_are_distributions(spark):
-    docs = spark.createDataFrame([(1, "a b a b c", True), (2, "c c d", False), (3, None, True), (4, "", None)], "doc_id long, text string, target boolean")
-    tokens, t, b = crossentropy.train(docs)
-    assert np.allclose(np.exp(t).sum(1), 1) and np.allclose(np.exp(b).sum(1), 1)
-    counts = crossentropy.bigrams(docs, tokens)
-    assert counts[0].sum() == 5 and counts[1].sum() == 8
-    at = tokens.of(b"A b unseen")
-    assert at[0] == tokens.of(b"a")[0] and at[2] > len(tokens.words)
-
-
-def test_differences(spark):
-    rows = [(i, "the cat sat on the mat " * 5, True) for i in range(30)] + [(100 + i, "xq zv wk jj " * 5, False) for i in range(30)]
-    rows += [(200, None, None), (201, "", None), (202, "the cat sat", None), (203, "zv wk jj", None), (202, "the cat sat", None), (204, "word " * 50_000, None)]
-    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, target boolean, difference int")
-    tokens, t, b = crossentropy.train(docs)
-    got = {r["doc_id"]: r for r in crossentropy.score(docs, tokens, t, b).collect()}
-    assert got[202]["difference"] < 0 < got[203]["difference"] and got[200]["difference"] is None and got[201]["n_tokens"] == 0
-    ids = tokens.of(b"the cat sat")
-    slow = -sum(t[h, w] for h, w in zip([0, *ids[:-1]], ids, strict=True)) / 3
-    assert abs(got[202]["target_loss"] - slow) < 1e-9
-    assert abs(got[202]["difference"] - (got[202]["target_loss"] - got[202]["background_loss"])) < 1e-12
-
-
-def test_vocabulary_counts_all(spark, monkeypatch):
-    monkeypatch.setattr(crossentropy, "FLUSH", 2)
-    docs = spark.createDataFrame([("b a c a",), ("A c",), (None,), ("d",)], "text string")
-    assert crossentropy.vocabulary(docs, words=3) == [b"a", b"c", b"b"]
-
-
-def test_no_documents(spark):
-    empty = spark.createDataFrame([], "doc_id long, text string, target boolean")
-    tokens, t, b = crossentropy.train(empty)
-    assert np.allclose(t, b) and crossentropy.score(empty, tokens, t, b).collect() == []
+from lattico.llm import licenses
 
 
 def test_template_matches():
