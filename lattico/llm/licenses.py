@@ -1,9 +1,10 @@
-"""License scans: TF-IDF cosine of lines to templates, then the nearest licence file of a directory above.
+"""License scans: TF-IDF cosine of headers and licence files to templates, then the nearest licence file of a directory above.
 
-Templates are phrases that name a license, in the ways that headers and licence files put it. Each line of a whole text that
-holds words of their vocabulary is compared with all of them by sparse TF-IDF cosine, and the best above THRESHOLD is the
-text's own license. A file is its directory's licence file if it is named as one or if its license line makes up a good part of
-it. Files without a license of their own take that of the nearest directory above which has one, by joins on paths.
+Templates are phrases that name a license, in the ways that headers and licence files put it, and passages of headers and licence
+files. Stretches of a whole text are compared with them by sparse TF-IDF cosine, and the best above THRESHOLD is the text's own
+license; a license that is denied isn't. Stretches are passed over only where they hold no term without which the threshold can't
+be reached. A file is its directory's licence file if it is named as one or if its license line makes up a good part of it. Files
+without a license of their own take that of the nearest directory above which has one, by joins on paths.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts, replace_columns, table
+from .common import Sheltered, cut, map_texts, table
 
 #: Least cosine, and the part of a file's words that its license line must be for a licence file without a licence file's name.
 THRESHOLD, PART = 0.6, 0.25
@@ -42,17 +43,42 @@ NAMES = {
 #: The phrases around a name.
 FRAMES = ("{}", "Licensed under {}", "Licensed under the {}", "Released under the {}", "This work is licensed under the {}", "Distributed under the terms of the {}", "SPDX-License-Identifier: {}")
 
-#: Passages of licence files and headers that don't name their license. A file that holds one has that license.
+#: Passages of headers and licence files, which tell their license whether or not they name it.
 PASSAGES = {
-    "MIT": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
-        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+    "Apache-2.0": (
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+        "\"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document",
+        "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form",
     ),
-    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",),
     "BSD-2-Clause": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
     ),
+    "CC-BY-4.0": ("By exercising the Licensed Rights, You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution 4.0 International Public License",),
+    "CC-BY-NC-4.0": ("By exercising the Licensed Rights, You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution-NonCommercial 4.0 International Public License",),
+    "CC-BY-SA-4.0": ("By exercising the Licensed Rights, You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution-ShareAlike 4.0 International Public License",),
+    "CC0-1.0": ("Affirmer hereby overtly, fully, permanently, irrevocably and unconditionally waives, abandons, and surrenders all of Affirmer's Copyright and Related Rights",),
+    "GPL-2.0": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+        "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software",
+    ),
+    "GPL-3.0": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+        "The GNU General Public License is a free, copyleft license for software and other kinds of works",
+    ),
+    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",),
+    "LGPL-3.0": (
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+        "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below",
+    ),
+    "MIT": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+    ),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
+        "\"Covered Software\" means Source Code Form to which the initial Contributor has attached the notice in Exhibit A, the Executable Form of such Source Code Form, and Modifications of such Source Code Form, in each case including portions thereof",
+    ),
     "Unlicense": (
         "This is free and unencumbered software released into the public domain",
         "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means",
@@ -60,10 +86,12 @@ PASSAGES = {
 }
 #: The clause that makes three of BSD's two.
 ENDORSE = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"
-#: Terms of passages that other texts hardly hold, one of which each passage has.
-RARE = ("hereby", "portions", "redistribution", "redistributions", "unencumbered", "binary", "endorse")
-#: Least cosine to a passage, and lines that a passage or name may be wrapped over.
+#: Least cosine to a passage, and lines that a name and its version may be wrapped over.
 PASSAGE, LINES = 0.75, 12
+#: Terms that say the contrary of a license named within so many terms after them.
+DENIALS, DENIAL_REACH = frozenset("not never no nor isn wasn aren neither without unless".split()), 4
+#: Names that stand alone on a line, as they are written.
+ALONE = {name: k for k, names in NAMES.items() for name in names if len(re.findall(r"\w+", name)) == 1}
 #: Terms one of which a window of a longer line must hold beside a telling one.
 NAMING = frozenset("license licensed licence spdx released distributed terms public gpl lgpl mpl apache bsd cc unlicense".split())
 #: Licenses that their version tells apart; terms after a name in which the version stands.
@@ -118,7 +146,7 @@ class Templates:
         for i in range(len(line)):
             for j in range(i + 2, min(len(line), i + LONGEST) + 1):
                 part = line[i:j]
-                if NAMING.intersection(part) and part[0] in self.idf and part[-1] in self.idf:
+                if NAMING.intersection(part) and part[0] in self.idf and part[-1] in self.idf and not DENIALS.intersection(line[max(0, i - DENIAL_REACH) : j]):
                     score, license_ = self.best(" ".join(part))
                     if score > top[0] + 1e-12:
                         top = (score, license_, j)
@@ -134,63 +162,110 @@ class Templates:
     def scan(self, text: str) -> tuple[str | None, float, str | None, float]:
         """License, cosine, line (the first of the best), and the line's part of the text's words."""
         top: tuple[float, str | None, str | None] = (0.0, None, None)
-        if self.filter.search(text.lower()):
+        low = text.lower()
+        if self.filter.search(low):
             lines = text.split("\n")
             for at, line in enumerate(lines):
                 if self.filter.search(line.lower()):
                     own = terms(line)
                     naming = NAMING.intersection(own)
-                    if not naming:
-                        score, license_ = self.best(line)
+                    if line.strip(" \t\r#*/;.") in ALONE:
+                        score, license_ = 1.0, ALONE[line.strip(" \t\r#*/;.")]
+                    elif not naming:
+                        score, license_ = (0.0, None) if DENIALS.intersection(own) else self.best(line)
                     else:
                         after = own + terms(" ".join(lines[at + 1 : at + LINES]))
                         joined = own if len(own) > LONGEST else after[: len(own) + LONGEST // 2]
                         score, license_ = max((self.window(x, after) for x in (own, joined)), key=lambda x: x[0]) if self.telling.intersection(own) else (0.0, None)
                     if score > top[0] + 1e-12:
                         top = (score, license_, line.strip())
-        if top[0] < THRESHOLD and _RARE.search(text.lower()):
-            top = max(top, _PASSAGES.find(text), key=lambda x: x[0])
+        if _PASSAGES.filter.search(low):
+            top = max(_PASSAGES.find(text), top, key=lambda x: x[0])  # a passage tells more than the name in it
         if top[0] < THRESHOLD:
             return None, top[0], None, 0.0
         return top[1], top[0], top[2], len(top[2].split()) / max(1, len(text.split()))
 
 
+def necessary(v: dict[str, float], threshold: float, common: frozenset[str]) -> frozenset[str]:
+    """Terms of a unit vector one of which any vector of that cosine to it must hold.
+
+    What isn't matched can't add to the cosine, so the squares of the matched weights sum to threshold squared at least; terms whose
+    squares sum to more than the rest can't all be missing. Terms that other texts hardly hold come first, so that few texts pass.
+    """
+    out, mass = set(), 0.0
+    for t in sorted(v, key=lambda t: (t in common, -v[t], t)):
+        if mass > 1 - threshold**2 + 1e-9:
+            break
+        out.add(t)
+        mass += v[t] ** 2
+    return frozenset(out)
+
+
+#: Terms that most texts hold: they serve to skip a text only where a passage has too few others.
+COMMON = frozenset("a above all and any are as at be by can defined file files for form free from have if in is it its later may means most of on one or other others out person program provided purpose public sell shall share software source subject take terms that the this through to under use used version was with without work works you your".split())
+
+
 class Passages:
-    """Unit TF-IDF vectors of passages, compared with the stretches of a text that may hold them, whatever its lines."""
+    """Unit TF-IDF vectors of passages, compared with every stretch of their length that holds one of their necessary terms, whatever its lines."""
 
     def __init__(self):
         found = [(k, terms(p)) for k, ps in PASSAGES.items() for p in ps] + [("", terms(ENDORSE))]
         df = Counter(t for _, ts in found for t in set(ts))
         self.idf = {t: math.log((1 + len(found)) / (1 + n)) + 1 for t, n in df.items()}
         self.unknown = math.log(1 + len(found)) + 1
-        self.found = [(k, len(ts), self.unit(Counter(ts)), [(t, ts.index(t)) for t in RARE if t in ts]) for k, ts in found]
+        vectors = [(k, len(ts), self.unit(Counter(ts))) for k, ts in found]
+        self.found = [(k, n, v, necessary(v, PASSAGE, COMMON)) for k, n, v in vectors]
+        self.needed = frozenset().union(*[h for *_, h in self.found])
+        self.filter = re.compile(r"(?<![a-z])(?:" + "|".join(sorted(map(re.escape, self.needed))) + r")(?![a-z])")
 
     def unit(self, c: Counter) -> dict[str, float]:
         v = {t: n * self.idf.get(t, self.unknown) for t, n in c.items()}
         norm = math.sqrt(sum(x * x for x in v.values()))
         return {t: x / norm for t, x in v.items()}
 
+    def best_stretch(self, ts: list[str], starts: list[int], n: int, v: dict[str, float]) -> tuple[float, int]:
+        """The best cosine to v of the stretches of n terms from these starts (sorted), and the first start that has it. Sums move along with the stretch."""
+        top, at, c, dot, square, left, right = 0.0, 0, Counter(), 0.0, 0.0, 0, 0
+        for start in starts:
+            if start >= right:
+                c, dot, square, left, right = Counter(), 0.0, 0.0, start, start
+            for i in range(right, min(len(ts), start + n)):
+                w = self.idf.get(ts[i], self.unknown)
+                square += w * w * (2 * c[ts[i]] + 1)
+                dot += w * v.get(ts[i], 0.0)
+                c[ts[i]] += 1
+            right = max(right, min(len(ts), start + n))
+            for i in range(left, start):
+                w = self.idf.get(ts[i], self.unknown)
+                c[ts[i]] -= 1
+                square -= w * w * (2 * c[ts[i]] + 1)
+                dot -= w * v.get(ts[i], 0.0)
+            left = start
+            score = dot / math.sqrt(square) if square > 1e-9 else 0.0
+            if score > top + 1e-9:
+                top, at = score, start
+        return top, at
+
     def find(self, text: str) -> tuple[float, str | None, str | None]:
-        """The best cosine of PASSAGE or more, its license and the stretch; a rare term's place in a passage says where that may begin."""
-        ts = list(_TERM.finditer(text.lower()))
+        """The best cosine of PASSAGE or more, its license and the stretch."""
+        spans = list(_TERM.finditer(text.lower()))
+        ts = [m[0] for m in spans]
         where: dict[str, list[int]] = {}
-        for i, m in enumerate(ts):
-            if m[0] in RARE:
-                where.setdefault(m[0], []).append(i)
+        for i, t in enumerate(ts):
+            if t in self.needed:
+                where.setdefault(t, []).append(i)
         top: tuple[float, str | None, str | None] = (0.0, None, None)
         endorses = False
-        for license_, n, v, rare in self.found:
-            for start in sorted({max(0, i - at + shift) for t, at in rare for i in where.get(t, ()) for shift in (-2, 0, 2)}):
-                part = ts[start : start + n]
-                score = sum(x * v.get(t, 0.0) for t, x in self.unit(Counter(m[0] for m in part)).items())
-                if score >= PASSAGE and not license_:
-                    endorses = True
-                elif score >= PASSAGE and score > top[0] + 1e-12:
-                    top = (score, license_, " ".join(text[part[0].start() : part[-1].end()].split()))
+        for license_, n, v, needed in self.found:
+            starts = sorted({start for t in needed for i in where.get(t, ()) for start in range(max(0, i - n + 1), i + 1)})
+            score, start = self.best_stretch(ts, starts, n, v) if starts else (0.0, 0)
+            if score >= PASSAGE and not license_:
+                endorses = True
+            elif score >= PASSAGE and score > top[0] + 1e-12:
+                top = (score, license_, " ".join(text[spans[start].start() : spans[min(len(spans), start + n) - 1].end()].split()))
         return (top[0], "BSD-3-Clause", top[2]) if endorses and top[1] == "BSD-2-Clause" else top
 
 
-_RARE = re.compile("|".join(RARE))
 _PASSAGES = Passages()
 #: Terms of the longest template.
 LONGEST = max(len(terms(f.format(n))) for f in FRAMES for ns in NAMES.values() for n in ns)
@@ -211,35 +286,37 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", keep: list[st
     origin is header (the file's own text), inherited (from the licence file at the path licence_file) or none. Of several
     licence files in a directory that of the best cosine counts, then the smallest path. Null and empty texts have no license of
     their own; a null path inherits none. Repeated rows get equal results. An empty table gives an empty result. Columns of
-    files with the names added here are replaced.
+    files with the names added here are replaced; others may have any name.
     """
-    added = ["license", "cosine", "line", "origin", "licence_file"]
-    files = replace_columns(files, [a for a in added if a not in (path, text)])
-    keep = [c for c in files.columns if c != text] if keep is None else keep
+    user = Sheltered(files)
+    path, text = user.of(path), user.of(text)
+    inner = [c for c in user.inner if c != text] if keep is None else [user.of(k) for k in keep]
     templates = Templates()
 
     def fn(texts: list[bytes]) -> dict[str, pa.Array]:
         rows = [templates.scan(t.decode()) for t in texts]
-        return {"__own": pa.array([r[0] for r in rows], pa.string()), "__cos": pa.array([r[1] for r in rows], pa.float64()), "__line": pa.array([r[2] for r in rows], pa.string()), "__part": pa.array([r[3] for r in rows], pa.float64())}
-
-    rows = files.withColumn("__path", F.col(f"`{path}`").cast("string"))
-    rows = map_texts(rows, text, fn, "__own string, __cos double, __line string, __part double", [*keep, "__path"])
-    rows = cut(rows.withColumn("__dir", _directory(F.col("__path"))), "licenses")
-    named = F.element_at(_steps(F.col("__path")), -1).rlike(FILE_NAME)
-    holders = rows.filter(F.col("__own").isNotNull() & F.col("__dir").isNotNull() & (named | (F.col("__part") >= PART)))
-    by_dir = holders.groupBy("__dir").agg(F.min_by(F.struct("__own", "__path"), F.struct(-F.col("__cos"), F.col("__path"))).alias("h"))
-    by_dir = by_dir.select(F.col("__dir").alias("above"), F.col("h.__own").alias("lent"), F.col("h.__path").alias("lender"))
+        return {"own": pa.array([r[0] for r in rows], pa.string()), "cosine": pa.array([r[1] for r in rows], pa.float64()), "line": pa.array([r[2] for r in rows], pa.string()), "part": pa.array([r[3] for r in rows], pa.float64())}
+
+    rows = user.df.withColumn("path", F.col(path).cast("string"))
+    rows = map_texts(rows, text, fn, "own string, cosine double, line string, part double", [*inner, "path"])
+    rows = cut(rows.withColumn("dir", _directory(F.col("path"))), "licenses")
+    named = F.element_at(_steps(F.col("path")), -1).rlike(FILE_NAME)
+    holders = rows.filter(F.col("own").isNotNull() & F.col("dir").isNotNull() & (named | (F.col("part") >= PART)))
+    by_dir = holders.groupBy("dir").agg(F.min_by(F.struct("own", "path"), F.struct(-F.col("cosine"), F.col("path"))).alias("h"))
+    by_dir = by_dir.select(F.col("dir").alias("above"), F.col("h.own").alias("lent"), F.col("h.path").alias("lender"))
     # each directory's ancestors, itself included, once for all its files
-    steps = F.split("__dir", "/")
-    dirs = rows.filter(F.col("__own").isNull() & F.col("__dir").isNotNull()).select("__dir").distinct()
-    ancestors = dirs.select("__dir", F.explode(F.sequence(F.lit(0), F.when(F.col("__dir") == "", 0).otherwise(F.size(steps)))).alias("depth"))
+    steps = F.split("dir", "/")
+    dirs = rows.filter(F.col("own").isNull() & F.col("dir").isNotNull()).select("dir").distinct()
+    ancestors = dirs.select("dir", F.explode(F.sequence(F.lit(0), F.when(F.col("dir") == "", 0).otherwise(F.size(steps)))).alias("depth"))
     ancestors = ancestors.withColumn("above", F.array_join(F.slice(steps, F.lit(1), F.col("depth")), "/"))
-    nearest = ancestors.join(by_dir, "above").groupBy("__dir").agg(F.max_by(F.struct("lent", "lender"), "depth").alias("n"))
-    joined = rows.join(nearest, "__dir", "left")
-    own = F.col("__own").isNotNull()
-    return joined.select(
-        *[F.col(f"`{k}`") for k in keep], F.coalesce("__own", "n.lent").alias("license"), F.col("__cos").alias("cosine"), F.col("__line").alias("line"),
-        F.when(own, "header").when(F.col("n.lent").isNotNull(), "inherited").otherwise("none").alias("origin"), F.when(~own, F.col("n.lender")).alias("licence_file"))
+    nearest = ancestors.join(by_dir, "above").groupBy("dir").agg(F.max_by(F.struct("lent", "lender"), "depth").alias("n"))
+    joined = rows.join(nearest, "dir", "left")
+    own = F.col("own").isNotNull()
+    made = joined.withColumns({
+        "license": F.coalesce("own", "n.lent"), "origin": F.when(own, "header").when(F.col("n.lent").isNotNull(), "inherited").otherwise("none"),
+        "licence_file": F.when(~own, F.col("n.lender")),
+    })
+    return user.back(made, "license", "cosine", "line", "origin", "licence_file")
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

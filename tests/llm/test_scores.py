@@ -1,3 +1,7 @@
+import math
+import random
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from lattico.llm import licenses
@@ -53,3 +57,77 @@ def test_surrounded_wrapped_and_whole_licenses():
         (wrap(" ".join(bsd) + " " + licenses.ENDORSE), "BSD-3-Clause"), (wrap(" ".join(unlicense)), "Unlicense"), ("Er kam mit dem Zug und ging mit ihr.", None), ("the public was granted a copy of the terms by the general", None),
     ):
         assert t.scan("first\n" + text + "\nlast")[0] == want, (text, t.scan(text))
+
+
+def test_denied_and_lone_names():
+    t = licenses.Templates()
+    for text, want in (
+        ("This is not licensed under the Apache License 2.0", None), ("It was never released under the MIT License.", None), ("This is licensed under the Apache License 2.0", "Apache-2.0"), ("MIT", "MIT"), ("# ISC", "ISC"),
+        ("Unlicense", "Unlicense"), ("mit", None), ("It isn't under the GPL version 2, but is released under the MIT License.", "MIT"),
+    ):
+        assert t.scan("first\n" + text + "\nlast")[0] == want, (text, t.scan(text))
+
+
+def slow_cosine(p, a, b):
+    v = lambda ts: {t: n * p.idf.get(t, p.unknown) for t, n in Counter(ts).items()}
+    x, y = v(a), v(b)
+    norm = lambda z: math.sqrt(sum(w * w for w in z.values()))
+    return sum(w * y.get(t, 0.0) for t, w in x.items()) / (norm(x) * norm(y)) if x and y else 0.0
+
+
+def test_passages_against_all_stretches():
+    """Texts made of passages with words changed, among noise: the best cosine over every stretch, by brute force, is the one found."""
+    p, rng = licenses.Passages(), random.Random(3)
+    whole = [(k, x) for k, xs in licenses.PASSAGES.items() for x in xs]
+    noise = "the of license copy under terms software binary rain cloud public free version house river grants notice".split()
+    hits = 0
+    for _ in range(120):
+        license_, passage = rng.choice(whole)
+        words = [w if rng.random() > rng.choice((0, 0.1, 0.3)) else rng.choice(noise) for w in passage.split()]
+        ts = [rng.choice(noise) for _ in range(rng.randint(0, 30))] + words + [rng.choice(noise) for _ in range(rng.randint(0, 30))]
+        text = "\n# ".join(" ".join(ts[i : i + 8]) for i in range(0, len(ts), 8))
+        found = licenses.terms(text)
+        best = max((slow_cosine(p, licenses.terms(x), found[i : i + len(licenses.terms(x))]), k) for k, x in whole for i in range(len(found)))
+        score, got, _ = p.find(text)
+        if best[0] >= licenses.PASSAGE + 1e-6:
+            hits += 1
+            assert abs(score - best[0]) < 1e-6 and p.filter.search(text.lower()), (best, score, got, text)
+        else:
+            assert score == 0.0
+    assert 40 < hits < 120
+
+
+def test_headers_and_files_of_every_license():
+    t = licenses.Templates()
+    for want, passages in licenses.PASSAGES.items():
+        for x in passages:
+            words = x.split()
+            wrapped = "\n".join(" * " + " ".join(words[i : i + 7]) for i in range(0, len(words), 7))
+            assert t.scan("/*\n * Copyright 2020 Jane Doe\n *\n" + wrapped + "\n */\nint main;")[0] == want, (want, x, t.scan(wrapped))
+
+
+def test_ancestors_by_brute_force(spark):
+    rng = random.Random(4)
+    kinds = {"MIT": "Released under the MIT License.", "Apache-2.0": "Licensed under the Apache License, Version 2.0", "CC0-1.0": "Licensed under CC0 1.0", None: "plain words"}
+    rows = {}
+    for _ in range(250):
+        depth = rng.randint(0, 5)
+        where = "/".join(rng.choice("abc") for _ in range(depth))
+        name = rng.choice(["LICENSE", "COPYING.txt", "x.c", "y.c", "z.c", "w.txt"])
+        kind = rng.choice(list(kinds))
+        rows[f"{where}/{name}".lstrip("/")] = ("word " * rng.choice((0, 40)) + "\n" + kinds[kind], kind)
+    got = {r["path"]: (r["license"], r["origin"], r["licence_file"]) for r in licenses.scan(spark.createDataFrame([(p, t) for p, (t, _) in rows.items()], "path string, text string")).collect()}
+    scanned = {p: licenses.Templates().scan(t) for p, (t, _) in rows.items()}
+    for path, (_, kind) in rows.items():
+        assert scanned[path][0] == kind
+        want = (kind, "header", None) if kind else (None, "none", None)
+        here = path.split("/")[:-1]
+        while not kind:
+            holders = [(-scanned[p][1], p) for p in rows if p.split("/")[:-1] == here and scanned[p][0] and (p.split("/")[-1] in ("LICENSE", "COPYING.txt") or scanned[p][3] >= licenses.PART)]
+            if holders:
+                want = (scanned[min(holders)[1]][0], "inherited", min(holders)[1])
+                break
+            if not here:
+                break
+            here = here[:-1]
+        assert got[path] == want, path
