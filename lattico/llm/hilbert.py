@@ -1,9 +1,9 @@
 """Approximate nearest neighbours by shifted space-filling curves.
 
 Each of CURVES orderings projects the vectors to DIMS dimensions by a rotation of its own, shifts them, and takes the place along
-a Hilbert curve as key. Spark range-partitions (curve, key) into blocks of about BLOCK_ROWS rows: that is the index, with every
-row on every curve. A query looks at the blocks within a window around its own on each curve; what the windows give is merged
-and reranked by exact distances. The window is as wide as the true neighbours of a bounded sample of queries, found by brute
+a Hilbert curve as key. Spark range-partitions (curve, key), and each partition's sorted rows are cut into blocks of BLOCK_ROWS:
+that is the index, with every row on every curve. A query looks at the blocks within a window around its own on each curve; what
+the windows give is merged and reranked by exact distances. A block meets its queries some QUERIES_AT_ONCE at a time. The window is as wide as the true neighbours of a bounded sample of queries, found by brute
 force in blocks, need it to be: narrow where a few dimensions tell neighbours apart, and wide where none do.
 """
 
@@ -19,6 +19,8 @@ from .common import cut, table
 
 CURVES, DIMS, BITS = 4, 8, 7
 BLOCK_ROWS = 2048
+#: Bytes of vectors in a partition of the index, and queries that meet a block in one task, on average.
+PARTITION_BYTES, QUERIES_AT_ONCE = 64 << 20, 2048
 #: Queries that fit the window, at most, and the share of their true neighbours that must lie in it.
 FIT_QUERIES, RECALL = 256, 0.97
 NEIGHBOURS = 10
@@ -65,11 +67,12 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def usable(df: DataFrame, id_: str, vector: str) -> tuple[DataFrame, int]:
-    """(id, v as doubles) of the rows that take part, and their dimension: that of most vectors, the larger of equals.
+    """(id, v, of floats where they are, else of doubles) of the rows that take part, and their dimension: that of most vectors, the larger of equals.
 
     Null ids, null, empty and zero vectors, those holding null or non-finite components and those of another dimension don't.
     """
-    v = F.col(f"`{vector}`").cast("array<double>")
+    kind = "array<float>" if df.select(F.col(f"`{vector}`").alias("v")).schema["v"].dataType.simpleString() == "array<float>" else "array<double>"
+    v = F.col(f"`{vector}`").cast(kind)
     bad: Column = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = df.select(F.col(f"`{id_}`").cast("long").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull() & ~bad & F.exists(v, lambda x: x != 0.0))
     first = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
@@ -77,8 +80,11 @@ def usable(df: DataFrame, id_: str, vector: str) -> tuple[DataFrame, int]:
 
 
 def build_index(rows: DataFrame, dim: int, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, int]:
-    """(curve, block, id, v) with every row on every curve, written to the shared folder, and the number of blocks."""
-    rotations = _rotations(dim)
+    """(curve, block, id, v) with every row on every curve, written to the shared folder, and the number of rows.
+
+    Blocks are numbered without gaps along each curve and from one curve to the next. Partitions are as many as their bytes need.
+    """
+    rotations, kind = _rotations(dim), rows.schema["v"].dataType.simpleString()
 
     def moments(batches):
         n, s, ss = 0, np.zeros(CURVES * min(DIMS, dim)), np.zeros(CURVES * min(DIMS, dim))
@@ -101,11 +107,22 @@ def build_index(rows: DataFrame, dim: int, block_rows: int = BLOCK_ROWS) -> tupl
                 cells = np.minimum(u * ((1 << BITS) - 1) + shift, (1 << BITS) - 1).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c, np.int32)), pa.array(hilbert_key(cells, BITS)), b.column(0), b.column(1)], names=["curve", "key", "id", "v"])
 
-    placed = rows.mapInArrow(keys, "curve int, key long, id long, v array<double>")
-    blocks = max(1, -(-n * CURVES // block_rows))
+    placed = rows.mapInArrow(keys, f"curve int, key long, id long, v {kind}")
+    parts = max(1, -(-n * CURVES * dim * (4 if "float" in kind else 8) // PARTITION_BYTES))
     # equal keys are told apart by id, so that copies of a vector spread over blocks
-    dealt = placed.repartitionByRange(blocks, "curve", "key", "id").select("curve", F.spark_partition_id().alias("block"), "id", "v")
-    return cut(dealt, "index"), n
+    dealt = placed.repartitionByRange(parts, "curve", "key", "id").sortWithinPartitions("curve", "key", "id").select("curve", "id", "v", F.spark_partition_id().alias("part"))
+
+    def cut_up(batches):
+        seen = 0
+        for b in batches:
+            place = pa.array((seen + np.arange(b.num_rows)) // block_rows, pa.int64())
+            seen += b.num_rows
+            yield pa.RecordBatch.from_arrays([*b.columns, place], names=["curve", "id", "v", "part", "local"])
+
+    blocks = cut(dealt.mapInArrow(cut_up, f"curve int, id long, v {kind}, part int, local long"), "index")
+    sizes = blocks.groupBy("part").agg((F.max("local") + 1).alias("n"))  # a row for each partition
+    offsets = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    return blocks.join(F.broadcast(offsets), "part").select("curve", (F.col("before") + F.col("local")).alias("block"), "id", "v"), n
 
 
 def _nearest(q_ids: np.ndarray, q: np.ndarray, x_ids: np.ndarray, x: np.ndarray, k: int) -> tuple[list, list, list]:
@@ -173,11 +190,14 @@ def search(df: DataFrame, wanted: Column, id_: str = "vec_id", vector: str = "em
     rows, dim = usable(df, id_, vector)
     if not dim:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    index, _ = build_index(rows, dim)
+    index, _ = build_index(rows, dim, BLOCK_ROWS)
     queries = rows.filter(wanted)
     width = fit_window(index, rows, queries, dim, k)
-    asking = index.filter(wanted).withColumn("at", F.explode(F.sequence(F.col("block") - width, F.col("block") + width)))
-    asking = asking.select(F.col("at").alias("block"), "curve", "id", "v")
+    own, blocks = index.filter(wanted), (index.agg(F.max("block")).first()[0] or 0) + 1
+    parts = max(1, -(-own.count() * (2 * width + 1) // (blocks * QUERIES_AT_ONCE)))
+    asking = own.withColumn("at", F.explode(F.sequence(F.greatest(F.lit(0), F.col("block") - width), F.least(F.lit(blocks - 1), F.col("block") + width))))
+    asking = asking.select(F.col("at").alias("block"), F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"), "curve", "id", "v")
+    asked = index.select([F.col(c).alias(f"{c}_") for c in index.columns]).toDF(*index.columns).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         parts = []
@@ -191,7 +211,7 @@ def search(df: DataFrame, wanted: Column, id_: str = "vec_id", vector: str = "em
                     parts.append(_found(_nearest(li[a], lv[a], ri[b], rv[b], k)))
         return pa.concat_tables(parts) if parts else _found(([], [], []))
 
-    found = asking.groupBy("block").cogroup(index.groupBy("block")).applyInArrow(meet, _FOUND)
+    found = asking.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInArrow(meet, _FOUND)
     return _best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -54,6 +54,29 @@ def test_recall_with_narrow_windows(spark, monkeypatch):
     assert len(got & want) >= 0.9 * len(want)
 
 
+def test_blocks_and_queries_are_bounded(spark, monkeypatch):
+    """Blocks don't depend on partitions, no task gets more than some queries and a block, and what is found stays the same."""
+    monkeypatch.setattr(hilbert, "BLOCK_ROWS", 50)
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((1500, 24)))], T)
+    rows, dim = hilbert.usable(df, "vec_id", "embedding")
+    for most in (64 << 20, 50_000):
+        monkeypatch.setattr(hilbert, "PARTITION_BYTES", most)
+        index, _ = hilbert.build_index(rows, dim, 50)
+        sizes = {r["block"]: r["count"] for r in index.groupBy("block").count().collect()}
+        assert sorted(sizes) == list(range(len(sizes))) and max(sizes.values()) <= 50
+    few = lambda: sorted((r["query_id"], r["rank"], r["vec_id"]) for r in hilbert.search(df, F.col("id") % 5 == 0).collect())
+    want = few()
+    monkeypatch.setattr(hilbert, "QUERIES_AT_ONCE", 7)
+    assert few() == want
+
+
+def test_floats_stay_floats(spark):
+    df = spark.read.parquet(f"{DATA}/sf0.001/embeddings.parquet")
+    kinds = {hilbert.usable(d, "vec_id", "embedding")[0].schema["v"].dataType.simpleString() for d in (df, df.withColumn("embedding", F.col("embedding").cast("array<float>")))}
+    assert kinds <= {"array<float>", "array<double>"} and "array<float>" in kinds
+
+
 def test_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, []), (None, [1.0, 1.0]), (9, [2.0, 0.0]), (10, [1.0, 2.0, 3.0]), (100, [1.0, 0.5]), (9, [2.0, 0.0])]
