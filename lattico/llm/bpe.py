@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_texts, replace_columns, table
+from .common import Sheltered, map_texts, table
 
 #: Pre-tokens whose ids a worker remembers; beyond that it forgets all of them. Results don't depend on it.
 REMEMBERED = 150_000
@@ -151,9 +151,9 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out
     A null text is encoded as an empty one: no ids. A column of df named as out is replaced. The rank file is read on the driver
     and travels to the executors as a broadcast of its own size (a vocabulary, fixed by the tokenizer, not by the data).
     """
-    df = replace_columns(df, [out]) if text.lower() != out.lower() else df
+    user = Sheltered(df)
+    text = user.of(text)
     codec = df.sparkSession.sparkContext.broadcast(Codec(read_ranks(ranks_path), pattern))
-    keep = df.columns
 
     def ids_of(texts: list[bytes]) -> dict[str, pa.Array]:
         c = codec.value
@@ -163,14 +163,15 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", out
             made.append(flat)
             offsets.append(at[1:] + offsets[-1][-1])
         flat = np.concatenate(made) if made else np.empty(0, np.int32)
-        return {out: pa.ListArray.from_arrays(pa.array(np.concatenate(offsets).astype(np.int32)), pa.array(flat, pa.int32()))}
+        return {"ids": pa.ListArray.from_arrays(pa.array(np.concatenate(offsets).astype(np.int32)), pa.array(flat, pa.int32()))}
 
-    return map_texts(df, text, ids_of, f"`{out}` array<int>", keep)
+    return user.back(map_texts(user.df, text, ids_of, "ids array<int>", user.inner).withColumnRenamed("ids", out), out)
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "bytes") -> DataFrame:
     """df with a binary column: the bytes of each row's ids, by inverse mapping. Null ids are no ids: empty bytes. An id outside the vocabulary raises."""
-    df = replace_columns(df, [out])
+    user = Sheltered(df)
+    ids, df = user.of(ids), user.df
     ranks = read_ranks(ranks_path)
     width = max(ranks.values()) + 1
     by_id: list[bytes | None] = [None] * width
@@ -187,10 +188,11 @@ def decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "bytes")
             if len(flat) and flat.min() < 0:
                 raise ValueError("an id below 0")
             made = [b"".join(map(get, flat[s:e].tolist())) for s, e in zip(starts[:-1], starts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(k) for k in keep] + [pa.array(made, pa.binary())], names=[*keep, out])
+            yield pa.RecordBatch.from_arrays([b.column(k) for k in keep] + [pa.array(made, pa.binary())], names=[*keep, "bytes"])
 
     # large arrays are coalesced to empty first: a null list has no defined range of values
-    return df.withColumn(ids, F.coalesce(F.col(ids), F.array().cast("array<int>"))).mapInArrow(run, f"{types}, `{out}` binary")
+    made = df.withColumn(ids, F.coalesce(F.col(ids), F.array().cast("array<int>"))).mapInArrow(run, f"{types}, bytes binary")
+    return user.back(made.withColumnRenamed("bytes", out), out)
 
 
 def default_vocabulary() -> tuple[str, str]:

@@ -228,7 +228,7 @@ def medians(narrow: DataFrame) -> DataFrame:
 
 
 def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", cutoff: float = CUTOFF) -> DataFrame:
-    """df with the counts of _NAMES, base_failed, distance and kept.
+    """df without the text, with the counts of _NAMES, base_failed, distance and kept.
 
     base_failed: under 10 words, or over a fifth of the words in repeated 5-word windows. Such texts take no part in the
     estimates. The others are kept if their squared distance is at most cutoff. Null and empty texts have no words and fail the

@@ -19,10 +19,10 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts, replace_columns, table
+from .common import Sheltered, cut, map_texts, replace_columns, table
 from .components import components
 
 BITS = 64
@@ -218,21 +218,24 @@ def near_duplicates(df: DataFrame, text: str = "text", id_: str = "doc_id", radi
 def keep_one(df: DataFrame, text: str = "text", id_: str = "doc_id", near: Callable[[DataFrame, str, str], DataFrame] | None = None) -> DataFrame:
     """df with one row of each component: that of the smallest id; of rows with equal ids, that of the smallest text.
 
-    Rows without an id are told apart by a hash of their text, and yield to rows with one. near gives the components of rows
-    (near_duplicates, unless given).
+    Rows without an id are told apart by a hash of their text, and yield to rows with one. Null and empty texts are one component.
+    near gives the components of rows (near_duplicates, unless given). An empty table gives an empty result. Columns may have any name.
     """
+    user = Sheltered(df)
+    text, id_ = user.of(text), user.of(id_)
     beyond = F.lit(str(1 << 65)).cast("decimal(21,0)")
-    key = F.coalesce(F.col(f"`{id_}`").cast("decimal(21,0)"), (F.xxhash64(F.col(f"`{text}`")) + beyond).cast("decimal(21,0)"))
-    rows = df.withColumn("__key", F.struct(key.alias("id"), F.xxhash64(f"`{text}`").alias("text")))  # an id may have several texts
-    found = cut((near or near_duplicates)(rows, text, "__key").select("__key", "component_id"), "duplicates")
-    gone = found.filter(F.col("__key") != F.col("component_id")).select("__key").distinct()
-    repeated = cut(found.groupBy("__key").count().filter("count > 1").select("__key"), "repeated")
+    key = F.coalesce(F.col(id_).cast("decimal(21,0)"), (F.xxhash64(F.col(text)) + beyond).cast("decimal(21,0)"))
+    rows = user.df.withColumn("key", F.struct(key.alias("id"), F.xxhash64(text).alias("text")))  # an id may have several texts
+    found = cut((near or near_duplicates)(rows, text, "key").select("key", "component_id"), "duplicates")
+    gone = found.filter(F.col("key") != F.col("component_id")).select("key").distinct()
+    repeated = cut(found.groupBy("key").count().filter("count > 1").select("key"), "repeated")
     # merged at every size: what goes grows with the input, so it has no bound under which to broadcast it
-    left = rows.join(gone.hint("merge"), "__key", "left_anti")
+    left = rows.join(gone.hint("merge"), "key", "left_anti")
     if not repeated.take(1):
-        return left.select(*[F.col(f"`{c}`") for c in df.columns])
-    again = left.join(repeated, "__key", "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy("__key").orderBy(F.col(f"`{text}`")))).filter("__n = 1").drop("__n")
-    return left.join(repeated, "__key", "left_anti").unionByName(again).select(*[F.col(f"`{c}`") for c in df.columns])
+        return user.back(left)
+    again = left.join(repeated, "key", "left_semi")
+    first = again.groupBy("key").agg(F.min_by(F.struct(*user.inner), F.struct(text, F.xxhash64(*user.inner))).alias("r"))  # tasks keep one row a key before the shuffle
+    return user.back(left.join(repeated, "key", "left_anti").select(*user.inner).unionByName(first.select("r.*")))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

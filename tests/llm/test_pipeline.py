@@ -1,13 +1,14 @@
 """The pipeline at the smallest scale, each stage against what its operator says row by row."""
 
 import hashlib
+import random
 from collections import Counter
 
 import corpus_pipeline
-from lattico.llm import bpe, mixing, quality, simhash, toxicity
+from lattico.llm import bpe, mixing, quality, toxicity
 from lattico.llm.common import table
 from tests.conftest import DATA
-from tests.llm.test_simhash import slow_classes, slow_print
+from tests.llm.test_jaccard import slow_kept
 
 SF = f"{DATA}/sf0.001"
 
@@ -25,12 +26,7 @@ def test_stages(spark):
     kept = {r["doc_id"] for r in quality.judge(spark.createDataFrame(before, table(spark, SF, "documents").schema)).filter("kept").collect()}
     assert {r["doc_id"] for r in after} == kept and 0 < len(after) < len(before)
     before, after = seen["simhash near-dedup"]
-    prints = {r["doc_id"]: slow_print(r["text"]) for r in before}
-    cls = slow_classes(prints.values(), simhash.RADIUS)
-    least = {}
-    for i, f in prints.items():
-        least[cls[f]] = min(least.get(cls[f], i), i)
-    assert sorted(r["doc_id"] for r in after) == sorted(least.values())
+    assert sorted(r["doc_id"] for r in after) == slow_kept([(r["doc_id"], r["text"]) for r in before])
     before, after = seen["mixing"]
     times, words = Counter(r["doc_id"] for r in after), {r["doc_id"]: len((r["text"] or "").encode().split()) for r in before}
     source = {r["doc_id"]: r["source"] for r in before}
@@ -51,3 +47,27 @@ def test_stages(spark):
 def test_run(spark):
     a, b = (sorted(tuple(r) for r in corpus_pipeline.run(spark, SF).collect()) for _ in range(2))
     assert a == b and len(a) > 50
+
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def write(spark, path, docs, labels):
+    spark.createDataFrame(docs, DOCS).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+def test_empty_tables(spark, tmp_path):
+    assert corpus_pipeline.run(spark, write(spark, tmp_path, [], [])).collect() == []
+
+
+def test_nulls_repeated_rows_and_long_texts(spark, tmp_path):
+    """Null and short texts fail the base rule; a repeated row is one; null ids, languages and sources go through; one id with two texts is two documents."""
+    plain = [" ".join(f"w{(i * 37 + j * j) % 911}" for j in range(60)) for i in range(6)]
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "few words", "en", "s", 9), (None, plain[0], None, None, None), (4, plain[1], "en", "s", 1), (4, plain[1], "en", "s", 1), (5, plain[2], "en", None, 1), (5, plain[3], None, "s", 1)]
+    rng = random.Random(1)
+    rows += [(6, " ".join(f"w{rng.randrange(911)}" for j in range(60_000)), "en", "s", 1)]
+    got = corpus_pipeline.run(spark, write(spark, tmp_path, rows, [(1, None, None), (None, 1, 1), (4, 1, 0)])).collect()
+    assert {r["doc_id"] for r in got} == {None, 4, 5, 6} and {r["n_tokens"] > 100_000 for r in got if r["doc_id"] == 6} == {True}
+    assert len({r["decoded_sha256"] for r in got if r["doc_id"] == 5}) == 2
