@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -80,7 +82,14 @@ class Sheltered:
 
 #: Rows that Spark hands to a Python worker at once, and bytes of text that a worker has in hand at once. Texts may be long, and
 #: the default of 10,000 rows would hold tens of MB several times over, in the executor and in its workers.
-ROWS_AT_ONCE, BYTES_AT_ONCE = 1000, 2 << 20
+ROWS_AT_ONCE, BYTES_AT_ONCE = 1000, 1 << 20
+
+
+def give_back() -> None:
+    """At a task's end: a worker lives on for other stages, and what it had in hand shouldn't stay its own meanwhile."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc alone has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def _slices(b: pa.RecordBatch, sizes: list[int]) -> Iterator[pa.RecordBatch]:
@@ -109,6 +118,7 @@ def map_texts(df: DataFrame, text: str, fn: Callable[[list[bytes]], dict[str, pa
                 texts = [x or b"" for x in b.column(text if own else "__text").cast(pa.binary()).to_pylist()]
                 made = fn(texts)
                 yield pa.RecordBatch.from_arrays([b.column(k) for k in keep] + list(made.values()), names=[*keep, *made])
+        give_back()
 
     sent = [F.col(f"`{k}`") for k in keep] + ([] if own else [F.col(f"`{text}`").cast("string").alias("__text")])
     return df.select(*sent).mapInArrow(run, f"{types}, {schema}" if keep else schema)

@@ -42,7 +42,7 @@ USUAL = {"-": 0.6, "'": 0.7, "+": 1.2, "threat": 0.5}
 #: Values that are tried for them, as powers of two of the usual one, and how strongly the prior holds them, in nats for a factor of two, squared.
 TRIED, HOLD = (-6, -3, -2, -1, -0.5, 0, 0.5, 1, 2), 0.5
 #: Words that a worker remembers the class of.
-REMEMBERED = 150_000
+REMEMBERED = 50_000
 
 OTHER, INSULT, THREAT_WORD, TARGET, NEGATION, REPORT, OPENS, CLOSES, BOTH = "o", "i", "h", "t", "n", "r", "(", ")", "x"
 #: What the insult transducer reads (OPENS, CLOSES, BOTH: words that begin or end a phrase, or may do either), and what it writes.
