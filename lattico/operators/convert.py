@@ -294,19 +294,17 @@ def _literal_to_json(x: pd.Series) -> pd.Series:
     def one(s):
         if s is None:
             return None
-        for parse in (ast.literal_eval, json.loads):
-            try:
-                return json.dumps(parse(s), ensure_ascii=False)
-            except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
-                continue
-        return json.dumps(s, ensure_ascii=False)
+        try:
+            return json.dumps(ast.literal_eval(s), ensure_ascii=False)
+        except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
+            return json.dumps(s, ensure_ascii=False)
 
     return x.map(one)
 
 
 def literal_to_json(c: Column) -> Column:
-    """Text of a Python literal, or of JSON, as JSON text; anything else as a JSON string. Null stays."""
-    return F.pandas_udf(_literal_to_json, "string")(c)
+    """Text of a Python literal, or of JSON, as JSON text; anything else as a JSON string. Null stays. Only what isn't JSON goes to Python."""
+    return F.when(F.try_parse_json(c).isNotNull(), c).otherwise(F.pandas_udf(_literal_to_json, "string")(F.when(F.try_parse_json(c).isNull(), c)))
 
 
 def full_labels(decisions: DataFrame) -> DataFrame:
@@ -322,7 +320,7 @@ def full_labels(decisions: DataFrame) -> DataFrame:
 def replaced_options(decisions: DataFrame, names: list[str]) -> DataFrame:
     """decisions with a fixed option list in place of their own, the gold found by name; those whose gold isn't in it go."""
     gold = F.element_at(F.col("options")["name"], dist.argmax(F.col("target")) + 1)
-    at = F.array_position(F.array(*map(F.lit, names)), gold)
-    return decisions.filter(at > 0).withColumns({"options": options(names), "target": dist.one_hot(F.lit(len(names)), at - 1)})
+    found = decisions.withColumn("__at", F.array_position(F.array(*map(F.lit, names)), gold)).filter("__at > 0")
+    return found.withColumns({"options": options(names).cast(f"array<{OPTION}>"), "target": dist.one_hot(F.lit(len(names)), F.col("__at") - 1)}).drop("__at")
 
 

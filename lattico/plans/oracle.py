@@ -99,7 +99,8 @@ s AS (SELECT DISTINCT doc_id FROM f WHERE x IN (SELECT x FROM k)) SELECT source,
     "exact_dedup": f"SELECT min(doc_id) AS doc_id, sha1({_DOC}) AS key FROM documents GROUP BY 2",
     "content_dedup": f"WITH k AS (SELECT count(*) AS c FROM documents GROUP BY sha1({_DOC} || chr(0) || source)) SELECT count(*) FILTER (c > 1) AS groups, sum(c - 1)::BIGINT AS surplus FROM k",
     "near_dup_prefix": f"SELECT md5(substr({norm('text')}, 1, 300)) AS prefix_key, count(*) AS n FROM documents WHERE length({norm('text')}) >= 80 GROUP BY 1 HAVING count(*) > 1",
-    "label_conflicts": f"SELECT md5(substr({norm('text')}, 1, 40)) AS key, count(DISTINCT quality) AS answers, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1 HAVING count(DISTINCT quality) > 1",
+    "label_conflicts": f"SELECT sha1({_DOC} || chr(0) || source) AS key, count(DISTINCT quality) AS answers, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1 HAVING count(DISTINCT quality) > 1",
+    "prefix_conflicts": f"SELECT md5(substr({norm('text')}, 1, 40)) AS key, count(DISTINCT quality) AS answers, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1 HAVING count(DISTINCT quality) > 1",
     "largest_groups": """WITH b AS (SELECT md5(text) AS key, source, count(*) AS c FROM documents GROUP BY ALL), g AS (SELECT key, sum(c)::BIGINT AS n FROM b GROUP BY key),
 s AS (SELECT key, source FROM b QUALIFY row_number() OVER (PARTITION BY key ORDER BY c DESC, source) = 1) SELECT key, n, source FROM g JOIN s USING (key) ORDER BY n DESC, key LIMIT 8""",
     "leak_filter": f"""WITH h AS (SELECT DISTINCT sha1(text) AS s FROM documents WHERE doc_id % 4 = 0 AND text <> ''), t AS (SELECT doc_id, sha1({_DOC}) AS k, sha1(text) IN (SELECT s FROM h) AS leaked FROM documents WHERE doc_id % 4 <> 0),
@@ -143,8 +144,8 @@ SELECT instructions, round(avg(list_sum(list_transform(range(1, 6), lambda i: (l
 SELECT vec_id, round(1 / list_sum(list_transform(x, lambda v: exp(v - list_max(x)))), 6) AS top, (list_position(x, list_max(x)) - 1)::INT AS choice FROM l""",
     "nll_grid": """WITH l AS (SELECT label, label % 2 AS type, t::DOUBLE AS t, list_transform(embedding[1:10], lambda x: x::DOUBLE * 5 / t) AS x FROM embeddings, (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (1::DOUBLE), (2::DOUBLE), (4::DOUBLE)) g(t))
 SELECT type, t, round(avg(ln(list_sum(list_transform(x, lambda v: exp(v - list_max(x))))) + list_max(x) - x[label + 1]), 6) AS nll FROM l GROUP BY ALL""",
-    "knockout_wide": f"""WITH o AS (SELECT id, p_partkey - 1 AS pos, (p_partkey - 1) // 20 AS g, 8 * {share("'a/' || id || '/' || (p_partkey - 1)")} AS x, 8 * {share("'b/' || id || '/' || (p_partkey - 1)")} AS y
-  FROM (SELECT DISTINCT o_orderstatus AS id FROM orders), part WHERE p_partkey BETWEEN 1 AND 60),
+    "knockout_wide": f"""WITH o AS (SELECT id, pos, pos // 20 AS g, 8 * {share("'a/' || id || '/' || pos")} AS x, 8 * {share("'b/' || id || '/' || pos")} AS y
+  FROM (SELECT c_custkey::VARCHAR AS id, unnest(range(0, 40)) AS pos FROM customer)),
 r AS (SELECT *, row_number() OVER (PARTITION BY id, g ORDER BY x DESC, pos) <= 2 AS f, x - ln(sum(exp(x)) OVER (PARTITION BY id, g)) AS lp FROM o)
 SELECT id, pos, g, round(ln(sum(CASE WHEN f THEN exp(y) ELSE 0 END) OVER (PARTITION BY id, g) / sum(CASE WHEN f THEN exp(y) ELSE 0 END) OVER (PARTITION BY id)) + lp, 6) AS log_p FROM r""",
     "merged_forms": "SELECT user_id AS id, event_type AS label, round(max(value / 100) + ln(sum(exp(value / 100 - m))), 6) AS logit FROM (SELECT *, max(value / 100) OVER (PARTITION BY user_id, event_type) AS m FROM events) GROUP BY ALL",

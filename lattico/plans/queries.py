@@ -102,6 +102,12 @@ def near_dup_prefix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def label_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    docs = _as_decisions(table(spark, d, "documents")).join(table(spark, d, "labels"), "doc_id")
+    return dedup.conflicts(docs, dedup.content_key(), F.col("quality"))
+
+
+def prefix_conflicts(spark: SparkSession, d: str) -> DataFrame:
+    """The same operator under a coarser key: beginnings of 40 characters that have answers of both kinds."""
     docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
     return dedup.conflicts(docs, F.md5(F.substring(text.normal(F.col("text")), 1, 40)), F.col("quality"))
 
@@ -234,12 +240,11 @@ def fitted_temperatures(spark: SparkSession, d: str) -> DataFrame:
 
 
 def knockout_wide(spark: SparkSession, d: str) -> DataFrame:
-    """Each order status asked for one of 60 parts' sizes: options are the first 60 parts."""
-    p = table(spark, d, "part").filter("p_partkey between 1 and 60")
-    s = table(spark, d, "orders").select(F.col("o_orderstatus").alias("id")).distinct()
-    o = s.join(F.broadcast(p.select((F.col("p_partkey") - 1).alias("pos"))), F.lit(True))
+    """Each customer asked for one of 40 options: a wide choice, whose options are cut into groups for a first round."""
+    wide = F.explode(F.sequence(F.lit(0), F.lit(39)).cast("array<bigint>")).alias("pos")
+    o = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), wide)
     logit = lambda k: views.share(k, F.col("id"), F.col("pos")) * 8.0
-    return _rounded(plan.knockout(o.select("id", "pos", F.lit(60).alias("k"), logit("a").alias("logit"), logit("b").alias("final_logit"))))
+    return _rounded(plan.knockout(o.select("id", "pos", F.lit(40).alias("k"), logit("a").alias("logit"), logit("b").alias("final_logit"))))
 
 
 def merged_forms(spark: SparkSession, d: str) -> DataFrame:

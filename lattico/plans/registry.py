@@ -7,13 +7,14 @@ from types import FunctionType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries
-from .oracle import SQL
+from . import conversions, queries
+from .oracle import SQL as OWN_SQL
 
 FLAGSHIP = "metrics_quality_noul"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     n: f for n, f in vars(queries).items() if isinstance(f, FunctionType) and f.__module__ == queries.__name__ and not n.startswith("_")
-}
+} | conversions.QUERIES
+SQL: dict[str, str] = OWN_SQL | conversions.SQL
 
 __all__ = ["FLAGSHIP", "QUERIES", "SQL"]
