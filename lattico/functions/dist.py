@@ -124,3 +124,11 @@ def sizes_of_groups(k: int, most: int = 26) -> list[int]:
     """k options in the fewest groups of at most `most`, as even as may be, larger ones first."""
     n = -(-k // most)
     return [k // n + (g < k % n) for g in range(n)]
+
+
+def composite_loss(logits: Column, target: Column, type_: Column, second: Column | None = None, rps_weight: float = 0.5, consistency: float = 0.5, eps: float = 0.0) -> Column:
+    """Cross-entropy of the smoothed target, for scores the ranked probability on top, and where there are logits of a second view (null where not) their symmetric divergence."""
+    p = softmax(logits)
+    ranked = F.when(type_ == "score", ranked_probability(p, target)).otherwise(0.0)
+    apart = F.lit(0.0) if second is None else F.when(second.isNotNull(), symmetric_kl(p, softmax(second))).otherwise(0.0)
+    return soft_cross_entropy(logits, smooth(target, eps)) + rps_weight * ranked + consistency * apart

@@ -111,3 +111,40 @@ def leaves(doc: str) -> Column:
     start = f"named_struct('todo', if(x.v is null, {none}, array(x.v)), 'found', cast(array() as array<string>))"
     walk = f"aggregate(sequence(1, coalesce(regexp_count(x.t, '[\\\\[{{]'), 0) + 1), {start}, {step}, a -> a.found)"
     return F.expr(f"element_at(transform(array(named_struct('t', {doc}, 'v', try_parse_json({doc}))), x -> {walk}), 1)")
+
+
+def state_text(state: Column) -> Column:
+    """A state as text: a string as it is, a struct, map or array as compact JSON that keeps nulls and letters as they are.
+
+    state is a variant, or any column that to_json takes.
+    """
+    return F.when(F.schema_of_variant(state) == "STRING", F.try_variant_get(state, "$", "string")).otherwise(F.to_json(state))
+
+
+def decision_texts(state: str, instructions: str, options: str) -> Column:
+    """The texts of a decision's columns, in order: the leaves of its state where that is a JSON object or list, else the state itself; instructions; descriptions that aren't empty."""
+    own = F.when(F.col(state).rlike(r"^\s*[\[{]") & F.try_parse_json(state).isNotNull(), leaves(state)).otherwise(F.array(F.coalesce(state, F.lit(""))))
+    descs = F.filter(F.transform(options, lambda o: o["desc"]), lambda d: F.coalesce(d, F.lit("")) != "")
+    return F.concat(own, F.array(F.coalesce(instructions, F.lit(""))), F.coalesce(descs, F.array().cast("array<string>")))
+
+
+def leaf_fragments(doc: str, least: int = 40) -> Column:
+    """Distinct normalized leaves of a JSON text of at least `least` characters, whole: leaves aren't cut into sentences."""
+    return F.array_distinct(F.filter(F.transform(leaves(doc), normal), lambda x: F.length(x) >= least))
+
+
+def numbered(items: Column) -> Column:
+    """A numbered list, a line each."""
+    return F.array_join(F.transform(items, lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), "\n")
+
+
+def markdown_table(header: list[str], rows: Column) -> Column:
+    """A Markdown table of rows, arrays of text."""
+    line = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | ", ""), F.lit(" |"))
+    top = F.array(line(F.array(*map(F.lit, header))), F.lit("|" + "---|" * len(header)))
+    return F.array_join(F.concat(top, F.transform(rows, line)), "\n")
+
+
+def written_date(d: Column, lang: Column) -> Column:
+    """A date as texts in a language write it."""
+    return F.when(lang == "zh", F.concat(F.year(d).cast("string"), F.lit("年"), F.month(d).cast("string"), F.lit("月"), F.day(d).cast("string"), F.lit("日"))).otherwise(d.cast("string"))

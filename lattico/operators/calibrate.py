@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dist
+from . import metrics, sample
 
 #: The grid's first temperature, ratio and length.
 FIRST, RATIO, POINTS = 0.05, 1.15, 46
@@ -55,3 +56,16 @@ def scaled(logits: Column, type_: Column, temperatures: dict[str, float]) -> Col
         return dist.softmax(logits)
     by_type = F.create_map(*[F.lit(x) for kv in temperatures.items() for x in kv])
     return dist.softmax(logits, F.coalesce(F.try_element_at(by_type, type_), F.lit(1.0)))
+
+
+def held_out_report(rows: DataFrame, id_: str, share: float = 0.3, seed: str = "calibrate") -> tuple[DataFrame, DataFrame]:
+    """What temperatures do to decisions that they weren't fitted on, and the temperatures fitted on all.
+
+    rows: (id, type, options, target, gold_label, logits). The report has a row before and one after, in column stage.
+    """
+    marked = sample.holdout_rows(rows, id_, share, seed)
+    fitted = {r["type"]: r["temperature"] for r in fit(marked.filter(~F.col("held"))).collect()}  # one for each type
+    held = marked.filter("held").drop("held")
+    stages = [("before", {}), ("after", fitted)]
+    parts = [metrics.compute(metrics.row_terms(held.withColumn("probs", scaled(F.col("logits"), F.col("type"), t)))).withColumn("stage", F.lit(name)) for name, t in stages]
+    return parts[0].unionByName(parts[1]), fit(rows)

@@ -74,3 +74,23 @@ def largest_groups(rows: DataFrame, key: Column, source: Column, top: int = 8) -
     by = rows.groupBy(key.alias("key"), source.alias("source")).count()
     grouped = by.groupBy("key").agg(F.sum("count").alias("n"), F.min_by("source", F.struct(-F.col("count"), F.col("source"))).alias("source"))
     return grouped.orderBy(F.desc("n"), "key").limit(top)
+
+
+def without_ids(rows: DataFrame, gone: DataFrame, id_: str = "id") -> DataFrame:
+    """rows of which no row shares an id with gone: all rows of such an id go. Rows without an id stay."""
+    return rows.join(gone.select(id_).distinct(), id_, "left_anti").select(rows.columns)
+
+
+def unused(rows: DataFrame, used: DataFrame, id_: str = "id") -> DataFrame:
+    """rows that are no marked copies (#r1, ...) and whose id none of used has."""
+    return without_ids(rows.filter(~F.coalesce(F.col(id_).contains("#r"), F.lit(False))), used, id_)
+
+
+def within_limits(rows: DataFrame, most_options: int, length: Column, most_length: int) -> DataFrame:
+    """rows with reason: null where a decision has at most most_options options and its length is at most most_length, else which it exceeds."""
+    return rows.withColumn("reason", F.when(F.size("options") > most_options, "options").when(length > most_length, "length"))
+
+
+def not_uniform(rows: DataFrame, target: str = "target") -> DataFrame:
+    """rows whose target says more than that all options are alike."""
+    return rows.filter(F.array_max(target) > 1.0 / F.size(target) + 1e-9)

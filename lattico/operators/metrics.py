@@ -85,3 +85,38 @@ def agreement(first: DataFrame, second: DataFrame, gold: Column, tie: float = 0.
         F.count_if(~F.col("clear") & (F.col("same") == 0)).alias("tie_flips"), F.max(F.array_max("d")).alias("max_diff"), F.try_divide(F.sum(total), F.sum(F.size("d"))).alias("mean_diff"),
         F.avg((dist.argmax(F.col("probs")) == F.col("gold")).cast("double")).alias("accuracy_first"), F.avg((dist.argmax(F.col("other")) == F.col("gold")).cast("double")).alias("accuracy_second"))
     return out.withColumn("pass", (F.col("agree_clear") >= least) & (F.col("max_diff") <= most))
+
+
+def shares(rows: DataFrame, by: list[str], of: list[str] | None = None, places: int = 3) -> DataFrame:
+    """(by, n, share) of each group among all rows, or among those that agree in the columns of `of`."""
+    counts = rows.groupBy(*by).agg(F.count("*").alias("n"))
+    return counts.select(*by, "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy(*(of or []))), places).alias("share"))
+
+
+def described(rows: DataFrame, by: list[str], length: Column, limit: int) -> DataFrame:
+    """(by, n, mean_length, truncated): truncated is the share of rows that are longer than limit."""
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(length), 1).alias("mean_length"), F.round(F.avg((length > limit).cast("int")), 3).alias("truncated"))
+
+
+def coverage(results: DataFrame, scoreable: int, status: str = "status") -> DataFrame:
+    """(status, n, coverage): how often each status occurs, and what part of `scoreable` items has a result at all."""
+    counts = results.groupBy(status).agg(F.count("*").alias("n"))
+    return counts.select(status, "n", F.round(F.sum("n").over(Window.partitionBy()) / float(max(1, scoreable)), 6).alias("coverage"))
+
+
+def timing(rows: DataFrame, by: list[str], ms: str) -> DataFrame:
+    """(by, n, ms_per_decision, decisions_per_s)."""
+    t = rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum(ms).alias("__ms"))
+    return t.select(*by, "n", (F.col("__ms") / F.col("n")).alias("ms_per_decision"), F.try_divide(F.col("n") * 1000.0, F.col("__ms")).alias("decisions_per_s"))
+
+
+def top_of(rows: DataFrame, by: list[str], value: str, id_: str, k: int = 5) -> DataFrame:
+    """(by, place, id, value): the k largest values of each group, the smaller id of equals; tasks keep k rows a group before the shuffle."""
+    w = Window.partitionBy(*by).orderBy(F.desc(value), id_)
+    return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).select(*by, "place", id_, value)
+
+
+def running_losses(rows: DataFrame, step: str, losses: dict[str, Column], every: int) -> DataFrame:
+    """(window, and each of losses): sums over the rows that take part (whose loss isn't null) by how many do, for each `every` steps."""
+    means = [F.try_divide(F.sum(c), F.count(c)).alias(n) for n, c in losses.items()]
+    return rows.groupBy(F.floor(F.col(step) / every).alias("window")).agg(*means)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -140,3 +141,40 @@ def prefix_groups(prompts: DataFrame, state: str, ids: str, least: int = 64) ->
     return by.select("state_key", "n", F.when(common >= least, common).otherwise(0).alias("common"))
 
 
+def length_sorted_batches(rows: DataFrame, length: str, id_: str, size: int) -> DataFrame:
+    """rows with batch: all rows by length, `size` to a batch.
+
+    Lengths are counted first; a row's place is the count of shorter rows and its place among those of its length, by a hash in parts
+    of the id, so that no task orders all rows, and a common length is no task's alone.
+    """
+    parts = F.pmod(F.xxhash64(id_), F.lit(64))
+    marked = rows.withColumn("__p", parts)
+    sizes = marked.groupBy(length, "__p").agg(F.count("*").alias("__c"))
+    before = sizes.withColumn("__o", F.sum("__c").over(Window.orderBy(length, "__p")) - F.col("__c")).drop("__c")  # 64 rows a length at most
+    placed = marked.join(before, [length, "__p"]).withColumn("__n", F.row_number().over(Window.partitionBy(length, "__p").orderBy(id_)) - 1)
+    return placed.withColumn("batch", F.floor((F.col("__o") + F.col("__n")) / size)).select(*rows.columns, "batch")
+
+
+def checked_steps(planned: DataFrame, logged: DataFrame, by: list[str], id_: str) -> DataFrame:
+    """planned's rows of the logged steps, with the logged loss where there is one. logged: (by, id, loss), the top losses of a step.
+
+    A logged item that isn't in its step fails the job that reads the result: the plan isn't the one that was run.
+    """
+    steps = logged.select(*by).distinct()
+    mine = planned.join(steps, by, "left_semi").withColumn("__in", F.lit(True))
+    joined = mine.join(logged, [*by, id_], "full")
+    fail = F.raise_error(F.concat(F.lit("logged but not in the reconstructed step: "), F.col(id_).cast("string"))).cast("boolean")
+    return joined.filter(F.when(F.col("__in").isNull(), fail).otherwise(True)).drop("__in")
+
+
+def total_steps(steps: DataFrame, epochs: float, epoch: str = "epoch", n: str = "steps") -> DataFrame:
+    """(total): steps of all whole epochs, from 0, and the part of the next that a fractional number asks for, cut off; 1 at least."""
+    full = int(epochs)
+    part = F.when(F.col(epoch) < full, F.col(n)).when(F.col(epoch) == full, F.floor(F.col(n) * F.lit(epochs - full))).otherwise(0)
+    return steps.agg(F.greatest(F.lit(1), F.coalesce(F.sum(part), F.lit(0))).cast("long").alias("total"))
+
+
+def epoch_steps(rows: DataFrame, id_: str, length: str, per_step: int, block: int, seed: str, epochs: int) -> DataFrame:
+    """(epoch, steps) of plans of fixed counts, each epoch in an order of its own."""
+    made = [fixed_count_steps(rows.select(id_, length), id_, length, per_step, block, f"{seed}/{e}").select("block", "step").distinct().agg(F.count("*").alias("steps")).withColumn("epoch", F.lit(e)) for e in range(epochs)]
+    return reduce(DataFrame.unionByName, made).select("epoch", "steps")

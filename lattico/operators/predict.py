@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dist, keyed
@@ -49,3 +49,16 @@ def two_views(decisions: DataFrame, seed: str) -> DataFrame:
     """Both shuffled views of each decision, with column view; scores have one."""
     a = shuffled(decisions, seed, "a").withColumn("view", F.lit("a"))
     return a.unionByName(shuffled(decisions.filter("type <> 'score'"), seed, "b").withColumn("view", F.lit("b")))
+
+
+def routed(rows: DataFrame, narrow, wide, limit: int = 26) -> DataFrame:
+    """rows with probs: narrow (a function of the DataFrame) predicts those of at most `limit` options, wide the others; rows keep their own id and order."""
+    few = F.size("options") <= limit
+    return narrow(rows.filter(few)).unionByName(wide(rows.filter(~few)))
+
+
+def prompt_length(prompt: Column, state: Column, most_state: int, overhead: int = 0, per_token: float = 4.0) -> Column:
+    """Tokens of a prompt, by characters to a token, whose state is cut to most_state tokens and a marker; overhead is the chat template's."""
+    tokens = lambda c: F.ceil(F.length(c) / per_token).cast("long")
+    cut = F.greatest(F.lit(0).cast("long"), tokens(state) - most_state - 1)
+    return tokens(prompt) - cut + overhead

@@ -93,3 +93,8 @@ def merge_results(runs: DataFrame, key: str = "run_id", status: str = "status",
 def write_shards(rows: DataFrame, path: str, n: int, seq: str = "seq") -> None:
     """Gzipped JSON lines in n folders, dealt round by seq."""
     rows.withColumn("shard", F.pmod(F.col(seq), F.lit(n))).repartition("shard").write.partitionBy("shard").option("compression", "gzip").json(path)
+
+
+def without_meta(rows: DataFrame, keys: list[str], meta: str = "meta") -> DataFrame:
+    """rows whose map of diagnostics lacks these keys."""
+    return rows.withColumn(meta, F.map_filter(meta, lambda k, v: ~k.isin(*keys)))

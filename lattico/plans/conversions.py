@@ -1,4 +1,7 @@
-"""Registered queries of the converters over the driver's tables, each with its SQL. Columns: id, gold (the largest target's place) and what tells the converter apart."""
+"""Registered queries over the driver's tables, each beside its SQL: converters, suites, and reports.
+
+Converters' columns: id, gold (the largest target's place) and what tells the converter apart.
+"""
 
 from __future__ import annotations
 
@@ -7,9 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dist
-from ..operators import convert
-from .oracle import u
+from ..functions import dist, text
+from ..operators import convert, dedup, metrics, plan
+from ..sources import suites
+from .oracle import norm, u
 from .views import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -210,3 +214,112 @@ def literal_json(spark: SparkSession, d: str) -> DataFrame:
     e = F.col("event_id")
     said = F.when(e % 4 == 0, "{'k': (1, 2)}").when(e % 4 == 1, F.concat(F.lit('{"k": "'), F.col("event_type"), F.lit('"}'))).when(e % 4 == 2, F.concat(F.lit("plain "), F.col("event_type")))
     return table(spark, d, "events").select("event_id", convert.literal_to_json(said).alias("json"))
+
+
+@registered("""WITH q AS (SELECT event_id AS e, event_type AS t, event_id % 3 AS y FROM events)
+SELECT e || '/ok' AS id, 'typed_decisions/' || t AS source, 'noul' AS type, (e % 2)::INT AS gold, CASE e % 2 WHEN 0 THEN 'true' ELSE 'false' END AS gold_label, CASE WHEN e % 5 > 0 THEN e % 5 = 1 END AS annotators_agree FROM q
+UNION ALL SELECT e || '/kind', 'typed_decisions/' || t, 'choice', y::INT, ['a', 'b', 'c'][1 + y], NULL FROM q""")
+def typed_suite_decisions(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("event_id")
+    truth, kind = F.when(e % 2 == 0, "true").otherwise("false"), F.get(F.array(*map(F.lit, "abc")), (e % 3).cast("int"))
+    gold = F.concat(F.lit('{"ok":{"label":"'), truth, F.lit('","probabilities":{"'), truth, F.lit('":0.9}},"kind":{"label":"'), kind, F.lit('","probabilities":{"'), kind, F.lit('":0.7,"z":1}}}'))
+    agree = F.when(e % 5 > 0, F.concat(F.lit('{"ok":{"argmax_agree":'), F.when(e % 5 == 1, "true").otherwise("false"), F.lit("}}"))).otherwise("{}")
+    questions = '{"ok":{"type":"noul","instructions":"?"},"kind":{"type":"choice","criteria":{"a":"","b":"","c":""}}}'
+    rows = table(spark, d, "events").select(e.cast("string").alias("id"), F.col("event_type").alias("workflow"), F.col("props").alias("state"), F.lit(questions).alias("questions"), gold.alias("gold"), agree.alias("label_agreement"))
+    return suites.typed_suite(rows).select("id", "source", "type", _gold(), "gold_label", "annotators_agree")
+
+
+@registered("""WITH q AS (SELECT event_id AS e, 's/' || event_type || CASE event_id % 3 WHEN 0 THEN '' WHEN 1 THEN '/noisy' ELSE '' END AS source FROM events)
+SELECT 's/' || e || '/a' AS id, source, (e % 2)::INT AS gold FROM q UNION ALL SELECT 's/' || e || '/b', source, (e % 3)::INT FROM q UNION ALL SELECT 's/' || e || '/c', source, 1 FROM q""")
+def labelled_suite(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("event_id")
+    questions = F.concat(F.lit('{"a":{"type":"noul","label":'), F.when(e % 2 == 0, "true").otherwise("false"), F.lit('},"b":{"type":"score","criteria":["l","m","h"],"label":'), (e % 3).cast("string"), F.lit('},"c":{"type":"choice","criteria":{"x":"","y":""},"label":"y"}}'))
+    rows = table(spark, d, "events").select(e.cast("string").alias("id"), F.col("event_type").alias("source"), F.when(e % 3 == 0, "clean").when(e % 3 == 1, "noisy").alias("variant"), F.col("props").alias("state"), questions.alias("questions"))
+    return suites.labelled_requests(rows, "s").select("id", "source", _gold())
+
+
+@registered("""SELECT 'suite/' || c_custkey AS id, 'suite/' || c_mktsegment AS source, CASE c_custkey % 3 WHEN 0 THEN 'noul' WHEN 1 THEN 'score' ELSE 'choice' END AS type, CASE c_custkey % 2 WHEN 0 THEN 'de' ELSE 'xx' END AS lang,
+  CASE c_custkey % 3 WHEN 0 THEN 'true|false' WHEN 1 THEN '0|1' ELSE 'no|yes' END AS names, CASE c_custkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 0 ELSE 1 END AS gold, 0.75::DOUBLE AS top FROM customer""")
+def option_suite(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    label = lambda a, b: F.when(k % 3 == 1, a).otherwise(b)
+    opts = F.array(F.struct(label("10", "no").alias("label"), F.lit("first").alias("description")), F.struct(label("9", "yes").alias("label"), F.lit("second").alias("description")))
+    rows = table(spark, d, "customer").select(
+        k.alias("id"), F.col("c_mktsegment").alias("family"), F.when(k % 2 == 0, "German").otherwise("xx").alias("lang"), F.when(k % 3 == 0, "noul").when(k % 3 == 1, "score").otherwise("choice").alias("question_type"),
+        F.col("c_name").alias("state"), F.lit("?").alias("instructions"), opts.alias("options"), F.array(F.lit(0.5), F.lit(1.5)).alias("target_probs"))
+    made = suites.option_targets(rows)
+    return made.select("id", "source", "type", "lang", F.array_join(F.col("options")["name"], "|").alias("names"), _gold(), F.array_max("target").alias("top"))
+
+
+@registered("SELECT lang, source, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY lang), 3) AS share FROM documents GROUP BY lang, source")
+def source_shares(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.shares(table(spark, d, "documents"), ["lang", "source"], ["lang"])
+
+
+@registered("SELECT source, count(*) AS n, round(avg(n_chars), 1) AS mean_length, round(avg((n_chars > 2000)::INT), 3) AS truncated FROM documents GROUP BY source")
+def source_lengths(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.described(table(spark, d, "documents"), ["source"], F.col("n_chars"), 2000)
+
+
+@registered("SELECT event_type, count(*) AS n, round(sum(count(*)) OVER () / 20000, 6) AS coverage FROM events GROUP BY event_type")
+def status_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.coverage(table(spark, d, "events"), 20_000, "event_type")
+
+
+@registered("SELECT event_type, count(*) AS n, round(avg(value), 6) AS ms_per_decision, round(count(*) * 1000 / sum(value), 6) AS decisions_per_s FROM events GROUP BY event_type")
+def timing_summary(spark: SparkSession, d: str) -> DataFrame:
+    made = metrics.timing(table(spark, d, "events"), ["event_type"], "value")
+    return made.select("event_type", "n", F.round("ms_per_decision", 6).alias("ms_per_decision"), F.round("decisions_per_s", 6).alias("decisions_per_s"))
+
+
+@registered("SELECT user_id, place::INT AS place, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS place FROM events) WHERE place <= 5")
+def top_losses(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.top_of(table(spark, d, "events"), ["user_id"], "value", "event_id", 5)
+
+
+@registered("SELECT event_id // 20 AS \"window\", round(avg(value), 6) AS loss, round(avg(CASE WHEN event_type = 'click' THEN value END), 6) AS rps FROM events GROUP BY 1")
+def loss_windows(spark: SparkSession, d: str) -> DataFrame:
+    made = metrics.running_losses(table(spark, d, "events"), "event_id", {"loss": F.col("value"), "rps": F.when(F.col("event_type") == "click", F.col("value"))}, 20)
+    return made.select("window", F.round("loss", 6).alias("loss"), F.round("rps", 6).alias("rps"))
+
+
+@registered("""WITH b AS (SELECT doc_id, n_chars, (row_number() OVER (ORDER BY n_chars) - 1) // 64 AS batch FROM documents)
+SELECT batch, count(*) AS n, min(n_chars) AS shortest, max(n_chars) AS longest FROM b GROUP BY batch""")
+def length_batches(spark: SparkSession, d: str) -> DataFrame:
+    made = plan.length_sorted_batches(table(spark, d, "documents").select("doc_id", "n_chars"), "n_chars", "doc_id", 64)
+    return made.groupBy("batch").agg(F.count("*").alias("n"), F.min("n_chars").alias("shortest"), F.max("n_chars").alias("longest"))
+
+
+@registered("SELECT source, count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY source")
+def without_flagged_ids(spark: SparkSession, d: str) -> DataFrame:
+    return dedup.without_ids(table(spark, d, "documents"), table(spark, d, "labels").filter("toxic = 1"), "doc_id").groupBy("source").agg(F.count("*").alias("n"))
+
+
+@registered("SELECT count(*) AS n FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND doc_id % 7 <> 0")
+def unused_rows(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id").cast("string")
+    rows = table(spark, d, "documents").select(F.when(F.col("doc_id") % 7 == 0, F.concat(i, F.lit("#r1"))).otherwise(i).alias("id"))
+    return dedup.unused(rows, table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("id"))).agg(F.count("*").alias("n"))
+
+
+@registered("SELECT CASE WHEN doc_id % 9 > 4 THEN 'options' WHEN n_chars > 1500 THEN 'length' ELSE 'fits' END AS reason, count(*) AS n FROM documents GROUP BY 1")
+def limit_reasons(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").select("n_chars", F.sequence(F.lit(0), F.col("doc_id") % 9).alias("options"))
+    return dedup.within_limits(rows, 5, F.col("n_chars"), 1500).groupBy(F.coalesce("reason", F.lit("fits")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@registered(f"SELECT doc_id, list_sort(list_distinct(list_filter([{norm('text')}, {norm("source || ' ' || lang")}], lambda s: length(s) >= 8))) AS fragments FROM documents")
+def leaf_fragment_lists(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").select("doc_id", F.to_json(F.struct(F.array("text").alias("t"), F.struct(F.concat_ws(" ", "source", "lang").alias("s"), F.col("n_chars")).alias("o"))).alias("doc"))
+    return rows.select("doc_id", F.array_sort(text.leaf_fragments("doc", 8)).alias("fragments"))
+
+
+@registered("SELECT c_custkey, md5('1. ' || c_name || chr(10) || '2. ' || c_mktsegment) AS listed, md5('| name | segment |' || chr(10) || '|---|---|' || chr(10) || '| ' || c_name || ' | ' || c_mktsegment || ' |') AS tabled FROM customer")
+def rendered_texts(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer")
+    return c.select("c_custkey", F.md5(text.numbered(F.array("c_name", "c_mktsegment"))).alias("listed"), F.md5(text.markdown_table(["name", "segment"], F.array(F.array("c_name", "c_mktsegment")))).alias("tabled"))
+
+
+@registered("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN year(o_orderdate) || '年' || month(o_orderdate) || '月' || day(o_orderdate) || '日' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS written FROM orders")
+def written_dates(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select("o_orderkey", text.written_date(F.to_date("o_orderdate"), F.when(F.col("o_orderkey") % 2 == 0, "zh").otherwise("en")).alias("written"))
