@@ -55,13 +55,31 @@ def counts(decisions: DataFrame, keys: list[str]) -> DataFrame:
     return grouped.select(section.alias("section"), F.coalesce(*[F.col(k).cast("string") for k in keys], F.lit("")).alias("grp"), "n")
 
 
+#: Bins of a level of the search for a rank, and levels: what is ordered at last lies in one bin of BINS_OF_RANK ** LEVELS.
+BINS_OF_RANK, LEVELS = 1024, 2
+
+
 def nearest_rank(values: DataFrame, value: str, shares: list[float], by: list[str] | None = None) -> DataFrame:
-    """(by, share, value): the element of rank floor(share * n) from 0, at most the last, of each group's sorted values."""
+    """(by, share, value): the element of rank floor(share * n) from 0, at most the last, of each group's sorted values. Null values don't count.
+
+    Values are counted in equal bins between the least and the largest, and the bin that a rank falls in is cut up anew; only the last
+    bin's different values are ordered, so that no task orders a group.
+    """
     by = by or []
-    w = Window.partitionBy(*by)
-    ranked = values.select(*by, value).withColumn("r", F.row_number().over(w.orderBy(value)) - 1).withColumn("n", F.count("*").over(w))
-    at = F.explode(F.array(*[F.struct(F.lit(float(s)).alias("share"), F.least(F.col("n") - 1, F.floor(F.lit(s) * F.col("n"))).alias("at")) for s in shares]))
-    return ranked.withColumn("x", at).filter(F.col("r") == F.col("x.at")).select(*by, F.col("x.share").alias("share"), value)
+    keys = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("~")) for c in by]
+    counts = values.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__c")).withColumn("__g", F.concat_ws("\u0000", F.lit(""), *keys)).withColumn("__v", F.col(value).cast("double"))
+    n = F.col("__n")
+    ranks = F.explode(F.array(*[F.struct(F.lit(float(x)).alias("share"), F.least(n - 1, F.floor(F.lit(x) * n)).alias("at")) for x in shares]))
+    wanted = counts.groupBy("__g").agg(F.sum("__c").alias("__n"), F.min("__v").alias("lo"), F.max("__v").alias("hi")).select("__g", "lo", "hi", ranks.alias("r")).select("__g", "lo", "hi", "r.*")
+    whole = Window.partitionBy("__g", "share")
+    inside = (F.col("__v") >= F.col("lo")) & (F.col("__v") <= F.col("hi"))
+    for _ in range(LEVELS):
+        place = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(BINS_OF_RANK - 1), F.floor((F.col("__v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS_OF_RANK))).otherwise(0)
+        bins = counts.select("__g", "__v", "__c").join(wanted, "__g").filter(inside).groupBy("__g", "share", "at", place.alias("bin")).agg(F.sum("__c").alias("c"), F.min("__v").alias("lo"), F.max("__v").alias("hi"))
+        before = F.sum("c").over(whole.orderBy("bin")) - F.col("c")
+        wanted = bins.withColumn("b", before).filter((F.col("b") <= F.col("at")) & (F.col("at") < F.col("b") + F.col("c"))).select("__g", "share", (F.col("at") - F.col("b")).alias("at"), "lo", "hi")
+    last = counts.join(wanted, "__g").filter(inside).withColumn("b", F.sum("__c").over(whole.orderBy("__v", value)) - F.col("__c"))
+    return last.filter((F.col("b") <= F.col("at")) & (F.col("at") < F.col("b") + F.col("__c"))).select(*by, "share", value)
 
 
 def flip_rate(first: DataFrame, second: DataFrame) -> DataFrame:

@@ -96,3 +96,18 @@ def test_losses_count_who_takes_part(spark):
     d = spark.createDataFrame([(0, 1.0, None), (1, 3.0, 4.0), (20, 5.0, None)], "step int, ce double, rps double")
     got = {r["window"]: (r["ce"], r["rps"]) for r in metrics.running_losses(d, "step", {"ce": F.col("ce"), "rps": F.col("rps")}, 20).collect()}
     assert got == {0: (2.0, 4.0), 1: (5.0, None)}
+
+
+def test_nearest_rank_orders_no_group(spark, monkeypatch):
+    """Against sorting, on heavy tails, ties, single rows, null groups and null values."""
+    monkeypatch.setattr(metrics, "BINS_OF_RANK", 4)
+    rng = random.Random(2)
+    groups = {"a": [rng.paretovariate(0.5) for _ in range(700)], "b": [rng.choice([1.0, 2.0]) for _ in range(99)], None: [float("-inf") if i == 3 else rng.gauss(0, 1) for i in range(50)], "": [7.0], "c": [None, 5.0, -5.0]}
+    groups[None] = [x for x in groups[None] if math.isfinite(x)]
+    d = spark.createDataFrame([(g, x) for g, xs in groups.items() for x in xs], "g string, x double")
+    got = {(r["g"], r["share"]): r["x"] for r in metrics.nearest_rank(d, "x", [0.0, 0.5, 0.9, 1.0], ["g"]).collect()}
+    for g, xs in groups.items():
+        xs = sorted(x for x in xs if x is not None)
+        assert all(got[g, s] == xs[min(len(xs) - 1, int(s * len(xs)))] for s in (0.0, 0.5, 0.9, 1.0)), g
+    assert metrics.nearest_rank(d.limit(0), "x", [0.5]).collect() == []
+    assert metrics.nearest_rank(d.filter("g = 'b'"), "x", [0.5]).first()["share"] == 0.5
