@@ -54,6 +54,17 @@ def languages(run: str, name: str) -> str:
 {name} AS (SELECT doc_id, lang, source, text, list_transform(w, lambda x: x / list_sum(w)) AS p, list_transform({L4}, lambda x: (x = lang)::INT::DOUBLE) AS t FROM {name}0)"""
 
 
+def guard(shown: str, key: str, least: int, name: str = "") -> str:
+    """A guard of ratio 1.8, limit 480 and window 50 as a recursion along each key's events: the state is the last accepted values."""
+    extra = f", r.k AS {name}" if name else ""
+    first = shown.split(" AS ")[-1]
+    return f"""WITH RECURSIVE e AS (SELECT {shown}, event_id, value, {key} AS k FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY event_id) AS n FROM e),
+f(k, n, recent, event_id, skip) AS (SELECT k, 0::BIGINT, []::DOUBLE[], NULL::BIGINT, NULL::BOOLEAN FROM r WHERE n = 1
+  UNION ALL SELECT r.k, r.n, CASE WHEN s THEN recent ELSE list_append(recent, value)[-50:] END, r.event_id, s
+  FROM f JOIN r ON r.k = f.k AND r.n = f.n + 1, LATERAL (SELECT value > 480 OR (len(recent) >= {least} AND value > 1.8::DOUBLE * list_median(recent)) AS s))
+SELECT {first}, r.event_id, value{extra}, skip FROM r JOIN f ON f.k = r.k AND f.event_id = r.event_id"""
+
+
 PRIORITY = "['1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW']"
 ORDERS5 = f"""o AS (SELECT o_orderkey::VARCHAR AS id, c_mktsegment AS instructions, list_transform({PRIORITY}, lambda x: (x = o_orderpriority)::INT::DOUBLE) AS t FROM orders JOIN customer ON o_custkey = c_custkey)"""
 _DOC = "text || chr(0) || lang"
@@ -184,6 +195,16 @@ g AS (SELECT conv_id, bool_or(length(text) % 17 = 0) AS legal, count(*) FILTER (
 SELECT conv_id, legal, angry_n, CASE WHEN legal AND angry_n >= 1 THEN 3 WHEN legal OR angry_n >= 2 THEN 2 WHEN angry_n = 1 THEN 1 ELSE 0 END AS anger FROM g""",
     "fixed_count_steps": """WITH b AS (SELECT doc_id, n_chars, md5('plan/' || doc_id) AS h, (row_number() OVER (ORDER BY md5('plan/' || doc_id), doc_id) - 1) // 512 AS block FROM documents),
 p AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY n_chars, h) - 1 AS pos FROM b) SELECT doc_id, block, pos // 32 AS step, pos % 32 AS slot FROM p""",
+    "micro_batches": """WITH RECURSIVE b AS (SELECT doc_id, n_chars, md5('plan/' || doc_id) AS h, (row_number() OVER (ORDER BY md5('plan/' || doc_id), doc_id) - 1) // 512 AS block FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY n_chars, h) - 1 AS pos FROM b), s AS (SELECT doc_id, n_chars, block, pos, pos // 32 AS step, pos % 32 AS slot FROM p),
+f(doc_id, n_chars, block, pos, step, slot, batch, n, longest) AS (SELECT doc_id, n_chars, block, pos, step, slot, 0::BIGINT, 1, n_chars FROM s WHERE slot = 0
+  UNION ALL SELECT s.doc_id, s.n_chars, s.block, s.pos, s.step, s.slot, f.batch + c::INT, CASE WHEN c THEN 1 ELSE n + 1 END, CASE WHEN c THEN s.n_chars ELSE greatest(longest, s.n_chars) END
+  FROM f JOIN s ON s.block = f.block AND s.step = f.step AND s.slot = f.slot + 1, LATERAL (SELECT (n + 1) * greatest(longest, s.n_chars) > 40000 OR n + 1 > 8 AS c))
+SELECT doc_id, n_chars, block, pos, step, slot, batch FROM f""",
+    "spike_guard": guard("event_type", "event_type", 20),
+    "bucketed_guard": guard("user_id % 2000 AS length", "CASE WHEN user_id % 2000 >= 1500 THEN 2 WHEN user_id % 2000 >= 500 THEN 1 ELSE 0 END", 10, "bucket"),
+    "request_answers_json": """SELECT event_id || q AS id, a AS answer FROM events, (VALUES ('/yes', '{"noul":0.5}'), ('/kind', '{"choice":"a","probabilities":{"a":0.5,"b":0.5},"confidence":0.0}'),
+('/level', '{"score":1.0,"legend":["low","mid","high"],"probabilities":[0.3333,0.3333,0.3333],"confidence":0.0}')) v(q, a)""",
     "step_lengths": """WITH b AS (SELECT doc_id, n_chars, md5('plan/' || doc_id) AS h, (row_number() OVER (ORDER BY md5('plan/' || doc_id), doc_id) - 1) // 512 AS block FROM documents),
 p AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY n_chars, h) - 1 AS pos FROM b) SELECT block, pos // 32 AS step, count(*) AS n, round(avg(n_chars), 6) AS mean_length, max(n_chars) AS max_length, max(n_chars) * count(*) AS padded FROM p GROUP BY ALL""",
     "spike_windows": """WITH e AS (SELECT event_type AS run, event_id AS step, value, sum((value > 400)::INT) OVER (PARTITION BY event_type ORDER BY event_id) AS sk, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events),
