@@ -48,7 +48,7 @@ class Source:
     def decisions(self, spark: SparkSession, split: str, default: int, seed: str, zh_times: float = 1.0) -> DataFrame:
         """Converted rows, at most most() decisions: rows in keyed order, a row's decisions together, so that a row may be cut."""
         made = self.convert(self.load(spark, split))
-        return sample.first_of(made, "id", f"{seed}/{self.name}", most=self.most(default, zh_times)).filter("held").drop("held")
+        return sample.first_of(made, "grp", f"{seed}/{self.name}", most=self.most(default, zh_times)).filter("held").drop("held")
 
 
 def without_binary(rows: DataFrame) -> DataFrame:

@@ -30,6 +30,14 @@ def test_merged_and_tiered(spark, tmp_path):
     assert {tuple(r) for r in tiered(spark, str(tmp_path / "*.jsonl"), "i int").collect()} == {(1, "hard"), (2, "hard")}
 
 
+def test_a_cut_keeps_rows_together(spark, tmp_path):
+    """Of rows that give two decisions each, a cut of 7 takes three rows whole and a half."""
+    spark.range(40).select(F.col("id").alias("rid")).write.parquet(str(tmp_path / "a"))
+    two = lambda d: convert.emit(d, "t", *[convert.noul(F.col("rid"), F.lit("s"), F.lit("q"), F.lit(True), qid=F.lit(q)) for q in "ab"])
+    got = Source("t", two, {"train": str(tmp_path / "a")}).decisions(spark, "train", 7, "1").groupBy("grp").count().collect()
+    assert sorted(r["count"] for r in got) == [1, 2, 2, 2]
+
+
 def drain(df, name, mode="append"):
     q = df.writeStream.outputMode(mode).format("memory").queryName(name).start()
     q.processAllAvailable()
