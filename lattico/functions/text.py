@@ -74,7 +74,7 @@ def option_lines(options: Column, type_: Column) -> Column:
 
 
 def user_message(state: Column, instructions: Column, options: Column, type_: Column) -> Column:
-    """The prompt of one decision."""
+    """The prompt of one decision. Its literals are what models were trained on."""
     hint = F.create_map(*[F.lit(x) for kv in HINTS.items() for x in kv])[type_]
     word = F.when(F.size(options) <= 26, "letter").otherwise("code")
     return F.concat(

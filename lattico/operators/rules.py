@@ -24,15 +24,17 @@ def invoice_match(lines: DataFrame, paid: DataFrame, tolerance: float) -> DataFr
     return again.select("invoice", action.alias("action"))
 
 
-def contract_status(terms: DataFrame, renewals: int = 11) -> DataFrame:
+def contract_status(terms: DataFrame) -> DataFrame:
     """terms (start, init_months, renew_months, notice_days, amended, amended_days, notice, query) with effective, status and renewed.
 
-    All ends are counted from the first, so that a month's end doesn't drift. A notice ends the contract at the next end if it
+    All ends are counted from the first, so that a month's end doesn't drift, and as many as lie about a notice, however late. A notice ends the contract at the next end if it
     comes early enough, else at the one after; one given after the query date doesn't count.
     """
     t = terms.withColumn("end0", F.add_months("start", F.col("init_months")))
-    t = t.withColumn("ends", F.transform(F.sequence(F.lit(0), F.lit(renewals)), lambda k: F.add_months(F.col("end0"), F.col("renew_months") * k)))
     t = t.withColumn("given", F.when(F.col("notice") <= F.col("query"), F.col("notice")))
+    passed = F.floor(F.months_between("given", "end0") / F.greatest(F.col("renew_months"), F.lit(1))).cast("int")
+    first = F.greatest(F.lit(0), F.coalesce(passed, F.lit(0)) - 1)
+    t = t.withColumn("ends", F.transform(F.sequence(first, first + 4), lambda k: F.add_months(F.col("end0"), F.col("renew_months") * k)))
     days = F.when(F.col("amended").isNotNull() & (F.col("given") >= F.col("amended")), F.col("amended_days")).otherwise(F.col("notice_days"))
     t = t.withColumn("later", F.filter("ends", lambda e: e > F.col("given"))).withColumn("need", days)
     effective = F.when(F.datediff(F.get("later", F.lit(0)), "given") >= F.col("need"), F.get("later", F.lit(0))).otherwise(F.get("later", F.lit(1)))
@@ -65,6 +67,7 @@ def business_hours(begin: Column, end: Column, holidays: Column, opens: int = 9,
     return F.when(end <= begin, 0.0).otherwise(total / 3600.0)
 
 
+# Fixed values below: the shares and counts at which a deadline is at risk and a conversation escalates.
 def sla_status(used: Column, limit: Column) -> Column:
     return F.when(used <= limit, "met").when(used - limit <= 4, "breached_minor").otherwise("breached_major")
 
@@ -101,6 +104,7 @@ def security(events: DataFrame, user: str = "user", ts: str = "ts", event: str =
     return by.select(user, "compromised", severity.alias("severity"))
 
 
+# Fixed values below: days of sick leave without a certificate and of tenure for parental leave; the limits of each triage level.
 def leave(kind: Column, tenure: Column, probation: Column, balance: Column, days: Column, notice: Column, needed: Column, certificate: Column) -> Column:
     annual = F.when(tenure < probation, "reject").when(balance < days, "reject").when(notice < needed, "needs_manager").otherwise("approve")
     sick = F.when((days <= 3) | certificate, "approve").otherwise("reject")

@@ -138,3 +138,9 @@ def test_first_of_takes_rows_as_they_are(spark):
         assert got.count() == 6 and got.filter("held").count() == n
         assert sorted(r["x"] for r in got.filter("held").collect()) == sorted(r["x"] for r in sample.first_of(rows.repartition(5), "id", "s", most=n).filter("held").collect())
     assert sample.holdout_rows(rows, "id", 0.5).filter("held").count() == 3
+
+
+def test_late_notices_still_end_a_contract(spark):
+    rows = [(dt.date(2000, 1, 31), 6, 1, 30, dt.date(2020, 3, 15), dt.date(2021, 1, 1)), (dt.date(2020, 1, 31), 12, 12, 30, dt.date(2020, 6, 1), dt.date(2020, 7, 1)), (dt.date(2000, 1, 31), 6, 1, 5, dt.date(2020, 3, 30), dt.date(2021, 1, 1))]
+    d = spark.createDataFrame([(*r[:4], None, 60, *r[4:]) for r in rows], "start date, init_months int, renew_months int, notice_days int, amended date, amended_days int, notice date, query date")
+    assert [r["effective"] for r in rules.contract_status(d).orderBy("start", "notice").collect()] == [dt.date(2020, 4, 30), dt.date(2020, 4, 30), dt.date(2021, 1, 31)]
