@@ -34,6 +34,8 @@ SEED = 42
 ROW_COST, PAIR_COST = 1.0, 0.05
 #: Partition counts that are tried.
 PARTITIONS = (2, 3, 4, 5)
+#: Fingerprints that a task flips the bits of.
+FLIPPED_ROWS = 20_000
 _CHUNK = 65_536
 
 
@@ -167,6 +169,7 @@ def _flips(bits: list[int], most: int) -> list[int]:
 
 def near_cliques(fps: DataFrame) -> DataFrame:
     """Links (a, b) that join all fingerprints within two bits: those which share a value one flip away, at most 65, to the smallest."""
+    fps = fps.repartition(max(1, -(-fps.count() // FLIPPED_ROWS)))  # each row becomes 65
     keys = fps.select("fp", F.explode(F.transform(F.array(*map(F.lit, _flips(list(range(BITS)), 1))), lambda m: m.bitwiseXOR(F.col("fp")))).alias("key"))
     together = keys.groupBy("key").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
     return together.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).filter("a < b").distinct()
