@@ -43,26 +43,35 @@ def contamination(texts: DataFrame, found: DataFrame) -> DataFrame:
     return by.select("id", "n_frags", "hits", "full_hit", "strict_hit", contaminated.alias("contaminated"))
 
 
+def _fragment_digests(text: str) -> Column:
+    return F.transform(T.fragments(F.col(text), FRAGMENT_LEAST), _digest)
+
+
 def seen_by(rows: DataFrame, train: DataFrame, least: int = FRAGMENT_LEAST) -> DataFrame:
-    """rows (id, text, ...) with seen: whether a fragment also occurs in train's texts."""
-    keys = train.select(F.explode(T.fragments(F.col("text"), least)).alias("x")).distinct()
-    hits = rows.select("id", F.explode(T.fragments(F.col("text"), least)).alias("x")).join(keys, "x", "left_semi").select("id").distinct().withColumn("seen", F.lit(True))
+    """rows (id, text, ...) with seen: whether a fragment also occurs in train's texts. Digests of fragments meet; a null id is seen by none."""
+    digests = lambda c: F.explode(F.transform(T.fragments(c, least), _digest)).alias("x")
+    keys = train.select(digests(F.col("text"))).distinct()
+    hits = rows.select("id", digests(F.col("text"))).join(keys, "x", "left_semi").select("id").distinct().withColumn("seen", F.lit(True))
     return rows.join(hits, "id", "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
 
 
 def report(evals: DataFrame, train: DataFrame, top: int = 4) -> DataFrame:
     """(eval, full_rows, frag_rows, source, hits, place): rows of each evaluation set that overlap, and the training sources with most hits.
 
-    evals: (eval, id, text); train: (source, text). Fragments are paired with each source once, with a count, before they meet.
+    evals: (eval, id, text); train: (source, text). Each side's texts are read once, as digests of whole texts and of fragments; a
+    fragment is paired with each source that has it once, and only fragments that both sides have are kept for all three counts.
     """
-    ev = evals.select("eval", "id", F.explode(T.fragments(F.col("text"))).alias("x")).distinct()
-    tr = train.select("source", F.explode(T.fragments(F.col("text"))).alias("x")).distinct()
-    full_t = train.select(T.normal(F.col("text")).alias("x")).filter(F.length("x") >= FULL_LEAST).distinct()
-    full = evals.select("eval", "id", T.normal(F.col("text")).alias("x")).join(full_t, "x", "left_semi").groupBy("eval").agg(F.count_distinct("id").alias("full_rows"))
-    rows = ev.join(tr.select("x").distinct(), "x", "left_semi").groupBy("eval").agg(F.count_distinct("id").alias("frag_rows"))
-    by_source = ev.join(tr, "x").groupBy("eval", "source").agg(F.count("*").alias("hits"))
+    def pieces(rows: DataFrame, keys: list[str]) -> DataFrame:
+        norm = T.normal(F.col("text"))
+        full = F.when(F.length(norm) >= FULL_LEAST, F.array(F.struct(F.lit("full").alias("kind"), _digest(norm).alias("x")))).otherwise(F.array().cast("array<struct<kind:string,x:binary>>"))
+        frags = F.transform(_fragment_digests("text"), lambda x: F.struct(F.lit("frag").alias("kind"), x.alias("x")))
+        return rows.select(*keys, F.explode(F.concat(frags, full)).alias("p")).select(*keys, "p.*").distinct()
+
+    shared = pieces(evals, ["eval", "id"]).join(pieces(train, ["source"]), ["kind", "x"])
+    by_row = shared.groupBy("eval", "kind").agg(F.count_distinct("id").alias("rows"))
+    counts = by_row.groupBy("eval").agg(F.max(F.when(F.col("kind") == "full", F.col("rows"))).alias("full_rows"), F.max(F.when(F.col("kind") == "frag", F.col("rows"))).alias("frag_rows"))
+    by_source = shared.filter("kind = 'frag'").groupBy("eval", "source").agg(F.count("*").alias("hits"))
     place = F.row_number().over(Window.partitionBy("eval").orderBy(F.desc("hits"), "source"))
     best = by_source.withColumn("place", place).filter(F.col("place") <= top)
-    all_ = evals.select("eval").distinct()
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return all_.join(full, "eval", "left").join(rows, "eval", "left").join(best, "eval", "left").select("eval", zero("full_rows"), zero("frag_rows"), "source", "hits", "place")
+    return evals.select("eval").distinct().join(counts, "eval", "left").join(best, "eval", "left").select("eval", zero("full_rows"), zero("frag_rows"), "source", "hits", "place")
