@@ -52,6 +52,19 @@ def micro_batches(rows: DataFrame, group: list[str], order: str, length: str, ma
     return rows.groupBy(*group).applyInPandas(fold, schema)
 
 
+#: Fixed value: rows that are sorted by length together, so that batches are of like lengths and yet of mixed sources.
+MEGA = 2048
+
+
+def token_budget_batches(rows: DataFrame, id_: str, length: str, max_tokens: int, max_batch: int, seed: str, mega: int = MEGA) -> DataFrame:
+    """rows with block, pos, batch and turn: keyed order cut into blocks of `mega` rows sorted by length, these cut by micro_batches' rule.
+
+    Batches are taken in order of turn, a digest, so that short rows don't all come first. Blocks are folded apart from each other.
+    """
+    cut = micro_batches(blocks(rows, id_, length, mega, seed), ["block"], "pos", length, max_tokens, max_batch)
+    return cut.withColumn("turn", keyed.digest(seed, "turn", F.col("block"), F.col("batch")))
+
+
 def step_lengths(planned: DataFrame, length: str, by: list[str] | None = None) -> DataFrame:
     by = by or ["block", "step"]
     return planned.groupBy(*by).agg(F.count("*").alias("n"), F.avg(length).alias("mean_length"), F.max(length).alias("max_length"), (F.max(length) * F.count("*")).alias("padded"))

@@ -323,3 +323,13 @@ def rendered_texts(spark: SparkSession, d: str) -> DataFrame:
 @registered("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN year(o_orderdate) || '年' || month(o_orderdate) || '月' || day(o_orderdate) || '日' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS written FROM orders")
 def written_dates(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", text.written_date(F.to_date("o_orderdate"), F.when(F.col("o_orderkey") % 2 == 0, "zh").otherwise("en")).alias("written"))
+
+
+@registered("""WITH RECURSIVE b AS (SELECT doc_id, n_chars, md5('e0/' || doc_id) AS h, (row_number() OVER (ORDER BY md5('e0/' || doc_id), doc_id) - 1) // 256 AS block FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY n_chars, h) - 1 AS pos FROM b),
+f(doc_id, block, pos, batch, n) AS (SELECT doc_id, block, pos, 0::BIGINT, 1 FROM p WHERE pos = 0
+  UNION ALL SELECT p.doc_id, p.block, p.pos, f.batch + c::INT, CASE WHEN c THEN 1 ELSE n + 1 END FROM f JOIN p ON p.block = f.block AND p.pos = f.pos + 1, LATERAL (SELECT (n + 1) * p.n_chars > 60000 OR n + 1 > 16 AS c))
+SELECT doc_id, block, pos, batch, md5('e0/turn/' || block || '/' || batch) AS turn FROM f""")
+def token_batches(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").select("doc_id", "n_chars")
+    return plan.token_budget_batches(rows, "doc_id", "n_chars", 60_000, 16, "e0", 256).select("doc_id", "block", "pos", "batch", "turn")
