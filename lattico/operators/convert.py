@@ -105,14 +105,20 @@ def topic(rows: DataFrame, names: list[str], descs: list[str] | None = None, sou
     return emit(rows.filter(F.col("label").isin(*names)), source, choice(F.col("rid"), F.col("text"), wording(["What is the text about?", "Which topic fits the text?"], F.col("rid")), options(names, descs), F.array_position(all_, F.col("label")) - 1))
 
 
-def mcq(rows: DataFrame, source: str = "mcq") -> DataFrame:
-    """rows (rid, question, texts, key): key is a letter; rows whose key is out of range or whose options repeat go."""
-    at = F.instr(F.lit("ABCDEFGHIJ"), F.col("key")) - 1
-    ok = (F.length("key") == 1) & (at >= 0) & (at < F.size("texts")) & (F.size(F.array_distinct("texts")) == F.size("texts"))
+def mcq(rows: DataFrame, source: str = "mcq", first: int | None = None) -> DataFrame:
+    """rows (rid, question, texts, key): key is a letter, or a number counted from `first`; rows whose key is out of range or whose options repeat go."""
+    at = F.when(F.length("key") == 1, F.instr(F.lit("ABCDEFGHIJ"), F.col("key")) - 1) if first is None else F.col("key").try_cast("int") - first
+    ok = (at >= 0) & (at < F.size("texts")) & (F.size(F.array_distinct("texts")) == F.size("texts"))
     opts = F.transform("texts", lambda t: F.struct(t.alias("name"), F.lit("").alias("desc")))
     return emit(rows.filter(ok), source, choice(F.col("rid"), F.lit(""), F.col("question"), opts, at))
 
 
+def blank_filled(rows: DataFrame, source: str = "blanks") -> DataFrame:
+    """rows (rid, sentence with one _, option1, option2, key 1 or 2): which of two words belongs in the blank; rows without a blank or key go."""
+    kept = rows.filter(F.col("sentence").contains("_")).select("rid", F.concat(F.lit("What belongs in the blank? "), F.col("sentence")).alias("question"), F.array("option1", "option2").alias("texts"), "key")
+    return mcq(kept, source, 1)
+
+
 def rating(rows: DataFrame, levels: list[str], question: str, source: str = "ratings") -> DataFrame:
     """rows (rid, text, label), label being a level from 0."""
     k = len(levels)

@@ -90,9 +90,9 @@ def merge_results(runs: DataFrame, key: str = "run_id", status: str = "status",
     return runs.groupBy(key).agg(F.min_by(F.struct(*[F.col(c) for c in runs.columns]), order).alias("__r")).select("__r.*")
 
 
-def write_shards(rows: DataFrame, path: str, n: int, seq: str = "seq") -> None:
-    """Gzipped JSON lines in n folders, dealt round by seq."""
-    rows.withColumn("shard", F.pmod(F.col(seq), F.lit(n))).repartition("shard").write.partitionBy("shard").option("compression", "gzip").json(path)
+def write_shards(rows: DataFrame, path: str, n: int, seq: str = "seq", keep: bool = False) -> None:
+    """Gzipped JSON lines in n folders, dealt round by seq. keep: what is there already stays, and nothing is written."""
+    rows.withColumn("shard", F.pmod(F.col(seq), F.lit(n))).repartition("shard").write.mode("ignore" if keep else "error").partitionBy("shard").option("compression", "gzip").json(path)
 
 
 def without_meta(rows: DataFrame, keys: list[str], meta: str = "meta") -> DataFrame:

@@ -333,3 +333,11 @@ SELECT doc_id, block, pos, batch, md5('e0/turn/' || block || '/' || batch) AS tu
 def token_batches(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").select("doc_id", "n_chars")
     return plan.token_budget_batches(rows, "doc_id", "n_chars", 60_000, 16, "e0", 256).select("doc_id", "block", "pos", "batch", "turn")
+
+
+@registered("""SELECT 'blanks/' || p_partkey AS id, (p_partkey % 3)::INT - 1 AS gold, 'What belongs in the blank? a _ of ' || p_name AS instructions, p_brand || '|' || p_type AS names FROM part WHERE p_partkey % 3 > 0 AND p_partkey % 7 > 0""")
+def blank_choices(spark: SparkSession, d: str) -> DataFrame:
+    p = F.col("p_partkey")
+    sentence = F.concat(F.when(p % 7 == 0, "no blank of ").otherwise("a _ of "), F.col("p_name"))
+    rows = table(spark, d, "part").select(p.alias("rid"), sentence.alias("sentence"), F.col("p_brand").alias("option1"), F.col("p_type").alias("option2"), F.when(p % 3 == 0, "").otherwise((p % 3).cast("string")).alias("key"))
+    return convert.blank_filled(rows).select("id", _gold(), "instructions", F.array_join(F.col("options")["name"], "|").alias("names"))

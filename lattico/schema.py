@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 OPTION = "struct<name:string,desc:string>"
@@ -62,14 +62,18 @@ def checked(decisions: DataFrame) -> DataFrame:
     return decisions.withColumn("id", F.when(reason.isNull(), F.col("id")).otherwise(fail))
 
 
-def read_decisions(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines; blank lines are passed over. `group` in files is `grp` here."""
-    return spark.read.schema(DECISION.replace("grp string", "`group` string, grp string")).json(path).withColumn("grp", F.coalesce("grp", "group")).drop("group")
+def read_decisions(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+    """JSON lines; blank lines are passed over. `group` in files is `grp` here. Strict: a line that isn't a JSON object of these types fails the job."""
+    reader = spark.read.schema(DECISION.replace("grp string", "`group` string, grp string")).option("mode", "FAILFAST" if strict else "PERMISSIVE")
+    return reader.json(path).withColumn("grp", F.coalesce("grp", "group")).drop("group")
 
 
-def write_decisions(decisions: DataFrame, path: str) -> None:
-    """JSON lines with targets rounded to 6 places, replacing what is there."""
-    decisions.withColumn("target", F.transform("target", lambda p: F.bround(p, 6))).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+def write_decisions(decisions: DataFrame, path: str) -> int:
+    """JSON lines with targets rounded to 6 places, replacing what is there; returns how many were written."""
+    seen = Observation()
+    counted = decisions.withColumn("target", F.transform("target", lambda p: F.bround(p, 6))).observe(seen, F.count(F.lit(1)).alias("n"))
+    counted.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    return seen.get["n"]
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:

@@ -23,7 +23,7 @@ def test_reasons_in_order(spark):
 
 def test_round_trip(spark, tmp_path):
     d = spark.createDataFrame([("a", [("x", "é中")], [0.12345678])], f"id string, options array<{schema.OPTION}>, target array<double>")
-    schema.write_decisions(d.withColumn("grp", F.lit("g")), str(tmp_path / "o"))
+    assert schema.write_decisions(d.withColumn("grp", F.lit("g")), str(tmp_path / "o")) == 1
     back = schema.read_decisions(spark, str(tmp_path / "o")).first()
     assert back["target"] == [0.123457] and back["options"][0]["desc"] == "é中" and back["grp"] == "g"
 
@@ -49,3 +49,18 @@ def test_null_keys_are_keys(spark):
     d = spark.createDataFrame([(i, s, q, [(n, "") for n in o]) for i, s, q, o in rows], f"i int, state string, instructions string, options array<{schema.OPTION}>")
     kept = lambda key: sorted(r["i"] for r in dedup.first_wins(d, key, [F.col("i")]).collect())
     assert kept(dedup.question_key()) == [1, 2, 3, 5, 6] and kept(dedup.content_key()) == [1, 2, 3, 5, 6, 7, 8]
+
+
+def test_strict_reading(spark, tmp_path):
+    (tmp_path / "x.json").write_text('{"id": "a", "target": [1.0]}\n\n{"id": "b", "target": "no list"}\n')
+    assert schema.read_decisions(spark, str(tmp_path / "x.json")).count() == 2
+    with pytest.raises(Exception, match="MALFORMED_RECORD|FAILFAST|FAILED_READ_FILE"):
+        schema.read_decisions(spark, str(tmp_path / "x.json"), strict=True).collect()
+
+
+def test_shards_that_are_there_stay(spark, tmp_path):
+    from lattico.operators import sample
+
+    for n in (10, 99):
+        sample.write_shards(spark.range(n).withColumnRenamed("id", "seq"), str(tmp_path / "s"), 3, keep=True)
+    assert spark.read.json(str(tmp_path / "s")).count() == 10
