@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op10_byte_bpe
 from .crossentropy import op9_cross_entropy
+from .factors import op13_factorisation_machine
+from .fim import op12_fill_in_middle
 from .hilbert import op5_hilbert_neighbours
 from .licenses import op2_license_scan
 from .mixing import op1_mixing
@@ -16,6 +18,7 @@ from .sharding import OP8_SQL, op8_sharding
 from .simhash import op6_simhash
 from .toxicity import op7_toxicity
 from .warc import OP4_SQL, op4_warc
+from .whitening import op11_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
@@ -28,6 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_cross_entropy": op9_cross_entropy,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_whitening": op11_whitening,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_factorisation_machine": op13_factorisation_machine,
 }
 
 SQL: dict[str, str] = {

@@ -6,7 +6,7 @@ from pathlib import Path
 
 import pytest
 
-from lattico.llm import bpe, crossentropy, jaccard, licenses, mixing, quality, sharding, simhash, toxicity
+from lattico.llm import bpe, crossentropy, factors, fim, jaccard, licenses, mixing, quality, sharding, simhash, toxicity, whitening
 from lattico.llm.common import Sheltered
 
 #: Every name that any operator's source puts in quotes, and then some.
@@ -29,6 +29,10 @@ RUNS = {
     "simhash.keep_one": (simhash.keep_one, [], False),
     "simhash.keep_one, near copies": (lambda d: simhash.keep_one(d, near=jaccard.near_copies), [], False),
     "crossentropy.score": (crossentropy_scores, ["n_tokens", "target_loss", "background_loss", "difference"], None),
+    "fim.transform": (fim.transform, ["n", "form", "prefix_chars", "middle_chars", "output"], None),
+    "fim.restore": (lambda d: fim.restore(d.withColumnRenamed("text", "output"), form="lang"), ["restored"], None),
+    "factors.score": (lambda d: factors.score(d, factors.constant(0.4), size="doc_id"), ["score", "predicted"], None),
+    "whitening.whiten": (lambda d: whitening.whiten(d.selectExpr("*", "array(coalesce(doc_id, 0) * 0.5D, coalesce(length(text), 0) * 0.25D) as vector"), "vector").filter("component = 1"), ["component", "n", "deviation", "whitened", "explained", "identity_error"], None),
     "bpe.encode": (lambda d: bpe.encode(d, *bpe.default_vocabulary()), ["ids"], None),
 }
 
@@ -44,7 +48,7 @@ def test_clashing_names(spark, run, seed):
     rows += rows[:5]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` int" for n in extra))
     out = fn(df)
-    dropped = {"text"} if run in ("licenses.scan", "crossentropy.score", "quality.judge") else set()
+    dropped = {"text"} if run in ("licenses.scan", "crossentropy.score", "quality.judge", "fim.transform", "fim.restore", "factors.score") else set()
     kept = [c for c in df.columns if c.lower() not in {a.lower() for a in added} | dropped]
     assert out.columns == [*kept, *added]
     got, given = out.collect(), df.collect()
