@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import dist
+
 #: Where a text is cut into fragments, which letters count as Chinese, and what a prompt says of each type.
 FRAGMENT_END = r"[\n。！？!?]|(?<=[.;])\s"
 CJK = "[一-鿿]"
@@ -84,11 +86,27 @@ def user_message(state: Column, instructions: Column, options: Column, type_: Co
 
 
 def description_cap(lengths: Column, budget: Column | int, least: int) -> Column:
-    """The largest cap under which all descriptions, cut to it, fit the budget; 0 (drop them all) if that is below least."""
-    most = F.coalesce(F.array_max(lengths), F.lit(0))
-    fits = F.filter(F.sequence(F.lit(0), most), lambda c: F.aggregate(lengths, F.lit(0), lambda a, x: a + F.least(x, c)) <= budget)
-    cap = F.coalesce(F.array_max(fits), F.lit(0))
-    return F.when((cap < least) & (cap < most), 0).otherwise(cap)
+    """The largest cap under which all descriptions, cut to it, fit the budget; 0 (drop them all) if that is below least.
+
+    Of sorted lengths, the first i stay whole and the others get equal parts of what is left. The first i whose next length doesn't
+    fit that part gives the cap: one sort and one pass, whatever the lengths.
+    """
+
+    def of(sorted_: Column, left: Column | int) -> Column:
+        k = F.size(sorted_)
+        most = F.coalesce(F.element_at(sorted_, -1), F.lit(0))
+        start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(None).cast("long").alias("cap"))
+
+        def step(a: Column, x: Column) -> Column:
+            rest = k - x["i"]
+            part = F.floor((F.lit(left) - a["used"]) / rest)
+            return F.struct((a["used"] + x["n"]).alias("used"), F.coalesce(a["cap"], F.when(x["n"] > part, part)).cast("long").alias("cap"))
+
+        found = F.aggregate(F.transform(sorted_, lambda n, i: F.struct(n.cast("long").alias("n"), i.alias("i"))), start, step, lambda a: a["cap"])
+        cap = F.greatest(F.coalesce(found, most.cast("long")), F.lit(0))
+        return F.when((cap < least) & (cap < most), 0).otherwise(cap).cast("int")
+
+    return F.when(F.size(lengths) > 0, dist.bound(F.array_sort(lengths), lambda s: of(s, budget))).otherwise(0)
 
 
 def common_prefix(a: Column, b: Column) -> Column:
@@ -98,19 +116,32 @@ def common_prefix(a: Column, b: Column) -> Column:
     return F.when(n == 0, 0).otherwise(F.coalesce(F.array_min(differ) - 1, n))
 
 
+def _one_quote(json: Column) -> Column:
+    """JSON text whose quotes and backslashes within strings are written by number, so that each quote left begins or ends a string."""
+    return F.replace(F.replace(json, F.lit("\\\\"), F.lit("\\u005c")), F.lit('\\"'), F.lit("\\u0022"))
+
+
 def leaves(doc: str) -> Column:
-    """All string leaves of a column of JSON texts, at any depth, as an array; empty where it isn't JSON or null.
+    """leaves_of a column by its name."""
+    return leaves_of(F.col(doc))
 
-    One expression: each step takes the strings off the values in hand and goes on with the members of the rest, as many steps as
-    the text has opening brackets at most. Nothing is joined, and nothing depends on the number of documents.
+
+def leaves_of(json: Column) -> Column:
+    """All string leaves of JSON texts, at any depth and in the order of the text, as an array; empty where it isn't JSON or null.
+
+    What stands between quotes and isn't followed by a colon is a leaf, so that the walk is one scan of the text, depth first as it
+    is written, whatever the nesting. A text that repeats a key within an object doesn't count as JSON.
     """
-    none = "cast(array() as array<variant>)"
-    members = f"flatten(transform(a.todo, v -> coalesce(try_variant_get(v, '$', 'array<variant>'), map_values(try_variant_get(v, '$', 'map<string,variant>')), {none})))"
-    own = "transform(filter(a.todo, v -> schema_of_variant(v) = 'STRING'), v -> cast(v as string))"
-    step = f"(a, i) -> if(size(a.todo) = 0, a, named_struct('todo', {members}, 'found', concat(a.found, {own})))"
-    start = f"named_struct('todo', if(x.v is null, {none}, array(x.v)), 'found', cast(array() as array<string>))"
-    walk = f"aggregate(sequence(1, coalesce(regexp_count(x.t, '[\\\\[{{]'), 0) + 1), {start}, {step}, a -> a.found)"
-    return F.expr(f"element_at(transform(array(named_struct('t', {doc}, 'v', try_parse_json({doc}))), x -> {walk}), 1)")
+    whole = F.try_parse_json(json).isNotNull()
+    strings = F.filter(F.regexp_extract_all(_one_quote(json), F.lit(r'"[^"]*"(?:[ \t\r\n]*:)?'), F.lit(0)), lambda x: ~F.endswith(x, F.lit(":")))
+    found = F.from_json(F.concat(F.lit("["), F.array_join(strings, ","), F.lit("]")), "array<string>")
+    return F.when(whole, found).otherwise(F.array().cast("array<string>"))
+
+
+def compact(json: Column) -> Column:
+    """JSON text without white space between its parts, members in the order of the text."""
+    tight = F.regexp_replace(_one_quote(json), r'("[^"]*")|[ \t\r\n]+', "$1")
+    return F.replace(F.replace(tight, F.lit("\\u0022"), F.lit('\\"')), F.lit("\\u005c"), F.lit("\\\\"))
 
 
 def state_text(state: Column) -> Column:
@@ -148,3 +179,37 @@ def markdown_table(header: list[str], rows: Column) -> Column:
 def written_date(d: Column, lang: Column) -> Column:
     """A date as texts in a language write it."""
     return F.when(lang == "zh", F.concat(F.year(d).cast("string"), F.lit("年"), F.month(d).cast("string"), F.lit("月"), F.day(d).cast("string"), F.lit("日"))).otherwise(d.cast("string"))
+
+
+def encoder_layout(prefix: Column, instructions: Column, names: Column, descs: Column, state: Column, max_len: int, max_instr: int, max_options: int, min_desc: int) -> Column:
+    """Where a decision's parts lie in a sequence of max_len tokens, from the parts' lengths in tokens (names and descs: arrays, of the options).
+
+    A struct of head (a token to begin with, 8 of the prefix, max_instr of the instructions, a token to end with), budget (tokens of all
+    options: max_options, or what their names and marks alone take, and never more than is left), cap (of each description), markers
+    (each option's place), room (tokens of the state), truncated, length, and error: whether the names alone don't fit, which makes
+    all but head and budget null.
+    """
+    head = F.lit(2) + F.least(prefix, F.lit(8)) + F.least(instructions, F.lit(max_instr))
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, v: a + v)
+
+    def laid(x: Column) -> Column:
+        """x: head, bare (what names and their marks take)."""
+        limit = F.lit(max_len) - x["head"] - 2
+        budget = F.least(F.greatest(F.lit(max_options), x["bare"]), limit)
+        fits = x["bare"] <= budget
+        return dist.bound(F.when(fits, description_cap(descs, budget - x["bare"], min_desc)), lambda cap: placed(x, budget, fits, cap))
+
+    def placed(x: Column, budget: Column, fits: Column, cap: Column) -> Column:
+        sizes = F.zip_with(names, descs, lambda n, d: F.lit(1) + n + F.least(d, cap))
+        start = F.struct(x["head"].cast("long").alias("at"), F.array().cast("array<bigint>").alias("markers"))
+        walk = F.aggregate(sizes, start, lambda a, n: F.struct((a["at"] + n).alias("at"), F.array_append(a["markers"], a["at"]).alias("markers")))
+
+        def ended(w: Column) -> Column:
+            room = F.lit(max_len) - w["at"] - 2
+            return F.struct(
+                x["head"].cast("int").alias("head"), budget.cast("int").alias("budget"), cap.alias("cap"), F.when(fits, w["markers"]).alias("markers"), F.when(fits, room.cast("int")).alias("room"),
+                F.when(fits, state > room).alias("truncated"), F.when(fits, (w["at"] + F.least(state, room) + 2).cast("int")).alias("length"), (~fits).alias("error"))
+
+        return dist.bound(walk, ended)
+
+    return dist.bound(F.struct(head.alias("head"), (F.size(names) + total(names)).alias("bare")), laid)

@@ -11,7 +11,7 @@ from . import metrics, sample
 #: The grid's first temperature, ratio and length.
 FIRST, RATIO, POINTS = 0.05, 1.15, 46
 #: Rounds of the search around the grid's best, and points that each looks at.
-ROUNDS, INNER = 6, 11
+ROUNDS, INNER = 9, 11
 
 
 def grid() -> list[float]:

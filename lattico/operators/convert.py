@@ -182,22 +182,28 @@ def questions_map(rows: DataFrame, source: str = "questions") -> DataFrame:
     """
     from .requests import criteria_options
 
-    q = rows.select("rid", "state", F.explode(F.from_json("questions", "map<string,string>")).alias("qid", "q"))
-    get = lambda n: F.get_json_object("q", f"$.{n}")
-    q = q.withColumns({"type": get("type"), "o": criteria_options(get("type"), get("criteria"), F.lit("en")), "label": get("label"), "p": get("label_probs")})
-    names = F.col("o")["name"]
-    by_name = F.from_json("p", "map<string,double>")
-    as_list = F.from_json("p", "array<double>")
-    listed = F.startswith(F.col("p"), F.lit("["))
-    soft = F.when(listed, as_list).when(F.col("p").isNotNull(), F.transform(names, lambda n: F.coalesce(F.try_element_at(by_name, n), F.lit(0.0))))
-    # a truth value is looked at before a number: true is a name of a yes/no question, and 1 of a score is its level
-    plain = F.when((F.col("type") == "noul") & F.lower("label").isin("true", "yes", "1"), "true").when(F.col("type") == "noul", "false").otherwise(F.col("label"))
-    hard = F.transform(names, lambda n: F.when(n == plain, 1.0).otherwise(0.0))
-    target = dist.normalize(F.coalesce(soft, F.when(F.col("label").isNotNull(), hard)))
-    q = q.withColumn("t", target).filter((F.size("o") > 1) & F.col("t").isNotNull() & (F.size("t") == F.size("o"))).filter(F.array_max("t") > 1.0 / F.size("t") + 1e-9)
+    parsed = F.from_json("questions", "map<string,struct<type:string,instructions:string,criteria:string,label:string,label_probs:string>>")
+
+    def target(q: Column, names: Column) -> Column:
+        by_name, as_list = F.from_json(q["label_probs"], "map<string,double>"), F.from_json(q["label_probs"], "array<double>")
+        named = dist.bound(by_name, lambda m: F.transform(names, lambda n: F.coalesce(F.try_element_at(m, n), F.lit(0.0))))
+        soft = F.when(F.startswith(q["label_probs"], F.lit("[")), as_list).when(q["label_probs"].isNotNull(), named)
+        # a truth value is looked at before a number: true is a name of a yes/no question, and 1 of a score is its level
+        plain = F.when((q["type"] == "noul") & F.lower(q["label"]).isin("true", "yes", "1"), "true").when(q["type"] == "noul", "false").otherwise(q["label"])
+        hard = dist.bound(plain, lambda x: F.transform(names, lambda n: F.when(n == x, 1.0).otherwise(0.0)))
+        return dist.normalize(F.coalesce(soft, F.when(q["label"].isNotNull(), hard)))
+
+    def decided(e: Column) -> Column:
+        q = e["value"]
+        whole = lambda o, t: F.struct(e["key"].alias("qid"), q["type"].alias("type"), F.coalesce(q["instructions"], F.lit("")).alias("instructions"), o.alias("o"), t.alias("t"))
+        return dist.bound(criteria_options(q["type"], q["criteria"], F.lit("en")), lambda o: dist.bound(target(q, o["name"]), lambda t: whole(o, t)))
+
+    telling = lambda d: (F.size(d["o"]) > 1) & d["t"].isNotNull() & (F.size(d["t"]) == F.size(d["o"])) & (F.array_max(d["t"]) > 1.0 / F.size(d["t"]) + 1e-9)
+    once = rows.select("rid", "state", F.map_entries(parsed).alias("__q"))
+    q = once.select("rid", "state", F.explode(F.filter(F.transform("__q", decided), telling)).alias("d"))
     return q.select(
-        F.concat_ws("/", F.lit(source), F.col("rid").cast("string"), "qid").alias("id"), "type", F.lit("en").alias("lang"), F.concat_ws("/", F.lit(source), F.col("rid").cast("string")).alias("grp"), "state",
-        F.coalesce(get("instructions"), F.lit("")).alias("instructions"), F.col("o").alias("options"), F.col("t").alias("target"), F.lit(source).alias("source"))
+        F.concat_ws("/", F.lit(source), F.col("rid").cast("string"), "d.qid").alias("id"), F.col("d.type").alias("type"), F.lit("en").alias("lang"), F.concat_ws("/", F.lit(source), F.col("rid").cast("string")).alias("grp"), "state",
+        F.col("d.instructions").alias("instructions"), F.col("d.o").alias("options"), F.col("d.t").alias("target"), F.lit(source).alias("source"))
 
 
 TOOL_CHOICES = {"direct": "Answer directly.", "tool_call": "Call a tool.", "request_for_info": "Ask for what is missing.", "cannot_answer": "Say that it can't be done."}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import pandas as pd
@@ -11,18 +12,33 @@ from pyspark.sql import functions as F
 from ..functions import keyed
 
 
-def blocks(rows: DataFrame, id_: str, length: str, size: int, seed: str) -> DataFrame:
-    """rows with block and pos: keyed order cut into blocks of `size`, each sorted by length.
+#: Rows that one task puts in order, on average.
+ORDERED_ROWS = 50_000
+
+
+def shuffled(rows: DataFrame, keys: list[str], seed: str, name: str = "place") -> DataFrame:
+    """rows with each one's place, 0 to n-1, in an order given by a digest of keys.
 
-    The keyed order is a range partition by digest; a row's place is its partition's offset, a sum over partitions, and its place
-    within, so that no task orders all rows.
+    A place is the count of rows under lower beginnings of the digest, and the place within. Beginnings are as long as the count of
+    rows asks for, so that a task orders some ORDERED_ROWS of them; their counts are added up in two steps, so that no task holds
+    them all either. Rows that share all keys lie together, in one task: keys should tell rows apart.
     """
-    d = rows.withColumn("__d", keyed.digest(seed, F.col(id_))).withColumn("__b", F.substring("__d", 1, 3))
-    sizes = d.groupBy("__b").agg(F.count("*").alias("__c"))
-    offsets = sizes.withColumn("__o", F.sum("__c").over(Window.orderBy("__b")) - F.col("__c")).drop("__c")  # 4,096 rows at most
-    place = F.row_number().over(Window.partitionBy("__b").orderBy("__d", id_)) - 1 + F.col("__o")
-    placed = d.join(offsets, "__b").withColumn("block", F.floor(place / size))
-    return placed.withColumn("pos", F.row_number().over(Window.partitionBy("block").orderBy(length, "__d")) - 1).drop("__d", "__b", "__o")
+    digits = max(2, min(12, math.ceil(math.log(max(rows.count() / ORDERED_ROWS, 1), 16)) + 1))
+    half = digits // 2
+    d = rows.withColumn("__d", keyed.digest(seed, *[F.col(k) for k in keys])).withColumn("__b", F.substring("__d", 1, digits))
+    sizes = d.groupBy("__b").agg(F.count("*").alias("__c")).withColumn("__h", F.substring("__b", 1, half))
+    upper = sizes.groupBy("__h").agg(F.sum("__c").alias("__n"))
+    upper = upper.select("__h", (F.sum("__n").over(Window.orderBy("__h")) - F.col("__n")).alias("__u"))  # 16 ** half rows at most
+    within = F.sum("__c").over(Window.partitionBy("__h").orderBy("__b")) - F.col("__c")  # 16 ** (digits - half) rows at most
+    offsets = sizes.select("__h", "__b", within.alias("__w")).join(upper, "__h").select("__b", (F.col("__u") + F.col("__w")).alias("__o"))
+    place = F.row_number().over(Window.partitionBy("__b").orderBy("__d", *keys)) - 1 + F.col("__o")
+    return d.join(offsets, "__b").withColumn(name, place).drop("__b", "__o")
+
+
+def blocks(rows: DataFrame, id_: str, length: str, size: int, seed: str) -> DataFrame:
+    """rows with block and pos: keyed order cut into blocks of `size`, each sorted by length."""
+    placed = shuffled(rows, [id_], seed, "__place").withColumn("block", F.floor(F.col("__place") / size))
+    return placed.withColumn("pos", F.row_number().over(Window.partitionBy("block").orderBy(length, "__d")) - 1).drop("__d", "__place")
 
 
 def fixed_count_steps(rows: DataFrame, id_: str, length: str, per_step: int, block: int, seed: str) -> DataFrame:
@@ -84,6 +100,40 @@ def padded(rows: DataFrame, by: list[str], ids: str, pad: int, left: bool = Fals
     return rows.withColumn("mask", mask).withColumn(ids, out)
 
 
+def collated(rows: DataFrame, by: str, order: str, pad: int = 0) -> DataFrame:
+    """(by, a, perm_a, b, perm_b, b_index, target, is_score): each batch as one row, padded.
+
+    rows: (by, order, type, target, ids, markers, perm, ids_b, markers_b, perm_b): token ids, the places of the options' marks and the
+    order that options are shown in, of a first view and, where there is one, of a second. a and b are structs of ids, mask, markers and
+    option_mask, padded to the longest of the batch; b is null where no row has a second view, and b_index tells which rows have. The
+    padding of a permutation maps places to themselves, so that padding stays where it is. A batch is of bounded size.
+    """
+    member = F.struct(order, "type", "target", *[F.struct(F.col(f"ids{v}").alias("ids"), F.col(f"markers{v}").alias("markers"), F.col(f"perm{v}").alias("perm")).alias(n) for v, n in (("", "one"), ("_b", "two"))])
+    batches = rows.groupBy(by).agg(F.array_sort(F.collect_list(member), lambda x, y: F.when(x[order] < y[order], -1).when(x[order] > y[order], 1).otherwise(0)).alias("m"))
+    second = F.filter(F.transform("m", lambda x, i: F.struct(i.alias("i"), x["two"].alias("v"))), lambda x: x["v"]["ids"].isNotNull())
+    batches = batches.select(by, "m", second.alias("s"), F.transform("m", lambda x: x["one"]).alias("va")).withColumn("vb", F.transform("s", lambda x: x["v"]))
+    longest = lambda v, field: F.coalesce(F.array_max(F.transform(v, lambda x: F.size(x[field]))), F.lit(0))
+    batches = batches.withColumns({f"{x}{v}": longest(F.col(v), field) for v in ("va", "vb") for x, field in (("t", "ids"), ("k", "markers"))})
+    fill = lambda x, n, width: F.concat(x, F.array_repeat(n, width - F.size(x)))
+
+    def view(v: str) -> Column:
+        t, k = F.col(f"t{v}"), F.col(f"k{v}")
+        each = lambda fn: F.transform(v, fn)
+        ones = lambda x, n, yes, no: fill(F.transform(x, lambda _: F.lit(yes)), F.lit(no), n)
+        return F.struct(
+            each(lambda x: fill(x["ids"], F.lit(pad), t)).alias("ids"), each(lambda x: ones(x["ids"], t, 1, 0)).alias("mask"),
+            each(lambda x: fill(x["markers"], F.lit(0), k)).alias("markers"), each(lambda x: ones(x["markers"], k, True, False)).alias("option_mask"))
+
+    def permuted(v: str) -> Column:
+        rest = lambda p: F.filter(F.sequence(F.lit(0), F.greatest(F.col(f"k{v}") - 1, F.lit(0))), lambda i: (i >= F.size(p)) & (i < F.col(f"k{v}")))
+        return F.transform(v, lambda x: F.concat(x["perm"], rest(x["perm"])))
+
+    some = F.size("s") > 0
+    return batches.select(
+        by, view("va").alias("a"), permuted("va").alias("perm_a"), F.when(some, view("vb")).alias("b"), F.when(some, permuted("vb")).alias("perm_b"), F.transform("s", lambda x: x["i"]).alias("b_index"),
+        F.transform("m", lambda x: fill(x["target"], F.lit(0.0), F.col("kva"))).alias("target"), F.transform("m", lambda x: x["type"] == "score").alias("is_score"))
+
+
 def spike_windows(log: DataFrame, step: str = "step", skipped: str = "skipped", run: str = "run") -> DataFrame:
     """(run, first, last, spike): the steps after one log row and up to the next, and whether skips grew there."""
     w = Window.partitionBy(run).orderBy(step)

@@ -238,14 +238,14 @@ def labelled_suite(spark: SparkSession, d: str) -> DataFrame:
     return suites.labelled_requests(rows, "s").select("id", "source", _gold())
 
 
-@registered("""SELECT 'suite/' || c_custkey AS id, 'suite/' || c_mktsegment AS source, CASE c_custkey % 3 WHEN 0 THEN 'noul' WHEN 1 THEN 'score' ELSE 'choice' END AS type, CASE c_custkey % 2 WHEN 0 THEN 'de' ELSE 'xx' END AS lang,
+@registered("""SELECT 'suite/' || c_custkey AS id, 'suite/' || c_mktsegment AS source, CASE c_custkey % 3 WHEN 0 THEN 'noul' WHEN 1 THEN 'score' ELSE 'choice' END AS type, CASE c_custkey % 2 WHEN 0 THEN 'pt' ELSE 'xx' END AS lang,
   CASE c_custkey % 3 WHEN 0 THEN 'true|false' WHEN 1 THEN '0|1' ELSE 'no|yes' END AS names, CASE c_custkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 0 ELSE 1 END AS gold, 0.75::DOUBLE AS top FROM customer""")
 def option_suite(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("c_custkey")
     label = lambda a, b: F.when(k % 3 == 1, a).otherwise(b)
     opts = F.array(F.struct(label("10", "no").alias("label"), F.lit("first").alias("description")), F.struct(label("9", "yes").alias("label"), F.lit("second").alias("description")))
     rows = table(spark, d, "customer").select(
-        k.alias("id"), F.col("c_mktsegment").alias("family"), F.when(k % 2 == 0, "German").otherwise("xx").alias("lang"), F.when(k % 3 == 0, "noul").when(k % 3 == 1, "score").otherwise("choice").alias("question_type"),
+        k.alias("id"), F.col("c_mktsegment").alias("family"), F.when(k % 2 == 0, "Brazilian Portuguese").otherwise("xx").alias("lang"), F.when(k % 3 == 0, "noul").when(k % 3 == 1, "score").otherwise("choice").alias("question_type"),
         F.col("c_name").alias("state"), F.lit("?").alias("instructions"), opts.alias("options"), F.array(F.lit(0.5), F.lit(1.5)).alias("target_probs"))
     made = suites.option_targets(rows)
     return made.select("id", "source", "type", "lang", F.array_join(F.col("options")["name"], "|").alias("names"), _gold(), F.array_max("target").alias("top"))

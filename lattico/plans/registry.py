@@ -7,7 +7,7 @@ from types import FunctionType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversions, queries
+from . import conversions, queries, training  # noqa: F401  training registers beside conversions
 from .oracle import SQL as OWN_SQL
 
 FLAGSHIP = "metrics_quality_noul"

@@ -36,16 +36,22 @@ def rejects(requests: DataFrame) -> DataFrame:
     return requests.select("grp", reason.alias("error")).filter("error is not null")
 
 
-def guarded(log: DataFrame, settings: dict | None = None) -> DataFrame:
-    """(run, step, value, skip) of a log stream (run, step, value): each run's recent accepted values are its state."""
+def guarded(log: DataFrame, settings: dict | None = None, state: DataFrame | None = None) -> DataFrame:
+    """(run, step, value, skip) of a log stream (run, step, value): each run's recent accepted values are its state.
 
-    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    state: (run, recent), a table of what runs begin with, as guard.state_of() makes it of a guarded log; it is joined to a run's rows and read
+    where the stream has no state of the run yet. At most the window's values go along with a row.
+    """
+
+    def step(key: tuple, pdfs: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(pdfs)).sort_values("step", kind="stable")
-        skips, recent = fold(rows["value"], state.get[0] if state.exists else (), **(settings or {}))
-        state.update((recent,))
+        first = rows["recent"].iloc[0]
+        skips, recent = fold(rows["value"], held.get[0] if held.exists else () if first is None else first, **(settings or {}))
+        held.update(([float(x) for x in recent],))
         yield rows[["run", "step", "value"]].assign(skip=skips)
 
-    return log.groupBy("run").applyInPandasWithState(step, "run string, step long, value double, skip boolean", "history array<double>", "append", GroupStateTimeout.NoTimeout)
+    rows = log.withColumn("recent", F.lit(None).cast("array<double>")) if state is None else log.join(state.select("run", "recent"), "run", "left")
+    return rows.groupBy("run").applyInPandasWithState(step, "run string, step long, value double, skip boolean", "history array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
 def event_counts(events: DataFrame, late: str = "10 minutes", size: str = "1 hour", slide: str | None = None) -> DataFrame:
