@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dist, keyed, text
-from ..schema import OPTION, noul_options, options
+from ..schema import OPTION, noul_options, options, valid
 
 SEED = "convert"
 
@@ -255,6 +255,7 @@ def number_answer(rows: DataFrame, source: str = "numbers") -> DataFrame:
     r = rows.withColumn("__n", n).filter(F.col("__n").isNotNull())
     x = F.col("__n")
     digits = F.reverse(F.abs(x).cast("long").cast("string")).cast("double")
+    # fixed values: wrong answers are one or ten off, doubled, halved, a half more, five more, tenfold, or have their digits turned round
     wrong = F.array(x + 1, x - 1, x * 2, x + 10, x - 10, x + 5, F.bround(x * 1.5), F.bround(x / 2), x * 10, x + 2, F.when((x == F.floor(x)) & (F.abs(x) >= 10), F.signum(x) * digits))
     others = F.slice(keyed.shuffled(F.filter(F.array_distinct(F.array_compact(wrong)), lambda w: (w != x) & (w >= 0)), SEED, "wrong", F.col("rid")), 1, 3)
     show = lambda v: F.when(v == F.floor(v), v.cast("long").cast("string")).otherwise(F.rtrim(F.format_string("%.6f", v), F.lit("0")))
@@ -302,6 +303,123 @@ def sections(rows: DataFrame, limit: int = 1500, source: str = "sections") -> Da
     return emit(rows.withColumn("__b", body).filter(F.col("__b").isNotNull() & F.col("label").isNotNull()), source, noul(F.col("rid"), F.col("__b"), F.col("statement"), F.col("label")))
 
 
+def section_of(report: Column, section: Column, limit: int) -> Column:
+    """A section of a nested document, JSON text of lists of lines or texts by name, as clipped text; empty where there is none."""
+    by_name = F.from_json(report, "map<string,string>")
+    part = dist.bound(F.try_element_at(by_name, section), lambda x: F.coalesce(F.array_join(F.transform(F.from_json(x, "array<string>"), lambda s: F.trim(s)), "\n"), x))
+    return text.clip_plain(F.coalesce(part, F.lit("")), limit)
+
+
+def trial_reports(rows: DataFrame, limit: int = 6000, source: str = "trials") -> DataFrame:
+    """rows (rid, statement, section, label Entailment or Contradiction, primary, secondary; the last two JSON or Python literals of sections by name):
+    a statement about the named section of one report, or of two. Rows of other labels, or without a statement, go."""
+    second = F.when(~_blank(F.col("secondary")), section_of(literal_to_json(F.col("secondary")), F.col("section"), limit))
+    state = F.to_json(F.struct(F.coalesce("section", F.lit("")).alias("section"), section_of(literal_to_json(F.col("primary")), F.col("section"), limit).alias("primary_trial"), second.alias("secondary_trial")))
+    kept = rows.filter(F.col("label").isin("Entailment", "Contradiction") & ~_blank(F.col("statement"))).withColumn("__s", state)
+    return emit(kept, source, noul(F.col("rid"), F.col("__s"), F.col("statement"), F.col("label") == "Entailment"))
+
+
+#: What a contract may say of a statement.
+CONTRACT = {"entailment": "The contract supports the statement.", "contradiction": "The contract contradicts the statement.", "neutral": "The contract does not mention it."}
+
+
+def contracts(rows: DataFrame, limit: int = 24_000, source: str = "contracts") -> DataFrame:
+    """rows (rid, premise, hypothesis, label; a name): a whole contract, clipped, and a statement: supported, contradicted or not mentioned. Other labels go."""
+    names = F.array(*map(F.lit, CONTRACT))
+    asked = wording(['What does the contract say about this: "{h}"?', 'Is this supported, contradicted or not mentioned: "{h}"?'], F.col("rid"), h=F.col("hypothesis"))
+    made = choice(F.col("rid"), text.clip_plain(F.col("premise"), limit), asked, options(list(CONTRACT), list(CONTRACT.values())), F.array_position(names, F.col("label")) - 1)
+    return emit(rows.filter(F.col("label").isin(*CONTRACT)), source, made)
+
+
+def grounded(rows: DataFrame, source: str = "grounded") -> DataFrame:
+    """rows (rid, task, query, context, output, labels; JSON text or a Python literal of a list): whether an answer says what its context doesn't. Rows without context or answer go."""
+    n = F.coalesce(F.json_array_length(literal_to_json(F.col("labels"))), F.lit(0))
+    state = F.to_json(F.struct(F.coalesce("task", F.lit("")).alias("task"), F.coalesce("query", F.lit("")).alias("instruction"), text.clip_plain(F.col("context"), 8000).alias("context"), text.clip_plain(F.col("output"), 3000).alias("response")))
+    kept = rows.filter((F.coalesce(F.length("context"), F.lit(0)) > 0) & (F.coalesce(F.length("output"), F.lit(0)) > 0)).withColumn("__n", n)
+    return emit(kept, source, noul(F.col("rid"), state, wording(["The response says something that the context doesn't support.", "The response includes made-up content."], F.col("rid")), F.col("__n") > 0))
+
+
+def sarcasm(rows: DataFrame, source: str = "sarcasm") -> DataFrame:
+    """rows (rid, text, label 0 or 1): empty texts and other labels go."""
+    kept = rows.filter((F.coalesce(F.length("text"), F.lit(0)) > 0) & F.col("label").cast("string").isin("0", "1"))
+    return emit(kept, source, noul(F.col("rid"), F.col("text"), wording(["The message is sarcastic.", "The author means the opposite of what they say."], F.col("rid")), F.col("label").cast("string") == "1"))
+
+
+def mails(rows: DataFrame, limit: int = 6000, source: str = "mails") -> DataFrame:
+    """rows (rid, text, kind; Safe Email or Phishing Email): texts under 20 characters and other kinds go."""
+    kept = rows.filter(F.col("kind").isin("Safe Email", "Phishing Email") & (F.length(F.trim("text")) >= 20))
+    return emit(kept, source, noul(F.col("rid"), text.clip_plain(F.col("text"), limit), F.lit("The mail is spam or phishing."), F.col("kind") == "Phishing Email"))
+
+
+def coded_topic(rows: DataFrame, codes: list[str], dimension: dict[str, tuple[str, str]], source: str = "topics", lang: str = "zh") -> DataFrame:
+    """rows (rid, text, label; a place in codes, from 0): codes become names and descriptions by dimension; unlabelled rows (below 0, or beyond) go."""
+    known = [dimension[c] for c in codes]
+    kept = rows.filter(F.col("label").between(0, len(codes) - 1))
+    return emit(kept, source, choice(F.col("rid"), F.col("text"), F.lit({"zh": "这篇文章属于哪个类别？"}.get(lang, "What is the text about?")), options([n for n, _ in known], [d for _, d in known]), F.col("label").cast("int"), lang))
+
+
+def instruction_language(lang: str, rid: Column, share: float) -> Column:
+    """The language of a decision's question: Chinese for Chinese sources, and for a share of others, by row."""
+    return F.lit("zh") if lang == "zh" else F.when(keyed.uniform(SEED, "language", rid) < share, "zh").otherwise("en")
+
+
+def wording_in(templates: dict[str, list[str]], lang: Column, rid: Column, **fields: Column) -> Column:
+    """One of the templates of a language, by row, with {name} filled in."""
+    made = {k: wording(ts, rid, **fields) for k, ts in templates.items()}
+    return reduce(lambda c, kv: F.when(lang == kv[0], kv[1]).otherwise(c), made.items(), F.lit(None).cast("string"))
+
+
+#: What an assistant may do with a request.
+TOOL_ACTIONS = {
+    "call_tool": "Call one of the tools: the request holds all that it needs.", "ask_for_info": "Ask for what a fitting tool needs and the request lacks.",
+    "answer_directly": "Answer without any tool.", "cannot_help": "Say that no tool fits and that it can't be done.",
+}
+
+
+def with_idle_tools(tools: Column, key: Column, low: int = 20, high: int = 40) -> Column:
+    """tools and low .. high others, by key, that need nothing and fit no request, in a keyed order."""
+    n = (F.lit(low) + F.pmod(keyed.number(SEED, "idle", key), F.lit(high - low + 1))).cast("int")
+    idle = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.concat(F.lit("internal_"), keyed.number(SEED, "idle", key, i).cast("string")).alias("name"), F.lit("Does internal work.").alias("description"), F.array().cast("array<string>").alias("required")))
+    return keyed.shuffled(F.concat(tools, idle), SEED, "tools", key)
+
+
+def fitting_tool(tools: Column, provided: Column, relevant: Column) -> Column:
+    """The relevant tool whose required parameters are all provided, and most of them; of several the first by name; null if there is none."""
+    covered = F.filter(tools, lambda t: F.array_contains(relevant, t["name"]) & (F.size(F.array_except(t["required"], provided)) == 0))
+    ranked = F.array_sort(F.transform(covered, lambda t: F.struct((-F.size(t["required"])).alias("n"), t["name"].alias("name"))))
+    return F.get(ranked, F.lit(0))["name"]
+
+
+def tool_routing(rows: DataFrame, source: str = "routing") -> DataFrame:
+    """rows (rid, user, tools array of (name, description, required), provided array, relevant array, direct bool): two decisions, how to respond and
+    which tool is relevant.
+
+    A relevant tool with all it requires is called; a relevant one that lacks something is asked for; with none, the answer is direct or
+    can't be given. Gold is found by the option's name, wherever the tools stand; none is the last option.
+    """
+    rid = F.col("rid")
+    fit = fitting_tool(F.col("tools"), F.col("provided"), F.col("relevant"))
+    there = F.array_min(F.transform(F.filter("tools", lambda t: F.array_contains("relevant", t["name"])), lambda t: t["name"]))
+    r = rows.withColumns({"__fit": fit, "__any": there})
+    action = F.when(F.col("__fit").isNotNull(), "call_tool").when(F.col("__any").isNotNull(), "ask_for_info").when(F.col("direct"), "answer_directly").otherwise("cannot_help")
+    state = F.to_json(F.struct("tools", "user"))
+    tools = F.concat(F.transform("tools", lambda t: F.struct(t["name"].alias("name"), t["description"].alias("desc"))), options(["none"], ["No tool is needed."]).cast(f"array<{OPTION}>"))
+    r = r.withColumns({"__action": action, "__tool": F.coalesce("__fit", "__any", F.lit("none")), "__state": state, "__o": tools})
+    return emit(
+        r, source, named_choice(rid, F.col("__state"), F.lit("How should the assistant respond?"), options(list(TOOL_ACTIONS), list(TOOL_ACTIONS.values())), F.col("__action"), F.lit("action")),
+        named_choice(rid, F.col("__state"), F.lit("Which tool is relevant?"), F.col("__o"), F.col("__tool"), F.lit("tool")))
+
+
+def named_choice(rid: Column, state: Column, instructions: Column, opts: Column, gold: Column, qid: Column) -> Column:
+    """A choice whose gold is the option of a name; none of them leaves no mass, which validation tells."""
+    return decision("choice", rid, state, instructions, opts, F.transform(opts, lambda o: F.when(o["name"] == gold, 1.0).otherwise(0.0)), qid=qid)
+
+
+def regrouped(decisions: DataFrame, names: Column) -> DataFrame:
+    """decisions of rows that gave several, with id and group set anew: the group is the row's, the id the group and a name; invalid ones go."""
+    return valid(decisions.withColumn("id", F.concat_ws("/", "grp", names)))
+
+
 def _literal_to_json(x: pd.Series) -> pd.Series:
     def one(s):
         if s is None:

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dist, text
-from ..operators import calibrate, guard, overlap, plan, requests
+from ..operators import calibrate, convert, guard, overlap, plan, requests
 from ..sources import benchmarks, suites
-from .conversions import _gold, registered
-from .oracle import frags, norm
+from .conversions import _gold, picked, registered
+from .oracle import frags, norm, share, u
 from .oracle import guard as guarded_sql
 from .views import table
 
@@ -291,3 +291,105 @@ def planned_steps(spark: SparkSession, d: str) -> DataFrame:
     return plan.total_steps(steps, 2.5)
 
 
+
+
+def _clip(x: str, limit: int) -> str:
+    """SQL: clip_plain."""
+    head = int(limit * 0.7)
+    return f"CASE WHEN length({x}) <= {limit} THEN {x} ELSE substr({x}, 1, {head}) || '…' || right({x}, {limit - head - 1}) END"
+
+
+@registered(f"""SELECT 'grounded/' || doc_id AS id, CASE WHEN doc_id % 3 = 1 THEN 0 ELSE 1 END AS gold, ['The response says something that the context doesn''t support.', 'The response includes made-up content.'][1 + {picked(2, "'wording'", "doc_id")}] AS instructions,
+  md5({_clip('text', 8000)}) AS context, md5({_clip("(lang || text)", 3000)}) AS response FROM documents WHERE length(text) > 0 AND doc_id % 7 <> 0""")
+def grounded_answers(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    labels = F.when(i % 3 == 0, "[]").when(i % 3 == 1, "[{'start': 1, 'kind': 'x'}]")
+    rows = table(spark, d, "documents").select(i.alias("rid"), F.lit(None).cast("string").alias("task"), F.lit("q").alias("query"), F.when(i % 7 != 0, F.col("text")).alias("context"), F.concat("lang", "text").alias("output"), labels.alias("labels"))
+    made = convert.grounded(rows)
+    return made.select("id", _gold(), "instructions", *[F.md5(F.get_json_object("state", f"$.{c}")).alias(c) for c in ("context", "response")])
+
+
+@registered(f"""SELECT 'contracts/' || doc_id AS id, (doc_id % 4)::INT AS gold, ['What does the contract say about this: "' || source || '"?', 'Is this supported, contradicted or not mentioned: "' || source || '"?'][1 + {picked(2, "'wording'", "doc_id")}] AS instructions,
+  md5({_clip('text', 2000)}) AS state FROM documents WHERE doc_id % 4 < 3""")
+def contract_claims(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    rows = table(spark, d, "documents").select(i.alias("rid"), F.col("text").alias("premise"), F.col("source").alias("hypothesis"), F.get(F.array(*map(F.lit, convert.CONTRACT)), (i % 4).cast("int")).alias("label"))
+    return convert.contracts(rows, 2000).select("id", _gold(), "instructions", F.md5("state").alias("state"))
+
+
+_LINES = "array_to_string(list_transform(str_split(text, chr(10)), lambda x: trim(x, ' ')), chr(10))"
+
+
+@registered(f"""SELECT 'trials/' || doc_id AS id, (doc_id % 2)::INT AS gold, CASE WHEN doc_id % 5 = 0 THEN md5('') ELSE md5({_clip(_LINES, 900)}) END AS first, CASE WHEN doc_id % 3 = 0 THEN CASE WHEN doc_id % 5 = 0 THEN md5('') ELSE md5({_clip('text', 900)}) END END AS second
+FROM documents WHERE text IS NOT NULL AND doc_id % 11 <> 0""")
+def trial_claims(spark: SparkSession, d: str) -> DataFrame:
+    """Sections that are lists of lines in one report, and a text in another; some aren't there."""
+    i = F.col("doc_id")
+    section = F.when(i % 5 == 0, "absent").otherwise("body")
+    first, second = F.to_json(F.struct(F.split("text", "\n").alias("body"))), F.when(i % 3 == 0, F.to_json(F.struct(F.lit(1).alias("n"), F.col("text").alias("body"))))
+    label = F.when(i % 11 == 0, "Other").when(i % 2 == 0, "Entailment").otherwise("Contradiction")
+    rows = table(spark, d, "documents").filter("text is not null").select(i.alias("rid"), F.lit("It is so.").alias("statement"), section.alias("section"), label.alias("label"), first.alias("primary"), second.alias("secondary"))
+    made = convert.trial_reports(rows, 900)
+    return made.select("id", _gold(), F.md5(F.get_json_object("state", "$.primary_trial")).alias("first"), F.md5(F.get_json_object("state", "$.secondary_trial")).alias("second"))
+
+
+@registered("""SELECT 'sarcasm/' || event_id AS id, (1 - event_id % 3)::INT AS gold FROM events WHERE event_id % 3 < 2""")
+def sarcastic_messages(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("event_id")
+    return convert.sarcasm(table(spark, d, "events").select(e.alias("rid"), F.col("event_type").alias("text"), (e % 3).alias("label"))).select("id", _gold())
+
+
+@registered(f"""SELECT 'mails/' || conv_id || '-' || turn AS id, CASE turn % 3 WHEN 0 THEN 1 ELSE 0 END AS gold, md5({_clip('text', 100)}) AS state FROM conversations WHERE turn % 3 < 2 AND length(trim(text, ' ')) >= 20""")
+def mail_kinds(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("turn") % 3
+    kind = F.when(t == 0, "Safe Email").when(t == 1, "Phishing Email").otherwise("Other")
+    rows = table(spark, d, "conversations").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("rid"), "text", kind.alias("kind"))
+    return convert.mails(rows, 100).select("id", _gold(), F.md5("state").alias("state"))
+
+
+@registered("""SELECT 'topics/' || doc_id AS id, (doc_id % 6 - 1)::INT AS gold, ['故事', '体育', '财经'][(doc_id % 6)::INT] AS name FROM documents WHERE doc_id % 6 BETWEEN 1 AND 3""")
+def coded_headlines(spark: SparkSession, d: str) -> DataFrame:
+    """Codes become names by a dimension; codes below 0 and beyond it go."""
+    from ..sources.catalogue import HEADLINES
+
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("rid"), "text", (F.col("doc_id") % 6 - 1).alias("label"))
+    made = convert.coded_topic(rows, ["100", "103", "104"], HEADLINES)
+    return made.select("id", _gold(), F.element_at(F.col("options")["name"], dist.argmax(F.col("target")) + 1).alias("name"))
+
+
+@registered("""WITH r AS (SELECT event_id AS e, event_id % 4 AS p, event_id % 3 AS w FROM events),
+g AS (SELECT *, CASE WHEN w = 0 THEN (CASE WHEN p >= 2 THEN 'refund' WHEN p = 1 THEN 'track' END) WHEN w = 1 THEN (CASE WHEN p >= 2 THEN 'refund' END) END AS fit, CASE WHEN w < 2 THEN 'refund' END AS there FROM r)
+SELECT 'routing/' || e || '/action' AS id, CASE WHEN fit IS NOT NULL THEN 'call_tool' WHEN there IS NOT NULL THEN 'ask_for_info' WHEN e % 2 = 0 THEN 'answer_directly' ELSE 'cannot_help' END AS gold, 4 AS k FROM g
+UNION ALL SELECT 'routing/' || e || '/tool', coalesce(fit, there, 'none'), (3 + 20 + """ + u("'convert/idle/' || e") + """ % 21)::INT FROM g""")
+def routed_tools(spark: SparkSession, d: str) -> DataFrame:
+    """Two tools that fit some requests, among 20 to 40 that fit none; a request gives as many parameters as its number says."""
+    e = F.col("event_id")
+    tool = lambda n, *req: F.struct(F.lit(n).alias("name"), F.lit("does it").alias("description"), F.array(*map(F.lit, req)).cast("array<string>").alias("required"))
+    tools = F.array(tool("refund", "order", "reason"), tool("track", "order"))
+    provided = F.slice(F.array(*map(F.lit, ("order", "reason", "name"))), F.lit(1), (e % 4).cast("int"))
+    relevant = F.when(e % 3 == 0, F.array(F.lit("refund"), F.lit("track"))).when(e % 3 == 1, F.array(F.lit("refund"))).otherwise(F.array().cast("array<string>"))
+    rows = table(spark, d, "events").select(e.alias("rid"), F.col("event_type").alias("user"), convert.with_idle_tools(tools, e).alias("tools"), provided.alias("provided"), relevant.alias("relevant"), (e % 2 == 0).alias("direct"))
+    made = convert.tool_routing(rows)
+    return made.select("id", F.element_at(F.col("options")["name"], dist.argmax(F.col("target")) + 1).alias("gold"), F.size("options").alias("k"))
+
+
+@registered(f"""SELECT event_id, CASE WHEN event_id % 3 = 0 OR {u("'convert/language/' || event_id")} / 4294967296 < 0.25 THEN 'zh' ELSE 'en' END AS lang FROM events""")
+def question_languages(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("event_id")
+    lang = F.when(e % 3 == 0, convert.instruction_language("zh", e, 0.25)).otherwise(convert.instruction_language("en", e, 0.25))
+    return table(spark, d, "events").select("event_id", convert.wording_in({"zh": ["zh"], "en": ["en"]}, lang, e).alias("lang"))
+
+
+@registered(f"""WITH q AS (SELECT doc_id, quality, {share("'q/' || doc_id")} AS a FROM labels WHERE quality IS NOT NULL), j AS (SELECT *, a * 0.98::DOUBLE + 0.01::DOUBLE AS b FROM q),
+k AS (SELECT ((a >= 1 - a) = (b >= 1 - b))::INT AS same, abs(a - (1 - a)) >= 0.02::DOUBLE AS clear, abs(a - b) AS d FROM j)
+SELECT count(*) AS n, round(avg(same) FILTER (clear), 6) AS agree_clear, round(avg(d), 6) AS mean_diff, avg(same) FILTER (clear) >= 0.95 AND avg(d) < 0.02 AS pass FROM k""")
+def agreement_elsewhere(spark: SparkSession, d: str) -> DataFrame:
+    """Runs on another machine pass by their mean difference."""
+    from ..operators import metrics
+    from .views import quality
+
+    first = quality(spark, d, "q").filter("target is not null")
+    first = first.join(table(spark, d, "labels").filter("quality is not null").select(F.col("doc_id").cast("string").alias("id")), "id", "left_semi")
+    second = first.withColumn("probs", F.array(F.col("probs")[0] * 0.98 + 0.01, 1 - (F.col("probs")[0] * 0.98 + 0.01)))
+    made = metrics.agreement(first, second, dist.argmax(F.col("target")), least=0.95, most=0.02, by="mean_diff")
+    return made.select("n", F.round("agree_clear", 6).alias("agree_clear"), F.round("mean_diff", 6).alias("mean_diff"), "pass")

@@ -37,6 +37,7 @@ class Source:
         base, _, part = split.partition("#")
         reader = spark.read.format(self.format).options(**self.reading)
         rows = without_binary((reader.schema(self.schema) if self.schema else reader).load(self.paths[base]))
+        rows = with_rid(rows, self.id)
         if not part:
             return rows
         held = rows.withColumn("held", keyed.in_holdout(self.group, self.holdout)) if self.group is not None else sample.holdout_rows(rows, self.id, self.holdout)
@@ -51,6 +52,11 @@ class Source:
         return sample.first_of(made, "grp", f"{seed}/{self.name}", most=self.most(default, zh_times)).filter("held").drop("held")
 
 
+def with_rid(rows: DataFrame, id_: str = "rid") -> DataFrame:
+    """rows with an id: where they have none, a digest of all columns, so that equal rows are one id wherever they lie."""
+    return rows if id_ in rows.columns else rows.withColumn(id_, F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))))
+
+
 def without_binary(rows: DataFrame) -> DataFrame:
     """rows without binary columns (images), which the scan then doesn't read."""
     return rows.select([F.col(f"`{f.name}`") for f in rows.schema if not isinstance(f.dataType, T.BinaryType)])

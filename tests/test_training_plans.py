@@ -143,7 +143,7 @@ def test_report_of_benchmarks(spark):
     failed = spark.createDataFrame([("g", "Error no")], "eval string, failure string")
     got = {r["eval"]: r for r in overlap.benchmark_report(evals, train, failed).collect()}
     assert (got["e"]["rows"], got["e"]["full_rows"], got["e"]["frag_rows"]) == (2, 1, 2) and got["e"]["sources"] == "s1(3), s2(2)"
-    assert got["e"]["example"] == line[:80].replace("|", "/") and (got["f"]["rows"], got["f"]["full_rows"], got["f"]["sources"]) == (2, 0, None) and got["g"]["failure"] == "Error no"
+    assert got["e"]["example"] == (line + ".")[:80].replace("|", "/") and (got["f"]["rows"], got["f"]["full_rows"], got["f"]["sources"]) == (2, 0, None) and got["g"]["failure"] == "Error no"
 
 
 @pytest.mark.parametrize("cut", [0, 1, 7, 30, 59, 60])
