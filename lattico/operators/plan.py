@@ -134,11 +134,23 @@ def collated(rows: DataFrame, by: str, order: str, pad: int = 0) -> DataFrame:
         F.transform("m", lambda x: fill(x["target"], F.lit(0.0), F.col("kva"))).alias("target"), F.transform("m", lambda x: x["type"] == "score").alias("is_score"))
 
 
+#: Steps of a run that one task puts in order.
+STRETCH = 100_000
+
+
 def spike_windows(log: DataFrame, step: str = "step", skipped: str = "skipped", run: str = "run") -> DataFrame:
-    """(run, first, last, spike): the steps after one log row and up to the next, and whether skips grew there."""
-    w = Window.partitionBy(run).orderBy(step)
-    rows = log.withColumn("first", F.lag(step).over(w)).withColumn("grown", F.col(skipped) > F.lag(skipped).over(w))
-    return rows.filter(F.col("first").isNotNull()).select(run, "first", F.col(step).alias("last"), F.col("grown").alias("spike"))
+    """(run, first, last, spike): the steps after one log row and up to the next, and whether skips grew there.
+
+    A run is ordered in stretches of STRETCH steps; what a stretch's first row follows is the last row of the one before it.
+    """
+    rows = log.select(F.col(run).alias("run"), F.col(step).alias("step"), F.col(skipped).alias("skipped")).withColumn("__s", F.floor(F.col("step") / STRETCH))
+    ends = rows.groupBy("run", "__s").agg(F.max(F.struct("step", "skipped")).alias("__end"))
+    ends = ends.withColumn("__before", F.lag("__end").over(Window.partitionBy("run").orderBy("__s"))).drop("__end")  # a row a stretch
+    w = Window.partitionBy("run", "__s").orderBy("step")
+    rows = rows.join(ends.withColumnRenamed("run", "__r").withColumnRenamed("__s", "__t"), F.col("run").eqNullSafe(F.col("__r")) & (F.col("__s") == F.col("__t")))
+    before = F.coalesce(F.lag(F.struct("step", "skipped")).over(w), F.col("__before"))
+    rows = rows.withColumn("__b", before).filter(F.col("__b").isNotNull())
+    return rows.select(F.col("run").alias(run), F.col("__b.step").alias("first"), F.col("step").alias("last"), (F.col("skipped") > F.col("__b.skipped")).alias("spike"))
 
 
 def steps_in_windows(steps: DataFrame, windows: DataFrame, run: str = "run", step: str = "step", width: int = 64) -> DataFrame:
@@ -183,9 +195,15 @@ def learning_rate(step: Column, warmup: int, total: int, peak: float) -> Column:
 
 
 def running_best(log: DataFrame, by: str, order: str, value: str) -> DataFrame:
-    """log with best: whether a value is above all before it."""
-    before = F.max(value).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    return log.withColumn("best", before.isNull() | (F.col(value) > before))
+    """log with best: whether a value is above all before it. A run is ordered in stretches of STRETCH steps, under the most of all stretches before."""
+    rows = log.withColumn("__s", F.floor(F.col(order) / STRETCH))
+    tops = rows.groupBy(by, "__s").agg(F.max(value).alias("__top"))
+    earlier = F.max("__top").over(Window.partitionBy(by).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1))
+    tops = tops.select(F.col(by).alias("__r"), F.col("__s").alias("__t"), earlier.alias("__earlier"))  # a row a stretch
+    rows = rows.join(tops, F.col(by).eqNullSafe(F.col("__r")) & (F.col("__s") == F.col("__t")))
+    within = F.max(value).over(Window.partitionBy(by, "__s").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    before = F.greatest(within, F.col("__earlier"))
+    return rows.withColumn("best", before.isNull() | (F.col(value) > before)).select(*log.columns, "best")
 
 
 def whole_checkpoints(manifest: DataFrame, listing: DataFrame) -> DataFrame:

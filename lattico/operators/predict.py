@@ -18,12 +18,17 @@ def fit_prior(train: DataFrame) -> DataFrame:
     return each.groupBy("key", F.col("x.name").alias("name")).agg(F.sum("x.p").alias("mass"))
 
 
+def with_prior(decisions: DataFrame, fitted: DataFrame, smoothing: float = 1.0) -> DataFrame:
+    """decisions with probs: each option's mass in training plus smoothing, normalized; questions that training lacks get equal shares."""
+    table = fitted.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("name", "mass"))).alias("__masses"))  # one entry an option
+    j = decisions.withColumn("__key", question_key()).join(table.withColumnRenamed("key", "__key"), "__key", "left")
+    p = F.transform("options", lambda o: F.coalesce(F.try_element_at(F.col("__masses"), o["name"]), F.lit(0.0)) + F.lit(smoothing))
+    return j.withColumn("probs", F.when(F.col("__masses").isNull(), dist.uniform(F.size("options"))).otherwise(dist.normalize(p))).drop("__key", "__masses")
+
+
 def prior(decisions: DataFrame, fitted: DataFrame, smoothing: float = 1.0) -> DataFrame:
-    """(id, probs): each option's mass in training plus smoothing, normalized; questions that training lacks get equal shares."""
-    table = fitted.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("name", "mass"))).alias("masses"))  # one entry an option
-    j = decisions.withColumn("key", question_key()).join(table, "key", "left")
-    p = F.transform("options", lambda o: F.coalesce(F.try_element_at(F.col("masses"), o["name"]), F.lit(0.0)) + F.lit(smoothing))
-    return j.select("id", F.when(F.col("masses").isNull(), dist.uniform(F.size("options"))).otherwise(dist.normalize(p)).alias("probs"))
+    """(id, probs) of with_prior."""
+    return with_prior(decisions, fitted, smoothing).select("id", "probs")
 
 
 def uniform(decisions: DataFrame) -> DataFrame:

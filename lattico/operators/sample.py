@@ -22,16 +22,46 @@ def capped(rows: DataFrame, by: list[str], id_: str, cap: Column | int, seed: st
 
 
 def quota(rows: DataFrame, quotas: DataFrame, by: str, id_: str, default: int, scale: float, seed: str) -> DataFrame:
-    """Samples of each group's own size: quotas (by, quota; null: all), else the default, times scale."""
-    q = ranked(rows, [by], id_, seed).join(quotas.withColumn("__listed", F.lit(True)), by, "left")
+    """Samples of each group's own size: quotas (by, quota; null: all), else the default, times scale. Groups without a name have the default."""
+    q = rows.join(quotas.withColumn("__listed", F.lit(True)), by, "left")
     most = F.when(F.col("__listed"), F.col("quota")).otherwise(F.lit(default))
-    return q.filter(most.isNull() | (F.col("place") <= F.floor(most * F.lit(scale)))).drop("place", "quota", "__listed")
+    return first_of_each(q, by, id_, seed, F.floor(most * F.lit(scale))).filter("held").drop("held", "quota", "__listed")
+
+
+def first_of_each(rows: DataFrame, by: str, id_: str, seed: str, most: Column) -> DataFrame:
+    """rows with held: whether it is among the first `most` (a column that is one for a group; null: all) of its group in keyed order.
+
+    As first_of, for each group: counts by group and the digest's first digits tell the one bucket of each group that its cut falls in,
+    and only that is ordered, so that no task orders a whole group. Rows that share an id are cut by a hash of their columns.
+    """
+    n = rows.count()
+    digits = max(2, min(5, math.ceil(math.log(max(n / CUT_ROWS, 1), 16)) + 1))
+    plain = [F.col(f"`{f.name}`") for f in rows.schema if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    group = F.coalesce(F.concat(F.lit("="), F.col(by).cast("string")), F.lit("-"))
+    marked = rows.withColumns({"__g": group, "__most": most.cast("long"), "__d": keyed.digest(seed, F.col(id_))}).withColumn("__b", F.substring("__d", 1, digits))
+    sizes = marked.groupBy("__g", "__b").agg(F.count("*").alias("__n"), F.max("__most").alias("__m"))
+    whole = Window.partitionBy("__g")
+    left = F.max("__m").over(whole) - (F.sum("__n").over(whole.orderBy("__b")) - F.col("__n"))
+    joined = marked.join(sizes.withColumn("__left", left).drop("__m"), ["__g", "__b"])
+    cut = F.coalesce((F.col("__left") > 0) & (F.col("__left") < F.col("__n")), F.lit(False))
+    split = joined.filter(cut).withColumn("held", F.row_number().over(Window.partitionBy("__g", "__b").orderBy("__d", id_, F.xxhash64(*plain))) <= F.col("__left"))
+    rest = joined.filter(~cut).withColumn("held", F.coalesce(F.col("__left") >= F.col("__n"), F.lit(True)))
+    return split.unionByName(rest).select(*[F.col(f"`{c}`") for c in rows.columns if c != "held"], "held")
 
 
 def head_tail(rows: DataFrame, by: list[str], id_: str, size: int, seed: str) -> DataFrame:
-    """rows with part: each group's first `size` are val, the next `size` test, the rest train."""
-    place = F.col("place")
-    return ranked(rows, by, id_, seed).withColumn("part", F.when(place <= size, "val").when(place <= 2 * size, "test").otherwise("train")).drop("place")
+    """rows with part: each group's first `size` are val, the next `size` test, the rest train.
+
+    Spark keeps each task's first 2 * size rows of a group before it shuffles; their last ones are the edges that all rows are told by.
+    """
+    plain = [F.col(f"`{f.name}`") for f in rows.schema if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    marked = rows.withColumn("__at", F.struct(keyed.digest(seed, F.col(id_)).alias("d"), F.col(id_).alias("i"), F.xxhash64(*plain).alias("h")))
+    first = marked.select(*by, "__at").withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy("__at"))).filter(F.col("__n") <= 2 * size)
+    keys = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-")).alias(f"__k{i}") for i, c in enumerate(by)]
+    edges = first.groupBy(*keys).agg(F.max(F.when(F.col("__n") <= size, F.col("__at"))).alias("__val"), F.max("__at").alias("__test"))
+    told = marked.select("*", *keys).join(edges, [f"__k{i}" for i in range(len(by))])
+    part = F.when(F.col("__at") <= F.col("__val"), "val").when(F.col("__at") <= F.col("__test"), "test").otherwise("train")
+    return told.withColumn("part", part).select(*[F.col(f"`{c}`") for c in rows.columns if c != "part"], "part")
 
 
 #: Rows that one task orders to find a cut, on average.

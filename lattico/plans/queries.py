@@ -34,8 +34,7 @@ def prior_predictor(spark: SparkSession, d: str) -> DataFrame:
     rows = views.priorities(spark, d)
     train = rows.filter(keyed.number("split", F.col("id")) % 2 == 0)
     test = rows.filter(keyed.number("split", F.col("id")) % 2 == 1)
-    scored = test.join(predict.prior(test, predict.fit_prior(train)), "id")
-    return _rounded(metrics.compute(metrics.row_terms(scored), ["instructions"]))
+    return _rounded(metrics.compute(metrics.row_terms(predict.with_prior(test, predict.fit_prior(train))), ["instructions"]))
 
 
 def flip_rate(spark: SparkSession, d: str) -> DataFrame:
@@ -427,7 +426,7 @@ def ticket_fanout(spark: SparkSession, d: str) -> DataFrame:
 
 def intent_candidates(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").select(F.col("p_partkey").alias("rid"), F.col("p_name").alias("text"), F.col("p_brand").alias("label"))
-    labels = [r[0] for r in p.select("label").distinct().orderBy("label").collect()]  # the label dimension
+    labels = [r[0] for r in p.select("label").distinct().orderBy("label").collect()]  # the label dimension: 25 brands, whatever the scale
     made = convert.intent(p, labels)
     gold = F.element_at(F.col("options")["name"], dist.argmax(F.col("target")) + 1)
     return made.select("id", F.size("options").alias("k"), gold.alias("gold"), (F.size(F.array_distinct(F.col("options")["name"])) == F.size("options")).alias("distinct"))

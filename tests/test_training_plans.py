@@ -228,3 +228,38 @@ def test_a_whole_order(spark, monkeypatch):
     assert sorted(r["place"] for r in twice) == list(range(6000)) and plan.shuffled(rows.limit(0), ["id"], "s").collect() == []
 
 
+
+
+def test_long_runs_in_stretches(spark, monkeypatch):
+    """Stretches of 7 steps give what a whole run gives, gaps and null runs included."""
+    rng = random.Random(9)
+    rows = [(run, step, rng.choice([1.0, 2.0, 5.0, 9.0]), n) for run in ("a", None) for n, step in enumerate(sorted(rng.sample(range(200), 40)))]
+    log = spark.createDataFrame([(r, s, v, n // 3) for r, s, v, n in rows], "run string, step long, value double, skipped long")
+    want = []
+    for run in ("a", None):
+        mine = [(s, n // 3) for r, s, _, n in rows if r == run]
+        want += [(run, a, b, q > p) for (a, p), (b, q) in zip(mine, mine[1:], strict=False)]
+    best = {(r, s) for r, s, v, _ in rows if all(v > w for q, t, w, _ in rows if q == r and t < s)}
+    for stretch in (7, 100_000):
+        monkeypatch.setattr(plan, "STRETCH", stretch)
+        assert sorted((tuple(r) for r in plan.spike_windows(log).collect()), key=repr) == sorted(want, key=repr)
+        got = plan.running_best(log, "run", "step", "value")
+        assert got.columns == [*log.columns, "best"] and {(r["run"], r["step"]) for r in got.filter("best").collect()} == best
+
+
+def test_cuts_by_counts(spark, monkeypatch):
+    from lattico.operators import sample
+
+    monkeypatch.setattr(sample, "CUT_ROWS", 3)
+    rows = spark.range(600).selectExpr("id", "case id % 4 when 0 then null when 1 then 'a' when 2 then 'b' else 'c' end as g")
+    quotas = spark.createDataFrame([("a", None), ("b", 31)], "g string, quota int")
+    got = {r["g"]: r["n"] for r in sample.quota(rows, quotas, "g", "id", 20, 0.5, "q").groupBy("g").agg(F.count("*").alias("n")).collect()}
+    assert got == {"a": 150, "b": 15, "c": 10, None: 10}
+    order = {r["id"]: r["d"] for r in rows.selectExpr("id", "md5(concat('q/', id)) as d").collect()}
+    first = sorted((i for i in range(600) if i % 4 == 2), key=order.get)[:15]
+    assert sorted(r["id"] for r in sample.quota(rows, quotas, "g", "id", 20, 0.5, "q").filter("g = 'b'").collect()) == sorted(first)
+    same = rows.selectExpr("1 as id", "g", "id as other")
+    assert {r["g"]: r["n"] for r in sample.quota(same, quotas, "g", "id", 20, 0.5, "q").groupBy("g").agg(F.count("*").alias("n")).collect()} == got
+    parts = {(r["g"], r["part"]): r["n"] for r in sample.head_tail(same, ["g"], "id", 4, "s").groupBy("g", "part").agg(F.count("*").alias("n")).collect()}
+    assert parts == {(g, p): n for g in ("a", "b", "c", None) for p, n in (("val", 4), ("test", 4), ("train", 142))}
+    assert {(r["g"], r["part"]) for r in sample.head_tail(rows.filter("id < 5"), ["g"], "id", 4, "s").collect()} == {(g, "val") for g in ("a", "b", "c", None)}
