@@ -94,9 +94,76 @@ DENIALS, DENIAL_REACH = frozenset("not never no nor isn wasn aren neither withou
 ALONE = {name: k for k, names in NAMES.items() for name in names if len(re.findall(r"\w+", name)) == 1}
 #: Terms one of which a window of a longer line must hold beside a telling one.
 NAMING = frozenset("license licensed licence spdx released distributed terms public gpl lgpl mpl apache bsd cc unlicense".split())
-#: Licenses that their version tells apart; terms after a name in which the version stands.
-VERSIONED = {"GPL-2.0": ("GPL", "2"), "GPL-3.0": ("GPL", "3"), "LGPL-3.0": ("LGPL", "3")}
-VERSION_WITHIN = 40
+#: Licenses that a number tells apart: family, and how the number is written. A BSD license's number is that of its clauses.
+NUMBERED = {
+    "Apache-2.0": ("Apache", ("2.0", "2")), "BSD-2-Clause": ("BSD", ("2", "two")), "BSD-3-Clause": ("BSD", ("3", "three")), "CC-BY-4.0": ("CC-BY", ("4.0", "4")), "CC-BY-NC-4.0": ("CC-BY-NC", ("4.0", "4")), "CC-BY-SA-4.0": ("CC-BY-SA", ("4.0", "4")),
+    "CC0-1.0": ("CC0", ("1.0", "1")), "GPL-2.0": ("GPL", ("2", "2.0")), "GPL-3.0": ("GPL", ("3", "3.0")), "LGPL-3.0": ("LGPL", ("3", "3.0")), "MPL-2.0": ("MPL", ("2.0", "2")),
+}
+#: Terms of other licenses of the same kind, which a stretch near a license's name doesn't hold if the license is meant.
+_NO_MORE = frozenset("nd noderivatives noderivs derivatives".split())
+FOREIGN = {
+    "Apache-2.0": frozenset(), "BSD-2-Clause": frozenset("zero four original clear patent lbnl attribution 0 1 4".split()), "BSD-3-Clause": frozenset("zero four original clear patent lbnl attribution nuclear 0 1 4".split()),
+    "CC-BY-4.0": _NO_MORE | frozenset("nc noncommercial commercial sa sharealike alike".split()), "CC-BY-NC-4.0": _NO_MORE | frozenset("sa sharealike alike".split()), "CC-BY-SA-4.0": _NO_MORE | frozenset("nc noncommercial commercial".split()),
+    "CC0-1.0": _NO_MORE | frozenset("bsd clause by attribution".split()), "GPL-2.0": frozenset("affero lesser library agpl lgpl".split()), "GPL-3.0": frozenset("affero lesser library agpl lgpl".split()),
+    "ISC": frozenset(), "LGPL-3.0": frozenset("affero library agpl".split()), "MIT": frozenset("modern attribution advertising".split()), "MPL-2.0": frozenset("netscape sun eclipse".split()), "Unlicense": frozenset(),
+}
+#: Terms beside a stretch that are looked at for another license's, before and after it, and those that end the name.
+BESIDE, NAME_ENDS = (2, 3), frozenset("or and with".split())
+#: Terms after a name in which its number stands: of the families whose headers wrap, and of the others.
+NUMBER_WITHIN, WRAPPED = 6, {"GPL": 40, "LGPL": 40}
+#: A name within other words is a grant only if its line, or the one before, has one of these terms; so many before it say that it isn't.
+GRANTS = frozenset("license licensed licence licenced licensing released distributed under terms permission spdx identifier subject governed available redistribute redistributed copyright".split())
+MENTIONS, MENTION_REACH = frozenset("formerly previously compared compare comparing unlike versus vs than incompatible instead about discuss discusses called history".split()), 6
+#: The share of its line's terms from which on a name is a heading, and grants by itself.
+HEADING = 0.6
+#: What tells texts of the BSD kind that are neither of the two.
+_OTHER_BSD = re.compile(r"(?is)advertising\s+materials\s+mentioning|apache\s+software\s+(license|foundation)|this\s+software\s+is\s+not\s+designed")
+_SPDX = re.compile(r"(?i)spdx-license-identifier:?[ \t]*([^\n]*)")
+_IDENTIFIERS = {k.lower(): k for k in NAMES}
+
+
+def by_identifier(line: str) -> tuple[bool, str | None]:
+    """Whether a line has an SPDX expression, and the license if all of that is one known identifier, its later versions included."""
+    found = _SPDX.search(line)
+    if not found:
+        return False, None
+    ids = re.findall(r"[A-Za-z0-9.+-]*[A-Za-z0-9+]", found[1])
+    first = ids[0].lower() if ids else ""
+    several = any(x.upper() in ("OR", "AND") for x in ids[1:])
+    return True, None if several else _IDENTIFIERS.get(re.sub(r"(-only|-or-later|\+)$", "", first))
+
+
+def meant(license_: str, part: list[str], before: list[str], after: list[str], bare: bool = True) -> str | None:
+    """The license that a stretch like license_'s means: itself, another of its family by its number, or none of those known.
+
+    bare: whether a number without the word version before it tells a license apart, as it does in names.
+    """
+    beside = []
+    for t in reversed(before[-BESIDE[0] :]):
+        if t in NAME_ENDS:
+            break
+        beside.append(t)
+    for t in after[: BESIDE[1]]:
+        if t in NAME_ENDS:
+            break
+        beside.append(t)
+    if FOREIGN[license_].intersection(part) or FOREIGN[license_].intersection(beside):
+        return None
+    if license_ not in NUMBERED:
+        return license_
+    family, _ = NUMBERED[license_]
+    if family == "BSD":
+        near = [*before[-2:], *part, *after[:3]]
+        stated = next((a for a, b in zip(near, near[1:], strict=False) if b in ("clause", "clauses") and not a.isalpha() or b == "clause" and a in ("two", "three", "zero", "four")), None)
+    else:
+        near = [*part, *after[: WRAPPED.get(family, NUMBER_WITHIN)]]
+        number = lambda t: t[0].isdigit() and 0 < float(".".join(t.split(".")[:2])) < 10  # noqa: E731  years are none, nor is CC0's own
+        said = (b for a, b in zip(near, near[1:], strict=False) if a in ("version", "v") and number(b))
+        stated = next(said, None) or next((t for t in [*part, *after[:2]] if bare and number(t)), None)
+    if stated is None:
+        return license_
+    return next((k for k, (f, ways) in NUMBERED.items() if f == family and stated in ways), None)
+
 
 _TERM = re.compile(r"[a-z]+|\d+(?:\.\d+)*")
 
@@ -140,24 +207,26 @@ class Templates:
     def window(self, line: list[str], after: list[str]) -> tuple[float, str | None]:
         """The best cosine of a stretch of a line, for surrounding words dilute that of the whole; after: terms of it and the lines that follow.
 
-        A stretch without a version takes the one stated next: another license of its family, or none if that has no such license.
+        A stretch counts as the license that it means by its number and the terms beside it, which may be none; and only where it is
+        most of its line, or the line grants.
         """
-        top: tuple[float, str | None, int] = (0.0, None, 0)
+        top: tuple[float, str | None] = (0.0, None)
+        grants = not GRANTS.isdisjoint(line)
         for i in range(len(line)):
             for j in range(i + 2, min(len(line), i + LONGEST) + 1):
                 part = line[i:j]
                 if NAMING.intersection(part) and part[0] in self.idf and part[-1] in self.idf and not DENIALS.intersection(line[max(0, i - DENIAL_REACH) : j]):
                     score, license_ = self.best(" ".join(part))
-                    if score > top[0] + 1e-12:
-                        top = (score, license_, j)
-        score, license_, end = top
-        if license_ in VERSIONED and score >= THRESHOLD:
-            family = VERSIONED[license_][0]
-            near = after[max(0, end - 3) : end + VERSION_WITHIN]
-            stated = next((b.removesuffix(".0") for a, b in zip(near, near[1:], strict=False) if a in ("version", "v") and b[0].isdigit()), None)
-            if stated is not None:
-                license_ = next((k for k, v in VERSIONED.items() if v == (family, stated)), None)
-        return (score, license_) if license_ else (0.0, None)
+                    if score > top[0] + 1e-12 and score >= THRESHOLD:
+                        if MENTIONS.intersection(line[max(0, i - MENTION_REACH) : j]) or not (j - i >= HEADING * len(line) or grants and not self.only_named(line, i, j)):
+                            continue
+                        license_ = meant(license_, part, line[:i], after[j:])
+                        top = (score, license_) if license_ else (score, None)
+        return top if top[1] else (0.0, None)
+
+    def only_named(self, line: list[str], i: int, j: int) -> bool:
+        """Whether no term but the name's own grants: a license that is spoken of is called by its name as well."""
+        return GRANTS.isdisjoint(line[:i] + line[j:]) and GRANTS.isdisjoint(t for t in line[i:j] if t not in ("license", "licence"))
 
     def scan(self, text: str) -> tuple[str | None, float, str | None, float]:
         """License, cosine, line (the first of the best), and the line's part of the text's words."""
@@ -169,10 +238,16 @@ class Templates:
                 if self.filter.search(line.lower()):
                     own = terms(line)
                     naming = NAMING.intersection(own)
-                    if line.strip(" \t\r#*/;.") in ALONE:
+                    identified, by_id = by_identifier(line)
+                    if identified:
+                        score, license_ = (1.0, by_id) if by_id else (0.0, None)
+                    elif line.strip(" \t\r#*/;.") in ALONE:
                         score, license_ = 1.0, ALONE[line.strip(" \t\r#*/;.")]
                     elif not naming:
-                        score, license_ = (0.0, None) if DENIALS.intersection(own) else self.best(line)
+                        score, license_ = (0.0, None) if DENIALS.intersection(own) or MENTIONS.intersection(own) else self.best(line)
+                        if license_ and score >= THRESHOLD:
+                            license_ = meant(license_, own, [], [])
+                            score = score if license_ else 0.0
                     else:
                         after = own + terms(" ".join(lines[at + 1 : at + LINES]))
                         joined = own if len(own) > LONGEST else after[: len(own) + LONGEST // 2]
@@ -262,7 +337,9 @@ class Passages:
             if score >= PASSAGE and not license_:
                 endorses = True
             elif score >= PASSAGE and score > top[0] + 1e-12:
-                top = (score, license_, " ".join(text[spans[start].start() : spans[min(len(spans), start + n) - 1].end()].split()))
+                own = meant(license_, ts[start : start + n], ts[max(0, start - 2) : start], [], license_.startswith("CC")) if license_ not in ("BSD-2-Clause", "MIT", "ISC") else license_
+                if own and not (own == "BSD-2-Clause" and _OTHER_BSD.search(text)):
+                    top = (score, own, " ".join(text[spans[start].start() : spans[min(len(spans), start + n) - 1].end()].split()))
         return (top[0], "BSD-3-Clause", top[2]) if endorses and top[1] == "BSD-2-Clause" else top
 
 
