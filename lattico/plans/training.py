@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dist, text
-from ..operators import calibrate, convert, guard, overlap, plan, requests
+from .. import schema
+from ..operators import calibrate, convert, guard, overlap, plan, predict, requests
 from ..sources import benchmarks, suites
+from ..sources.registry import merged
 from .conversions import _gold, picked, registered
 from .oracle import frags, norm, share, u
 from .oracle import guard as guarded_sql
@@ -74,11 +79,14 @@ def engine_answers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _index_path(spark: SparkSession) -> str:
-    """A place for a stored index that driver and executors share: spark.checkpoint.dir, or the warehouse where that is unset."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/lattico-index-{uuid.uuid4().hex}"
+    """A place that driver and executors share: in spark.checkpoint.dir. Where that is unset, a local master gets a folder of its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="lattico-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/lattico-{uuid.uuid4().hex}"
 
 
 _FLAGS = f"""WITH b AS (SELECT 'en' AS b, text FROM benchmark WHERE item_id % 2 = 0 UNION ALL SELECT 'soft', text FROM benchmark WHERE item_id % 2 = 1),
@@ -393,3 +401,92 @@ def agreement_elsewhere(spark: SparkSession, d: str) -> DataFrame:
     second = first.withColumn("probs", F.array(F.col("probs")[0] * 0.98 + 0.01, 1 - (F.col("probs")[0] * 0.98 + 0.01)))
     made = metrics.agreement(first, second, dist.argmax(F.col("target")), least=0.95, most=0.02, by="mean_diff")
     return made.select("n", F.round("agree_clear", 6).alias("agree_clear"), F.round("mean_diff", 6).alias("mean_diff"), "pass")
+
+
+@registered("""SELECT o_orderkey::VARCHAR AS id, round(list_sum(list_transform(range(1, 6), lambda i: i * p[i])), 6) AS weighed, round(list_sum(p), 6) AS mass, round(list_max(p), 6) AS top
+FROM (SELECT o_orderkey, list_transform(w, lambda x: x / list_sum(w)) AS p FROM (SELECT o_orderkey, list_transform(range(0, 5), lambda i: (""" + u("'r/' || o_orderkey || '/' || i") + """ / 4294967296 + 0.000001)::DOUBLE) AS w FROM orders))""")
+def random_predictor(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.struct(i.cast("string").alias("name"))).alias("options"))
+    made = predict.random(rows, "r")
+    weighed = F.aggregate(F.transform("probs", lambda p, i: p * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return made.select("id", F.round(weighed, 6).alias("weighed"), F.round(F.aggregate("probs", F.lit(0.0), lambda a, x: a + x), 6).alias("mass"), F.round(F.array_max("probs"), 6).alias("top"))
+
+
+@registered("SELECT doc_id, md5(text) AS state, lang || '|' || source AS names, 0.25::DOUBLE AS top, 'g' || doc_id AS grp FROM documents WHERE text IS NOT NULL")
+def decision_files(spark: SparkSession, d: str) -> DataFrame:
+    """Decisions written as JSON lines and read again, with targets rounded to six places."""
+    docs = table(spark, d, "documents").filter("text is not null")
+    opts = F.array(*[F.struct(F.col(c).alias("name"), F.lit("").alias("desc")) for c in ("lang", "source")])
+    rows = docs.select(
+        F.col("doc_id").cast("string").alias("id"), F.lit("s").alias("source"), F.lit("choice").alias("type"), F.lit("en").alias("lang"), F.concat(F.lit("g"), F.col("doc_id").cast("string")).alias("grp"), F.col("text").alias("state"),
+        F.lit("?").alias("instructions"), opts.alias("options"), F.array(F.lit(0.2500000001), F.lit(0.7499999999)).alias("target"))
+    path = _index_path(spark)
+    n = schema.write_decisions(rows, path)
+    read = schema.read_decisions(spark, path, strict=True)
+    return read.filter(F.lit(n) >= 0).select(F.col("id").cast("long").alias("doc_id"), F.md5("state").alias("state"), F.array_join(F.col("options")["name"], "|").alias("names"), F.col("target")[0].alias("top"), "grp")
+
+
+@registered("SELECT o_orderkey::VARCHAR AS id, round((o_orderkey % 10) / 10, 6) AS p FROM orders")
+def aligned_predictions(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions in files of their own, in another order, put beside their decisions; a decision without one would fail the job."""
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"))
+    p = (F.col("id").cast("long") % 10) / 10.0
+    path = _index_path(spark)
+    rows.select("id", F.array(p, 1 - p).alias("probs")).repartition(3, "id").write.json(path)
+    return schema.with_predictions(rows, schema.read_predictions(spark, path)).select("id", F.round(F.col("probs")[0], 6).alias("p"))
+
+
+@registered("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'missing state' WHEN 1 THEN 'questions must be an object' WHEN 2 THEN 'no questions' WHEN 3 THEN 'too many questions' END AS error FROM events""")
+def request_errors(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("event_id") % 5
+    many = F.to_json(F.map_from_arrays(F.transform(F.sequence(F.lit(1), F.lit(257)), lambda i: i.cast("string")), F.array_repeat(F.lit("q"), 257)))
+    questions = F.when(e == 1, "[1]").when(e == 2, "{}").when(e == 3, many).otherwise('{"q":{"type":"noul"}}')
+    return table(spark, d, "events").select("event_id", requests.request_error(F.when(e != 0, F.col("props")), questions).alias("error"))
+
+
+@registered("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN '{"n":' || event_id || ',"t":"' || event_type || '"}' ELSE '["' || event_type || '",null]' END AS state FROM events""")
+def state_texts(spark: SparkSession, d: str) -> DataFrame:
+    """A state that is text stays as it is; an object or a list becomes compact JSON that keeps nulls."""
+    e = F.col("event_id")
+    said = F.when(e % 3 == 0, F.concat(F.lit('"'), "event_type", F.lit('"'))).when(e % 3 == 1, F.concat(F.lit('{"n" : '), e.cast("string"), F.lit(', "t": "'), "event_type", F.lit('"}'))).otherwise(F.concat(F.lit('["'), "event_type", F.lit('", null]')))
+    return table(spark, d, "events").select("event_id", text.state_text(F.parse_json(said)).alias("state"))
+
+
+@registered("SELECT c_custkey, (c_custkey % 7)::INT AS common FROM customer")
+def common_prefixes(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    a = F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: i.cast("long"))
+    return table(spark, d, "customer").select("c_custkey", text.common_prefix(a, F.concat(F.slice(a, F.lit(1), (k % 7).cast("int")), F.array(100 + k))).alias("common"))
+
+
+@registered("""WITH r AS (SELECT doc_id, doc_id // 16 AS step, n_chars FROM documents), l AS (SELECT step, doc_id, n_chars / 10.0 AS loss FROM r WHERE step % 3 = 0 QUALIFY row_number() OVER (PARTITION BY step ORDER BY n_chars DESC, doc_id) <= 2)
+SELECT r.step, r.doc_id, round(l.loss, 6) AS loss FROM r LEFT JOIN l ON l.step = r.step AND l.doc_id = r.doc_id WHERE r.step % 3 = 0""")
+def logged_steps(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of logged steps beside their logged losses."""
+    from ..operators import metrics
+
+    rows = table(spark, d, "documents").select("doc_id", F.floor(F.col("doc_id") / 16).alias("step"), "n_chars")
+    top = metrics.top_of(rows.filter("step % 3 = 0"), ["step"], "n_chars", "doc_id", 2).select("step", "doc_id", (F.col("n_chars") / 10).alias("loss"))
+    return plan.checked_steps(rows.select("step", "doc_id"), top, ["step"], "doc_id").select("step", "doc_id", F.round("loss", 6).alias("loss"))
+
+
+@registered("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN [lang, source] ELSE [source, lang] END[1] AS first, batch FROM (SELECT doc_id, lang, source, (row_number() OVER (ORDER BY doc_id) - 1) // 50 AS batch FROM documents)""")
+def merged_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Two files of differing columns as one table."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source")
+    both = merged([docs.filter("doc_id % 2 = 0").select("doc_id", F.col("lang").alias("a")), docs.filter("doc_id % 2 = 1").select("doc_id", F.col("source").alias("b"))])
+    made = both.select("doc_id", F.coalesce("a", "b").alias("first"))
+    return plan.length_sorted_batches(made, "doc_id", "doc_id", 50)
+
+
+@registered("""WITH e AS (SELECT vec_id, label % 2 AS type, list_transform(embedding[1:10], lambda x: x::DOUBLE * 5) AS z, label FROM embeddings WHERE len(embedding) >= 10),
+p AS (SELECT vec_id, label, list_transform(z, lambda v: exp(v - list_max(z))) AS x FROM e), s AS (SELECT vec_id, label, list_transform(x, lambda v: v / list_sum(x)) AS p FROM p),
+h AS (SELECT * FROM s QUALIFY row_number() OVER (ORDER BY md5('calibrate/' || vec_id), vec_id) <= floor(count(*) OVER () * 0.3::DOUBLE))
+SELECT 'before' AS stage, count(*) AS n, round(avg((list_position(p, list_max(p)) = label + 1)::INT), 6) AS accuracy FROM h UNION ALL SELECT 'after', count(*), round(avg((list_position(p, list_max(p)) = label + 1)::INT), 6) FROM h""")
+def calibration_stages(spark: SparkSession, d: str) -> DataFrame:
+    """Temperatures fitted on seven tenths leave the choices of the others as they are."""
+    from .queries import _logits
+
+    rows = _logits(spark, d).withColumns({"options": F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.struct(i.cast("string").alias("name"))), "gold_label": F.lit(None).cast("string")})
+    report, _ = calibrate.held_out_report(rows, "vec_id")
+    return report.select("stage", "n", F.round("accuracy", 6).alias("accuracy"))
