@@ -110,8 +110,14 @@ def test_covariance_decides(spark, monkeypatch):
     with_it = verdicts()
     assert not any(with_it[i] for i in range(1000, 1010)) and sum(with_it[i] for i in range(400)) >= 396
     real = quality.estimate
-    diagonal = F.expr("transform(sequence(0, 48), i -> if(i % 8 = 0, precision[i], 0D))")
-    spread = lambda v: real(v).withColumn("precision", F.transform(diagonal, lambda x: x / 20))  # noqa: E731  each statistic's own spread
+
+    def own(batches):
+        """Each statistic by the covariance's own variance of it, and none with another."""
+        for b in batches:
+            b["precision"] = [np.diag(1 / np.diag(np.linalg.inv(np.array(p).reshape(quality.P, quality.P)))).ravel().tolist() for p in b["precision"]]
+            yield b
+
+    spread = lambda v: real(v).mapInPandas(own, "gl string, gs string, centre array<double>, precision array<double>")
     monkeypatch.setattr(quality, "estimate", spread)
     assert any(verdicts()[i] for i in range(1000, 1010))
 
