@@ -1,13 +1,14 @@
 """Cross-entropy difference: each document's loss per token under a target model less that under a background model.
 
-Both models are interpolated bigram models of the same order, vocabulary and smoothing. The vocabulary is every word of the corpus
-and one unknown: word counts are a Parquet table that grows with the input. Words that make up SENT_SHARE of all tokens are
-histories as well, and bigrams of words that make up FREQUENT_SHARE enter the models where they make up PAIR_SHARE themselves;
-whatever the corpus, there are at most one over their share of each, so they may be sent to every task. Other bigrams are backed
-off to their words. Counts cover all documents, and those of the background are scaled to the target's number of tokens.
-
-A text's sent words, its bigrams and all histories are scored in the scan. Its rare words meet their counts in one join, by word,
-which no word can skew, as a rare word is none that makes up SENT_SHARE.
+Both models are interpolated bigram models of the same order, vocabulary and smoothing, over every word and every bigram of the corpus.
+A document is scored by counts without its own: a word or bigram that no other document has counts as unseen, so that no document
+is near a model for having been counted by it. Counts of the background are scaled to the target's number of tokens.
+
+Words that make up SENT_SHARE of all tokens are sent to every task with their counts, and so are bigrams that make up PAIR_SHARE; whatever
+the corpus, there are at most one over the share of each. That is a short cut for what would be hot keys: a text's sent words and
+bigrams are scored in the scan. All others meet by key. The scan packs what a batch of texts has for each of many parts of the
+keys into a row; a part's task counts its keys over all batches and hands back, for each batch, what they add to its texts' losses.
+Bigrams of a word that isn't sent lie in the word's part, for they need its count as well.
 """
 
 from __future__ import annotations
@@ -18,20 +19,26 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, Sheltered, cut, map_texts, table
+from .common import ROWS_AT_ONCE, WORD, Sheltered, _slices, cut, give_back, table
 
-#: Shares of all tokens from which on a word is sent to every task, is frequent, and a bigram of frequent words enters the models: at
-#: most 1,000,000 words, 100,000 words and 1,000,000 bigrams.
+#: Shares of all tokens from which on a word is sent to every task, may be part of a sent bigram, and a bigram is sent: at most
+#: 1,000,000 words, 100,000 words and 1,000,000 bigrams.
 SENT_SHARE, FREQUENT_SHARE, PAIR_SHARE = 1e-6, 1e-5, 1e-6
 #: Tokens that the word model weighs in a bigram's history, and what each word counts at least.
 PRIOR, LEAST = 60.0, 0.5
 #: Distinct words or bigrams that a task counts before it hands them on, and words whose hash a worker remembers.
 FLUSH, REMEMBERED = 200_000, 60_000
+#: Tokens of the corpus for each part of the keys, and parts at least.
+PART_TOKENS, PARTS = 2_500_000, 32
 #: Rows that mark targets are sent to every task up to this many (8 bytes each); beyond, documents are moved to them.
 MOST_MARKS = 4_000_000
+#: What stands before a text's first word.
+BEGIN = np.int64(-7046029254386353131)
 
 
 def word_hashes(text: bytes, known: dict[bytes, int]) -> np.ndarray:
@@ -74,33 +81,63 @@ def _counted(docs: DataFrame, text: str, target: str, keys_of, name: str) -> Dat
     return rows.mapInArrow(count, f"{name} long, t long, b long").groupBy(name).agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
 
 
+def pair_hashes(before: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """A signed number for each bigram."""
+    with np.errstate(over="ignore"):
+        x = before.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(32))) + words.view(np.uint64)
+        x = x * np.uint64(0xD6E8FEB86659FD93)
+        return (x ^ (x >> np.uint64(29))).view(np.int64)
+
+
+def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal rows of keys (the last one first in order): an order that brings them together, where each run begins in it, and the runs' lengths."""
+    order = np.lexsort(keys)
+    if not len(order):
+        return order, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    differs = np.zeros(len(order), bool)
+    differs[0] = True
+    for k in keys:
+        differs[1:] |= k[order][1:] != k[order][:-1]
+    begins = np.flatnonzero(differs)
+    return order, begins, np.diff(np.append(begins, len(order)))
+
+
 @dataclass
 class Models:
-    """What is sent to every task: the sent words (sorted hashes), their counts, and the bigrams of the models with theirs.
+    """What is sent to every task: the sent words (sorted hashes) and bigrams with their counts, and the sizes of both models.
 
-    Rows of the arrays are target and background. keys are i * (words + 1) + j of a history i and a word j, both from 1 in order of
-    their hashes; history 0 begins a text.
+    Rows of the arrays are target and background, the latter not yet scaled. keys are i * (words + 1) + j of a history i and a word j, both
+    from 1 in order of their hashes; history 0 begins a text.
     """
 
     words: np.ndarray
     counts: np.ndarray
-    totals: np.ndarray
+    tokens: np.ndarray
     kinds: int
     starts: np.ndarray
     keys: np.ndarray
     pairs: np.ndarray
     scale: float
+    every: bool
+
+    def left(self, counts: np.ndarray, own: np.ndarray, marked: np.ndarray) -> np.ndarray:
+        """Counts (target, background) without a document's own, scaled."""
+        return np.stack([counts[0] - own * marked, (counts[1] - own) * self.scale])
+
+    def share(self, counts: np.ndarray) -> np.ndarray:
+        """Shares of words with these counts under the word models."""
+        return (counts + LEAST) / (self.tokens * np.array([1.0, self.scale]) + LEAST * (self.kinds + 1))[:, None]
 
-    def __post_init__(self):
-        self.single = np.log(self.word_share(self.counts)) if len(self.words) else np.zeros((2, 0))
-        heads = np.concatenate([self.starts[:, None], self.counts], axis=1)
-        self.back = math.log(PRIOR) - np.log(heads + PRIOR)  # what a history leaves to the word model
-        after = self.keys % (len(self.words) + 1) - 1
-        self.more = np.log(self.pairs + PRIOR * np.exp(self.single[:, after])) - math.log(PRIOR) - self.single[:, after] if len(self.keys) else np.zeros((2, 0))
+    @staticmethod
+    def history(counts: np.ndarray) -> np.ndarray:
+        """Logarithm of what a history with these counts leaves to the word model."""
+        return math.log(PRIOR) - np.log(counts + PRIOR)
 
-    def word_share(self, counts: np.ndarray) -> np.ndarray:
-        """Share of words with these counts (target, background) under the word models."""
-        return (counts + LEAST) / (self.totals + LEAST * (self.kinds + 1))[:, None]
+    @staticmethod
+    def more(counts: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """What a bigram with these counts adds to the logarithm of its word's share."""
+        return np.log1p(counts / (PRIOR * share))
 
     def places(self, hashes: np.ndarray) -> np.ndarray:
         """1 + the place of each hash among the sent words, 0 for others."""
@@ -109,18 +146,63 @@ class Models:
         at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
         return np.where(self.words[at] == hashes, at + 1, 0)
 
-    def scan(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Log probabilities of a text under both models but for its rare words' own shares, and those words with how often each occurs."""
-        at = self.places(hashes)
-        before = np.concatenate([[0], at[:-1]]).astype(np.int64)
-        rare_before = np.concatenate([[False], at[:-1] == 0])
-        total = self.single[:, at[at > 0] - 1].sum(axis=1) + self.back[:, before[~rare_before]].sum(axis=1)  # a rare history leaves all to the word
-        keys = (before * (len(self.words) + 1) + at)[(at > 0) & ~rare_before]
-        if len(self.keys) and len(keys):
-            where = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            total = total + self.more[:, where[self.keys[where] == keys]].sum(axis=1)
-        rare, n = np.unique(hashes[at == 0], return_counts=True)
-        return total, rare, n
+    def scan(self, texts: list[np.ndarray], marked: np.ndarray) -> tuple[np.ndarray, dict[str, dict[str, np.ndarray]]]:
+        """Log probabilities of a batch's texts (word hashes) under both models, so far as what is sent tells, and what must meet the rest.
+
+        "sent": bigrams (g) of a sent word (place, and how often the text has it: own); "word": other words, how often each is a word (n) and
+        a history (h); "rare": bigrams of those, by their place in "word" (ref). doc is the text's place in the batch.
+        """
+        docs, lengths, size = len(texts), np.array([len(t) for t in texts], np.int64), len(self.words) + 1
+        words = np.concatenate([*texts, np.zeros(0, np.int64)])
+        doc, at, ends = np.repeat(np.arange(docs), lengths), self.places(words), np.cumsum(lengths)
+        some = np.flatnonzero(lengths)
+        first, last = (ends - lengths)[some], ends[some] - 1
+        before, before_at = np.roll(words, 1), np.roll(at, 1)
+        before[first], before_at[first] = BEGIN, 0
+        begins = np.zeros(len(words), bool)
+        begins[first] = True
+        sums = np.zeros((2, docs))
+
+        def add(to: np.ndarray, terms: np.ndarray) -> None:
+            for k in (0, 1):
+                sums[k] += np.bincount(to, terms[k], docs)
+
+        add(some, self.history(self.left(np.repeat(self.starts[:, None], len(some), 1), np.ones(len(some)), marked[some])))
+        own_key, own = np.unique(doc[at > 0] * size + at[at > 0], return_counts=True)
+        heads = own.copy()
+        ended = last[at[last] > 0]
+        heads[np.searchsorted(own_key, doc[ended] * size + at[ended])] -= 1
+        d, w = own_key // size, own_key % size - 1
+        rest = self.left(self.counts[:, w], own, marked[d])
+        shares = self.share(rest)
+        add(d, own * np.log(shares) + heads * self.history(rest))
+
+        rare = np.flatnonzero(at == 0)
+        order, start, n = _runs(words[rare], doc[rare])
+        run_of = np.empty(len(rare), np.int64)
+        run_of[order] = np.repeat(np.arange(len(n)), n)
+        of_token = np.zeros(len(words), np.int64)
+        of_token[rare] = run_of
+        heads = n.copy()
+        ended = last[at[last] == 0]
+        heads[of_token[ended]] -= 1
+        token = rare[order[start]]
+        word = {"key": words[token], "doc": doc[token], "n": n, "h": heads}
+
+        g = pair_hashes(before, words)
+        order, start, n = _runs(g, doc)
+        token = order[start]
+        met = np.zeros(len(token), bool)
+        asked = np.where((at[token] > 0) & ((before_at[token] > 0) | begins[token]), before_at[token] * size + at[token], -1)
+        if len(self.keys):
+            where = np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)
+            met = self.keys[where] == asked
+        of_word = np.searchsorted(own_key, doc[token] * size + at[token])  # where at is above 0
+        hot = np.flatnonzero(met)
+        add(doc[token[hot]], n[hot] * self.more(self.left(self.pairs[:, where[hot]], n[hot], marked[doc[token[hot]]]), shares[:, of_word[hot]]) if len(hot) else np.zeros((2, 0)))
+        cold, other = np.flatnonzero(~met & (at[token] > 0)), np.flatnonzero(at[token] == 0)
+        sent = {"key": g[token[cold]], "doc": doc[token[cold]], "n": n[cold], "place": at[token[cold]] - 1, "own": own[of_word[cold]]}
+        return sums, {"sent": sent, "word": word, "rare": {"key": g[token[other]], "doc": doc[token[other]], "n": n[other], "ref": of_token[token[other]]}}
 
 
 def _pair_keys(words: np.ndarray, frequent: np.ndarray):
@@ -140,65 +222,179 @@ def _pair_keys(words: np.ndarray, frequent: np.ndarray):
     return keys_of
 
 
-def train(docs: DataFrame, text: str = "text", target: str = "target", sent: float = SENT_SHARE, frequent: float = FREQUENT_SHARE, pair: float = PAIR_SHARE) -> tuple[DataFrame, Models]:
-    """Word counts (w, t, b) of the whole vocabulary, as a table, and the models, from texts of which target marks some.
+def train(docs: DataFrame, text: str = "text", target: str = "target", sent: float = SENT_SHARE, frequent: float = FREQUENT_SHARE, pair: float = PAIR_SHARE) -> Models:
+    """What is sent to the tasks that score, from texts of which target marks some. Words are counted in a table that grows with the input.
 
     Null texts have no words and a null mark is none. Without target rows both models are the background's.
     """
     words = cut(_counted(docs, text, target, lambda hashes: hashes, "w"), "words")
     sums = words.agg(F.count("*").alias("v"), F.sum("t").alias("t"), F.sum("b").alias("b")).first()
     kinds, t, b = sums["v"], sums["t"] or 0, sums["b"] or 0
-    scale = t / b if t else 0.0
-    if not t:  # nothing is marked: both models are the background's
-        words, t, scale = words.withColumn("t", F.col("b")), b, 1.0
+    every = not t  # nothing is marked: both models are the background's
+    marks = "b" if every else "t"
     known = words.filter(F.col("b") >= max(sent * b, 1)).orderBy("w").toPandas()  # at most 1 / sent rows
     hashes = known["w"].to_numpy(np.int64)
-    both = lambda df: np.stack([df["t"].to_numpy(float), df["b"].to_numpy(float) * scale])
+    both = lambda df: np.stack([df[marks].to_numpy(float), df["b"].to_numpy(float)])
     begun = F.coalesce(F.col(text).cast("string").rlike(WORD), F.lit(False))
     firsts = docs.select(F.count_if(begun).alias("b"), F.count_if(begun & F.coalesce(F.col(target), F.lit(False))).alias("t")).first()
-    starts = np.array([firsts["t"] if sums["t"] else firsts["b"], firsts["b"] * scale], float)
-    counted = _counted(docs, text, target, _pair_keys(hashes, known["b"].to_numpy() >= max(frequent * b, 1)), "k").filter(F.col("b") >= max(pair * b, 1))
-    pairs = counted.orderBy("k").toPandas()  # at most 1 / pair rows
-    if not sums["t"]:
-        pairs["t"] = pairs["b"]
-    return words, Models(hashes, both(known), np.array([t, b * scale], float), kinds, starts, pairs["k"].to_numpy(np.int64), both(pairs), scale)
-
-
-_BASE = "n_tokens long, target_sum double, background_sum double, rare array<struct<w:bigint,n:int>>"
-
-
-def score(docs: DataFrame, words: DataFrame, models: Models, text: str = "text") -> DataFrame:
+    pairs = _counted(docs, text, target, _pair_keys(hashes, known["b"].to_numpy() >= max(frequent * b, 1)), "k").filter(F.col("b") >= max(pair * b, 1)).orderBy("k").toPandas()  # at most 1 / pair rows
+    tokens = np.array([b if every else t, b], float)
+    return Models(hashes, both(known), tokens, kinds, np.array([firsts[marks], firsts["b"]], float), pairs["k"].to_numpy(np.int64), both(pairs), tokens[0] / b if b else 0.0, every)
+
+
+#: How the columns of what must meet are packed, by kind: 64-bit keys, places in a batch, counts (mostly small, so that a shuffle's compression takes them).
+_PACKED = {"sent": (("key", np.int64), ("doc", np.uint16), ("n", np.uint32), ("place", np.uint32), ("own", np.uint32)), "word": (("key", np.int64), ("doc", np.uint16), ("n", np.uint32), ("h", np.uint32)), "rare": (("key", np.int64), ("doc", np.uint16), ("n", np.uint32), ("ref", np.uint32))}
+
+
+def _pack(kinds: dict[str, dict[str, np.ndarray]], parts: int, marked: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(part, bytes) of each part of the keys that a batch has something for."""
+    part_of = {k: (kinds[k]["key"].view(np.uint64) % np.uint64(parts)).astype(np.int64) for k in ("sent", "word")}
+    part_of["rare"] = part_of["word"][kinds["rare"]["ref"]] if len(kinds["word"]["key"]) else np.zeros(0, np.int64)
+    order = {k: np.argsort(p, kind="stable") for k, p in part_of.items()}
+    edges = {k: np.searchsorted(part_of[k][order[k]], np.arange(parts + 1)) for k in order}
+    placed = np.empty(len(part_of["word"]), np.int64)  # a word's place within its part
+    placed[order["word"]] = np.arange(len(placed)) - edges["word"][part_of["word"][order["word"]]]
+    columns = {k: {c: (placed[v] if c == "ref" else v)[order[k]] for c, v in kinds[k].items()} for k in kinds}
+    flags = np.packbits(marked.astype(bool)).tobytes()
+    for p in np.unique(np.concatenate([*part_of.values()])):
+        spans = {k: slice(edges[k][p], edges[k][p + 1]) for k in _PACKED}
+        sizes = np.array([len(marked), *[s.stop - s.start for s in spans.values()]], np.int32)
+        yield int(p), b"".join([sizes.tobytes(), flags, *[columns[k][c][spans[k]].astype(t).tobytes() for k in _PACKED for c, t in _PACKED[k]]])
+
+
+def _unpack(data: bytes) -> tuple[np.ndarray, dict[str, dict[str, np.ndarray]]]:
+    docs, *sizes = (int(x) for x in np.frombuffer(data, np.int32, 1 + len(_PACKED)))
+    at = 4 * (1 + len(_PACKED))
+    marked = np.unpackbits(np.frombuffer(data, np.uint8, (docs + 7) // 8, at))[:docs].astype(float)
+    at += (docs + 7) // 8
+    out: dict[str, dict[str, np.ndarray]] = {}
+    for (kind, columns), n in zip(_PACKED.items(), sizes, strict=True):
+        out[kind] = {}
+        for c, t in columns:
+            out[kind][c] = np.frombuffer(data, t, n, at).astype(np.int64)
+            at += n * np.dtype(t).itemsize
+    return marked, out
+
+
+def met(models: Models, rows: list[bytes]) -> Iterator[bytes]:
+    """What one part's keys add to the losses of each batch (rows, packed) that has some: places of texts, and the sums under both models."""
+    marks, kinds = zip(*map(_unpack, rows), strict=True)
+    slots = np.cumsum([0, *[len(m) for m in marks]])
+    held = np.cumsum([0, *[len(k["word"]["key"]) for k in kinds]])
+    marked = np.concatenate(marks)
+    every = {kind: {c: np.concatenate([k[kind][c] + (held[i] if c == "ref" else slots[i] if c == "doc" else 0) for i, k in enumerate(kinds)]) for c, _ in _PACKED[kind]} for kind in _PACKED}
+    sums = np.zeros((2, slots[-1]))
+
+    def rest(kind: str) -> np.ndarray:
+        """Counts of each entry's key over all entries, without its own text's."""
+        x = every[kind]
+        _, of = np.unique(x["key"], return_inverse=True)
+        own = marked[x["doc"]]
+        return models.left(np.stack([np.bincount(of, x["n"] * own)[of], np.bincount(of, x["n"])[of].astype(float)]) if len(of) else np.zeros((2, 0)), x["n"], own)
+
+    def add(kind: str, terms: np.ndarray) -> None:
+        for k in (0, 1):
+            sums[k] += np.bincount(every[kind]["doc"], terms[k], slots[-1])
+
+    words = rest("word")
+    shares = models.share(words)
+    add("word", every["word"]["n"] * np.log(shares) + every["word"]["h"] * models.history(words))
+    add("rare", every["rare"]["n"] * models.more(rest("rare"), shares[:, every["rare"]["ref"]]))
+    x = every["sent"]
+    add("sent", x["n"] * models.more(rest("sent"), models.share(models.left(models.counts[:, x["place"]], x["own"], marked[x["doc"]]))))
+    for i in range(len(rows)):
+        mine = sums[:, slots[i] : slots[i + 1]]
+        at = np.flatnonzero(mine.any(axis=0))
+        yield b"".join([np.int32(len(at)).tobytes(), at.astype(np.uint16).tobytes(), mine[:, at].astype(np.float32).tobytes()])
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """Rows of equal first columns that lie together, across batches."""
+    now, held = None, []
+    for b in batches:
+        for row in zip(*[b.column(i).to_pylist() for i in range(b.num_columns)], strict=True):
+            if row[0] != now and held:
+                yield now, held
+                held = []
+            now = row[0]
+            held.append(row)
+    if held:
+        yield now, held
+
+
+def _losses(docs: DataFrame, models: Models, text: str, target: str) -> DataFrame:
+    """(th, n, t, b): tokens of each different text and mark, and its log probabilities under both models."""
+    parts = max(PARTS, math.ceil(models.tokens[1] / PART_TOKENS))
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(models)
+    most = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if not 0 < most <= ROWS_AT_ONCE:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_AT_ONCE))
+    rows = docs.select(F.col(text).cast("string").alias("x"), _mark(models, target).cast("int").alias("y"), _key(models, text, target).alias("th"))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, int] = {}
+        number = TaskContext.get().partitionId() << 32
+        for whole in batches:
+            for b in _slices(whole, pc.fill_null(pc.binary_length(whole.column(0)), 0).to_pylist()):
+                texts = [word_hashes(x or b"", known) for x in b.column(0).cast(pa.binary()).to_pylist()]
+                marked = b.column(1).to_numpy().astype(float)
+                sums, kinds = shared.value.scan(texts, marked)
+                own = b"".join([np.int32(len(texts)).tobytes(), b.column(2).to_numpy().tobytes(), np.array([len(t) for t in texts], np.int64).tobytes(), sums.tobytes()])
+                packed = [(number % parts, own, True), *[(p, data, False) for p, data in _pack(kinds, parts, marked)]]
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, *_ in packed], pa.int32()), pa.array([number] * len(packed), pa.int64()), pa.array([x for _, x, _ in packed], pa.binary()), pa.array([o for *_, o in packed])], names=["part", "batch", "data", "own"])
+                number += 1
+        give_back()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in _grouped(batches):
+            out = [(batch, data, True) for _, batch, data, own in held if own]
+            asked = [(batch, data) for _, batch, data, own in held if not own]
+            if asked:
+                out += [(batch, x, False) for (batch, _), x in zip(asked, met(shared.value, [data for _, data in asked]), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out])], names=["batch", "data", "own"])
+        give_back()
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, held in _grouped(batches):
+            own = next(data for _, data, is_own in held if is_own)
+            n = int(np.frombuffer(own, np.int32, 1)[0])
+            keys, size, sums = np.frombuffer(own, np.int64, n, 4), np.frombuffer(own, np.int64, n, 4 + 8 * n), np.frombuffer(own, np.float64, 2 * n, 4 + 16 * n).reshape(2, n).copy()
+            for _, data, is_own in held:
+                if not is_own:
+                    k = int(np.frombuffer(data, np.int32, 1)[0])
+                    sums[:, np.frombuffer(data, np.uint16, k, 4)] += np.frombuffer(data, np.float32, 2 * k, 4 + 2 * k).reshape(2, k)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(size), pa.array(sums[0]), pa.array(sums[1])], names=["th", "n", "t", "b"])
+        give_back()
+
+    by_part = rows.mapInArrow(scan, "part int, batch long, data binary, own boolean").repartition(parts, "part").sortWithinPartitions("part")
+    by_batch = by_part.mapInArrow(meet, "batch long, data binary, own boolean").repartition(parts, "batch").sortWithinPartitions("batch")
+    return by_batch.mapInArrow(gather, "th long, n long, t double, b double").groupBy("th").agg(F.min("n").alias("n"), F.min("t").alias("t"), F.min("b").alias("b"))
+
+
+def _mark(models: Models, target: str):
+    return F.lit(True) if models.every else F.coalesce(F.col(target), F.lit(False))
+
+
+def _key(models: Models, text: str, target: str):
+    """Rows of one text and mark share their losses."""
+    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")), _mark(models, target))
+
+
+def score(docs: DataFrame, models: Models, text: str = "text", target: str = "target") -> DataFrame:
     """docs without the text, with n_tokens, target_loss, background_loss and difference, per token in nats.
 
-    Low differences are near the target. The documents must be among those that the word counts cover. Null and empty texts have no
-    tokens, and null for the rest. Equal texts get equal scores. Columns of docs with the names added here are replaced; others may
-    have any name.
+    Low differences are near the target. docs are those that the models were trained on: words and bigrams that aren't sent are counted here,
+    without each document's own. Null and empty texts have no tokens, and null for the rest. Rows of equal texts and marks get equal
+    scores. An empty table gives an empty result. Columns of docs with the names added here are replaced; others may have any name.
     """
     user = Sheltered(docs)
-    text = user.of(text)
+    text, target = user.of(text), user.of(target)
+    losses = cut(_losses(user.df, models, text, target), "losses")
     keep = [c for c in user.inner if c != text]
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-    known: dict[bytes, int] = {}
-
-    def fn(texts: list[bytes]) -> dict[str, pa.Array]:
-        found = [shared.value.scan(word_hashes(t, known)) for t in texts]
-        rare = pa.ListArray.from_arrays(
-            pa.array(np.concatenate([[0], np.cumsum([len(r) for _, r, _ in found])]), pa.int32()),
-            pa.StructArray.from_arrays([pa.array(np.concatenate([r for _, r, _ in found]), pa.int64()), pa.array(np.concatenate([n for _, _, n in found]), pa.int32())], names=["w", "n"]))
-        return {
-            "n_tokens": pa.array([len(t.split()) for t in texts], pa.int64()), "target_sum": pa.array([s[0] for s, _, _ in found], pa.float64()),
-            "background_sum": pa.array([s[1] for s, _, _ in found], pa.float64()), "rare": rare,
-        }
-
-    named = user.df.withColumn("th", F.xxhash64(text))
-    base = cut(map_texts(named, text, fn, _BASE, [*keep, "th"]), "scanned")
-    by_word = words.select("w", *[F.log((F.col(c) * by + LEAST) / F.lit(n + LEAST * (models.kinds + 1))).alias(c) for c, by, n in (("t", 1.0, models.totals[0]), ("b", models.scale, models.totals[1]))])
-    parts = base.select("th", F.explode("rare").alias("r")).select("th", "r.w", "r.n").join(by_word.hint("merge"), "w")
-    sums = parts.groupBy("th").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("t")).alias("t"), F.sum(F.col("n") * F.col("b")).alias("b"))
-    rare_n = F.aggregate("rare", F.lit(0).cast("long"), lambda a, r: a + r["n"])
-    whole = base.withColumn("rare_n", rare_n).drop("rare").join(sums.hint("merge"), "th", "left")
-    loss = lambda known_sum, rare_sum: -F.try_divide(F.col(known_sum) + F.coalesce(F.try_divide(F.col(rare_sum), F.col("n")) * F.col("rare_n"), F.lit(0.0)), F.col("n_tokens"))  # noqa: E731  rows of one text share its sum
-    whole = whole.withColumns({"target_loss": loss("target_sum", "t"), "background_loss": loss("background_sum", "b")})
+    joined = user.df.select(*keep, _key(models, text, target).alias("th")).join(losses, "th")
+    loss = lambda c: -F.try_divide(F.col(c), F.col("n"))
+    whole = joined.withColumns({"n_tokens": F.col("n"), "target_loss": loss("t"), "background_loss": loss("b")})
     return user.back(whole.withColumn("difference", F.col("target_loss") - F.col("background_loss")), "n_tokens", "target_loss", "background_loss", "difference")
 
 
@@ -213,5 +409,5 @@ def mark(docs: DataFrame, ids: DataFrame, id_: str = "doc_id") -> DataFrame:
 def op9_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents that labels mark as of good quality. Background: all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    words, models = train(mark(docs, table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")))
-    return score(docs, words, models).select("doc_id", "n_tokens", "target_loss", "background_loss", "difference")
+    marked = mark(docs, table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id"))
+    return score(marked, train(marked)).select("doc_id", "n_tokens", "target_loss", "background_loss", "difference")

@@ -15,7 +15,7 @@ NAMES = sorted({n for p in Path(simhash.__file__).parent.glob("*.py") for n in r
 
 def crossentropy_scores(df):
     marked = df.selectExpr("*", "doc_id % 2 = 0 as target")
-    return crossentropy.score(marked, *crossentropy.train(marked)).drop("target")
+    return crossentropy.score(marked, crossentropy.train(marked)).drop("target")
 
 
 RUNS = {
