@@ -34,7 +34,7 @@ PRIOR, LEAST = 60.0, 0.5
 #: Distinct words or bigrams that a task counts before it hands them on, and words whose hash a worker remembers.
 FLUSH, REMEMBERED = 200_000, 60_000
 #: Tokens of the corpus for each part of the keys, and parts at least.
-PART_TOKENS, PARTS = 2_500_000, 32
+PART_TOKENS, PARTS = 1_000_000, 32
 #: Rows that mark targets are sent to every task up to this many (8 bytes each); beyond, documents are moved to them.
 MOST_MARKS = 4_000_000
 #: What stands before a text's first word.
