@@ -34,7 +34,7 @@ PRIOR, LEAST = 60.0, 0.5
 #: Distinct words or bigrams that a task counts before it hands them on, and words whose hash a worker remembers.
 FLUSH, REMEMBERED = 200_000, 60_000
 #: Tokens of the corpus for each part of the keys, and parts at least.
-PART_TOKENS, PARTS = 1_000_000, 32
+PART_TOKENS, PARTS = 1_500_000, 32
 #: Rows that mark targets are sent to every task up to this many (8 bytes each); beyond, documents are moved to them.
 MOST_MARKS = 4_000_000
 #: What stands before a text's first word.
@@ -242,10 +242,25 @@ def train(docs: DataFrame, text: str = "text", target: str = "target", sent: flo
     return Models(hashes, both(known), tokens, kinds, np.array([firsts[marks], firsts["b"]], float), pairs["k"].to_numpy(np.int64), both(pairs), tokens[0] / b if b else 0.0, every)
 
 
-#: How the columns of what must meet are packed, by kind: 64-bit keys, places in a batch, counts (mostly small, so that a shuffle's compression takes them).
+#: How the columns of what must meet are packed, by kind: upper 48 bits of keys, which tell keys of one part apart as the part is told by the
+#: lower ones too, places in a batch, counts (mostly small, so that a shuffle's compression takes them).
 _PACKED = {"sent": (("key", np.int64), ("doc", np.uint16), ("n", np.uint32), ("place", np.uint32), ("own", np.uint32)), "word": (("key", np.int64), ("doc", np.uint16), ("n", np.uint32), ("h", np.uint32)), "rare": (("key", np.int64), ("doc", np.uint16), ("n", np.uint32), ("ref", np.uint32))}
 
 
+def _packed(x: np.ndarray, kind: type) -> bytes:
+    if kind is not np.int64:
+        return x.astype(kind).tobytes()
+    x = x.view(np.uint64) >> np.uint64(16)
+    return x.astype(np.uint32).tobytes() + (x >> np.uint64(32)).astype(np.uint16).tobytes()
+
+
+def _unpacked(data: bytes, kind: type, n: int, at: int) -> tuple[np.ndarray, int]:
+    """A column of n values that begins at a byte, and the byte that it ends at."""
+    if kind is not np.int64:
+        return np.frombuffer(data, kind, n, at).astype(np.int64), at + n * np.dtype(kind).itemsize
+    return np.frombuffer(data, np.uint32, n, at).astype(np.int64) | np.frombuffer(data, np.uint16, n, at + 4 * n).astype(np.int64) << 32, at + 6 * n
+
+
 def _pack(kinds: dict[str, dict[str, np.ndarray]], parts: int, marked: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """(part, bytes) of each part of the keys that a batch has something for."""
     part_of = {k: (kinds[k]["key"].view(np.uint64) % np.uint64(parts)).astype(np.int64) for k in ("sent", "word")}
@@ -259,7 +274,7 @@ def _pack(kinds: dict[str, dict[str, np.ndarray]], parts: int, marked: np.ndarra
     for p in np.unique(np.concatenate([*part_of.values()])):
         spans = {k: slice(edges[k][p], edges[k][p + 1]) for k in _PACKED}
         sizes = np.array([len(marked), *[s.stop - s.start for s in spans.values()]], np.int32)
-        yield int(p), b"".join([sizes.tobytes(), flags, *[columns[k][c][spans[k]].astype(t).tobytes() for k in _PACKED for c, t in _PACKED[k]]])
+        yield int(p), b"".join([sizes.tobytes(), flags, *[_packed(columns[k][c][spans[k]], t) for k in _PACKED for c, t in _PACKED[k]]])
 
 
 def _unpack(data: bytes) -> tuple[np.ndarray, dict[str, dict[str, np.ndarray]]]:
@@ -271,8 +286,7 @@ def _unpack(data: bytes) -> tuple[np.ndarray, dict[str, dict[str, np.ndarray]]]:
     for (kind, columns), n in zip(_PACKED.items(), sizes, strict=True):
         out[kind] = {}
         for c, t in columns:
-            out[kind][c] = np.frombuffer(data, t, n, at).astype(np.int64)
-            at += n * np.dtype(t).itemsize
+            out[kind][c], at = _unpacked(data, t, n, at)
     return marked, out
 
 
