@@ -3,11 +3,13 @@
 Tokens become classes: parts of insults with learned weights, threats, targets, negations, reporting words, others. Five transducers
 read a clause, each what the one before it wrote. The insult transducer recognises single insults and phrases of two words that
 insult only together; the others mark what holds around an insult or a threat: negation and reported speech before it, a target
-beside it, and a target that a threat is aimed at. Their composition is one deterministic transducer; a clause's weight is that of
-its best-weighted symbol, under factors for its marks, and a text's score is a logistic function of its clauses.
+beside it, and the target that a threat is aimed at, on either side. Their composition is one deterministic transducer; one more
+reads its output from the end, for a reporter that follows. A clause's weight is that of its best-weighted symbol, under factors for
+its marks, and a text's score is a logistic function of its clauses.
 
-All weights are learned from labelled rows: the insults by evidence from occurrences that no mark weakens, the marks' factors and a
-threat's weight together with the logistic function, by likelihood under a prior around their usual values.
+All weights are learned from labelled rows: the insults by evidence from occurrences that no mark weakens, threats beside the fixed
+ones by evidence from occurrences that are aimed, the marks' factors and the threats' weight together with the logistic function, by
+likelihood under a prior around their usual values. Separated verbs ("bringe dich um") aren't known as threats.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +33,28 @@ BEGINNINGS = (3, 4, 5, 6, 7)
 #: The share of a lexicon entry's documents that must be toxic, and least toxic documents.
 PRECISION, LEAST_TOXIC = 0.9, 3
 #: Words of the fixed classes, in English, German, French and Spanish.
-THREATS = "kill hurt destroy beat stab shoot töten umbringen verletzen vernichten tuer frapper détruire matar herir destruir golpear"
-TARGETS = "you your yourself they them he she him her du dich dir euch sie ihr ihn tu toi vous votre ils elles tú te usted ustedes ellos ellas"
-NEGATIONS = "not no never without nicht kein keine nie ohne ne pas jamais sans nunca sin jamás"
-REPORTS = "said says say told claims claimed quoted called sagte sagt behauptet zitiert dit disait affirme cité dijo dice afirma citó"
-#: How far, in tokens, a negation and a target reach.
-NEGATION_REACH, TARGET_REACH = 3, 4
+THREATS = (
+    "kill kills killing hurts hurting destroy destroys destroying beat beats beating stab stabs stabbing shoot shoots shooting murder murders murdering "
+    "töten töte tötet umbringen umbringe verletzen verletze vernichten vernichte tuer tue tuerai frapper frappe détruire détruirai "
+    "matar mataré herir heriré destruir destruiré golpear golpearé"
+)
+TARGETS = "you your yourself they them he she him her du dir sie ihr tu toi votre ils elles tú usted ustedes ellos ellas"
+NEGATIONS = "not no never without cannot nicht kein keine keinen nie niemals ohne ne pas jamais sans nunca sin jamás"
+REPORTS = "said says say told wrote writes claims claimed quoted called sagte sagt schrieb behauptet zitiert dit disait écrit affirme cité dijo dice escribió afirma citó"
+#: Forms of threats that are passive after a target: "you should be killed".
+PARTICIPLES = "killed hurt destroyed beaten stabbed shot murdered getötet umgebracht verletzt vernichtet tué tués tuée frappé frappée détruit matado herido destruido golpeado"
+#: Threats that hold their target.
+AIMED_FORMS = "matarte matarlo matarla matarlos herirte herirlo destruirte destruirlo golpearte golpearlo"
+#: Targets that are objects wherever they stand, so that a threat after them is aimed at them.
+OBJECTS = "dich euch ihn te vous os"
+#: Auxiliaries of the passive.
+PASSIVES = "be been being get gets getting werden wird wirst être ser"
+#: Words that end what a negation, a target and a threat reach.
+BREAKS = "but before after while when because unless aber sondern bevor nachdem während wenn weil mais avant après pendant quand parce pero sino antes después mientras cuando porque"
+#: How far, in tokens, a negation and a target reach, and how far a threat may lie before its target or after its object.
+NEGATION_REACH, TARGET_REACH, AIM_REACH, OBJECT_REACH = 8, 4, 3, 4
+#: In how many last tokens of a clause the reporting word of "..., she said" lies, and how many tokens may stand before it.
+REPORTER_LAST, REPORTER_BEFORE = 3, 2
 #: What a negated, reported or targeted symbol's weight is multiplied by, and what a threat weighs: usual values, from which rows move them.
 USUAL = {"-": 0.6, "'": 0.7, "+": 1.2, "threat": 0.5}
 #: Values that are tried for them, as powers of two of the usual one, and how strongly the prior holds them, in nats for a factor of two, squared.
@@ -45,48 +63,52 @@ TRIED, HOLD = (-6, -3, -2, -1, -0.5, 0, 0.5, 1, 2), 0.5
 REMEMBERED = 50_000
 
 OTHER, INSULT, THREAT_WORD, TARGET, NEGATION, REPORT, OPENS, CLOSES, BOTH = "o", "i", "h", "t", "n", "r", "(", ")", "x"
-#: What the insult transducer reads (OPENS, CLOSES, BOTH: words that begin or end a phrase, or may do either), and what it writes.
-TOKENS = (OTHER, INSULT, THREAT_WORD, TARGET, NEGATION, REPORT, OPENS, CLOSES, BOTH)
-CLASSES = (OTHER, INSULT, THREAT_WORD, TARGET, NEGATION, REPORT)
+PARTICIPLE, AIMED, OBJECT, PASSIVE, BREAK, PAUSE = "p", "a", "j", "b", "k", ","
+#: What the insult transducer reads (OPENS, CLOSES, BOTH: words that begin or end a phrase, or may do either).
+TOKENS = (OTHER, INSULT, THREAT_WORD, TARGET, NEGATION, REPORT, OPENS, CLOSES, BOTH, PARTICIPLE, AIMED, OBJECT, PASSIVE, BREAK)
+#: Classes without which a clause weighs nothing.
+WEIGHTY = frozenset((INSULT, THREAT_WORD, PARTICIPLE, AIMED, OPENS, CLOSES, BOTH))
+#: What marks are added to.
+MARKED = (INSULT, THREAT_WORD, PARTICIPLE, AIMED)
 MARKS = "-'+"
 _EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
-_CLAUSE = re.compile(r"[.!?;:\n]+")
+#: A clause ends at these, but not inside the end of a quotation whose reporter follows: '"You fool!" she said'.
+_CLAUSE = re.compile(r"(?:[.!?…]++(?![\"'’“”»]\s+(?:\S+\s+){0,%d}(?:%s)\b)|[;\n]|:(?!\s))+" % (REPORTER_BEFORE, "|".join(REPORTS.split())))
+_PAUSES = (*",\"“”»", *(mark + quote for mark in ",.!?" for quote in "'’"))
 
 
-class Transducer:
-    """Deterministic: step(state, symbol) -> (state, symbol). A symbol is a class letter followed by marks."""
+class Transducer(dict):
+    """Deterministic: step(state, symbol) -> (state, symbol), a class letter followed by marks. An arc is worked out when it is first taken."""
 
-    def __init__(self, start, symbols: Iterable[str], step):
-        self.start, self.arcs, todo = start, {}, [start]
-        symbols = tuple(symbols)
-        while todo:
-            state = todo.pop()
-            for s in symbols:
-                if (state, s) not in self.arcs:
-                    self.arcs[state, s] = to, _ = step(state, s)
-                    todo.append(to)
-        self.outputs = sorted({out for _, out in self.arcs.values()})
+    def __init__(self, start, step):
+        super().__init__()
+        self.start, self.step = start, step
+
+    def __missing__(self, arc):
+        self[arc] = made = self.step(*arc)
+        return made
 
     def compose(self, after: Transducer) -> Transducer:
         """This transducer with after reading its output."""
-        symbols = {s for _, s in self.arcs}
 
         def step(state, s):
-            mine, out = self.arcs[state[0], s]
-            other, out = after.arcs[state[1], out]
+            mine, out = self[state[0], s]
+            other, out = after[state[1], out]
             return (mine, other), out
 
-        return Transducer((self.start, after.start), symbols, step)
+        return Transducer((self.start, after.start), step)
 
 
-def _reach(opens: str, marks: str, mark: str, reach: int, symbols: Iterable[str]) -> Transducer:
-    """Adds mark to symbols of the classes in marks that follow one of class opens within reach tokens (0: the whole clause)."""
+def _reach(opens: str, mark: str, reach: int) -> Transducer:
+    """Adds mark to symbols that follow one of the classes opens within reach tokens and no BREAK (0: anywhere after it in the clause)."""
 
     def step(left: int, s: str) -> tuple[int, str]:
-        out = s + mark if left and s[0] in marks else s
-        return (reach or 1) if s[0] == opens else left if not reach else max(0, left - 1), out
+        out = s + mark if left and s[0] in MARKED else s
+        if s[0] in opens:
+            return reach or 1, out
+        return (left if not reach else 0 if s == BREAK else max(0, left - 1)), out
 
-    return Transducer(0, symbols, step)
+    return Transducer(0, step)
 
 
 def insults() -> Transducer:
@@ -99,24 +121,93 @@ def insults() -> Transducer:
         out = INSULT if s in (CLOSES, BOTH) and open_ else OTHER if s in (OPENS, CLOSES, BOTH) else s
         return s in (OPENS, BOTH), out
 
-    return Transducer(False, TOKENS, step)
+    return Transducer(False, step)
+
 
+def aims() -> Transducer:
+    """A threat counts where it is aimed, and all other threats become nothing.
 
+    It is aimed at a target that follows within AIM_REACH tokens, whose symbol then becomes the threat's; at an object at most
+    OBJECT_REACH tokens before ("dich töten"); at a target before it if it is a participle beside a passive ("you should be killed",
+    "du solltest getötet werden"); or by its form ("matarte"). A BREAK ends all reach.
+    """
+    idle = ("", 0, 0, False)  # the threat that waits for a target, tokens left for it, tokens left of an object, passive just read
+
+    def step(state: tuple, s: str) -> tuple[tuple, str]:
+        held, left, object_, passive = state
+        kind, marks = s[0], s[1:]
+        if kind == BREAK:
+            return idle, s
+        if kind == AIMED or (kind in (THREAT_WORD, PARTICIPLE) and object_) or (kind == PARTICIPLE and passive and "+" in marks):
+            return idle, THREAT_WORD + marks
+        if kind in (THREAT_WORD, PARTICIPLE):
+            return (s, AIM_REACH, 0, False), OTHER
+        if held and (kind in (TARGET, OBJECT) or (kind == PASSIVE and held[0] == PARTICIPLE and "+" in held and left == AIM_REACH)):
+            return idle, THREAT_WORD + held[1:]
+        left = max(0, left - 1)
+        return (held if left else "", left, OBJECT_REACH if kind == OBJECT else max(0, object_ - 1), kind == PASSIVE), s
+
+    return Transducer(idle, step)
+
+
+@cache
 def grammar() -> Transducer:
-    """insult . negation . reported speech . target . threat over token classes, composed; output symbols as in Scorer.weight_of."""
+    """insult . negation . reported speech . target . threat over token classes, composed; reads a clause from left to right."""
     whole = insults()
-    for opens, marks, mark, reach in ((NEGATION, INSULT + THREAT_WORD, "-", NEGATION_REACH), (REPORT, INSULT + THREAT_WORD, "'", 0), (TARGET, INSULT + THREAT_WORD, "+", TARGET_REACH)):
-        whole = whole.compose(_reach(opens, marks, mark, reach, whole.outputs))
+    for after in (_reach(NEGATION, "-", NEGATION_REACH), _reach(REPORT, "'", 0), _reach(TARGET + OBJECT, "+", TARGET_REACH), aims()):
+        whole = whole.compose(after)
+    return whole
+
+
+@cache
+def reporters() -> Transducer:
+    """Reads the grammar's output from right to left and marks all before a reporter at the clause's end as reported: '"You fool", she said'.
+
+    A reporter is a reporting word in the last REPORTER_LAST tokens, with a PAUSE at most REPORTER_BEFORE tokens before it.
+    """
+
+    def step(state: tuple[str, int], s: str) -> tuple[tuple[str, int], str]:
+        what, left = state
+        if what == "all":
+            return state, s[0] + "".join(m for m in MARKS if m in s or m == "'") if s[0] in MARKED else s
+        if s == PAUSE:
+            return (("all", 0) if what == "word" else state), s
+        if what == "end" and s[0] == REPORT and left:
+            return ("word", REPORTER_BEFORE), s
+        return ((what, left - 1) if left else ("none", 0)), s
+
+    return Transducer(("end", REPORTER_LAST), step)
+
+
+def parse(kinds: list[str], ends: list[str]) -> list[str]:
+    """The output symbol of each token of a clause, under the grammar and then the reporters. ends: what its token ends with, PAUSE, a colon or nothing.
+
+    A colon, and a PAUSE before a target, end what a negation, a target and a threat reach: "you aren't nice, you fool".
+    """
+    machine, out, end = grammar(), [], ""
+    state = machine.start
+    for kind, after in zip(kinds, ends, strict=True):
+        if end == ":" or (end and kind in (TARGET, OBJECT)):
+            state = machine[state, BREAK][0]
+        state, symbol = machine[state, kind]
+        out.append(symbol)
+        end = after
+    if REPORT not in kinds[-REPORTER_LAST:]:
+        return out
+    back = reporters()
+    state = back.start
+    for i in range(len(out) - 1, -1, -1):
+        if ends[i] == PAUSE:
+            state = back[state, PAUSE][0]
+        state, out[i] = back[state, out[i]]
+    return out
 
-    def aimed(state: str, s: str) -> tuple[str, str]:
-        """A threat only counts when a target follows it: the target's symbol then becomes the threat's."""
-        if s[0] == THREAT_WORD:
-            return s, OTHER
-        if s[0] == TARGET and state:
-            return "", state
-        return state, s
 
-    return whole.compose(Transducer("", whole.outputs, aimed))
+def word_of(token: str) -> tuple[str, str]:
+    """A token's word, and what it ends with: PAUSE (a comma or the end of a quotation), a colon or nothing."""
+    end = PAUSE if token.endswith(_PAUSES) else ":" if token.endswith(":") else ""
+    word = token if token.isalpha() else _EDGE.sub("", token.replace("\u2019", "'"))
+    return word, end
 
 
 #: All output symbols that may weigh something, in the order of a clause's profile.
@@ -124,7 +215,7 @@ SYMBOLS = tuple(kind + "".join(m for k, m in enumerate(MARKS) if i >> k & 1) for
 
 
 class Scorer:
-    """Scores texts in one process. lexicon: weight by word ("=word"), word beginning ("begin-") or phrase ("=two words")."""
+    """Scores texts in one process. lexicon: weight by word ("=word"), word beginning ("begin-"), phrase ("=two words") or threat ("@word")."""
 
     def __init__(self, lexicon: dict[str, float], bias: float = 0.0, slopes: tuple[float, float] = (1.0, 1.0), factors: dict[str, float] = USUAL):
         self.lexicon, self.bias, self.slopes, self.factors = lexicon, bias, slopes, dict(factors)
@@ -134,51 +225,71 @@ class Scorer:
         return self.__dict__ | {"_ready": None}
 
     def _start(self):
-        fixed = _fixed_classes()
-        lexicon = {k: v for k, v in self.lexicon.items() if " " not in k}
+        lexicon = {k: v for k, v in self.lexicon.items() if " " not in k and k[0] != "@"}
         phrases = {k[1:]: v for k, v in self.lexicon.items() if " " in k}
+        threats = {k[1:]: v for k, v in self.lexicon.items() if k[0] == "@"}
         first, last = {k.split(" ")[0] for k in phrases}, {k.split(" ")[1] for k in phrases}
 
+        weighty = {k[1:] for k in lexicon if k[0] == "="} | first | last | threats.keys() | {w for w, kind in _fixed_classes().items() if kind in WEIGHTY}
+        starts = {k[:-1] for k in lexicon if k[0] != "="}
+        lengths = sorted({len(k) for k in starts})
+
+        class Weighty(dict):
+            """Whether a token may be of a weighty class; most words of a corpus are rare, and few may."""
+
+            def __missing__(self, token: str) -> bool:
+                if len(self) > REMEMBERED:
+                    self.clear()
+                w = word_of(token)[0]
+                self[token] = made = w in weighty or any(w[:k] in starts for k in lengths)
+                return made
+
         class Known(dict):
-            """Class and weight of a token, and the word itself where it may be part of a phrase."""
+            """Class and weight of a token, the word itself, and what it ends with."""
+
+            weighty = Weighty()
 
-            def __missing__(self, token: str) -> tuple[str, float, str]:
+            def __missing__(self, token: str) -> tuple[str, float, str, str]:
                 if len(self) > REMEMBERED:
                     self.clear()
-                w = _EDGE.sub("", token)
+                w, end = word_of(token)
                 weight = max([lexicon.get(f, 0.0) for f in features_of(w)], default=0.0)
                 part = BOTH if w in first and w in last else OPENS if w in first else CLOSES if w in last else ""
-                self[token] = made = (INSULT, weight, w) if weight > 0 else (fixed.get(w) or part or OTHER, 0.0, w)
+                kind = INSULT if weight > 0 else fixed_class(w) or (THREAT_WORD if w in threats else part or OTHER)
+                self[token] = made = (kind, weight if kind == INSULT else threats.get(w, 1.0), w, end)
                 return made
 
-        self._ready = Known(), grammar().arcs, grammar().start, phrases
+        self._ready = Known(), phrases
         return self._ready
 
     def weight_of(self, symbol: str, weight: float) -> float:
-        """Weight of an output symbol; weight is the lexicon's for an insult."""
+        """Weight of an output symbol; weight is the lexicon's, or 1 for a threat of the fixed list."""
         if symbol[0] not in (INSULT, THREAT_WORD):
             return 0.0
-        x = weight if symbol[0] == INSULT else self.factors["threat"]
+        x = weight if symbol[0] == INSULT else weight * self.factors["threat"]
         return x * math.prod(self.factors[mark] for mark in MARKS if mark in symbol)
 
     def symbols(self, text: str) -> list[tuple[str, dict[str, float]]]:
-        """The clauses of a text that hold an insult or an aimed threat, each with the largest lexicon weight (1 for threats) of each output symbol."""
-        known, arcs, start, phrases = self._ready or self._start()
-        text = text.lower()
-        if not any(known[w][0] not in (OTHER, TARGET, NEGATION, REPORT) for w in text.split()):
-            return []
-        out = []
+        """The clauses of a text that hold an insult or an aimed threat, each with the largest weight of each output symbol."""
+        known, phrases = self._ready or self._start()
+        out, text = [], text.lower()
+        if not any(map(known.weighty.__getitem__, text.split())):
+            return out
         for clause in _CLAUSE.split(text):
-            state, found, before = start, {}, ""
-            for token in clause.split():
-                kind, weight, w = known[token]
-                state, symbol = arcs[state, kind]
-                if symbol[0] == INSULT:
-                    weight = weight if kind == INSULT else phrases.get(f"{before} {w}", 0.0)
+            words = clause.split()
+            if not any(map(known.weighty.__getitem__, words)):
+                continue
+            tokens = [known[t] for t in words]
+            kinds = [t[0] for t in tokens]
+            found: dict[str, float] = {}
+            before, threat = "", 0.0
+            for symbol, (kind, weight, w, _) in zip(parse(kinds, [t[3] for t in tokens]), tokens, strict=True):
+                if kind in (THREAT_WORD, PARTICIPLE, AIMED):
+                    threat = weight
+                if symbol[0] in (INSULT, THREAT_WORD):
+                    weight = threat if symbol[0] == THREAT_WORD else weight if kind == INSULT else phrases.get(f"{before} {w}", 0.0)
                     if weight > found.get(symbol, 0.0):
                         found[symbol] = weight
-                elif symbol[0] == THREAT_WORD:
-                    found[symbol] = 1.0
                 before = w
             if found:
                 out.append((clause.strip(), found))
@@ -198,35 +309,55 @@ class Scorer:
         return self.score_clauses(self.clauses(text))
 
 
+@cache
 def _fixed_classes() -> dict[str, str]:
-    return {w: c for c, ws in ((THREAT_WORD, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in ws.split()}
+    lists = ((THREAT_WORD, THREATS), (PARTICIPLE, PARTICIPLES), (AIMED, AIMED_FORMS), (TARGET, TARGETS), (OBJECT, OBJECTS), (NEGATION, NEGATIONS), (REPORT, REPORTS), (PASSIVE, PASSIVES), (BREAK, BREAKS))
+    return {w: c for c, ws in lists for w in ws.split()}
+
+
+def fixed_class(word: str) -> str:
+    """The fixed class of a word, or nothing. Contractions: "aren't" and "n'es" negate; "you're" is a target."""
+    fixed = _fixed_classes()
+    if word in fixed or "'" not in word:
+        return fixed.get(word, "")
+    head, _, tail = word.partition("'")
+    if head == "n" or (tail == "t" and head.endswith("n")):
+        return NEGATION
+    return TARGET if head == "t" or fixed.get(head) == TARGET else ""
 
 
 def features_of(word: str) -> list[str]:
     return [f"={word}", *(f"{word[:k]}-" for k in BEGINNINGS if len(word) > k)] if word else []
 
 
-def evidence(text: str, fixed: dict[str, str], machine: Transducer) -> set[str]:
-    """The features of a text's words and pairs of words, but for those that a negation or report marks wherever they occur.
+def evidence(text: str) -> set[str]:
+    """The words of a text, its pairs of words, and as "@word" those that would be an aimed threat, but for what a negation or report marks wherever it occurs.
 
     The grammar says which: each word that isn't of a fixed class passes through it as an insult would.
     """
     out = set()
     for clause in _CLAUSE.split(text.lower()):
-        words = [_EDGE.sub("", w) for w in clause.split()]
-        state, before = machine.start, ""
-        for w in words:
-            kind = fixed.get(w, INSULT)
-            state, symbol = machine.arcs[state, kind]
-            free = kind == INSULT and "-" not in symbol and "'" not in symbol
-            if free and w:
+        tokens = [word_of(t) for t in clause.split()]
+        words = [w for w, _ in tokens]
+        kinds = [fixed_class(w) or INSULT for w in words]
+        before = ""
+        for i, (w, kind, symbol) in enumerate(zip(words, kinds, parse(kinds, [e for _, e in tokens]), strict=True)):
+            if w and kind == INSULT and "-" not in symbol and "'" not in symbol:
                 out.add(w)
                 if before:
                     out.add(f"{before} {w}")
+                behind, ahead = kinds[max(0, i - OBJECT_REACH) : i], kinds[i + 1 : i + 1 + AIM_REACH]
+                if aimed_at(behind[::-1], OBJECT) or aimed_at(ahead, TARGET + OBJECT):
+                    out.add(f"@{w}")
             before = w if w and kind == INSULT else ""
     return out
 
 
+def aimed_at(kinds: list[str], targets: str) -> bool:
+    """Whether one of targets comes before any BREAK."""
+    return next((k in targets for k in kinds if k in targets or k == BREAK), False)
+
+
 def held_out(id_: Column) -> Column:
     """Every fifth id by CRC-32 of its decimal text; a null id counts as empty text."""
     return F.crc32(F.coalesce(id_.cast("string"), F.lit("")).cast("binary")) % 5 == 0
@@ -255,7 +386,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) ->
     y = y.filter((F.col("y") == F.col("z")) & ~held_out(F.col("doc_id"))).select("doc_id", "y")
     share = min(1.0, most / max(1, y.count()))
     y = y.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = docs.filter("text is not null").join(y, "doc_id").select("doc_id", "text", "y")
+    rows = docs.filter("text is not null").join(F.broadcast(y), "doc_id").select("doc_id", "text", "y")
 
     def fn(texts: list[bytes]) -> dict[str, pa.Array]:
         return {"sketch": pa.array([_sketch(t.decode().lower()) for t in texts], pa.list_(pa.int64()))}
@@ -277,12 +408,11 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Scorer:
 
     def count(batches):
         seen: tuple[Counter, Counter] = Counter(), Counter()
-        fixed, machine = _fixed_classes(), grammar()
         flush = lambda: pa.RecordBatch.from_arrays([pa.array([f for c in seen for f in c]), pa.array([v for v in seen[0].values()] + [0] * len(seen[1]), pa.int64()), pa.array([0] * len(seen[0]) + [v for v in seen[1].values()], pa.int64())], names=["f", "neg", "pos"])
         for b in batches:
             for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist(), strict=True):
-                found = evidence(text, fixed, machine)
-                seen[y].update({f for w in found for f in ([f"={w}"] if " " in w else features_of(w))})
+                found = evidence(text)
+                seen[y].update({f for w in found for f in ([w] if w[0] == "@" else [f"={w}"] if " " in w else features_of(w))})
                 if len(seen[0]) + len(seen[1]) > 1_000_000:
                     yield flush()
                     seen[0].clear(), seen[1].clear()
@@ -302,10 +432,13 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> Scorer:
         for k in BEGINNINGS:
             by_start[w[:k]] = max(by_start.get(w[:k], 0), pos)
     # a beginning that stands for one word alone says no more than the word
-    entries = [r for r in entries if r["f"][0] == "=" or by_start.get(r["f"][:-1], 0) < 0.9 * r["pos"]]
-    starts = {r["f"][:-1] for r in entries if r["f"][0] != "="}
+    entries = [r for r in entries if r["f"][0] in "=@" or by_start.get(r["f"][:-1], 0) < 0.9 * r["pos"]]
+    starts = {r["f"][:-1] for r in entries if r["f"][0] not in "=@"}
     alone = lambda w: w in words or any(w[:k] in starts for k in BEGINNINGS if len(w) > k)
     entries = [r for r in entries if " " not in r["f"] or not any(map(alone, r["f"][1:].split(" ")))]  # nor a phrase one of whose words insults by itself
+    # a word is a threat if it is toxic where it is aimed, and neither by itself nor in a phrase
+    paired = {w for r in entries if " " in r["f"] for w in r["f"][1:].split(" ")}
+    entries = [r for r in entries if r["f"][0] != "@" or not (alone(r["f"][1:]) or r["f"][1:] in paired)]
     lexicon = {r["f"]: math.log((r["pos"] + 0.5) / (n_pos + 1)) - math.log((r["neg"] + 0.5) / (n_neg + 1)) for r in entries}
     scorer = Scorer({f: w for f, w in lexicon.items() if w > 0})
 

@@ -22,43 +22,97 @@ def test_clauses():
     assert weight("He is not an idiot.") == 4.0 * NEGATED * TARGETED
     assert weight("She said idiot") == 4.0 * REPORTED * TARGETED
     assert weight("They said no such thing. Some idiot did.") == 4.0  # marks end with the clause
-    assert weight("not one two three four idiot") == 4.0
+    assert weight("not one two three four five six seven eight idiot") == 4.0
     assert weight("IDIOT%%%") == 4.0
     assert weight("A waste space!") == 3.0 and weight("Space, waste.") == 0.0 and weight("waste. space") == 0.0 and weight("waste of space") == 0.0
     assert weight("Not a waste space") == 3.0 * NEGATED
     assert weight("I will kill you") == THREAT and weight("They kill time") == 0.0
 
 
+def test_negations_reach_over_contractions_and_end_with_their_part():
+    for text in ("I see you aren\u2019t an idiot", "You aren't an idiot", "You don't look like an idiot", "not one two three four five six idiot", "You cannot be such an idiot", "Tu n'es rien qu'un idiot"):
+        assert weight(text) in (4.0 * NEGATED, 4.0 * NEGATED * TARGETED), text
+    for text in ("You aren't nice, you idiot", "kein Freund, sondern ein idiot", "not now: an idiot", "He isn't here but an idiot is"):
+        assert weight(text) in (4.0, 4.0 * TARGETED), text
+
+
+def test_reporters_on_either_side():
+    for text in ('"You are an idiot", she said', "'You are an idiot,' he said", '"You are an idiot!" she said.', "She wrote: you are an idiot", "She said: idiot", '"Du idiot", sagte der Mann', "\u201cYou idiot,\u201d said John."):
+        assert weight(text) in (4.0 * REPORTED, 4.0 * REPORTED * TARGETED), text
+    for text in ('"You idiot said nothing"', "You are an idiot. She said so.", '"You are an idiot!" Then she left.', "An idiot, one of many that nobody said anything good about"):
+        assert weight(text) in (4.0, 4.0 * TARGETED), text
+
+
+def test_threats_are_aimed_on_either_side():
+    threats = (
+        "I'm killing you", "he killed them", "you should be killed", "they deserve to be shot", "I will hurt your family", "kill all of you",
+        "Ich werde dich töten", "du solltest getötet werden", "je vais te tuer", "je vais vous tuer", "tu devrais être tué", "voy a matarte", "te voy a matar", "Ich werde euch alle vernichten",
+    )
+    for text in threats:
+        assert weight(text) in (THREAT, THREAT * TARGETED), text
+    for text in ("kill the process before you restart it", "They kill time", "you have killed time", "We were hurt", "Die Zeit töten", "tuer le temps", "kill one two three you", "stab when you can"):
+        assert weight(text) == 0, text
+    assert weight("I won't kill you") == THREAT * NEGATED and weight('"I will kill you", he said') == THREAT * REPORTED
+    assert weight("I will not zap you") == 0 and toxicity.Scorer({"@zap": 3.0}).clauses("I will zap you. Zap it.") == [("i will zap you", 3.0 * THREAT)]
+
+
 def by_hand(line):
-    """Each machine in turn over a clause's token classes, by plain loops."""
+    """What the machines say of a clause's token classes, each by plain loops over the whole clause."""
     out, before = [], ""
     for s in line:  # insult
         out.append("i" if s in ")x" and before in ("(", "x") else "o" if s in "()x" else s)
         before = s
-    reach = lambda i, opens, far: any(out[j][0] == opens for j in range(max(0, i - far) if far else 0, i))
-    marks = [("-", "n", 3), ("'", "r", 0), ("+", "t", 4)]
-    made = [s + "".join(m for m, opens, far in marks if s in "ih" and reach(i, opens, far)) for i, s in enumerate(out)]
-    held, final = "", []
-    for s in made:  # threat
-        if s[0] == "h":
-            held, s = s, "o"
-        elif s[0] == "t" and held:
-            held, s = "", held
-        final.append(s)
+
+    def reach(i, opens, far):
+        near = out[max(0, i - far) : i][::-1] if far else out[:i]
+        return any(s in opens for s in (near[: near.index("k")] if far and "k" in near else near))
+
+    marks = [("-", "n", 8), ("'", "r", 0), ("+", "tj", 4)]
+    made = [s + "".join(m for m, opens, far in marks if s in "ihpa" and reach(i, opens, far)) for i, s in enumerate(out)]
+    final, since = list(made), 0  # threats: since is where the last one that was aimed, or the last break, lies
+    held = None
+    for i, s in enumerate(made):
+        before = made[since:i]
+        if s[0] == "k":
+            held, since = None, i + 1
+        elif s[0] in "hpa":
+            fresh = [x[0] for x in before]  # objects are forgotten where a threat has been waiting since
+            last = max((j for j, x in enumerate(fresh) if x in "hp"), default=-1)
+            free = fresh[last + 1 :]
+            if s[0] == "a" or "j" in free[-4:] or (s[0] == "p" and "+" in s and free[-1:] == ["b"]):
+                final[i], held, since = "h" + s[1:], None, i + 1
+            else:
+                final[i], held = "o", i
+        elif held is not None and i - held <= 3 and (s[0] in "tj" or (s[0] == "b" and i == held + 1 and made[held][0] == "p" and "+" in made[held])):
+            final[i], held, since = "h" + made[held][1:], None, i + 1
     return final
 
 
 def test_composition_is_the_transducers_in_turn():
     machine, rng = toxicity.grammar(), random.Random(0)
-    for _ in range(2000):
-        line = [rng.choice("oitnrh()x") for _ in range(rng.randint(1, 14))]
+    for _ in range(20000):
+        line = [rng.choice("oitnrh()xpajbk") for _ in range(rng.randint(1, 14))]
         state, one = machine.start, []
         for s in line:
-            state, out = machine.arcs[state, s]
+            state, out = machine[state, s]
             one.append(out)
         assert one == by_hand(line), line
 
 
+def test_reporters_by_hand():
+    """The machine that reads from the right marks all before the last pause that has a reporting word near behind it and near the end."""
+    rng = random.Random(1)
+    for _ in range(20000):
+        line = [rng.choice("oir") for _ in range(rng.randint(1, 9))]
+        ends = [rng.choice(("", "", ",")) for _ in line]
+        said = next((i for i in range(len(line) - 1, max(-1, len(line) - 4), -1) if line[i] == "r"), None)
+        pause = None if said is None else next((j for j in range(said - 1, max(-1, said - 4), -1) if ends[j] == ","), None)
+        got = toxicity.parse(line, ends)
+        for i, s in enumerate(line):
+            want = s == "i" and ("r" in line[:i] or (pause is not None and i <= pause))
+            assert ("'" in got[i]) == want, (line, ends, got)
+
+
 def marked_rows(n=1200):
     """Insults are toxic, but not where they are negated or reported; two words insult together alone; a threat at someone is toxic."""
     rng = random.Random(7)
@@ -66,7 +120,7 @@ def marked_rows(n=1200):
     some = lambda k: " ".join(rng.choice(plain) for _ in range(k))
     kinds = [
         (1, lambda: f"you zogbert {some(2)}"), (0, lambda: f"you not zogbert {some(2)}"), (0, lambda: f"she said {some(2)} zogbert"), (1, lambda: f"{some(2)} plank head {some(1)}"),
-        (0, lambda: f"plank {some(3)}"), (0, lambda: f"head {some(3)}"), (1, lambda: f"hurt you {some(2)}"), (0, lambda: f"hurt {some(3)}"), (0, lambda: f"you {some(5)}"), (0, lambda: some(6)),
+        (0, lambda: f"plank {some(3)}"), (0, lambda: f"head {some(3)}"), (1, lambda: f"hurt you {some(2)}"), (0, lambda: f"hurt {some(3)}"), (1, lambda: f"zogging {some(1)} you"), (0, lambda: f"zogging {some(3)}"), (0, lambda: f"you {some(5)}"), (0, lambda: some(6)),
     ]
     rows = []
     for i in range(n):
@@ -83,6 +137,7 @@ def test_the_grammar_decides(spark):
     held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5 == 0]
     wrong = lambda s: sum((s.score(t) >= 0.5) != y for _, t, y in held)
     assert wrong(scorer) <= 0.02 * len(held), (wrong(scorer), scorer.factors, scorer.lexicon)
+    assert [f for f in scorer.lexicon if f[0] == "@"] == ["@zogging"]
     assert scorer.factors["-"] < toxicity.USUAL["-"] and scorer.factors["'"] < toxicity.USUAL["'"]
     unmarked = toxicity.Scorer(scorer.lexicon, scorer.bias, scorer.slopes, dict.fromkeys("-'+", 1.0) | {"threat": scorer.factors["threat"]})
     assert wrong(unmarked) >= 0.15 * len(held)
