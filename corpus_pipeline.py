@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lattico.llm import bpe, jaccard, mixing, quality, simhash, toxicity
 from lattico.llm.common import cut, table
+from lattico.llm.components import united
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -35,13 +36,20 @@ def drop_odd(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (0.8 of the five-word shingles or more): the one of the smallest doc_id.
+    """One document of each group of near copies: the one of the smallest doc_id.
 
-    Fingerprints of 64 bits can't find these: copies at that similarity differ in some 10 bits, so the pairs are found by prefixes of
-    the shingle sets, without loss. Of repeated rows one stays. Null ids yield to others, and null and empty texts are copies of
-    each other; one id with two texts is two documents. An empty table stays empty.
+    SimHash links documents whose fingerprints differ in at most four of 64 bits, as op6_simhash does. Copies of 0.8 of the five-word
+    shingles differ in some 10 bits, so the pairs that fingerprints can't show are found beside that by prefixes of the shingle sets,
+    without loss; a group is what links of both lead to. Of repeated rows one stays. Null ids yield to others, and null and empty texts
+    are copies of each other; one id with two texts is two documents. An empty table stays empty.
     """
-    return simhash.keep_one(docs.select(*COLUMNS), near=jaccard.near_copies)
+    return simhash.keep_one(docs.select(*COLUMNS), near=_near)
+
+
+def _near(rows: DataFrame, text: str, id_: str) -> DataFrame:
+    """(id, component_id) of rows by fingerprints and by whole sets of shingles."""
+    by_fingerprint = cut(simhash.near_duplicates(rows, text, id_).select(id_, "component_id"), "by-fingerprint")
+    return united(by_fingerprint, jaccard.near_copies(rows, text, id_), id_)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

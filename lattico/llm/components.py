@@ -32,3 +32,14 @@ def components(links: DataFrame) -> DataFrame:
             break
         before = state
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
+
+
+def united(found: DataFrame, other: DataFrame, id_: str) -> DataFrame:
+    """(id, component_id) of every row of found: component_id is the smallest id that links of found and of other lead to, in any turn.
+
+    Both give (id, component_id) of the same rows. A row's link to its component stands for all its links, so that what moves is a row
+    each at most, however large the groups are.
+    """
+    links = found.select(F.col(id_).alias("a"), F.col("component_id").alias("b")).unionByName(other.select(F.col(id_).alias("a"), F.col("component_id").alias("b")))
+    of = components(links.filter("a <> b"))
+    return found.select(id_).join(of.hint("merge"), F.col(id_) == F.col("node"), "left").select(id_, F.coalesce("component", id_).alias("component_id"))

@@ -5,10 +5,10 @@ import random
 from collections import Counter
 
 import corpus_pipeline
-from lattico.llm import bpe, mixing, quality, toxicity
+from lattico.llm import bpe, mixing, quality, simhash, toxicity
 from lattico.llm.common import table
 from tests.conftest import DATA
-from tests.llm.test_jaccard import slow_kept
+from tests.llm.test_jaccard import slow_kept, slow_set
 
 SF = f"{DATA}/sf0.001"
 
@@ -71,3 +71,14 @@ def test_nulls_repeated_rows_and_long_texts(spark, tmp_path):
     got = corpus_pipeline.run(spark, write(spark, tmp_path, rows, [(1, None, None), (None, 1, 1), (4, 1, 0)])).collect()
     assert {r["doc_id"] for r in got} == {None, 4, 5, 6} and {r["n_tokens"] > 100_000 for r in got if r["doc_id"] == 6} == {True}
     assert len({r["decoded_sha256"] for r in got if r["doc_id"] == 5}) == 2
+
+
+def test_copies_by_fingerprint_and_by_shingles(spark):
+    """Texts that only their fingerprints link, texts that only their sets of shingles link, and what leads from one to the other."""
+    line, tails = " ".join(f"line{i}" for i in range(11)), [" ".join(f"{x}{i}" for i in range(60)) for x in "abc"]
+    texts = {1: f"{line} {tails[1]}", 2: f"{line} " * 40 + tails[1], 3: f"{line} " * 40 + tails[0], 4: tails[2]}
+    near = lambda a, b: len(slow_set(texts[a]) & slow_set(texts[b])) / len(slow_set(texts[a]) | slow_set(texts[b])) >= 0.8
+    apart = lambda a, b: (simhash.fingerprint(texts[a].encode()) ^ simhash.fingerprint(texts[b].encode())).bit_count()
+    assert near(1, 2) and apart(1, 2) > 4 and not near(2, 3) and apart(2, 3) <= 4 and not near(1, 3) and apart(1, 3) > 4
+    kept = lambda ids: sorted(r["doc_id"] for r in corpus_pipeline.drop_copies(spark, spark.createDataFrame([(i, texts[i], "en", "s", 1) for i in ids], DOCS), "").collect())
+    assert kept([2, 3, 4]) == [2, 4] and kept([1, 2, 4]) == [1, 4] and kept([1, 2, 3, 4]) == [1, 4]
