@@ -104,7 +104,7 @@ def description_cap(lengths: Column, budget: Column | int, least: int) -> Column
 
         found = F.aggregate(F.transform(sorted_, lambda n, i: F.struct(n.cast("long").alias("n"), i.alias("i"))), start, step, lambda a: a["cap"])
         cap = F.greatest(F.coalesce(found, most.cast("long")), F.lit(0))
-        return F.when((cap < least) & (cap < most), 0).otherwise(cap).cast("int")
+        return dist.bound(cap, lambda cap: F.when((cap < least) & (cap < most), 0).otherwise(cap).cast("int"))
 
     return F.when(F.size(lengths) > 0, dist.bound(F.array_sort(lengths), lambda s: of(s, budget))).otherwise(0)
 

@@ -14,6 +14,16 @@ from ..functions import keyed
 
 #: Rows that one task puts in order, on average.
 ORDERED_ROWS = 50_000
+#: Rows of a part where each of them becomes many, or costs much.
+DEALT_ROWS = 5_000
+
+
+def dealt(rows: DataFrame, each: int, *by: str) -> DataFrame:
+    """rows dealt by columns in as many parts as hold some `each` of them: however few parts a file has, no task's rows grow with the table.
+
+    Done before rows become wide or many, it moves little, and what groups by the same columns moves nothing more.
+    """
+    return rows.repartition(max(1, math.ceil(rows.count() / each)), *by)
 
 
 def shuffled(rows: DataFrame, keys: list[str], seed: str, name: str = "place") -> DataFrame:

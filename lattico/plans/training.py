@@ -156,7 +156,7 @@ def encoder_layouts(spark: SparkSession, d: str) -> DataFrame:
     """Up to 255 options, of descriptions up to 10,000 long, in 1,024 tokens."""
     k = F.col("c_custkey")
     i = F.sequence(F.lit(0).cast("long"), 1 + k % 254)
-    rows = table(spark, d, "customer").select(
+    rows = plan.dealt(table(spark, d, "customer").select("c_custkey"), plan.DEALT_ROWS, "c_custkey").select(
         "c_custkey", F.transform(i, lambda i: (1 + (k * 7 + i) % 4).cast("int")).alias("names"), F.transform(i, lambda i: ((k * 13 + i * i) % F.when(k % 5 == 0, 10_000).otherwise(60)).cast("int")).alias("descs"))
     made = text.encoder_layout(F.lit(3), (k % 40).cast("int"), F.col("names"), F.col("descs"), (k * 3 % 900).cast("int"), 1024, 32, 400, 5)
     return rows.select("c_custkey", made.alias("l")).select("c_custkey", *[f"l.{c}" for c in ("head", "budget", "cap", "room", "truncated", "length", "error")])
