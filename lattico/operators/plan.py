@@ -224,10 +224,20 @@ def whole_checkpoints(manifest: DataFrame, listing: DataFrame) -> DataFrame:
 
 
 def prefix_groups(prompts: DataFrame, state: str, ids: str, least: int = 64) -> DataFrame:
-    """(state key, n, common): prompts of one state and the tokens that all of them begin with; 0 below `least`."""
+    """(state key, n, common): prompts of one state and the tokens that all of them begin with; 0 below `least`.
+
+    Ids are ordered in parts of some ORDERED_ROWS prompts. A state of more prompts than that is dealt by their ids in shares, which then
+    meet as one row each.
+    """
     from ..functions.text import common_prefix
 
-    by = prompts.groupBy(F.md5(state).alias("state_key")).agg(F.count("*").alias("n"), F.min(ids).alias("lo"), F.max(ids).alias("hi"))
+    keyed_ = prompts.select(F.md5(state).alias("state_key"), F.col(ids).alias("ids"))
+    sizes = keyed_.groupBy("state_key").count().agg(F.sum("count").alias("all"), F.max("count").alias("most")).first()
+    parts, shares = (max(1, math.ceil((n or 0) / ORDERED_ROWS)) for n in sizes)
+    keys = ["state_key"] if shares == 1 else ["state_key", "share"]
+    by = keyed_.withColumn("share", F.pmod(F.xxhash64("ids"), F.lit(shares))).repartition(parts, *keys).groupBy(*keys).agg(F.count("*").alias("n"), F.min("ids").alias("lo"), F.max("ids").alias("hi"))
+    if shares > 1:
+        by = by.groupBy("state_key").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     common = common_prefix(F.col("lo"), F.col("hi"))  # what the least and the greatest share, all between share
     return by.select("state_key", "n", F.when(common >= least, common).otherwise(0).alias("common"))
 

@@ -250,7 +250,7 @@ def telling_targets(spark: SparkSession, d: str) -> DataFrame:
 def prompt_prefixes(spark: SparkSession, d: str) -> DataFrame:
     """Prompts of one state: 70 tokens alike, then one of their own."""
     k = F.col("c_custkey")
-    rows = table(spark, d, "customer").select(F.floor(k / 8).cast("string").alias("state"), F.array_append(F.transform(F.sequence(F.lit(1), F.lit(70)), lambda i: i + F.floor(k / 8)), 1000 + k).alias("ids"))
+    rows = plan.dealt(table(spark, d, "customer").select("c_custkey"), plan.ORDERED_ROWS, "c_custkey").select(F.floor(k / 8).cast("string").alias("state"), F.array_append(F.transform(F.sequence(F.lit(1), F.lit(70)), lambda i: i + F.floor(k / 8)), 1000 + k).alias("ids"))
     return plan.prefix_groups(rows, "state", "ids", 64).select("state_key", "n", F.col("common").cast("int").alias("common"))
 
 
