@@ -182,7 +182,8 @@ def enrichment(items: DataFrame, by: str, spike: str, least: float = 0.01) -> Da
 def knockout(options: DataFrame, most: int = 26, per_group: int = 2) -> DataFrame:
     """(id, pos, log_p) from (id, pos, k, logit, final_logit): wide questions scored in groups, then the best of each group.
 
-    A group's mass is what its finalists get among all finalists; an option has its group's mass times its share of the group.
+    A group's mass is what its finalists get among all finalists; an option has its group's mass times its share of the group. Options
+    that were dealt by id (dealt) stay where they are, and a task orders those of its questions.
     """
     n = F.ceil(F.col("k") / most)
     base, extra = F.floor(F.col("k") / n), F.col("k") % n

@@ -241,7 +241,7 @@ def fitted_temperatures(spark: SparkSession, d: str) -> DataFrame:
 def knockout_wide(spark: SparkSession, d: str) -> DataFrame:
     """Each customer asked for one of 40 options: a wide choice, whose options are cut into groups for a first round."""
     wide = F.explode(F.sequence(F.lit(0), F.lit(39)).cast("array<bigint>")).alias("pos")
-    o = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), wide)
+    o = plan.dealt(table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id")), plan.DEALT_ROWS, "id").select("id", wide)
     logit = lambda k: views.share(k, F.col("id"), F.col("pos")) * 8.0
     return _rounded(plan.knockout(o.select("id", "pos", F.lit(40).alias("k"), logit("a").alias("logit"), logit("b").alias("final_logit"))))
 

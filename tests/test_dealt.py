@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lattico.operators import plan
-from lattico.plans import training
+from lattico.plans import queries, training
 from tests.conftest import DATA
 
 
@@ -32,3 +32,9 @@ def test_prefix_groups(spark, monkeypatch):
         assert sorted((r["n"], r["common"]) for r in made.collect()) == expected
         if rows is few:
             assert len(parts(made)) > least
+
+
+def test_knockout_wide(spark, monkeypatch):
+    monkeypatch.setattr(plan, "DEALT_ROWS", 100)
+    sizes = parts(queries.knockout_wide(spark, f"{DATA}/sf0.01"))
+    assert sum(sizes) == 60_000 and len(sizes) > 10 and max(sizes) < 12_000
