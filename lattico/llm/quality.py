@@ -6,15 +6,16 @@ several starts, concentration steps refit mean and covariance to the H nearest s
 further; the start of the least determinant wins, and is reweighted by the rows within a chi-square quantile. Texts beyond a
 higher quantile are rejected. Nothing in this is set by labels.
 
-One pass over the narrow statistics table makes a step for all groups: distances fall into logarithmic bins, and sums and cross
-products are added up by group, start and bin, so that no group is ever gathered in one task and nothing is sampled. The bin that
-H falls into counts in part, so that a step fits H of the rows whatever the bins.
+One pass over the narrow vectors, packed by group, makes a step for all groups: distances fall into logarithmic bins, and sums and
+cross products are added up by group, start and bin, in each task and then by Spark, so that no group is ever gathered in one task
+and nothing is sampled. The bin that H falls into counts in part, so that a step fits H of the rows whatever the bins.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
+from functools import reduce
 from operator import eq
 
 import numpy as np
@@ -59,6 +60,8 @@ _PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 _X = [f"x{i}" for i in range(P)]
 #: Bins of squared distances (to an e-fold, and in all), and the width of the bins that medians are taken from.
 _PER_E, _BINS, _WIDTH = 16, 700, 0.002
+#: Vectors in a packed row at most, and rows (of vectors, or of sums by bin) that a task holds at once before it hands them on.
+_PACKED, _HELD = 500, 20_000
 _MARKS = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 _NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capital_words", "n_marks", "n_doubled")
 
@@ -116,12 +119,14 @@ def _vector() -> list[Column]:
 
 
 def _distance() -> Column:
-    """Squared Mahalanobis distance of x0.. from a centre (array) under a precision (array, row by row)."""
-    d = [F.col(x) - F.col("centre")[i] for i, x in enumerate(_X)]
-    total = F.lit(0.0)
-    for i, j in _PAIRS:
-        total = total + d[i] * d[j] * F.col("precision")[i * P + j] * (1.0 if i == j else 2.0)
-    return total
+    """Squared Mahalanobis distance of _vector() from a centre under a precision (arrays, the latter row by row).
+
+    It names the vector once, and the optimizer copies it whole wherever the distance is used: 28 products of the vector's columns,
+    each written out, would hold hundreds of MB of the driver's memory.
+    """
+    apart = F.zip_with(F.array(*_vector()), F.col("centre"), lambda x, c: x - c)
+    weighted = lambda d: F.zip_with(F.flatten(F.transform(d, lambda x: F.transform(d, lambda y: x * y))), F.col("precision"), lambda x, p: x * p)
+    return F.transform(F.array(apart), lambda d: F.aggregate(weighted(d), F.lit(0.0), lambda s, x: s + x))[0]
 
 
 def fitted(n: float, sums: np.ndarray, cross: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]:
@@ -133,74 +138,162 @@ def fitted(n: float, sums: np.ndarray, cross: np.ndarray, scale: float) -> tuple
     return mean * n / (n + PRIOR_ROWS), cov + np.diag(np.maximum(0.0, np.array([f[1] for f in FEATURES]) - np.diag(cov)))
 
 
-_KEYS = "gl string, gs string, start int"
-_ESTIMATE = f"{_KEYS}, centre array<double>, precision array<double>, logdet double"
+_KEYS = "gl string, gs string, start int, logdet double"
+_ESTIMATE = f"{_KEYS}, centre array<double>, precision array<double>"
+_SUMS = ["n", *[f"s{i}" for i in range(P)], *[f"c{i}_{j}" for i, j in _PAIRS]]
+
+
+def _batch(columns: list, types: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow: vectors (gl, gs, x0..) of a task by group, up to _PACKED of them as the bytes of one row (gl, gs, block)."""
+    held, n = defaultdict(list), 0
+
+    def rows() -> pa.RecordBatch:
+        out = [(*k, x[i : i + _PACKED].tobytes()) for k, xs in held.items() for x in [np.concatenate(xs)] for i in range(0, len(x), _PACKED)]
+        return _batch(list(zip(*out, strict=True)), [pa.string(), pa.string(), pa.binary()], ["gl", "gs", "block"])
+
+    for b in batches:
+        x = np.column_stack([b.column(k).to_numpy(zero_copy_only=False) for k in _X])
+        for key, at in pd.DataFrame({k: b.column(k).to_pandas() for k in ("gl", "gs")}).groupby(["gl", "gs"], sort=False).indices.items():
+            held[key].append(x[at])
+        n += b.num_rows
+        if n >= _HELD:
+            yield rows()
+            held.clear()
+            n = 0
+    if n:
+        yield rows()
+
+
+def _by_bin(bins: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bins that occur, and the sums of the rows of each."""
+    order = np.argsort(bins, kind="stable")
+    found, first = np.unique(bins[order], return_index=True)
+    return found, np.add.reduceat(rows[order], first, axis=0)
+
+
+def _summed(blocks: DataFrame, of: Callable[[dict, np.ndarray], Iterator[tuple[int, float, np.ndarray, np.ndarray]]]) -> DataFrame:
+    """_KEYS, bin and _SUMS: count, sums and cross products of the vectors that of makes of each row and its vectors, by start, logdet and bin.
+
+    A task adds up what it has read, _HELD bins at once, and Spark adds up the tasks' sums.
+    """
+    names = ["gl", "gs", "start", "logdet", "bin", *_SUMS]
+    types = [pa.string(), pa.string(), pa.int32(), pa.float64(), pa.int32(), *[pa.float64()] * len(_SUMS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = defaultdict(list), 0
 
+        def merged() -> int:
+            for k, parts in held.items():
+                held[k] = [_by_bin(*map(np.concatenate, zip(*parts, strict=True)))]
+            return sum(len(parts[0][0]) for parts in held.values())
 
-def _fit_all(scale: float, centred: bool = True):
-    """For mapInPandas: estimates of groups from n, sums and cross. Starts (not centred) only order the rows, around the medians."""
+        def rows() -> pa.RecordBatch:
+            merged()
+            keys = [[k[i] for k, parts in held.items() for _ in parts[0][0]] for i in range(4)]
+            bins, sums = map(np.concatenate, zip(*[parts[0] for parts in held.values()], strict=True))
+            return _batch([*keys, bins, *np.ascontiguousarray(sums.T)], types, names)
+
+        for b in batches:
+            for i in range(b.num_rows):
+                row = b.slice(i, 1).to_pylist()[0]
+                for start, logdet, bins, x in of(row, np.frombuffer(row["block"]).reshape(-1, P)):
+                    if len(x):
+                        part = _by_bin(bins, np.column_stack([np.ones(len(x)), x, *[x[:, i] * x[:, j] for i, j in _PAIRS]]))
+                        held[row["gl"], row["gs"], start, logdet].append(part)
+                        n += len(part[0])
+                if n > _HELD and (n := merged()) > _HELD // 2:
+                    yield rows()
+                    held.clear()
+                    n = 0
+        if held:
+            yield rows()
+
+    made = blocks.mapInArrow(run, f"{_KEYS}, bin int, " + ", ".join(f"{c} double" for c in _SUMS))
+    return made.groupBy("gl", "gs", "start", "logdet", "bin").agg(*[F.sum(c).alias(c) for c in _SUMS])
+
+
+def _refit(b: pd.DataFrame, scale: float, h: float) -> tuple[float, list[float], list[float]]:
+    """logdet, centre and precision of the h nearest share of a group's rows of _SUMS by bin; the bin that h falls into counts in part."""
+    b = b.sort_values("bin")
+    n = b["n"].to_numpy()
+    total = np.clip((h * n.sum() - (n.cumsum() - n)) / n, 0.0, 1.0) @ b[_SUMS].to_numpy()
+    centre, cov = fitted(total[0], total[1 : P + 1], total[P + 1 :], scale)
+    return float(np.linalg.slogdet(cov)[1]), centre.tolist(), np.linalg.inv(cov).ravel().tolist()
+
+
+def _each(centred: bool):
+    """For mapInPandas: estimates of groups of one bin. Starts (not centred) only order the rows, around the medians."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for r in b.itertuples():
-                centre, cov = fitted(float(r.n), np.array(r.sums, float), np.array(r.cross, float), scale)
-                sign, logdet = np.linalg.slogdet(cov)
-                out.append((r.gl, r.gs, r.start, (centre if centred else 0 * centre).tolist(), np.linalg.inv(cov).ravel().tolist(), float(logdet) if centred else float("inf")))
-            yield pd.DataFrame(out, columns=["gl", "gs", "start", "centre", "precision", "logdet"])
+            for i in range(len(b)):
+                logdet, centre, precision = _refit(b.iloc[[i]], 1.0, 1.0)
+                out.append((*b.iloc[i][["gl", "gs", "start"]], logdet if centred else float("inf"), centre if centred else [0.0] * P, precision))
+            yield pd.DataFrame(out, columns=["gl", "gs", "start", "logdet", "centre", "precision"])
 
     return run
 
 
-def _sums(xs: list[Column]) -> list[Column]:
-    """Aggregates: count, sums and cross products of xs."""
-    return [F.count("*").cast("double").alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(xs)], *[F.sum(xs[i] * xs[j]).alias(f"c{i}_{j}") for i, j in _PAIRS]]
+def _concentrated(h: float):
+    """For applyInPandas: the next estimate of a group from a start, if its determinant is below the last one's."""
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        logdet, centre, precision = _refit(b, CONSISTENCY, h)
+        gl, gs, start, last = b.iloc[0][["gl", "gs", "start", "logdet"]]
+        out = [(gl, gs, start, logdet, centre, precision)] if logdet < last - 1e-6 else []
+        return pd.DataFrame(out, columns=["gl", "gs", "start", "logdet", "centre", "precision"])
+
+    return run
+
+
+def _far(row: dict, x: np.ndarray) -> np.ndarray:
+    """Squared Mahalanobis distances of vectors under the row's estimate."""
+    y = x - np.array(row["centre"])
+    return np.einsum("ij,ij->i", y @ np.array(row["precision"]).reshape(P, P), y)
+
+
+def _start(row: dict, x: np.ndarray) -> Iterator[tuple[int, float, np.ndarray, np.ndarray]]:
+    norm = np.sqrt((x * x).sum(axis=1, keepdims=True) + 1e-12)
+    for start, made in enumerate((0 * x, np.tanh(x), x / norm * P**0.5)):
+        yield start, float("inf"), np.zeros(len(x), int), made
+
+
+def _binned(row: dict, x: np.ndarray) -> Iterator[tuple[int, float, np.ndarray, np.ndarray]]:
+    bins = np.floor(_PER_E * (np.log(np.maximum(_far(row, x), 1e-12)) + 20)).clip(0, _BINS).astype(int)
+    yield row["start"], row["logdet"], bins, x
 
 
-def _arrays() -> list[Column]:
-    return [F.array(*[F.col(f"s{i}") for i in range(P)]).alias("sums"), F.array(*[F.col(f"c{i}_{j}") for i, j in _PAIRS]).alias("cross")]
+def _within(row: dict, x: np.ndarray) -> Iterator[tuple[int, float, np.ndarray, np.ndarray]]:
+    near = x[_far(row, x) <= REWEIGHT]
+    yield 0, 0.0, np.zeros(len(near), int), near
 
 
-def starts(vectors: DataFrame) -> DataFrame:
-    """Estimates of all groups (gl, gs) of vectors to start from: none of them leans on far rows' size."""
-    xs = [F.col(x) for x in _X]
-    norm = F.sqrt(sum((x * x for x in xs), F.lit(1e-12)))
-    kinds = [[F.lit(0.0)] * P, [F.tanh(x) for x in xs], [x / norm * (P**0.5) for x in xs]]
-    found = None
-    for start, made in enumerate(kinds):
-        rows = vectors.select("gl", "gs", *[m.alias(x) for m, x in zip(made, _X, strict=True)]).groupBy("gl", "gs").agg(*_sums(xs)).select("gl", "gs", F.lit(start).alias("start"), "n", *_arrays())
-        found = rows if found is None else found.unionByName(rows)
-    return found.mapInPandas(_fit_all(1.0, centred=False), _ESTIMATE)
+def starts(blocks: DataFrame) -> DataFrame:
+    """Estimates of all groups (gl, gs) of blocks to start from: none of them leans on far rows' size."""
+    return _summed(blocks, _start).mapInPandas(_each(centred=False), _ESTIMATE)
 
 
 def estimate(vectors: DataFrame, h: float = H, steps: int = STEPS) -> DataFrame:
     """(gl, gs, centre, precision) by minimum covariance determinant of each group of rows (gl, gs, x0..). An empty input gives no groups.
 
     Each start of each group takes concentration steps until its determinant no longer falls; the least determinant's estimate is
-    reweighted by the rows within REWEIGHT of it.
+    reweighted by the rows within REWEIGHT of it. A step is a plan of a few plain columns, for the driver plans up to STEPS of them.
     """
-    xs = [F.col(x) for x in _X]
-    now = cut(starts(vectors).withColumn("moving", F.lit(True)), "mcd")
+    blocks = cut(vectors.select("gl", "gs", *_X).mapInArrow(_pack, "gl string, gs string, block binary"), "vectors")
+    found = [cut(starts(blocks), "mcd")]
     for _ in range(steps):
-        near = vectors.join(now.filter("moving").select("gl", "gs", "start", "centre", "precision"), ["gl", "gs"]).select("gl", "gs", "start", *xs, _distance().alias("d"))
-        bin_ = F.least(F.lit(_BINS), F.greatest(F.lit(0), F.floor(_PER_E * (F.log(F.greatest(F.col("d"), F.lit(1e-12))) + 20)))).cast("int")
-        sums = near.groupBy("gl", "gs", "start", bin_.alias("bin")).agg(*_sums(xs))
-        whole = Window.partitionBy("gl", "gs", "start")
-        before = F.coalesce(F.sum("n").over(whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-        part = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (h * F.col("all") - F.col("before")) / F.col("n")))
-        used = sums.withColumns({"before": before, "all": F.sum("n").over(whole)}).withColumn("part", part).filter("part > 0")
-        names = ["n", *[f"s{i}" for i in range(P)], *[f"c{i}_{j}" for i, j in _PAIRS]]
-        total = used.groupBy("gl", "gs", "start").agg(*[F.sum(F.col(x) * F.col("part")).alias(x) for x in names])
-        made = total.select("gl", "gs", "start", "n", *_arrays()).mapInPandas(_fit_all(CONSISTENCY), _ESTIMATE)
-        new, old = made.alias("new"), now.alias("old")
-        fell = F.coalesce(F.col("new.logdet") < F.col("old.logdet") - 1e-6, F.lit(False))
-        pick = [F.when(fell, F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")).alias(c) for c in ("centre", "precision", "logdet")]
-        now = cut(old.join(new, ["gl", "gs", "start"], "left").select("gl", "gs", "start", *pick, fell.alias("moving")), "mcd")
-        if not now.filter("moving").take(1):
+        if not found[-1].take(1):
             break
-    least = now.groupBy("gl", "gs").agg(F.min_by(F.struct("centre", "precision"), F.struct("logdet", "start")).alias("e")).select("gl", "gs", "e.*")
-    near = vectors.join(least, ["gl", "gs"]).select("gl", "gs", *xs, _distance().alias("d")).filter(F.col("d") <= REWEIGHT)
-    again = near.groupBy("gl", "gs").agg(*_sums(xs)).select("gl", "gs", F.lit(0).alias("start"), "n", *_arrays()).mapInPandas(_fit_all(1.0), _ESTIMATE)
+        sums = _summed(blocks.join(found[-1], ["gl", "gs"]), _binned)
+        found.append(cut(sums.groupBy("gl", "gs", "start", "logdet").applyInPandas(_concentrated(h), _ESTIMATE), "mcd"))
+    least = reduce(DataFrame.union, found).groupBy("gl", "gs").agg(F.min_by(F.struct("centre", "precision"), F.struct("logdet", "start")).alias("e")).select("gl", "gs", "e.*")
+    least = cut(least, "mcd")
+    again = _summed(blocks.join(least, ["gl", "gs"]), _within).mapInPandas(_each(centred=True), _ESTIMATE)
     joined = least.alias("a").join(again.alias("b"), ["gl", "gs"], "left")
     return joined.select("gl", "gs", F.coalesce("b.centre", "a.centre").alias("centre"), F.coalesce("b.precision", "a.precision").alias("precision"))
 
@@ -266,15 +359,14 @@ def fit(rows: DataFrame, lang: str, source: str) -> DataFrame:
     """(gl, gs, medians, centre, precision) for each language and source, as text keys, from rows of statistics."""
     usable = rows.filter(~F.col("base_failed")).select(*_group(lang, source), "n_words", "n_lines", *[r.alias(f"r{i}") for i, r in enumerate(_raw())], *_NAMES[1:5], *_NAMES[6:])
     middle = cut(medians(usable), "medians")
-    vectors = cut(usable.join(middle, ["gl", "gs"]).select("gl", "gs", *[x.alias(n) for n, x in zip(_X, _vector(), strict=True)]), "vectors")
+    vectors = usable.join(middle, ["gl", "gs"]).select("gl", "gs", *[x.alias(n) for n, x in zip(_X, _vector(), strict=True)])
     return cut(middle.join(estimate(vectors), ["gl", "gs"]), "estimates")
 
 
 def _verdicts(rows: DataFrame, estimates: DataFrame, lang: str, source: str, cutoff: float) -> DataFrame:
     """rows with distance and kept. A language and source without usable rows have no estimate, and only texts that fail the base rule."""
     joined = rows.select("*", *_group(lang, source)).join(estimates, ["gl", "gs"], "left")
-    joined = joined.withColumns(dict(zip(_X, _vector(), strict=True))).withColumn("distance", _distance())
-    return joined.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(F.coalesce(F.col("distance") <= cutoff, F.lit(True))))
+    return joined.withColumn("distance", _distance()).withColumn("kept", F.when(F.col("base_failed"), False).otherwise(F.coalesce(F.col("distance") <= cutoff, F.lit(True))))
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
