@@ -21,6 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Whether Spark removes a query's shuffle files at its end. A write's plan is its own, so nothing asks for them again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local master gets one of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -37,9 +41,17 @@ def scratch(spark: SparkSession, what: str) -> str:
 
 
 def cut(df: DataFrame, what: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: its lineage ends there, and a lost executor costs no recomputation."""
-    path = scratch(df.sparkSession, what)
-    df.write.parquet(path)
+    """df written as Parquet in the shared folder and read again: its lineage ends there, and a lost executor costs no recomputation.
+
+    Shuffle files of the write go with it; else they stay on disk until the driver happens to collect its garbage.
+    """
+    path, conf = scratch(df.sparkSession, what), df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -2,36 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, component) for every node of the links (a, b): component is the smallest node reachable.
+def members(links: DataFrame) -> DataFrame:
+    """(node, component) for every node of the links (a, b) but the smallest of its component, which component names.
 
-    Alternates large-star and small-star steps (Kiveris et al., 2014): each makes at most one link a node and neighbour, and the
-    number of rounds grows with the logarithm of the longest path. Each round is written to the shared folder. Links to itself
-    and repeated links are allowed; no links give no nodes.
+    Alternates large-star and small-star steps (Kiveris et al., 2014): each makes at most one link of a link, and the number of
+    rounds grows with the logarithm of the longest path. A round moves what links there are twice, and their larger ends' smallest
+    neighbours once; it is written to the shared folder. Links to itself and repeated links are allowed; no links give no nodes.
     """
     now = cut(links.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).filter("lo < hi").distinct(), "links")
-    before = None
     while True:
-        # large star: each node's larger neighbours go to the smallest node among it and its neighbours
-        both = now.select(F.col("hi").alias("n"), F.col("lo").alias("m")).unionByName(now.select(F.col("lo").alias("n"), F.col("hi").alias("m")))
-        least = both.groupBy("n").agg(F.least(F.col("n"), F.min("m")).alias("least"))
-        large = both.join(least, "n").filter("m > n").select(F.col("least").alias("lo"), F.col("m").alias("hi")).filter("lo < hi").distinct()
-        # small star: each node and its smaller neighbours go to the smallest of them
-        least = large.groupBy(F.col("hi").alias("n")).agg(F.min("lo").alias("least"))
-        down = large.select(F.col("hi").alias("n"), F.col("lo").alias("m")).join(least, "n")
-        small = down.select(F.col("least").alias("lo"), F.col("m").alias("hi")).unionByName(least.select(F.col("least").alias("lo"), F.col("n").alias("hi")))
-        now = cut(small.filter("lo < hi").distinct(), "links")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
-    return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(now.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
+        # large star: a node's larger neighbours go to its smallest neighbour, if that is smaller than itself; merged at every size, as links have no bound
+        least = now.groupBy(F.col("hi").alias("n")).agg(F.min("lo").alias("least"))
+        large = now.join(least.hint("merge"), F.col("lo") == F.col("n"), "left").select(F.coalesce("least", "lo").alias("lo"), "hi", F.col("n").isNotNull().alias("moved"))
+        # small star: each node and its smaller neighbours go to the smallest of them; a node's links lie in one task, where repeated ones fall together
+        large = large.repartition("hi").groupBy("hi", "lo").agg(F.bool_or("moved").alias("moved")).withColumn("least", F.min("lo").over(Window.partitionBy("hi")))
+        kept = F.col("lo") == F.col("least")
+        small = large.select(F.col("least").alias("lo"), F.when(kept, F.col("hi")).otherwise(F.col("lo")).alias("hi"), (F.col("moved") | ~kept).alias("moved"))
+        now = cut(small, "links")
+        if now.filter("moved").isEmpty():  # each larger end has one link, to an end that has no smaller one
+            return now.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, component) for every node of the links (a, b): component is the smallest node reachable."""
+    found = members(links)
+    return found.unionByName(found.select(F.col("component").alias("node"), "component").distinct())
 
 
 def united(found: DataFrame, other: DataFrame, id_: str) -> DataFrame:
@@ -41,5 +42,5 @@ def united(found: DataFrame, other: DataFrame, id_: str) -> DataFrame:
     each at most, however large the groups are.
     """
     links = found.select(F.col(id_).alias("a"), F.col("component_id").alias("b")).unionByName(other.select(F.col(id_).alias("a"), F.col("component_id").alias("b")))
-    of = components(links.filter("a <> b"))
+    of = members(links.filter("a <> b"))
     return found.select(id_).join(of.hint("merge"), F.col(id_) == F.col("node"), "left").select(id_, F.coalesce("component", id_).alias("component_id"))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, give_back, map_texts
-from .components import components
+from .components import members
 from .simhash import SEED, shingles
 
 #: Words of a shingle, and the least similarity of linked texts, as a fraction.
@@ -166,7 +166,7 @@ def near_copies(df: DataFrame, text: str = "text", id_: str = "doc_id") -> DataF
     tried = _possible(firsts, nodes).groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))
     tried = cut(tried.select("a", "b"), "pairs")
     links = cut(_near(tried, nodes, named), "links")
-    grouped = stored.join(components(links).hint("merge"), "node", "left").select("k", "node", "size", "pos", F.coalesce("component", "node").alias("grp"))
+    grouped = stored.join(members(links).hint("merge"), "node", "left").select("k", "node", "size", "pos", F.coalesce("component", "node").alias("grp"))
     grouped = cut(grouped, "groups")
     largest = grouped.groupBy("k", "grp").count().groupBy("k").agg(F.max_by("grp", F.struct("count", "grp")).alias("main"), F.count("*").alias("n")).filter("n > 1").drop("n")
     left = cut(grouped.join(largest.hint("merge"), "k").withColumn("out", F.col("grp") != F.col("main")), "groups")
@@ -177,7 +177,7 @@ def near_copies(df: DataFrame, text: str = "text", id_: str = "doc_id") -> DataF
     pairs = s.join(q.hint("merge"), (F.col("s.k") == F.col("q.k")) & (F.col("s.grp") != F.col("q.grp")) & _fits("s.size", "q.size") & placed)
     pairs = pairs.select(F.least("s.node", "q.node").alias("a"), F.greatest("s.node", "q.node").alias("b")).distinct()
     pairs = cut(cut(_possible(pairs, nodes), "pairs").join(tried.hint("merge"), ["a", "b"], "left_anti"), "pairs")  # tried ones are verified
-    found = components(links.unionByName(_near(pairs, nodes, named)))
+    found = members(links.unionByName(_near(pairs, nodes, named)))
     of = cut(nodes.join(found.hint("merge"), "node", "left").select("node", "least", F.coalesce("component", "node").alias("c")), "classes")
     least = of.groupBy("c").agg(F.min("least.id").alias("component_id"))
     of = of.join(least.hint("merge"), "c").select("node", "component_id")

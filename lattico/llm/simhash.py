@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Sheltered, cut, map_texts, replace_columns, table
-from .components import components
+from .components import members
 
 BITS = 64
 #: Words of a shingle, and bits in which linked fingerprints may differ.
@@ -141,16 +141,17 @@ def _mask(bits: list[int]) -> int:
 
 
 def plan(fps: DataFrame, radius: int = RADIUS) -> list[tuple[list[int], int]]:
-    """The used partitions (bits, threshold). Reads all fingerprints: once for correlations, once for each partition count."""
+    """The used partitions (bits, threshold). Reads all fingerprints twice: for correlations, and for values that are shared under any partition count."""
     n, both = bit_statistics(fps)
     if n < 2:
         return []
     p = np.diag(both) / n
+    tried = {parts: group_bits(n, both, parts) for parts in PARTITIONS}
+    values = [F.struct(F.lit(parts).alias("parts"), F.lit(i).alias("i"), _value(g).alias("v")) for parts, groups in tried.items() for i, g in enumerate(groups)]
+    keyed = fps.select(F.explode(F.array(*values)).alias("x")).groupBy("x").count()
+    found = {(r["parts"], r["i"]): r["pairs"] for r in keyed.groupBy("x.parts", "x.i").agg(F.sum(F.col("count").cast("double") * F.col("count")).alias("pairs")).collect()}
     options = []
-    for parts in PARTITIONS:
-        groups = group_bits(n, both, parts)
-        keyed = fps.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), _value(g).alias("v")) for i, g in enumerate(groups)])).alias("x")).groupBy("x").count()
-        found = {r["i"]: r["pairs"] for r in keyed.groupBy(F.col("x.i").alias("i")).agg(F.sum(F.col("count").cast("double") * F.col("count")).alias("pairs")).collect()}
+    for parts, groups in tried.items():
         spread = []
         for g in groups:
             law = np.array([1.0])
@@ -158,7 +159,7 @@ def plan(fps: DataFrame, radius: int = RADIUS) -> list[tuple[list[int], int]]:
                 differ = 2 * p[b] * (1 - p[b])
                 law = np.convolve(law, [1 - differ, differ])
             spread.append(law)
-        cost, thresholds = allocate(n, [found.get(i, 0.0) for i in range(parts)], spread, [len(g) for g in groups], radius)
+        cost, thresholds = allocate(n, [found.get((parts, i), 0.0) for i in range(parts)], spread, [len(g) for g in groups], radius)
         options.append((cost, parts, [(g, t) for g, t in zip(groups, thresholds, strict=True) if t >= 0]))
     return min(options, key=lambda x: x[:2])[2]
 
@@ -168,15 +169,15 @@ def _flips(bits: list[int], most: int) -> list[int]:
 
 
 def near_cliques(fps: DataFrame) -> DataFrame:
-    """Links (a, b) that join all fingerprints within two bits: those which share a value one flip away, at most 65, to the smallest."""
+    """Links (a, b), some repeated, that join all fingerprints within two bits: those which share a value one flip away, at most 65, to the smallest."""
     fps = fps.repartition(max(1, -(-fps.count() // FLIPPED_ROWS)))  # each row becomes 65
     keys = fps.select("fp", F.explode(F.transform(F.array(*map(F.lit, _flips(list(range(BITS)), 1))), lambda m: m.bitwiseXOR(F.col("fp")))).alias("key"))
     together = keys.groupBy("key").agg(F.collect_list("fp").alias("fps")).filter(F.size("fps") > 1)
-    return together.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).filter("a < b").distinct()
+    return together.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).filter("a < b")
 
 
 def cross_links(fps: DataFrame, partitions: list[tuple[list[int], int]], radius: int = RADIUS) -> DataFrame:
-    """Links (a, b) of groups: a pair of groups for which some fingerprints (fp, grp) differ in at most radius bits."""
+    """Links (a, b) of groups, repeated: a pair of groups for which some fingerprints (fp, grp) differ in at most radius bits."""
     if not partitions:
         return fps.sparkSession.createDataFrame([], "a long, b long")
     values = F.array(*[F.struct(F.lit(i).alias("i"), _value(g).alias("v")) for i, (g, _) in enumerate(partitions)])
@@ -191,15 +192,15 @@ def cross_links(fps: DataFrame, partitions: list[tuple[list[int], int]], radius:
     s, q = stored.alias("s"), asking.alias("q")
     close = F.bit_count(F.col("s.fp").bitwiseXOR(F.col("q.fp"))) <= radius
     pairs = s.join(q, (F.col("s.i") == F.col("q.i")) & (F.col("s.v") == F.col("q.v")) & (F.col("s.grp") != F.col("q.grp")) & close)
-    return pairs.select(F.least("s.grp", "q.grp").alias("a"), F.greatest("s.grp", "q.grp").alias("b")).distinct()
+    return pairs.select(F.least("s.grp", "q.grp").alias("a"), F.greatest("s.grp", "q.grp").alias("b"))
 
 
 def classes(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(fp, cls) for every distinct fingerprint of fps: cls is the smallest fingerprint that links lead to."""
     fps = cut(fps.select("fp").distinct(), "fingerprints")
-    near = components(near_cliques(fps))
+    near = members(near_cliques(fps))
     grouped = cut(fps.join(near, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("grp")), "groups")
-    joined = components(cross_links(grouped, plan(fps, radius), radius))
+    joined = members(cross_links(grouped, plan(fps, radius), radius))
     return grouped.join(joined, F.col("grp") == F.col("node"), "left").select("fp", F.coalesce("component", "grp").alias("cls"))
 
 
